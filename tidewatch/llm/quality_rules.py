@@ -24,8 +24,10 @@ WINDOW_WORDS = 8
 #: A line is frequent in a host if more documents than this, and than this share of the host's, have it.
 LINE_DOCS = 10
 LINE_SHARE = 0.02
-#: Hundredths of a document's words that frequent lines may hold at most.
+#: Hundredths of a document's words that frequent lines may hold at most: in any document, and in one
+#: that without them has too few words.
 MOST_REMOVED = 80
+MOST_REMOVED_SHORT = 50
 
 #: ASCII white space apart from the blank, and the symbols that are counted.
 _SPACES = "\t\n\u000b\f\r"
@@ -107,7 +109,7 @@ def removed_words(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float
     return hit.groupBy("host", "text_hash", "place").agg(F.max("words").alias("words")).groupBy("host", "text_hash").agg(F.sum("words").alias("removed"))
 
 
-def judge_quality(docs: DataFrame, keep: bool = False, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED, most_removed: int = MOST_REMOVED, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+def judge_quality(docs: DataFrame, keep: bool = False, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED, most_removed: int = MOST_REMOVED, most_removed_short: int = MOST_REMOVED_SHORT, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """Counts and verdict of every row of docs(doc_id, text, source, ...).
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and
@@ -123,7 +125,8 @@ def judge_quality(docs: DataFrame, keep: bool = False, min_words: int = MIN_WORD
     counted = counted.select("row" if keep else "doc_id", "host", "text_hash", *zero)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     judged = counted.withColumn("base_failed", failed).join(removed, ["host", "text_hash"], "left").withColumn("removed", F.coalesce("removed", F.lit(0).cast("long")))
-    depleted = (F.col("n_words") - F.col("removed") < min_words) | (100 * F.col("removed") > most_removed * F.col("n_words"))
+    most = F.when(F.col("n_words") - F.col("removed") < min_words, most_removed_short).otherwise(most_removed)
+    depleted = 100 * F.col("removed") > most * F.col("n_words")
     judged = judged.withColumn("kept", ~F.col("base_failed") & ~depleted)
     if keep:
         return judged.where("kept").select("row.*")
@@ -148,6 +151,6 @@ b AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_trans
       FROM w LEFT JOIN rep USING (k) LEFT JOIN rem USING (k)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (n_words - removed < 20 OR 100 * removed > 80 * n_words) AS kept, removed
+       NOT base_failed AND 100 * removed <= (CASE WHEN n_words - removed < 20 THEN 50 ELSE 80 END) * n_words AS kept, removed
 FROM v
 """
