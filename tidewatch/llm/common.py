@@ -48,6 +48,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of keys that may be broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def broadcast_if_few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """keys (a few numbers a row), marked for broadcast if they are at most `most` by count."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's text is divisible by 5; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
@@ -91,11 +100,6 @@ def map_chunks(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
-def hash64(words: list[bytes], cache: dict[bytes, int]) -> list[int]:
-    """A 63-bit hash of each word by xxh64, remembered in cache."""
-    return list(map(cache.__getitem__, words))
-
-
 class WordHashes(dict):
     """word bytes -> xxh64 as unsigned 64-bit; forgets all beyond `limit` words."""
 

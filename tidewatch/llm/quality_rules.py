@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import broadcast_if_few, stored
 
 #: Words that a kept document has at least, also after its frequent lines are gone.
 MIN_WORDS = 20
@@ -116,20 +116,20 @@ def judge_quality(docs: DataFrame, keep: bool = False, min_words: int = MIN_WORD
     removed (words of frequent lines). A null text has no words and fails; a null source is the host
     ``. Repeated rows are judged each. With keep, the kept rows are returned with all columns of docs.
     """
-    names = docs.columns
     removed = removed_words(docs, line_docs, line_share)
     host, text_hash = F.coalesce("source", F.lit("")), F.xxhash64("text")
-    carried = [F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")] if keep else [F.col("doc_id")]
-    counted = docs.select(*carried, host.alias("host"), text_hash.alias("text_hash"), base_counts(F.col("text")).alias("c"))
+    counted = docs.select("doc_id", host.alias("host"), text_hash.alias("text_hash"), base_counts(F.col("text")).alias("c"))
     zero = [F.coalesce(F.col(f"c.{n}"), F.lit(0).cast("long")).alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    counted = counted.select("row" if keep else "doc_id", "host", "text_hash", *zero)
+    counted = counted.select("doc_id", "host", "text_hash", *zero)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     judged = counted.withColumn("base_failed", failed).join(removed, ["host", "text_hash"], "left").withColumn("removed", F.coalesce("removed", F.lit(0).cast("long")))
     most = F.when(F.col("n_words") - F.col("removed") < min_words, most_removed_short).otherwise(most_removed)
     depleted = 100 * F.col("removed") > most * F.col("n_words")
     judged = judged.withColumn("kept", ~F.col("base_failed") & ~depleted)
     if keep:
-        return judged.where("kept").select("row.*")
+        # Rejected texts are few and known by host and hash, so no text moves.
+        rejected = stored(judged.where(~F.col("kept")).select("host", "text_hash").distinct(), "rejected")
+        return docs.join(broadcast_if_few(rejected), (host == rejected["host"]) & (text_hash == rejected["text_hash"]), "left_anti")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed")
 
 

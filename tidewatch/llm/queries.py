@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, language_id, lm_scoring, packing, quality_classifier, quality_rules, token_files, url_filter
+from . import decontamination, html_extract, language_id, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, token_files, url_filter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
@@ -50,6 +54,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
+        "op2_ngram_join": op2_ngram_join,
         "op3_url_filter": op3_url_filter,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_quality_rules": op5_quality_rules,
@@ -62,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.SQL, "op5_quality_rules": quality_rules.SQL}
+    return {"op2_ngram_join": ngram_join.SQL, "op3_url_filter": url_filter.SQL, "op5_quality_rules": quality_rules.SQL}
