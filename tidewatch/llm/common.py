@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import types
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that a Python worker handles at once; bounds a worker's memory.
-CHUNK_ROWS = 512
+CHUNK_ROWS = 256
 
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -45,7 +47,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what stored() wrote for df, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of keys that may be broadcast; more are joined by a shuffle.
@@ -67,10 +78,20 @@ def worker_state() -> types.ModuleType:
     return sys.modules.setdefault("_tidewatch_worker_state", types.ModuleType("_tidewatch_worker_state"))
 
 
+def give_back() -> None:
+    """Gives freed memory back to the system: an idle worker lives on beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows."""
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
 
 
 def arrow_schema(schema: str) -> pa.Schema:
@@ -103,7 +124,7 @@ def map_chunks(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
 class WordHashes(dict):
     """word bytes -> xxh64 as unsigned 64-bit; forgets all beyond `limit` words."""
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 150_000) -> None:
         super().__init__()
         self.limit = limit
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, broadcast_if_few, chunks, stored, word_hashes
+from .common import LOWER, broadcast_if_few, chunks, discard, stored, word_hashes
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -33,11 +33,11 @@ SIMILARITY = 80
 #: Part of all hashes that the census looks at; above a fifth, so that unlike documents show.
 CENSUS_SHARE = 0.4
 #: Bytes of text that one hash partition of the census is made for.
-PARTITION_BYTES = 32_000_000
+PARTITION_BYTES = 16_000_000
 #: Shingles and documents of one lot.
-LOT_SHINGLES, LOT_DOCS = 1_500_000, 60_000
+LOT_SHINGLES, LOT_DOCS = 600_000, 60_000
 #: Star rounds at most before the pairs between components are all tried.
-STAR_ROUNDS = 6
+STAR_ROUNDS = 4
 
 #: Odd factors of the hash of a shingle.
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -172,10 +172,10 @@ def _tokens(sets: DataFrame) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """sid, n, gid and prefix (array of place and shingle) of every set whose prefix has a shared shingle.
+    """sid, n, own, gid and prefix (array of place and shingle) of every set whose prefix has a shared shingle.
 
     Shingles are ordered by frequency, then hash. Those of one set alone come first and fill the
-    prefix, but they can't match and are only counted.
+    prefix, but they can't match and are only counted, as own.
     """
     every = sets.select("sid", "n", F.explode("shingles").alias("s"))
     counts = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
@@ -184,7 +184,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     first = F.col("n") - F.size("x")
     cut = shared.withColumn("room", (long - first).cast("int")).withColumn("first", first).where("room > 0")
     prefix = F.transform(F.slice("x", F.lit(1), F.col("room")), lambda e, i: F.struct((F.col("first") + i).alias("i"), e["s"].alias("s")))
-    cut = cut.select("sid", "n", prefix.alias("prefix"))
+    cut = cut.select("sid", "n", F.col("first").cast("long").alias("own"), prefix.alias("prefix"))
     name = F.md5(F.concat_ws(",", F.col("n").cast("string"), F.array_join(F.transform("prefix", lambda e: e["s"].cast("string")), ",")))
     return cut.withColumn("gid", name)
 
@@ -203,63 +203,70 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def _star_pairs(postings: DataFrame, turn: int) -> DataFrame:
-    """For each group the leader, of another component, that shares most prefix shingles with it."""
-    band = F.floor(F.log("n") / F.log(F.lit(1.25)))
-    banded = postings.withColumn("band", band)
-    leaders = banded.groupBy("s", "band").agg(F.min(F.struct(F.xxhash64("gid", F.lit(turn)).alias("h"), F.col("gid").alias("to"), F.col("sid").alias("to_sid"), F.col("n").alias("to_n"), F.col("comp").alias("to_comp"))).alias("x")).select("s", "band", "x.to", "x.to_sid", "x.to_n", "x.to_comp")
+    """For each group the leader, of another component, that shares most prefix shingles with it.
+
+    Leaders are the groups with fewest shingles of their own, which are nearest to what copies were
+    made from; from turn to turn more of them count alike, and a hash chooses among them.
+    """
+    banded = postings.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.25))))
+    rank = F.struct(F.floor(F.col("own") / (1 + 4 * turn)).alias("own"), F.xxhash64("gid", F.lit(turn)).alias("h"), F.col("sid").alias("to_sid"), F.col("n").alias("to_n"), F.col("comp").alias("to_comp"))
+    leaders = banded.groupBy("s", "band").agg(F.min(rank).alias("x")).select("s", "band", "x.to_sid", "x.to_n", "x.to_comp")
     near = banded.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     met = near.join(leaders, ["s", "band"]).where((F.col("comp") != F.col("to_comp")) & _fits("n", "to_n"))
     best = met.groupBy("sid", "to_sid").agg(F.count("*").alias("k")).groupBy("sid").agg(F.max(F.struct("k", "to_sid")).alias("x"))
     return best.select(F.greatest("sid", "x.to_sid").alias("a"), F.least("sid", "x.to_sid").alias("b")).distinct()
 
 
-def _labelled(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """members with the component of each sid by the links so far."""
-    if links is None:
-        return members.withColumn("comp", F.col("sid"))
-    found = connected_components(links).withColumnsRenamed({"node": "sid", "component": "found"})
-    return members.join(found, "sid", "left").withColumn("comp", F.coalesce("found", "sid")).drop("found")
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(sid, gid, comp) with components that new links join made one."""
+    a, b = (labels.select(F.col("sid").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    joined = links.join(a, "a").join(b, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    found = connected_components(joined).withColumnsRenamed({"node": "comp", "component": "found"})
+    return labels.join(found, "comp", "left").select("sid", "gid", F.coalesce("found", "comp").alias("comp"))
 
 
-def set_links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) between the sids of sets(sid, n, shingles) that join all sets that are linked.
+def set_components(sets: DataFrame) -> DataFrame:
+    """sid and comp (the smallest sid reachable by links) of sets(sid, n, shingles) that may have links.
 
-    Every link is verified; of links inside a component some may be left out.
+    Every link is verified; of links inside a component some are not looked for.
     """
     members = stored(_prefixes(sets), "prefixes")
-    links, before = None, -1
+    labels = members.select("sid", "gid", F.col("sid").alias("comp"))
+    slow, tried = False, None
+    every = members.select("sid", "gid", "n", "own", F.explode("prefix").alias("p")).select("sid", "gid", "n", "own", "p.s", "p.i")
     for turn in range(STAR_ROUNDS + 1):
-        now = stored(_labelled(members.select("sid", "gid"), links), "labels")
         # Buckets of a prefix shingle where more than one component is left.
-        postings = members.select("sid", "gid", "n", F.explode("prefix").alias("p")).select("sid", "gid", "n", "p.s", "p.i").join(now.select("sid", "comp"), "sid")
-        open_ = postings.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("s")
-        postings = stored(postings.join(open_, "s"), "postings")
-        n = postings.count()
+        postings = every.join(labels.select("sid", "comp"), "sid")
+        mixed = postings.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("s")
+        postings = stored(postings.join(mixed, "s"), "postings")
+        every = postings.drop("comp")
+        sizes = postings.groupBy("s", "comp").count().groupBy("s").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("same"))
+        n, left = sizes.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()
         if not n:
             break
-        sizes = postings.groupBy("s", "comp").count().groupBy("s").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        left = sizes.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0]
-        if turn == STAR_ROUNDS or left <= 4 * n or n == before:
+        last = turn > 0 and (slow or turn == STAR_ROUNDS or left <= 4 * n)
+        if last:
             # All pairs of groups between components, expanded to their members.
             here, there = (postings.select("s", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "i", "comp")]) for x in "xy")
+            # From the first shared shingle on no more can be shared than either set has left.
             enough = 9 * (F.least(F.expr("x_n - x_i"), F.expr("y_n - y_i"))) >= 4 * (F.col("x_n") + F.col("y_n"))
             met = here.join(there, (here["s"] == there["s"]) & (F.col("x_comp") != F.col("y_comp")) & (F.col("x_sid") > F.col("y_sid")) & _fits("x_n", "y_n") & enough)
             pairs = met.select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b")).distinct()
-            last = True
         else:
-            # One posting a group and component stands for its members; members meet their group's leader.
-            stand = postings.groupBy("s", "gid", "comp").agg(F.min("sid").alias("sid"), F.first("n").alias("n"))
-            groups = now.groupBy("gid").agg(F.min("sid").alias("lead"), F.max("sid").alias("other")).where("lead <> other")
-            inside = now.join(groups, "gid").where("sid <> lead").select(F.col("sid").alias("a"), F.col("lead").alias("b"))
+            # One posting a group and component stands for its members; members meet their group's first.
+            stand = postings.groupBy("s", "gid", "comp").agg(F.min("sid").alias("sid"), F.first("n").alias("n"), F.min("own").alias("own"))
             pairs = _star_pairs(stand, turn)
-            pairs = pairs.union(inside).distinct() if turn == 0 else pairs
-            last = False
-        before = n
-        new = stored(_verified(pairs, sets), "links")
-        links = new if links is None else links.union(new)
+            if turn == 0:
+                firsts = labels.groupBy("gid").agg(F.min("sid").alias("b"), F.max("sid").alias("z")).where("b <> z").select("gid", "b")
+                pairs = pairs.union(labels.join(firsts, "gid").where("sid <> b").select(F.col("sid").alias("a"), "b")).distinct()
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        links = stored(_verified(pairs, sets), "links")
+        labels = stored(_merged(labels, links), "labels")
         if last:
             break
-    return links if links is not None else members.select(F.col("sid").alias("a"), F.col("sid").alias("b")).limit(0)
+        slow = 1000 * links.count() < n
+    return labels.select("sid", "comp")
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -275,19 +282,23 @@ def link_documents(docs: DataFrame) -> DataFrame:
     counted = counted.select(F.col("id").cast("string").cast("long").alias("doc_id"), F.col("n").alias("n_shingles"), "alone")
     maybe = counted.where(_may_link(F.col("n_shingles"), F.col("alone")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     found = stored(_sets(docs.select("doc_id", "text").join(broadcast_if_few(maybe), "doc_id", "left_semi")).where("n > 0"), "sets")
-    members = found.select("doc_id", "sid").distinct()
+    members = stored(found.select("doc_id", "sid").distinct(), "members")
     different = found.groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     different = stored(different, "different")
+    discard(found)
     held = different.agg(F.sum("n")).first()[0] or 0
     alone = _census(different.select(F.col("sid").alias("id"), "shingles"), lambda column: (np.frombuffer(r, "<u8") for r in column.to_pylist()), 6 * held)
     alike = alone.where(_may_link(F.col("n"), F.col("alone"))).select(F.col("id").alias("sid"))
     tokens = stored(_tokens(different.join(alike, "sid", "left_semi")), "tokens")
-    links = set_links(tokens)
-    # Rows of one document in several sets link these.
-    several = members.groupBy("doc_id").agg(F.min("sid").alias("b"), F.max("sid").alias("z")).where("b <> z").select("doc_id", "b")
-    links = links.union(members.join(several, "doc_id").where("sid <> b").select(F.col("sid").alias("a"), "b"))
-    comps = connected_components(links).withColumnsRenamed({"node": "sid", "component": "comp"})
-    labelled = members.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    discard(different)
+    comps = set_components(tokens)
+    labelled = stored(members.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "labels")
+    # Rows of one document in several components make these one.
+    several = labelled.groupBy("doc_id").agg(F.min("comp").alias("b"), F.max("comp").alias("z")).where("b <> z").select("doc_id", "b")
+    if not several.isEmpty():
+        more = labelled.join(several, "doc_id").where("comp <> b").select(F.col("comp").alias("a"), "b")
+        found = connected_components(more).withColumnsRenamed({"node": "comp", "component": "found"})
+        labelled = labelled.join(found, "comp", "left").withColumn("comp", F.coalesce("found", "comp"))
     least = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     by_doc = labelled.join(least, "comp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     return counted.join(by_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
