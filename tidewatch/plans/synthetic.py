@@ -62,9 +62,7 @@ def quiet_days(panel: DataFrame, templates: DataFrame) -> DataFrame:
 def strata(series: DataFrame, events: int) -> DataFrame:
     """The plan of `events` synthetic series: source series, scenario, duration, strength, generator by place."""
     numbered = series.select(*SERIES, (F.row_number().over(W.orderBy(*SERIES)) - 1).alias("place"))
-    n = numbered.count()
-    if not n:
-        raise ValueError("No eligible series for semisynthetic evaluation")
+    n = max(1, numbered.count())  # without series the plan is empty
     k = F.col("i")
 
     def pick(values: tuple, at: F.Column) -> F.Column:
@@ -129,6 +127,8 @@ def make_panels(panel: DataFrame, *, seed: int, events: int = 1200, start: date
     spark = panel.sparkSession
     chosen = eligible_series(panel, 70, min_median).select(*SERIES)
     plan = strata(chosen, events).orderBy("i").collect()
+    if not plan:
+        raise ValueError("No eligible series for semisynthetic evaluation")
     history = panel.join(chosen, SERIES, "left_semi").groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct("date", F.col("requests").cast("double").alias("n")))).alias("x"))
     used = sorted({(r["district"], r["problem"]) for r in plan})
     wanted = spark.createDataFrame(used, "district string, problem string")
