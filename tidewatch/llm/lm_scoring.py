@@ -22,9 +22,9 @@ from .tokens import default_tokenizer, encoder
 #: Fixed value of the method: the factor of a step back.
 BACKOFF = 0.4
 #: Bytes of text that one hash partition of bigrams is made for.
-PARTITION_BYTES = 16_000_000
+PARTITION_BYTES = 8_000_000
 #: Token ids and documents that a task gathers to one lot.
-LOT_TOKENS, LOT_DOCS = 1_500_000, 60_000
+LOT_TOKENS, LOT_DOCS = 700_000, 60_000
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,7 +54,7 @@ def unigrams(docs: DataFrame, path: str, size: int) -> tuple[np.ndarray, np.ndar
                 n += np.bincount(np.concatenate(found), minlength=size + 1)
                 first -= np.bincount([ids[-1] for ids in found], minlength=size + 1)
                 first[size] += len(found)
-        used = np.flatnonzero(n + first)
+        used = np.flatnonzero((n != 0) | (first != 0))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used]), pa.array((n + first)[used])], names=["id", "n", "first"])
 
     found = docs.select("text").mapInArrow(run, "id long, n long, first long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("first").alias("first")).toArrow()
