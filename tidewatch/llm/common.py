@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch that a Python worker handles at once; bounds a worker's memory.
 CHUNK_ROWS = 256
+#: Rows of the batches that the JVM sends to Python workers.
+ARROW_ROWS = 2048
 
 #: A-Z to a-z, all other bytes unchanged.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -73,9 +75,14 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def worker_state() -> types.ModuleType:
-    """An object that lives as long as the Python worker, whatever way functions were shipped to it."""
-    return sys.modules.setdefault("_tidewatch_worker_state", types.ModuleType("_tidewatch_worker_state"))
+def worker_cache(kind: str, make: Callable[[], object]) -> object:
+    """This Python worker's cache of a kind, made if it has none. A worker holds one kind at a time, so
+    that what one operator remembers doesn't take memory from the next."""
+    state = sys.modules.setdefault("_tidewatch_worker_state", types.ModuleType("_tidewatch_worker_state"))
+    if getattr(state, "kind", None) != kind:
+        state.kind, state.cache = kind, None
+        state.cache = make()
+    return state.cache
 
 
 def give_back() -> None:
@@ -103,6 +110,17 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in schema.split(","))])
 
 
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow with batches of at most ARROW_ROWS rows, which the session keeps as its setting.
+
+    An executor's JVM and its Python workers each hold whole batches, and rows here are whole texts.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ARROW_ROWS:
+        conf.set(key, ARROW_ROWS)
+    return df.mapInArrow(fn, schema)
+
+
 def map_chunks(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str, setup: Callable[[], object] | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
     """df.mapInArrow with fn over chunks of at most `rows` rows, given and returned as column lists.
 
@@ -118,7 +136,7 @@ def map_chunks(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
             out = fn(columns, state) if setup else fn(columns)
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kinds], schema=kinds)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 class WordHashes(dict):
@@ -138,7 +156,4 @@ class WordHashes(dict):
 
 
 def word_hashes() -> WordHashes:
-    state = worker_state()
-    if not hasattr(state, "word_hashes"):
-        state.word_hashes = WordHashes()
-    return state.word_hashes
+    return worker_cache("word hashes", WordHashes)

@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,7 +141,8 @@ def predict_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     that is first in order.
     """
     model = model or fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 32,000 n-grams by the landmarks
+    # At most 32,000 n-grams by the landmarks; pickled by value, so workers need no copy of this package.
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def predict(columns: dict[str, list], known: Model | None) -> dict[str, list]:
         texts = columns["text"]
@@ -152,4 +154,4 @@ def predict_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return {"doc_id": columns["doc_id"], "held_out": columns["held_out"], "lang_pred": lang, "score": score}
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return map_chunks(rows, predict, SCHEMA, lambda: shared.value, 256)
+    return map_chunks(rows, predict, SCHEMA, lambda: cloudpickle.loads(shared.value), 256)

@@ -14,19 +14,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .common import chunks, held_out, map_chunks, word_hashes
+from .common import WordHashes, chunks, held_out, map_arrow, map_chunks
 
 #: Buckets that words are hashed to, and the size of their vectors; both bound what is collected.
 BUCKETS = 1 << 14
-SIZE = 48
+SIZE = 32
 #: Labelled documents that the network is fitted on at most.
 TRAIN_DOCS = 20_000
 HIDDEN = 32
 #: Tasks whose word vectors are summed in one group.
 TASKS_AT_ONCE = 256
+#: Texts that are pooled at once; each word of them takes a vector of memory.
+POOLED_ROWS = 96
 THRESHOLD = 0.3
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -36,24 +40,22 @@ _SHAPES = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 4
 
 
 def shape(word: bytes) -> bytes:
-    """The word's classes of bytes with runs as one, at most six of them."""
-    out = bytearray()
-    for b in word.translate(_SHAPES):
-        if not out or out[-1] != b:
-            out.append(b)
-            if len(out) == 6:
-                break
-    return bytes(out)
+    """The classes of the word's first two and last three bytes."""
+    classes = word.translate(_SHAPES)
+    return classes[:2] + b" " + classes[-3:]
 
 
 class ShapeBuckets(dict):
     """word -> (bucket of the word, bucket of its shape) as one number; forgets all beyond a bound."""
 
+    def __init__(self) -> None:
+        super().__init__()
+        self.shapes = WordHashes(10_000)
+
     def __missing__(self, word: bytes) -> int:
-        hashes = word_hashes()
-        if len(self) > 400_000:
+        if len(self) >= 200_000:
             self.clear()
-        self[word] = value = (hashes[word.lower()] % BUCKETS) * BUCKETS + hashes[b"\0" + shape(word)] % BUCKETS
+        self[word] = value = (xxh64_intdigest(word.lower()) % BUCKETS) * BUCKETS + self.shapes[shape(word)] % BUCKETS
         return value
 
 
@@ -103,7 +105,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         reader, total = Reader(), np.zeros((BUCKETS, SIZE), np.float64)
         places, signs = _index_vectors(12)
         count = np.zeros(BUCKETS, np.int64)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, 512):
             word, form, repeats, text = reader.read(chunk.column(0).to_pylist())
             if len(word) < 2:
                 continue
@@ -125,7 +127,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
             yield out.append_column("task", pa.array([TaskContext.get().partitionId()] * out.num_rows, pa.int64()))
 
     texts = docs.select("text")
-    parts = texts.mapInArrow(marked, "bucket long, n long, vector binary, task long")
+    parts = map_arrow(texts, marked, "bucket long, n long, vector binary, task long")
 
     def add(key: tuple, batch: pa.Table) -> pa.Table:
         vectors = np.frombuffer(b"".join(batch.column("vector").to_pylist()), np.float64).reshape(-1, SIZE)
@@ -250,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Net
 
     # The sample has at most about train_docs ids, so it can be broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.col("quality").cast("long").alias("quality"), "text")
-    got = map_chunks(rows, lambda c, r: {"doc_id": c["doc_id"]} | features(c, r), "doc_id long, quality long, x binary", Reader).collect()
+    got = map_chunks(rows, lambda c, r: {"doc_id": c["doc_id"]} | features(c, r), "doc_id long, quality long, x binary", Reader, POOLED_ROWS).collect()
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
     x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), -1)
     y = np.array([r["quality"] > 0 for r in got], float)
@@ -266,24 +268,28 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     are scored each; a null doc_id is not held out. With keep, the rows of docs with a score of at
     least threshold are returned with all their columns.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, train_docs))
+    # Pickled by value, so workers need no copy of this package.
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fit(docs, labels, train_docs)))
+
+    def setup() -> tuple[Network | float, Reader]:
+        return cloudpickle.loads(shared.value), Reader()
 
-    def scores(texts: list[str | None], reader: Reader) -> list[float]:
-        net = shared.value
+    def scores(texts: list[str | None], state: tuple[Network | float, Reader]) -> list[float]:
+        net, reader = state
         return [net] * len(texts) if isinstance(net, float) else net.scores(pooled(reader, net.vectors, texts)).tolist()
 
     if keep:
         place = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            reader = Reader()
-            for chunk in chunks(batches):
-                yield chunk.filter(pa.array([s >= threshold for s in scores(chunk.column(place).to_pylist(), reader)], pa.bool_()))
+            state = setup()
+            for chunk in chunks(batches, POOLED_ROWS):
+                yield chunk.filter(pa.array([s >= threshold for s in scores(chunk.column(place).to_pylist(), state)], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return map_arrow(docs, run, docs.schema)
 
-    def judge(columns: dict[str, list], reader: Reader) -> dict[str, list]:
-        got = scores(columns["text"], reader)
+    def judge(columns: dict[str, list], state: tuple[Network | float, Reader]) -> dict[str, list]:
+        got = scores(columns["text"], state)
         return {"doc_id": columns["doc_id"], "held_out": columns["held_out"], "score": got, "predicted": [int(s >= threshold) for s in got]}
 
-    return map_chunks(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), judge, SCHEMA, Reader)
+    return map_chunks(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), judge, SCHEMA, setup, POOLED_ROWS)
