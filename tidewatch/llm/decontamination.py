@@ -11,10 +11,15 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_chunks
+from .common import broadcast_if_few, chunks, map_arrow, map_chunks, stored
 
 #: Words of a window.
 WINDOW_WORDS = 10
@@ -97,64 +102,108 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def pattern_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[object, str | None]]]:
-    """The benchmark's items in blocks of at most block_bytes of text (or one longer item)."""
-    blocks, held = [[]], 0
+def pattern_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
+    """The benchmark's items in blocks of at most block_bytes of text (or one longer item), one at a time."""
+    block, held = [], 0
     for item_id, text in benchmark.select("item_id", "text").toLocalIterator():
         size = len(text or "")
-        if blocks[-1] and held + size > block_bytes:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((item_id, text))
+        if block and held + size > block_bytes:
+            yield block
+            block, held = [], 0
+        block.append((item_id, text))
         held += size
-    return blocks
+    yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
-    """Which words of docs(doc_id, text, ...) lie in a window of benchmark(item_id, text, ...).
-
-    A null or empty text has no words and no hits; an item without words has no window. Repeated
-    rows are reported each. Items with a null id count and are written as `None`. With keep, the
-    rows of docs that have no hit are returned instead, with all their columns.
-    """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in pattern_blocks(benchmark, block_bytes)]
-
-    def setup() -> list:
-        return [BenchmarkSearch(b.value, window) for b in blocks] if len(blocks) == 1 else []
-
-    def verdicts(texts: list[str | None], ready: list) -> list[tuple]:
-        words = [words_of(t) for t in texts]
-        spans: list[list] = [[] for _ in texts]
-        items: list[set] = [set() for _ in texts]
-        # With several blocks one search structure at a time is alive.
-        for block in ready or (BenchmarkSearch(b.value, window) for b in blocks):
-            for i, w in enumerate(words):
-                more, owners = block.hits(w)
-                spans[i] += more
-                items[i] |= owners
-        return [(len(w), covered(s), len(i), hashlib.sha256(",".join(sorted(map(str, i))).encode()).hexdigest()) for w, s, i in zip(words, spans, items, strict=True)]
+def _digest(items: set | list) -> str:
+    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
-    if keep:
-        from collections.abc import Iterator
 
-        import pyarrow as pa
+def _one_block(docs: DataFrame, block: list, window: int, keep: bool) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        from .common import chunks
+    def setup() -> BenchmarkSearch:
+        return BenchmarkSearch(shared.value, window)
 
+    if keep:
         place = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ready = setup()
+            search = setup()
             for chunk in chunks(batches):
-                yield chunk.filter(pa.array([v[1] == 0 for v in verdicts(chunk.column(place).to_pylist(), ready)], pa.bool_()))
+                yield chunk.filter(pa.array([not search.hits(words_of(t))[0] for t in chunk.column(place).to_pylist()], pa.bool_()))
+
+        return map_arrow(docs, run, docs.schema)
+
+    def judge(columns: dict[str, list], search: BenchmarkSearch) -> dict[str, list]:
+        words = [words_of(t) for t in columns["text"]]
+        found = [search.hits(w) for w in words]
+        n_hit = [covered(spans) for spans, _ in found]
+        return {"doc_id": columns["doc_id"], "n_words": list(map(len, words)), "n_hit": n_hit, "n_items": [len(i) for _, i in found], "items_sha256": [_digest(i) for _, i in found], "contaminated": [h > 0 for h in n_hit]}
+
+    return map_chunks(docs.select("doc_id", "text"), judge, SCHEMA, setup)
 
-        return docs.mapInArrow(run, docs.schema)
 
-    def judge(columns: dict[str, list], ready: list) -> dict[str, list]:
-        got = verdicts(columns["text"], ready)
-        n_words, n_hit, n_items, sha = (list(c) for c in zip(*got, strict=True)) if got else ([], [], [], [])
-        return {"doc_id": columns["doc_id"], "n_words": n_words, "n_hit": n_hit, "n_items": n_items, "items_sha256": sha, "contaminated": [h > 0 for h in n_hit]}
+def _hits_of_block(texts: DataFrame, block: list, window: int) -> DataFrame:
+    """key, spans (starts and ends) and items of the texts(key, text) that have a window of the block; written."""
+    shared = texts.sparkSession.sparkContext.broadcast(block)
+    kinds = pa.schema([("key", pa.binary()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
-    rows = 512 if len(blocks) == 1 else 8192
-    return map_chunks(docs.select("doc_id", "text"), judge, SCHEMA, setup, rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = BenchmarkSearch(shared.value, window)
+        for chunk in chunks(batches):
+            found = [(k, *search.hits(words_of(t))) for k, t in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True)]
+            rows = [(k, [x for span in spans for x in span], sorted(map(str, items))) for k, spans, items in found if spans]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
+
+    out = stored(map_arrow(texts, run, "key binary, spans array<bigint>, items array<string>"), "hits")
+    shared.destroy()
+    return out
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
+    """Which words of docs(doc_id, text, ...) lie in a window of benchmark(item_id, text, ...).
+
+    A null or empty text has no words and no hits; an item without words has no window. Repeated
+    rows are reported each. Items with a null id count and are written as `None`; ids that repeat are
+    one item. With keep, the rows of docs that have no hit are returned instead, with all columns.
+    A benchmark of one block is broadcast; a larger one is searched block after block, each broadcast
+    and dropped again, and only the texts with hits are gathered.
+    """
+    blocks = pattern_blocks(benchmark, block_bytes)
+    first = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return _one_block(docs, first, window, keep)
+    key = F.sha2("text", 256).cast("binary")
+    texts = docs.where(F.col("text").isNotNull()).select(key.alias("key"), "text")
+    hits = reduce(DataFrame.union, [_hits_of_block(texts, b, window) for b in chain([first, second], blocks)])
+    if keep:
+        bad = stored(hits.select("key").distinct(), "bad")
+        return docs.join(broadcast_if_few(bad), key == bad["key"], "left_anti")
+
+    def merge(columns: dict[str, list]) -> dict[str, list]:
+        spans = [list(zip(s[::2], s[1::2], strict=True)) for s in columns["spans"]]
+        return {"key": columns["key"], "n_hit": [covered(s) for s in spans], "n_items": [len(i) for i in columns["items"]], "items_sha256": [_digest(i) for i in columns["items"]]}
+
+    # A text's spans and items are no more than its words and the benchmark's items allow.
+    grouped = hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    found = map_chunks(grouped, merge, "key binary, n_hit long, n_items long, items_sha256 string")
+    words = map_chunks(docs.select("doc_id", key.alias("key"), "text"), lambda c: {"doc_id": c["doc_id"], "key": c["key"], "n_words": [len(words_of(t)) for t in c["text"]]}, "doc_id long, key binary, n_words long")
+    none, zero = F.lit(_digest([])), F.lit(0).cast("long")
+    out = words.join(found, "key", "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"))
+    return out.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'None') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS x FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+s AS (SELECT DISTINCT size FROM p),
+o AS (SELECT k, i, size, array_to_string(w[i:i + size - 1], ' ') AS x FROM s, d, unnest(range(1, len(w) - size + 2)) AS u(i) WHERE len(w) >= size),
+h AS (SELECT k, i, size, item FROM o JOIN p USING (size, x)),
+n AS (SELECT k, count(DISTINCT j) AS n_hit FROM h, unnest(range(i, i + size)) AS u(j) GROUP BY k),
+t AS (SELECT k, count(DISTINCT item) AS n_items, sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS items_sha256 FROM h GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (k) LEFT JOIN t USING (k)
+"""

@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.SQL, "op3_url_filter": url_filter.SQL, "op5_quality_rules": quality_rules.SQL}
+    return {"op2_ngram_join": ngram_join.SQL, "op3_url_filter": url_filter.SQL, "op5_quality_rules": quality_rules.SQL, "op8_decontamination": decontamination.SQL}
