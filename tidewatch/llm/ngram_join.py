@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, broadcast_if_few, chunks, discard, stored, word_hashes
+from .common import LOWER, broadcast_if_few, chunks, discard, map_arrow, stored, word_hashes
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -136,7 +136,7 @@ def _census(rows: DataFrame, sets_of, total_bytes: int) -> DataFrame:
         alone = np.bincount(doc, np.frombuffer(b"".join(c for c in counts if c), "<u4"), len(names)).astype(np.int64)
         return pa.table([pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), pa.array(alone)], schema=_COUNTED)
 
-    answers = rows.mapInArrow(pack, PACKED).groupBy("part").applyInArrow(count, ANSWERS)
+    answers = map_arrow(rows, pack, PACKED).groupBy("part").applyInArrow(count, ANSWERS)
     return answers.groupBy("lot").applyInArrow(add, COUNTED)
 
 
@@ -157,7 +157,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             raw = [f.astype("<u8").tobytes() for f in found]
             yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array([xxhash.xxh3_128_digest(r) for r in raw], pa.binary()), pa.array([len(f) for f in found], pa.int64()), pa.array(raw, pa.binary())], schema=kinds)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sid binary, n long, shingles binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, sid binary, n long, shingles binary")
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _tokens(sets: DataFrame) -> DataFrame:
         for chunk in chunks(batches):
             yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), pa.array([np.frombuffer(r, "<i8") for r in chunk.column(2).to_pylist()], pa.list_(pa.int64()))], schema=kinds)
 
-    return sets.select("sid", "n", "shingles").mapInArrow(run, "sid binary, n long, shingles array<bigint>")
+    return map_arrow(sets.select("sid", "n", "shingles"), run, "sid binary, n long, shingles array<bigint>")
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:

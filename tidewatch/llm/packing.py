@@ -16,13 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_schema, chunks
-from .tokens import default_tokenizer, encoder
+from .common import arrow_schema, chunks, map_arrow
+from .tokens import CACHE_WORDS, ENCODED_ROWS, default_tokenizer, encoder
 
 #: Lengths of the context tiers, all powers of two.
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens that a task gathers before it packs them; bounds its memory.
-WINDOW_TOKENS = 2_000_000
+WINDOW_TOKENS = 1_000_000
 #: Tokens of one step group.
 STEP_TOKENS = 65_536
 
@@ -94,13 +94,14 @@ def step_groups(lengths: list[int], tokens: int = STEP_TOKENS) -> list[int]:
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, tiers: tuple[int, ...] = TIERS, window_tokens: int = WINDOW_TOKENS, step_tokens: int = STEP_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, tiers: tuple[int, ...] = TIERS, window_tokens: int = WINDOW_TOKENS, step_tokens: int = STEP_TOKENS, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of packed sequences of docs(doc_id, text, ...); other columns are left out.
 
     A document's ids are its text's, by the tokenizer file, and end_id. A null text is empty and has
     the end id alone; repeated rows and null doc_ids are packed as documents of their own. Sequence
     and group ids are unique over partitions. At most one sequence of a partition is padded.
     with_ids adds each piece's ids as little-endian unsigned 32-bit bytes. An empty table gives no rows.
+    cache_words is how many words' ids a worker remembers: fewer take less memory and more time.
     """
     path = tokenizer or default_tokenizer()
     schema = SCHEMA + (", ids binary" if with_ids else "")
@@ -133,8 +134,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
         done: list = []
-        for chunk in chunks(batches):
-            texts = encoder(path).encode(chunk.column(1).to_pylist())
+        for chunk in chunks(batches, ENCODED_ROWS):
+            texts = encoder(path, cache_words).encode(chunk.column(1).to_pylist())
             for doc_id, found in zip(chunk.column(0).to_pylist(), texts, strict=True):
                 ids[number] = np.append(found, np.uint32(end_id)).astype("<u4")
                 names[number] = doc_id
@@ -146,4 +147,4 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
                 done, gathered = [], 0
         yield emit(done + packer.pack(last=True))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
