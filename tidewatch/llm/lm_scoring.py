@@ -16,15 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
-from .tokens import default_tokenizer, encoder
+from .common import chunks, map_arrow
+from .tokens import ENCODED_ROWS, default_tokenizer, encoder
 
 #: Fixed value of the method: the factor of a step back.
 BACKOFF = 0.4
 #: Bytes of text that one hash partition of bigrams is made for.
-PARTITION_BYTES = 8_000_000
+PARTITION_BYTES = 16_000_000
 #: Token ids and documents that a task gathers to one lot.
-LOT_TOKENS, LOT_DOCS = 700_000, 60_000
+LOT_TOKENS, LOT_DOCS = 1_500_000, 60_000
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,7 +48,7 @@ def unigrams(docs: DataFrame, path: str, size: int) -> tuple[np.ndarray, np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # A text's ids, but the last, are each the first of a bigram, and so is its start.
         n, first = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, ENCODED_ROWS):
             found = [ids for ids in encoder(path).encode(chunk.column(0).to_pylist()) if len(ids)]
             if found:
                 n += np.bincount(np.concatenate(found), minlength=size + 1)
@@ -57,7 +57,7 @@ def unigrams(docs: DataFrame, path: str, size: int) -> tuple[np.ndarray, np.ndar
         used = np.flatnonzero((n != 0) | (first != 0))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used]), pa.array((n + first)[used])], names=["id", "n", "first"])
 
-    found = docs.select("text").mapInArrow(run, "id long, n long, first long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("first").alias("first")).toArrow()
+    found = map_arrow(docs.select("text"), run, "id long, n long, first long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("first").alias("first")).toArrow()
     n, first = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
     at = found.column("id").to_numpy()
     n[at], first[at] = found.column("n").to_numpy(), found.column("first").to_numpy()
@@ -99,7 +99,7 @@ def _packed(docs: DataFrame, path: str, size: int, parts: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
         held = 0
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, ENCODED_ROWS):
             for doc_id, ids in zip(chunk.column(0).to_pylist(), encoder(path).encode(chunk.column(1).to_pylist()), strict=True):
                 names.append(doc_id)
                 sizes.append(len(ids))
@@ -116,7 +116,7 @@ def _packed(docs: DataFrame, path: str, size: int, parts: int) -> DataFrame:
         if names:
             yield close()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+    return map_arrow(docs.select("doc_id", "text"), run, PACKED)
 
 
 def score_documents(docs: DataFrame, tokenizer: str | None = None, partition_bytes: int = PARTITION_BYTES) -> DataFrame:

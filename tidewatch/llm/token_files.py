@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, chunks, shared_path
-from .tokens import default_tokenizer, encoder
+from .common import arrow_schema, chunks, map_arrow, shared_path
+from .tokens import ENCODED_ROWS, default_tokenizer, encoder
 
 #: Fixed values of the format.
 MAGIC = b"TWD1"
@@ -129,7 +129,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             row = (part, block, before, held, encode_block(names, found))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, kinds, strict=True)], schema=kinds)
 
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, ENCODED_ROWS):
             for doc_id, ids in zip(chunk.column(0).to_pylist(), encoder(source).encode(chunk.column(1).to_pylist()), strict=True):
                 names.append(doc_id)
                 found.append(np.append(ids, np.uint32(end_id)).astype("<u4"))
@@ -142,7 +142,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             yield close()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
+    map_arrow(ordered, run, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -170,7 +170,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 schema=kinds,
             )
 
-    return blocks.select("part", "start_in_part", "payload").mapInArrow(run, SCHEMA)
+    return map_arrow(blocks.select("part", "start_in_part", "payload"), run, SCHEMA)
 
 
 def round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:

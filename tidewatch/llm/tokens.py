@@ -12,10 +12,12 @@ import os
 
 import numpy as np
 
-from .common import LOWER, worker_state
+from .common import LOWER, worker_cache
 
 #: Words of which a worker keeps the ids.
 CACHE_WORDS = 1_000_000
+#: Texts that are encoded at once.
+ENCODED_ROWS = 512
 
 
 def default_tokenizer() -> str:
@@ -31,6 +33,11 @@ _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _KNOWN_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], "BPE")
 
 
+def _lowered(text: bytes) -> bytes:
+    """A-Z lower-cased, as the tokenizer does; texts with what may be a special token keep their case."""
+    return text if b"<|" in text else text.translate(LOWER)
+
+
 def _stem(word: bytes) -> tuple[bytes, bytes]:
     """The word with A-Z lower-cased, as the tokenizer does, and the marks that end it apart.
 
@@ -117,7 +124,7 @@ class ChunkEncoder:
         return self._ids(words[:half]) + self._ids(words[half:])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        split = [_lowered((t or "").encode("utf-8", "replace")).split() for t in texts]
         words: set[bytes] = set()
         for chunk in split:
             words.update(chunk)
@@ -126,11 +133,14 @@ class ChunkEncoder:
         if len(cache) + len(missing) > self.cache_words:
             cache.clear()
             missing = list(words)
-        stems = {w: _stem(w) for w in missing}
-        new = {x for pair in stems.values() for x in pair if x}.difference(cache)
-        latin = list(filter(_is_latin, new)) if self.plain is not None else []
-        other = list(new.difference(latin))
-        for words, ids in ((latin, self._latin), (other, self._ids)):
+        # ASCII letters alone need no look; other words are stems with marks behind.
+        letters = [w for w in missing if w.isalpha() and w.islower()]
+        stems = {w: _stem(w) for w in missing if not (w.isalpha() and w.islower())}
+        other = {x for pair in stems.values() for x in pair if x}.difference(cache, letters)
+        latin = list(filter(_is_latin, other)) if self.plain is not None else []
+        other.difference_update(latin)
+        alone = letters + latin
+        for words, ids in ((alone, self._latin if self.plain is not None else self._ids), (list(other), self._ids)):
             for at in range(0, len(words), 2_000):
                 part = words[at : at + 2_000]
                 cache.update(zip(part, ids(part) or self._ids(part), strict=True))
@@ -138,10 +148,6 @@ class ChunkEncoder:
         return [np.frombuffer(b"".join(map(cache.__getitem__, chunk)), "<u4") for chunk in split]
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, cache_words: int = CACHE_WORDS) -> ChunkEncoder:
     """This worker's encoder for a tokenizer file."""
-    state = worker_state()
-    known = state.__dict__.setdefault("encoders", {})
-    if path not in known:
-        known[path] = ChunkEncoder(path)
-    return known[path]
+    return worker_cache(f"encoder {path} {cache_words}", lambda: ChunkEncoder(path, cache_words))
