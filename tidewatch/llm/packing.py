@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import arrow_schema, chunks, map_arrow
-from .tokens import CACHE_WORDS, ENCODED_ROWS, default_tokenizer, encoder
+from .tokens import ENCODED_ROWS, LARGE_CACHE_WORDS, default_tokenizer, encoder
 
 #: Lengths of the context tiers, all powers of two.
 TIERS = (512, 1024, 2048, 4096)
@@ -94,7 +94,7 @@ def step_groups(lengths: list[int], tokens: int = STEP_TOKENS) -> list[int]:
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, tiers: tuple[int, ...] = TIERS, window_tokens: int = WINDOW_TOKENS, step_tokens: int = STEP_TOKENS, with_ids: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, tiers: tuple[int, ...] = TIERS, window_tokens: int = WINDOW_TOKENS, step_tokens: int = STEP_TOKENS, with_ids: bool = False, cache_words: int = LARGE_CACHE_WORDS) -> DataFrame:
     """Pieces of packed sequences of docs(doc_id, text, ...); other columns are left out.
 
     A document's ids are its text's, by the tokenizer file, and end_id. A null text is empty and has

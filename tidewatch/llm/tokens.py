@@ -16,6 +16,8 @@ from .common import LOWER, worker_cache
 
 #: Words of which a worker keeps the ids.
 CACHE_WORDS = 1_000_000
+#: The same where a stage does nothing else that takes memory: about 150 bytes a word.
+LARGE_CACHE_WORDS = 2_200_000
 #: Texts that are encoded at once.
 ENCODED_ROWS = 512
 
