@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_schema, chunks, map_arrow, shared_path
-from .tokens import ENCODED_ROWS, default_tokenizer, encoder
+from .tokens import ENCODED_ROWS, LARGE_CACHE_WORDS, default_tokenizer, encoder
 
 #: Fixed values of the format.
 MAGIC = b"TWD1"
@@ -111,7 +111,7 @@ class Block:
         return self.ids(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, block_tokens: int = BLOCK_TOKENS) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, block_tokens: int = BLOCK_TOKENS, cache_words: int = LARGE_CACHE_WORDS) -> None:
     """Writes the ids of docs(doc_id, text, ...) in ascending doc_id order as blocks to path.
 
     Part files are ranges of doc_id; null ids come first, repeated ids follow each other by text.
@@ -130,7 +130,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, kinds, strict=True)], schema=kinds)
 
         for chunk in chunks(batches, ENCODED_ROWS):
-            for doc_id, ids in zip(chunk.column(0).to_pylist(), encoder(source).encode(chunk.column(1).to_pylist()), strict=True):
+            for doc_id, ids in zip(chunk.column(0).to_pylist(), encoder(source, cache_words).encode(chunk.column(1).to_pylist()), strict=True):
                 names.append(doc_id)
                 found.append(np.append(ids, np.uint32(end_id)).astype("<u4"))
                 held += len(found[-1])
