@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_arrow
+from .common import chunks, give_back, map_arrow, worker_cache
 from .tokens import ENCODED_ROWS, default_tokenizer, encoder
 
 #: Fixed value of the method: the factor of a step back.
@@ -140,6 +140,8 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None, partition_byt
     shared = docs.sparkSession.sparkContext.broadcast((log_first, log_back))  # two numbers an id of the vocabulary
 
     def join(batch: pa.Table) -> pa.Table:
+        worker_cache("counts", dict)  # the encoder's memory is needed here
+        give_back()
         log_first, log_back = shared.value
         lots, docs_of, keys, counts = (batch.column(c).to_pylist() for c in ("lot", "docs", "keys", "counts"))
         filled = [i for i, k in enumerate(keys) if k is not None]
@@ -148,7 +150,8 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None, partition_byt
         # The partition's count table, joined with its bigrams by place.
         _, place = np.unique(every, return_inverse=True)
         others = np.bincount(place, count)[place] - count if len(every) else np.zeros(0)
-        a, b = np.divmod(every.astype(np.int64), size)
+        a = every // every.dtype.type(size)
+        b = every - a * every.dtype.type(size)
         with np.errstate(divide="ignore"):
             value = count * np.where(others > 0, np.log(np.maximum(others, 1)) - log_first[a], log_back[b])
         out, at = [], 0
