@@ -102,6 +102,18 @@ def test_frequent_lines(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in got if r["kept"])
 
 
+def test_frequent_lines_leave_the_texts(spark):
+    rng = random.Random(3)
+    common, own = prose(rng, 12), [f"  {prose(rng, 30)}\t" for _ in range(30)]
+    rows = [(k, f"{common.upper()}  \n{own[k]}\n\n {common}\n", "big") for k in range(30)]
+    rows += [(100, f"{common}\n{prose(rng, 25)}", "small"), (101, f"a  b\n\n{prose(rng, 25)}", "big"), (102, common + " " + prose(rng, 20), "big")]
+    df = documents(spark, rows)
+    got = {r["doc_id"]: r["text"] for r in quality_rules.judge_quality(df, keep=True).collect()}
+    assert got == {k: f"{own[k]}\n\n" for k in range(30)} | {k: t for k, t, _ in rows[30:]}
+    sized = quality_rules.judge_quality(df.selectExpr("*", "length(text) AS n_chars"), keep=True)
+    assert sized.where("n_chars <> length(text)").isEmpty() and sized.count() == len(rows)
+
+
 def test_rules_empty_and_long(spark):
     assert quality_rules.judge_quality(documents(spark, [(1, "a", "s")]).limit(0)).isEmpty()
     long = prose(random.Random(1), 60_000)

@@ -4,7 +4,8 @@ A line that many different documents of one host share is boilerplate. Lines are
 hashed; for each host and line the different documents are counted, where documents with the same
 longest line are one, so that copies and near copies of a document do not count again. Lines above
 the limit are taken away and documents that lose too much are rejected. All steps are DataFrame
-functions; a hot host is split by its lines, and counts are aggregated before every shuffle.
+functions; a hot host is split by its lines, and counts are aggregated before every shuffle. A verdict
+has the number of words taken away; kept documents are returned with texts that lack those lines.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, stored
+from .common import BROADCAST_KEYS, broadcast_if_few, stored
 
 #: Words that a kept document has at least, also after its frequent lines are gone.
 MIN_WORDS = 20
@@ -88,9 +89,14 @@ def base_counts(text: Column) -> Column:
     return found
 
 
+def normal(line: Column) -> Column:
+    """The line as it is compared: lower case, single blanks."""
+    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """host, text hash, family (hash of the longest line), and each line's place, hash and words."""
-    clean = F.transform(F.split(F.col("text"), "\n"), lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09-\x0D]+", " ")))
+    clean = F.transform(F.split(F.col("text"), "\n"), normal)
     rows = docs.where(F.col("text").isNotNull()).select(F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("text_hash"), F.filter(clean, lambda x: x != "").alias("lines"))
     longest = F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
     # The filter on size keeps the exploded array from being computed anew for each column.
@@ -98,25 +104,56 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("host", "text_hash", "family", F.posexplode("lines").alias("place", "x")).select("host", "text_hash", "family", "place", "x.line", "x.words")
 
 
-def removed_words(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """host, text_hash and removed: words of frequent lines, of each text of docs that has any."""
-    lines = stored(_lines(docs), "lines")
+def frequent_lines(lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """host and line (hash) of the frequent lines among _lines()."""
     counts = lines.select("host", "line", "family").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
     hosts = lines.select("host", "family").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    frequent = counts.join(hosts, "host").where(F.col("n") > line_share * F.col("docs")).select("host", "line")
+    return counts.join(hosts, "host").where(F.col("n") > line_share * F.col("docs")).select("host", "line")
+
+
+def removed_words(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """host, text_hash and removed: words of frequent lines, of each text that has any."""
     hit = lines.select("host", "line", "text_hash", "place", "words").join(frequent, ["host", "line"])
     # Copies of a text have the same lines at the same places and count once.
     return hit.groupBy("host", "text_hash", "place").agg(F.max("words").alias("words")).groupBy("host", "text_hash").agg(F.sum("words").alias("removed"))
 
 
+def without_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """docs with frequent lines (host and hash) taken from their texts; other lines stay as they are, and n_chars follows.
+
+    Above its share of a host's documents a host has few lines, so they are one array a host; a text
+    is compared with those of them that it has.
+    """
+    by_host = frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_frequent"))
+    by_host = F.broadcast(by_host) if frequent.count() <= BROADCAST_KEYS else by_host
+
+    def rest(lines: Column) -> Column:
+        def drop(pairs: Column) -> Column:
+            found = F.array_intersect(F.transform(pairs, lambda x: x["hash"]), F.col("_frequent"))
+            return F.when(F.size(found) > 0, let(found, lambda hit: F.array_join(F.transform(F.filter(pairs, lambda x: ~F.array_contains(hit, x["hash"])), lambda x: x["line"]), "\n"))).otherwise(F.col("text"))
+
+        return let(F.transform(lines, lambda x: F.struct(x.alias("line"), F.xxhash64(normal(x)).alias("hash"))), drop)
+
+    text = F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(rest(F.split("text", "\n")))
+    out = docs.join(by_host, F.coalesce("source", F.lit("")) == F.col("_host"), "left").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_frequent").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
+
+
 def judge_quality(docs: DataFrame, keep: bool = False, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED, most_removed: int = MOST_REMOVED, most_removed_short: int = MOST_REMOVED_SHORT, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """Counts and verdict of every row of docs(doc_id, text, source, ...).
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and
     removed (words of frequent lines). A null text has no words and fails; a null source is the host
-    ``. Repeated rows are judged each. With keep, the kept rows are returned with all columns of docs.
+    ``. Repeated rows are judged each. With keep, the kept rows are returned with all columns of docs,
+    and their texts without the frequent lines.
     """
-    removed = removed_words(docs, line_docs, line_share)
+    lines = stored(_lines(docs), "lines")
+    frequent = frequent_lines(lines, line_docs, line_share)
+    if keep:
+        frequent = stored(frequent, "frequent")
+    removed = removed_words(lines, frequent)
     host, text_hash = F.coalesce("source", F.lit("")), F.xxhash64("text")
     counted = docs.select("doc_id", host.alias("host"), text_hash.alias("text_hash"), base_counts(F.col("text")).alias("c"))
     zero = [F.coalesce(F.col(f"c.{n}"), F.lit(0).cast("long")).alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -127,9 +164,9 @@ def judge_quality(docs: DataFrame, keep: bool = False, min_words: int = MIN_WORD
     depleted = 100 * F.col("removed") > most * F.col("n_words")
     judged = judged.withColumn("kept", ~F.col("base_failed") & ~depleted)
     if keep:
-        # Rejected texts are few and known by host and hash, so no text moves.
+        # Rejected texts are few and known by host and hash, so no text moves; nor do those that lose lines.
         rejected = stored(judged.where(~F.col("kept")).select("host", "text_hash").distinct(), "rejected")
-        return docs.join(broadcast_if_few(rejected), (host == rejected["host"]) & (text_hash == rejected["text_hash"]), "left_anti")
+        return without_lines(docs.join(broadcast_if_few(rejected), (host == rejected["host"]) & (text_hash == rejected["text_hash"]), "left_anti"), frequent)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed")
 
 
