@@ -14,7 +14,7 @@ from tidewatch.llm.common import stored, table
 
 def quality_rule_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go, and the frequent lines of the others."""
-    return quality_rules.judge_quality(docs, keep=True)
+    return quality_rules.judge_quality(docs, keep=True, apart=True)
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

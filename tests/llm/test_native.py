@@ -114,6 +114,18 @@ def test_frequent_lines_leave_the_texts(spark):
     assert sized.where("n_chars <> length(text)").isEmpty() and sized.count() == len(rows)
 
 
+def test_longest_line_is_frequent(spark):
+    rng = random.Random(4)
+    licence, copy = prose(rng, 30), f"{prose(rng, 20)}\n{prose(rng, 30)}"
+    rows = [(k, f"{licence}\n{prose(rng, 3)}", "big") for k in range(30)] + [(100 + k, copy, "big") for k in range(30)]
+    # Near copies: their longest line is the same.
+    rows += [(200 + k, f"{copy} more\n{prose(rng, 2)}", "big") for k in range(30)]
+    got = {r["doc_id"]: r for r in quality_rules.judge_quality(documents(spark, rows), apart=True).collect()}
+    assert all(got[k]["removed"] == 30 and not got[k]["kept"] for k in range(30))
+    assert all(got[k]["kept"] for k in range(100, 130))
+    assert not any(got[k]["removed"] > 20 for k in range(200, 230))
+
+
 def test_rules_empty_and_long(spark):
     assert quality_rules.judge_quality(documents(spark, [(1, "a", "s")]).limit(0)).isEmpty()
     long = prose(random.Random(1), 60_000)

@@ -2,7 +2,9 @@
 
 A line that many different documents of one host share is boilerplate. Lines are normalised and
 hashed; for each host and line the different documents are counted, where documents with the same
-longest line are one, so that copies and near copies of a document do not count again. Lines above
+longest line are one, so that copies and near copies of a document do not count again. That is what the
+SQL says; but documents whose longest line is the shared one are then all one, so the pipeline tells the
+documents of a line apart by their longest other line. Lines above
 the limit are taken away and documents that lose too much are rejected. All steps are DataFrame
 functions; a hot host is split by its lines, and counts are aggregated before every shuffle. A verdict
 has the number of words taken away; kept documents are returned with texts that lack those lines.
@@ -94,20 +96,30 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """host, text hash, family (hash of the longest line), and each line's place, hash and words."""
+def _lines(docs: DataFrame, apart: bool = False) -> DataFrame:
+    """host, text hash, family (hash of the longest line), and each line's place, hash and words.
+
+    With apart, family is the hash of the text's longest line that is not the line itself, if it has one."""
     clean = F.transform(F.split(F.col("text"), "\n"), normal)
     rows = docs.where(F.col("text").isNotNull()).select(F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("text_hash"), F.filter(clean, lambda x: x != "").alias("lines"))
-    longest = F.array_max(F.transform("lines", lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
+
+    def longest(lines: Column) -> Column:
+        return F.array_max(F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
+
     # The filter on size keeps the exploded array from being computed anew for each column.
-    rows = rows.where(F.size("lines") > 0).select("host", "text_hash", F.xxhash64(longest).alias("family"), F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words"))).alias("lines"))
-    return rows.select("host", "text_hash", "family", F.posexplode("lines").alias("place", "x")).select("host", "text_hash", "family", "place", "x.line", "x.words")
+    hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
+    first = longest(F.col("lines"))
+    second = let(first, lambda one: longest(F.filter("lines", lambda x: x != one))) if apart else F.lit(None).cast("string")
+    rows = rows.where(F.size("lines") > 0).select("host", "text_hash", F.xxhash64(first).alias("family"), F.xxhash64(F.coalesce(second, first)).alias("next"), hashed.alias("lines"))
+    rows = rows.select("host", "text_hash", "family", "next", F.posexplode("lines").alias("place", "x"))
+    family = F.when(F.col("x.line") == F.col("family"), F.col("next")).otherwise(F.col("family")) if apart else F.col("family")
+    return rows.select("host", "text_hash", family.alias("family"), "place", "x.line", "x.words")
 
 
-def frequent_lines(lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """host and line (hash) of the frequent lines among _lines()."""
+def frequent_lines(lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, apart: bool = False) -> DataFrame:
+    """host and line (hash) of the frequent lines among _lines(); with apart, a host's documents are its different texts."""
     counts = lines.select("host", "line", "family").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
-    hosts = lines.select("host", "family").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    hosts = lines.select("host", "text_hash" if apart else "family").distinct().groupBy("host").agg(F.count("*").alias("docs"))
     return counts.join(hosts, "host").where(F.col("n") > line_share * F.col("docs")).select("host", "line")
 
 
@@ -141,16 +153,17 @@ def without_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     return out.select(docs.columns)
 
 
-def judge_quality(docs: DataFrame, keep: bool = False, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED, most_removed: int = MOST_REMOVED, most_removed_short: int = MOST_REMOVED_SHORT, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+def judge_quality(docs: DataFrame, keep: bool = False, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED, most_removed: int = MOST_REMOVED, most_removed_short: int = MOST_REMOVED_SHORT, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, apart: bool = False) -> DataFrame:
     """Counts and verdict of every row of docs(doc_id, text, source, ...).
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and
     removed (words of frequent lines). A null text has no words and fails; a null source is the host
     ``. Repeated rows are judged each. With keep, the kept rows are returned with all columns of docs,
-    and their texts without the frequent lines.
+    and their texts without the frequent lines. apart: a line's documents are told apart by their
+    longest other line, not by their longest line.
     """
-    lines = stored(_lines(docs), "lines")
-    frequent = frequent_lines(lines, line_docs, line_share)
+    lines = stored(_lines(docs, apart), "lines")
+    frequent = frequent_lines(lines, line_docs, line_share, apart)
     if keep:
         frequent = stored(frequent, "frequent")
     removed = removed_words(lines, frequent)
