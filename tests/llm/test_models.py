@@ -136,6 +136,33 @@ def test_backoff_by_definition(spark):
     assert lm_scoring.score_documents(docs.limit(0)).isEmpty()
 
 
+def test_backoff_of_order_three(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choices("the cat sat on a mat again".split(), k=rng.randint(0, 30)))) for k in range(60)]
+    rows += [(200, None), (202, "unseen zebra"), (203, "long one " * 3000), (None, "the cat"), (0, "the cat")]
+    ids = [WHOLE.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    own = [{n: Counter(zip(*(["<", "<", *x][3 - n + k :] for k in range(n)), strict=False)) for n in (2, 3)} for x in ids]
+    one, total = Counter(i for x in ids for i in x), sum(map(len, ids))
+    grams = {n: sum((o[n] for o in own), Counter()) for n in (2, 3)}
+    heads = {n: Counter() for n in (2, 3)}
+    for n in (2, 3):
+        for g, c in grams[n].items():
+            heads[n][g[:-1]] += c
+
+    def value(g, o):
+        for n in (3, 2):
+            h = g[3 - n :]
+            if grams[n][h] > o[n][h]:
+                return (3 - n) * math.log(0.4) + math.log((grams[n][h] - o[n][h]) / heads[n][h[:-1]])
+        return 2 * math.log(0.4) + math.log(one[g[2]] / total)
+
+    want = [(str(d), len(x), sum(c * value(g, o) for g, c in o[3].items())) for (d, _), x, o in zip(rows, ids, own, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r[0]), r[1], r[2]) for r in lm_scoring.score_documents(docs, partition_bytes=5000, order=3).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
+    assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)])
+
+
 def test_held_out_ids(spark):
     ids = [None, -5, 0, 1, 2, 3, 10**12]
     got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "doc_id long").select(held_out(F.col("doc_id"))).collect()]

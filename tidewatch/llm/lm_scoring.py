@@ -5,6 +5,10 @@ so they can be broadcast. Bigrams are hash partitioned: each document's distinct
 columns of a lot of documents, to the partition of their hash, where the partition's count table is
 made and joined with them at once; each partition answers with a sum a document, and the answers are
 summed per document. The number of partitions follows the corpus, so a partition's size is bounded.
+
+Trigrams (order 3) go to two partitions: that of their first two ids has the context's count and
+scores the trigrams that another document has; that of their last two ids has the pair's count and
+scores the step back of the others. Both see all occurrences of a trigram, so they agree on which is which.
 """
 
 from __future__ import annotations
@@ -64,9 +68,12 @@ def unigrams(docs: DataFrame, path: str, size: int) -> tuple[np.ndarray, np.ndar
     return n, first
 
 
-def _packed(docs: DataFrame, path: str, size: int, parts: int) -> DataFrame:
-    """Each lot's distinct bigrams of each document with their counts, by hash partition; and the lot's documents."""
-    wide = (size + 1) * size >= 1 << 32
+def _packed(docs: DataFrame, path: str, size: int, parts: int, order: int) -> DataFrame:
+    """Each lot's distinct n-grams of each document with their counts, by hash partition; and the lot's documents.
+
+    Trigrams u, v, w are keyed as u, v, w in the first `parts` partitions and as v, w, u in as many more.
+    """
+    wide = order == 3 or (size + 1) * size >= 1 << 32
     kind = "<u8" if wide else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,24 +84,34 @@ def _packed(docs: DataFrame, path: str, size: int, parts: int) -> DataFrame:
         sizes: list[int] = []
         keys: list[np.ndarray] = []
 
-        def close() -> pa.RecordBatch:
-            key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        def blocks(key: np.ndarray, hashed: np.ndarray, side: int) -> list[tuple]:
             doc = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-            part = ((key * _SPREAD) >> np.uint64(40)) % np.uint64(parts)
+            part = ((hashed * _SPREAD) >> np.uint64(40)) % np.uint64(parts) + np.uint64(side * parts)
             # Sorted by partition, document and key. One sort of packed numbers where they fit in 64 bits.
             if not wide and parts <= 1 << 16 and len(sizes) <= 1 << 16:
                 packed, counts = np.unique(part << np.uint64(48) | doc << np.uint64(32) | key, return_counts=True)
                 part, doc, key = packed >> np.uint64(48), packed >> np.uint64(32) & np.uint64(0xFFFF), packed & np.uint64(0xFFFFFFFF)
             else:
-                order = np.lexsort((key, doc, part))
-                part, doc, key = part[order], doc[order], key[order]
+                at = np.lexsort((key, doc, part))
+                part, doc, key = part[at], doc[at], key[at]
                 new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, int)
                 counts = np.diff(np.r_[new, len(key)])
                 part, doc, key = part[new], doc[new], key[new]
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
             ends = np.r_[starts[1:], len(part)].astype(int)
             doc, key, counts = doc.astype("<u4"), key.astype(kind), counts.astype("<u4")
-            rows = [(int(part[a]), lot, doc[a:b].tobytes(), key[a:b].tobytes(), counts[a:b].tobytes(), None, None) for a, b in zip(starts, ends, strict=True)]
+            return [(int(part[a]), lot, doc[a:b].tobytes(), key[a:b].tobytes(), counts[a:b].tobytes(), None, None) for a, b in zip(starts, ends, strict=True)]
+
+        def close() -> pa.RecordBatch:
+            key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+            if order == 3:
+                base = np.uint64(size + 1)
+                pair, last = key // base, key % base
+                rows = blocks(key, pair, 0)
+                pair, first = pair % base * base + last, pair // base
+                rows += blocks(pair * base + first, pair, 1)
+            else:
+                rows = blocks(key, key, 0)
             rows.append((lot % parts, lot, None, None, None, names, sizes))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
 
@@ -107,7 +124,12 @@ def _packed(docs: DataFrame, path: str, size: int, parts: int) -> DataFrame:
                     wide_ids = ids.astype(np.uint64)
                     before = np.empty(len(ids), np.uint64)
                     before[0], before[1:] = size, wide_ids[:-1]
-                    keys.append(before * np.uint64(size) + wide_ids)
+                    if order == 3:
+                        base = np.uint64(size + 1)
+                        two = np.r_[np.uint64(size), before[:-1]]
+                        keys.append((two * base + before) * base + wide_ids)
+                    else:
+                        keys.append(before * np.uint64(size) + wide_ids)
                 held += len(ids)
             if held >= LOT_TOKENS or len(names) >= LOT_DOCS:
                 yield close()
@@ -119,41 +141,75 @@ def _packed(docs: DataFrame, path: str, size: int, parts: int) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, PACKED)
 
 
-def score_documents(docs: DataFrame, tokenizer: str | None = None, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, tokenizer: str | None = None, partition_bytes: int = PARTITION_BYTES, order: int = 2) -> DataFrame:
     """Stupid-backoff scores of every row of docs(doc_id, text, ...) by the counts of all rows.
 
-    The model is of order 2. A bigram's count leaves out the document that is scored, so a text's own
+    The model is of order 2 or 3. A bigram's count leaves out the document that is scored, so a text's own
     words don't vouch for it: log(c(a, b) / c(a)) where another document has (a, b), else
-    log(0.4 c(b) / N). Each text starts with one start mark. log_score is the sum and mean_log_score
+    log(0.4 c(b) / N). Order 3 looks first for (z, a, b) in another document, with log(c(z, a, b) / c(z, a)),
+    and else adds log(0.4) to what order 2 gives. Each text starts with order - 1 start marks. log_score is the sum and mean_log_score
     the mean over ids. Null and empty texts have no ids, sum 0 and a null mean. Repeated rows are
     documents of their own. An empty table gives no rows.
     """
     path = tokenizer or default_tokenizer()
     size = vocabulary_size(path)
-    kind = "<u8" if (size + 1) * size >= 1 << 32 else "<u4"
+    if order not in (2, 3) or (size + 1) ** order >= 1 << 64:
+        raise ValueError(f"order {order} with {size} ids")
+    kind = "<u8" if order == 3 or (size + 1) * size >= 1 << 32 else "<u4"
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // partition_bytes))
+    parts = max(1, -(-total * (order - 1) // partition_bytes))  # keys of order 3 are twice as long
     n, first = unigrams(docs, path, size)
     with np.errstate(divide="ignore"):
         log_first = np.log(first)
         log_back = np.log(BACKOFF) + np.log(n) - np.log(max(1, n.sum()))
     shared = docs.sparkSession.sparkContext.broadcast((log_first, log_back))  # two numbers an id of the vocabulary
 
-    def join(batch: pa.Table) -> pa.Table:
-        worker_cache("counts", dict)  # the encoder's memory is needed here
-        give_back()
+    def trigrams(every: np.ndarray, count: np.ndarray, new: np.ndarray, stepped: bool) -> np.ndarray:
+        """What each trigram adds to its document; new: where a document's entries start."""
+        if not len(every):
+            return np.zeros(0)
+        base = np.uint64(size + 1)
+        keys, place = np.unique(every, return_inverse=True)
+        total = np.bincount(place, count)
+        pairs = keys // base
+        starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
+        of_pair = np.repeat(np.add.reduceat(total, starts), np.diff(np.r_[starts, len(keys)]))[place]
+        others = total[place] - count
+        if not stepped:
+            return count * np.where(others > 0, np.log(np.maximum(others, 1)) - np.log(of_pair), 0.0)
+        pair = every // base
+        # The document's own count of the pair; its trigrams of one pair are neighbours.
+        runs = np.flatnonzero(new | np.r_[True, pair[1:] != pair[:-1]])
+        own = np.repeat(np.add.reduceat(count.astype(np.int64), runs), np.diff(np.r_[runs, len(pair)]))
+        pair_others = of_pair - own
+        log_first, log_back = shared.value
+        a, b = pair // base, pair % base
+        back = np.where(pair_others > 0, np.log(np.maximum(pair_others, 1)) - log_first[a], log_back[b])
+        return np.where(others > 0, 0.0, count * (np.log(BACKOFF) + back))
+
+    def bigrams(every: np.ndarray, count: np.ndarray) -> np.ndarray:
         log_first, log_back = shared.value
-        lots, docs_of, keys, counts = (batch.column(c).to_pylist() for c in ("lot", "docs", "keys", "counts"))
-        filled = [i for i, k in enumerate(keys) if k is not None]
-        every = np.frombuffer(b"".join(keys[i] for i in filled), kind)
-        count = np.frombuffer(b"".join(counts[i] for i in filled), "<u4")
         # The partition's count table, joined with its bigrams by place.
         _, place = np.unique(every, return_inverse=True)
         others = np.bincount(place, count)[place] - count if len(every) else np.zeros(0)
         a = every // every.dtype.type(size)
         b = every - a * every.dtype.type(size)
         with np.errstate(divide="ignore"):
-            value = count * np.where(others > 0, np.log(np.maximum(others, 1)) - log_first[a], log_back[b])
+            return count * np.where(others > 0, np.log(np.maximum(others, 1)) - log_first[a], log_back[b])
+
+    def join(batch: pa.Table) -> pa.Table:
+        worker_cache("counts", dict)  # the encoder's memory is needed here
+        give_back()
+        lots, docs_of, keys, counts = (batch.column(c).to_pylist() for c in ("lot", "docs", "keys", "counts"))
+        filled = [i for i, k in enumerate(keys) if k is not None]
+        every = np.frombuffer(b"".join(keys[i] for i in filled), kind)
+        count = np.frombuffer(b"".join(counts[i] for i in filled), "<u4")
+        if order == 3:
+            docs_at = [np.frombuffer(docs_of[i], "<u4") for i in filled]
+            new = np.concatenate([np.r_[True, d[1:] != d[:-1]] for d in docs_at]) if filled else np.zeros(0, bool)
+            value = trigrams(every, count, new, batch.column("part")[0].as_py() >= parts)
+        else:
+            value = bigrams(every, count)
         out, at = [], 0
         for i in filled:
             doc = np.frombuffer(docs_of[i], "<u4")
@@ -173,5 +229,5 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None, partition_byt
         mean = [float(t) / s if s else None for t, s in zip(total, sizes, strict=True)]
         return pa.table([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], schema=_SCHEMA)
 
-    answers = _packed(docs, path, size, parts).groupBy("part").applyInArrow(join, ANSWERS)
+    answers = _packed(docs, path, size, parts, order).groupBy("part").applyInArrow(join, ANSWERS)
     return answers.groupBy("lot").applyInArrow(add, SCHEMA)

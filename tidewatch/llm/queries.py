@@ -32,7 +32,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), order=3)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
