@@ -30,6 +30,15 @@ def test_odd_pages(html):
     html_extract.extract(html)
 
 
+@pytest.mark.parametrize("n", [10, 5_000])
+@pytest.mark.parametrize("quote", "\"'")
+def test_long_attributes(n, quote):
+    other = "'" if quote == '"' else '"'
+    page = f"<article><p data-x={quote}{'<b>leak</b> > ' * n}{other}{quote}>The first sentence of it.</p><p title=don't>It isn't the last one.</p></article>"
+    assert [b.text for b in html_extract.read_blocks(page)] == ["The first sentence of it.", "It isn't the last one."]
+    assert [b.text for b in html_extract.read_blocks(f"<p class={quote}x>Never closed.</p>")] == ["Never closed."]
+
+
 def test_pages_table(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (2, "v", "<p>Some long text without much around it, really.</p>" * 4000, "x")], "page_id long, url string, html string, text string")
     got = html_extract.extract_pages(rows).collect()

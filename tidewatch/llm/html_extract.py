@@ -56,7 +56,8 @@ BIAS, PER_LOG_WORD, PER_LINK, PER_SENTENCE = 0.3, -0.55, 3.0, -0.9
 #: Capacities of the smoothness edges.
 ADJACENT, SIBLING, COUSIN = 0.35, 0.6, 0.2
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,4000}"|'[^']{0,4000}'|["'])*+)>""", re.S)
+# A quote opens a value after "=" only; one that is never closed counts as a character.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""", re.S)
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden|style|itemprop)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
