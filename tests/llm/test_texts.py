@@ -39,6 +39,20 @@ def test_long_attributes(n, quote):
     assert [b.text for b in html_extract.read_blocks(f"<p class={quote}x>Never closed.</p>")] == ["Never closed."]
 
 
+@pytest.mark.parametrize(
+    "piece, text",
+    [
+        ('<svg class="i"/>', "Before after."), ("<math/>", "Before after."), ("<svg><g><path d=x/><text>no</text></g></svg>", "Before after."),
+        ("<svg><svg><text>no</text></svg><text>no</text></svg>", "Before after."), ("<template><p>no</p><template>no</template>no</template>", "Before after."),
+        ("<template>", "Before after."), ("<svg><g>", "Before after."), ("<object data=x>", "Before after."), ("<object>shown</object> ", "Before shown after."),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math> ", "Before x=2 after."),
+    ],
+)
+def test_embedded_elements(piece, text):
+    page = f"<body><article><p>Before {piece}after.</p><p>Next.</p></article><svg><text>no</text></svg></body>" if "<svg><g>" != piece else f"<body><p>Before {piece}after.</p><p>Next.</p></body>"
+    assert [b.text for b in html_extract.read_blocks(page)] == [text, "Next."]
+
+
 def test_pages_table(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (2, "v", "<p>Some long text without much around it, really.</p>" * 4000, "x")], "page_id long, url string, html string, text string")
     got = html_extract.extract_pages(rows).collect()

@@ -23,8 +23,14 @@ SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks long, n_
 
 #: Element names by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math title textarea xmp noembed".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript iframe title textarea xmp noembed".split())
+#: Elements whose content is no text of the page, and those whose content is not HTML.
+HIDDEN = frozenset(["svg", "template"])
+FOREIGN = frozenset(["svg", "math"])
+#: HTML elements that end an open one of FOREIGN, unless one of ISLAND is nearer.
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article section main".split())
+ISLAND = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext template".split())
+INLINE = frozenset("svg math object template a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 #: An opening tag ends an open one of these, up to the nearest of the second set.
 IMPLIED = {
@@ -59,6 +65,7 @@ ADJACENT, SIBLING, COUSIN = 0.35, 0.6, 0.2
 # A quote opens a value after "=" only; one that is never closed counts as a character.
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""", re.S)
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_HIDDEN_END = re.compile(rf"</({'|'.join(sorted(HIDDEN))})(?=[\s/>])", re.I)
 _ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden|style|itemprop)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -70,6 +77,8 @@ class Element:
     name: str
     parent: Element | None
     link: bool
+    #: In an element whose content is not shown.
+    hidden: bool
     #: The strongest evidence of boilerplate and of content here or above; the latter fades with distance.
     bad: float = 0.0
     good: float = 0.0
@@ -102,13 +111,14 @@ def _evidence(name: str, attributes: str) -> float:
 
 def read_blocks(html: str) -> list[Block]:
     """The page's text blocks in page order, with the element that each stands in."""
-    top, blocks, block = Element("#root", None, False), [], None
+    top, blocks, block = Element("#root", None, False, False), [], None
+    last_end: dict[str, int] | None = None
     opened: Counter = Counter()
     at, n, head = 0, len(html), False
 
     def text(piece: str) -> None:
         nonlocal block
-        if not piece or head:
+        if not piece or head or top.hidden:
             return
         if block is None:
             if piece.isspace():
@@ -138,7 +148,7 @@ def read_blocks(html: str) -> list[Block]:
         if not any(opened[x] for x in names):
             return
         e = top
-        while e.parent is not None and e.name not in until:
+        while e.parent is not None and e.name not in until and e.name != "template":
             if e.name in names:
                 pop(e)
                 return
@@ -159,7 +169,7 @@ def read_blocks(html: str) -> list[Block]:
         if found.group(1):
             if name == "head":
                 head = False
-            if name not in INLINE:
+            if name not in INLINE and not opened["svg"] and not opened["math"] and not top.hidden:
                 block = None
             if opened[name]:
                 e = top
@@ -167,6 +177,11 @@ def read_blocks(html: str) -> list[Block]:
                     e = e.parent
                 pop(e)
             continue
+        if name in BREAKS_OUT and (opened["svg"] or opened["math"]):
+            close(FOREIGN, ISLAND)
+        foreign = name in FOREIGN or opened["svg"] or opened["math"]
+        if foreign and found.group(3).endswith("/"):
+            continue
         if name in RAW:
             end = _RAW_END[name].search(html, at)
             at = end.end() if end else n
@@ -181,18 +196,25 @@ def read_blocks(html: str) -> list[Block]:
         if name == "br":
             text(" ")
             continue
-        if name not in INLINE:
-            block = None
-            if head and name not in VOID:
-                head = False
+        if name not in INLINE and not foreign:
+            if not top.hidden:
+                block = None
+                if head and name not in VOID:
+                    head = False
             if name in CLOSES_P:
                 close(frozenset(["p"]), frozenset(["td", "th", "li", "div", "article", "section", "blockquote", "button", "table"]))
             if name in IMPLIED:
                 close(*IMPLIED[name])
         if name in VOID or found.group(3).endswith("/") and name in ("path", "rect", "circle"):
             continue
+        hidden = top.hidden
+        if name in HIDDEN and not hidden:
+            # One that is never closed hides nothing.
+            if last_end is None:
+                last_end = {m.group(1).lower(): m.start() for m in _HIDDEN_END.finditer(html)}
+            hidden = last_end.get(name, -1) >= at
         value = _evidence(name, found.group(3))
-        top = Element(name, top, top.link or name == "a", max(top.bad, value), min(0.95 * top.good, value, 0.0))
+        top = Element(name, top, top.link or name == "a", hidden, max(top.bad, value), min(0.95 * top.good, value, 0.0))
         opened[name] += 1
     for b in blocks:
         b.text = " ".join(unescape("".join(b.parts)).split())
