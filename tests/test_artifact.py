@@ -12,7 +12,7 @@ from tidewatch.errors import ArtifactUnavailable, GateError, InvalidRequest, Not
 from tidewatch.operators import review
 from tidewatch.plans import artifact, backtest, synthetic
 from tidewatch.schemas import SAFE_FIELDS, Gates, Thresholds, Windows
-from tidewatch.serving import Facade, load_snapshot
+from tidewatch.serving import Facade, latest_snapshot, load_snapshot
 
 START = date(2026, 1, 1)
 
@@ -36,7 +36,7 @@ def test_panels_share_background(spark, history):
 
 
 def test_no_eligible_series(spark, history):
-    with pytest.raises(ValueError, match="No eligible"):
+    with pytest.raises(ValueError, match="long and busy enough"):
         synthetic.make_panels(history.limit(10), seed=1, events=2)
     assert backtest.run_backtest(history.limit(10))["injections"] == 0
 
@@ -137,6 +137,11 @@ def test_publish_and_serve(spark, snapshot, tmp_path):
         assert e.value.envelope()["error"]["code"] == "validation_error"
     with pytest.raises(ArtifactUnavailable):
         load_snapshot(spark, f"{path}/none")
+    spark.createDataFrame([("{ broken",)], "value string").coalesce(1).write.text(f"{path}/broken")
+    good = f"{path}/snapshot"
+    assert latest_snapshot(spark, [f"{path}/none", f"{path}/broken", good]) == load_snapshot(spark, good)
+    with pytest.raises(ArtifactUnavailable):
+        latest_snapshot(spark, [f"{path}/broken", f"{path}/none"])
 
 
 def test_gates_stop_a_build(spark):

@@ -6,6 +6,7 @@ import random
 from datetime import date, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,7 +176,7 @@ def test_closure_probability(spark, durations, closed, expected):
 
 
 def test_closure_input(spark):
-    for rows, text in (([], "at least one"), ([(-1.0, True)], "negative"), ([(1.0, None)], "together")):
+    for rows, text in (([], "no observations"), ([(-1.0, True)], "below zero"), ([(1.0, None)], "needs a duration")):
         with pytest.raises(ValueError, match=text):
             survival.checked(spark.createDataFrame(rows, "duration double, event boolean"))
 
@@ -206,3 +207,14 @@ def test_panel_plan_shares_one_exchange(spark):
     # The weekday window and the series window both use the exchange by series.
     plan = detectors.detect_shifts(series(spark, [1] * 10), Thresholds())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_ranks_by_definition(spark):
+    rng = random.Random(5)
+    values = [None if k % 97 == 0 else rng.choice([rng.random(), float(rng.randrange(40))]) for k in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(values)), "k long, x double").repartition(6)
+    ranked = episodes.rank_by_counts(rows, {"x": "rank"})
+    want = pd.Series(values, dtype=float).rank(method="average", pct=True)
+    got = {r["k"]: r["rank"] for r in ranked.collect()}
+    assert all(got[k] is None if v is None else got[k] == pytest.approx(want[k]) for k, v in enumerate(values))
+    assert episodes.rank_by_counts(rows.limit(0), {"x": "rank"}).isEmpty()

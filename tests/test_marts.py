@@ -76,3 +76,14 @@ def test_only_safe_fields(requests, tmp_path, spark):
 def test_violations(requests):
     found = {(r["check"], r["column"]): r["n_violations"] for r in contracts.violations(requests.drop("_corrupt"), ["closed_date"], ["agency", "unique_key"]).collect()}
     assert found == {("not_null", "closed_date"): 1, ("unique", "agency"): 1, ("unique", "unique_key"): 0}
+
+
+def test_materialise(spark, requests):
+    def daily(df):
+        return sorted(map(str, df.collect()))
+
+    first = daily(marts.materialise(requests, date(2026, 8, 21))["mart_daily_metrics"])
+    assert spark.catalog.tableExists("fct_requests") and spark.table("stg_requests").count() == 3
+    # Tables are replaced.
+    assert daily(marts.materialise(requests, date(2026, 8, 21))["mart_daily_metrics"]) == first == daily(marts.daily_metrics(marts.facts(marts.staging(requests))))
+    assert {t.name for t in spark.catalog.listTables() if not t.isTemporary} >= {"fct_requests", "mart_daily_metrics", "mart_closure_cohorts", "mart_open_age", "mart_quality"}

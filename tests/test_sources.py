@@ -121,8 +121,36 @@ def test_labels(spark, tmp_path):
 
 def test_csv(spark, tmp_path):
     files.export_csv(spark.createDataFrame([('say "hi"', None, 1)], "a string, b string, n int"), str(tmp_path / "c"))
-    text = next((tmp_path / "c").glob("*.csv")).read_text()
-    assert text.splitlines()[1] == '"say ""hi""","","1"'
+    lines = [x for f in (tmp_path / "c").glob("*.csv") for x in f.read_text().splitlines()]
+    assert [x for x in lines if x != '"a","b","n"'] == ['"say ""hi""","","1"']
+
+
+def test_csv_in_order(spark, tmp_path):
+    rows = spark.range(20).selectExpr("id", "cast(20 - id AS string) AS place").repartition(5)
+    files.export_csv(rows, str(tmp_path / "one"), ["place", "id"], order=["id"])
+    (file,) = (tmp_path / "one").glob("*.csv")
+    assert file.read_text().splitlines() == ['"place","id"', *[f'"{20 - k}","{k}"' for k in range(20)]]
+    files.export_csv(rows.limit(0), str(tmp_path / "none"))
+    assert not [x for f in (tmp_path / "none").glob("*.csv") for x in f.read_text().splitlines()[1:]]
+
+
+def test_window_holds_the_last_second():
+    where = rest._where({"start": "2026-02-01", "end": "2026-02-28"})
+    assert where == "created_date >= '2026-02-01T00:00:00' and created_date < '2026-03-01T00:00:00'"
+
+
+def test_cached_query(spark, tmp_path):
+    calls = []
+
+    def answer(params):
+        calls.append(params)
+        return [{"day": "2026-01-01", "requests": "3"}, {"day": "2026-01-02"}]
+
+    for _ in range(2):
+        rows = rest.cached_query(spark, answer, {"$select": "day", "$order": "day"}, str(tmp_path / "cache"), "day string, requests string")
+        assert [tuple(r) for r in rows.orderBy("day").collect()] == [("2026-01-01", "3"), ("2026-01-02", None)]
+    rest.cached_query(spark, answer, {"$order": "day"}, str(tmp_path / "cache"), "day string, requests string")
+    assert len(calls) == 2
 
 
 def test_ingest(spark, tmp_path):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from datetime import date, timedelta
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import SERIES
 from .detectors import ALERT_COLUMNS
+from .settled import settled
 
 #: Fields that an episode takes from its strongest alert; the others are its first alert's.
 STRONGEST = ["observed", "expected", "effect", "anomaly_score", "calibrated_score", "upper_bound"]
@@ -33,18 +36,32 @@ def merge_episodes(alerts: DataFrame, cooldown_days: int = 7) -> DataFrame:
     return merged.select(*SERIES, "f.*", "s.*", "episode_start", "episode_end", "persistence").select(*EPISODE_COLUMNS)
 
 
+#: Ranges of values that percent ranks are computed in, and the error of their bounds.
+RANK_RANGES, RANK_ERROR = 256, 0.001
+
+
 def rank_by_counts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds percent ranks (ties at their mean place) without a window over all rows.
 
-    Values are counted first, so the one task that orders them has a row a distinct value.
+    Rows are counted by value, and values are dealt to ranges between approximate quantiles. A value's
+    rank is the total of the ranges before its own, plus its place in it; a range is ordered in one
+    task and holds about a 256th of the values. Values that are null have no rank.
     """
     out = df
+    every = df.agg(*[F.count(c).alias(c) for c in columns], *[F.percentile_approx(c, [k / RANK_RANGES for k in range(1, RANK_RANGES)], int(1 / RANK_ERROR)).alias(f"{c} bounds") for c in columns]).first()
     for source, target in columns.items():
-        counts = df.groupBy(source).agg(F.count("*").alias("ties"))
-        below = F.coalesce(F.sum("ties").over(W.orderBy(source).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        every = F.sum("ties").over(W.orderBy(source).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-        ranks = counts.select(source, ((below + (F.col("ties") + 1) / 2.0) / every).alias(target))
-        out = out.join(ranks, source)
+        bounds = sorted(set(every[f"{source} bounds"] or []))
+        kind = df.schema[source].dataType
+        value = F.col(source)
+        at = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), partial(operator.gt, value))) if bounds else F.lit(0)
+        counts = df.where(F.col(source).isNotNull()).groupBy(source).agg(F.count("*").alias("ties")).withColumn("range", at)
+        w = W.partitionBy("range").orderBy(source).rowsBetween(W.unboundedPreceding, -1)
+        totals = counts.groupBy("range").agg(F.sum("ties").alias("n"))
+        # At most 256 rows, so one task orders them and they can be broadcast.
+        before = totals.select("range", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        placed = counts.withColumn("below", F.coalesce(F.sum("ties").over(w), F.lit(0))).join(F.broadcast(before), "range")
+        ranks = placed.select(source, ((F.col("before") + F.col("below") + (F.col("ties") + 1) / 2.0) / F.lit(every[source])).alias(target))
+        out = out.join(ranks, source, "left")
     return out
 
 
@@ -52,6 +69,7 @@ def rank_episodes(episodes: DataFrame) -> DataFrame:
     """Adds the three percent ranks, the priority score and the severity."""
     rows = episodes if "persistence" in episodes.columns else episodes.withColumn("persistence", F.lit(1))
     rows = rows.withColumn("persistence", F.coalesce("persistence", F.lit(1)))
+    rows = settled(rows)  # read once for the bounds and once for each rank
     ranked = rank_by_counts(rows, {"anomaly_score": "strength_pct", "affected_count": "impact_pct", "persistence": "persistence_pct"})
     score = 0.5 * F.col("strength_pct") + 0.3 * F.col("impact_pct") + 0.2 * F.col("persistence_pct")
     return ranked.select(*rows.columns, "strength_pct", "impact_pct", "persistence_pct", score.alias("priority_score"), F.when(score >= 0.9, "high").otherwise("watch").alias("severity"))

@@ -33,6 +33,26 @@ def staging(requests: DataFrame) -> DataFrame:
     )
 
 
+def materialise(requests: DataFrame, as_of: date, database: str = "default") -> dict[str, DataFrame]:
+    """Staging as a temporary view, facts and marts as tables of the session's warehouse; each is read back by name.
+
+    Tables are replaced. Marts are made from the stored facts, so these are computed once.
+    """
+    spark = requests.sparkSession
+    staging(requests).createOrReplaceTempView("stg_requests")
+    out = {"stg_requests": spark.table("stg_requests")}
+
+    def keep(name: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").saveAsTable(f"{database}.{name}")
+        out[name] = spark.table(f"{database}.{name}")
+
+    keep("fct_requests", facts(out["stg_requests"]))
+    fct = out["fct_requests"]
+    for name, rows in (("mart_daily_metrics", daily_metrics(fct)), ("mart_closure_cohorts", closure_cohorts(fct)), ("mart_open_age", open_age(fct, as_of)), ("mart_quality", quality(fct))):
+        keep(name, rows)
+    return out
+
+
 def facts(staged: DataFrame) -> DataFrame:
     """Staging with dates, whether closed, and days to resolution (counted in minutes)."""
     minutes = minutes_between("created_at_local", "closed_at_local")

@@ -53,11 +53,11 @@ def build_packet(panel: DataFrame, ranked: DataFrame, alerts: DataFrame, day: da
     chosen = [(r["district"], r["problem"], r["date"], "top20" if k < GROUP_CASES else "near_threshold") for k, r in enumerate(top)]
     pool = control_pool(panel, alerts, day).orderBy(*SERIES).select(*SERIES, "date").collect()
     if len(pool) < GROUP_CASES:
-        raise GateError("Not enough matched controls for blind review")
+        raise GateError(f"A blind review needs {GROUP_CASES} series without an alert; there are {len(pool)}")
     picked = rng.choice(len(pool), size=GROUP_CASES, replace=False)
     chosen += [(*pool[int(k)], "matched_control") for k in picked]
     if len(chosen) != 3 * GROUP_CASES:
-        raise GateError(f"Blind review packet requires {3 * GROUP_CASES} cases, received {len(chosen)}")
+        raise GateError(f"{len(chosen)} cases were found for a packet of {3 * GROUP_CASES}")
     given = [(k, *c) for k, c in enumerate(chosen)]
     cases = with_case_ids(spark.createDataFrame(given, "k int, district string, problem string, index_date date, `group` string"), seed)
     points = case_points(cases, panel).groupBy("k", "case_id", "group_token", *SERIES, "index_date")

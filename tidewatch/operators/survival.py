@@ -25,9 +25,9 @@ def checked(observations: DataFrame) -> DataFrame:
     """observations, after one pass that fails on none or on a null or negative duration."""
     row = observations.agg(F.count("*").alias("n"), F.count_if(F.col("duration").isNull() | F.col("event").isNull()).alias("nulls"), F.count_if(F.col("duration") < 0).alias("negative")).first()
     if not row["n"]:
-        raise ValueError("at least one observation is required")
+        raise ValueError("there are no observations")
     if row["nulls"]:
-        raise ValueError("durations and events must go together")
+        raise ValueError("every observation needs a duration and whether it is closed")
     if row["negative"]:
-        raise ValueError("durations cannot be negative")
+        raise ValueError("a duration is below zero")
     return observations

@@ -143,7 +143,7 @@ def oracle_sql() -> dict[str, str]:
         "daily_sparse": (["req"], "SELECT created_date::DATE AS day, community_board, complaint_type, count(*) AS requests FROM req GROUP BY ALL"),
         "selected_daily": (["picked"], "SELECT created_date::DATE AS day, community_board, complaint_type, count(*) AS requests FROM picked GROUP BY ALL"),
         "dense_panel": (["pan"], "SELECT * FROM pan"),
-        "dense_districts": (["req", "district_parts"], ", c AS (SELECT created_date::DATE AS date, p.district, complaint_type AS problem, count(*) AS n FROM req JOIN district_parts p USING (community_board) WHERE created_date BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-12-31' GROUP BY ALL) SELECT d.date, s.district, s.problem, coalesce(n, 0)::BIGINT AS requests FROM (SELECT DISTINCT district, problem FROM c) s CROSS JOIN (SELECT unnest(generate_series(DATE '1997-01-01', DATE '1998-12-31', INTERVAL 1 DAY))::DATE AS date) d LEFT JOIN c USING (date, district, problem)"),
+        "dense_districts": (["req", "district_parts"], ", c AS (SELECT created_date::DATE AS date, p.district, complaint_type AS problem, count(*) AS n FROM req JOIN district_parts p USING (community_board) WHERE created_date::DATE BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY ALL) SELECT d.date, s.district, s.problem, coalesce(n, 0)::BIGINT AS requests FROM (SELECT DISTINCT district, problem FROM c) s CROSS JOIN (SELECT unnest(generate_series(DATE '1997-01-01', DATE '1998-12-31', INTERVAL 1 DAY))::DATE AS date) d LEFT JOIN c USING (date, district, problem)"),
         "dup_row_gate": ([], "SELECT l_orderkey, l_suppkey, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"),
         "dup_key_gate": ([], "SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"),
         "coverage_gate": (["req"], "SELECT min(created_date)::DATE AS first_day, max(created_date)::DATE AS last_day, min(created_date)::DATE = DATE '1997-01-01' AND max(created_date)::DATE = DATE '1998-12-31' AS complete FROM req"),

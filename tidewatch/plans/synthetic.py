@@ -61,7 +61,11 @@ def quiet_days(panel: DataFrame, templates: DataFrame) -> DataFrame:
 
 def strata(series: DataFrame, events: int) -> DataFrame:
     """The plan of `events` synthetic series: source series, scenario, duration, strength, generator by place."""
-    numbered = series.select(*SERIES, (F.row_number().over(W.orderBy(*SERIES)) - 1).alias("place"))
+    # Places are counted within districts; one task orders only the districts.
+    before = series.groupBy("district").agg(F.count("*").alias("n"))
+    before = before.select("district", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("district").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = series.withColumn("within", F.row_number().over(W.partitionBy("district").orderBy("problem")))
+    numbered = within.join(before, "district").select(*SERIES, (F.col("before") + F.col("within") - 1).cast("int").alias("place"))
     n = max(1, numbered.count())  # without series the plan is empty
     k = F.col("i")
 
@@ -128,7 +132,7 @@ def make_panels(panel: DataFrame, *, seed: int, events: int = 1200, start: date
     chosen = eligible_series(panel, 70, min_median).select(*SERIES)
     plan = strata(chosen, events).orderBy("i").collect()
     if not plan:
-        raise ValueError("No eligible series for semisynthetic evaluation")
+        raise ValueError("No series is long and busy enough to make synthetic panels from")
     history = panel.join(chosen, SERIES, "left_semi").groupBy(*SERIES).agg(F.sort_array(F.collect_list(F.struct("date", F.col("requests").cast("double").alias("n")))).alias("x"))
     used = sorted({(r["district"], r["problem"]) for r in plan})
     wanted = spark.createDataFrame(used, "district string, problem string")

@@ -154,7 +154,8 @@ def dense_panel(s: SparkSession, d: str) -> DataFrame:
 @_query
 def dense_districts(s: SparkSession, d: str) -> DataFrame:
     """Board and problem counts of two years as a dense panel of districts."""
-    rows = requests(s, d).where(F.col("created_date").between(F.lit(START).cast("timestamp_ntz"), F.lit(END).cast("timestamp_ntz")))
+    after = F.date_add(F.lit(END), 1).cast("timestamp_ntz")
+    rows = requests(s, d).where((F.col("created_date") >= F.lit(START).cast("timestamp_ntz")) & (F.col("created_date") < after))
     return panel.densify(panel.as_panel(panel.daily_sparse(rows)), START, END)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from contextlib import suppress
 from datetime import date
 from functools import lru_cache
 
@@ -20,13 +21,21 @@ MOST_ROWS = 100
 
 @lru_cache(maxsize=4)
 def load_snapshot(spark: SparkSession, path: str) -> dict:
-    """The document published at path, read once; the last good version stays in use."""
+    """The document published at path, read once."""
     try:
         return json.loads(spark.read.text(path, wholetext=True).first()[0])
-    except (AnalysisException, TypeError) as e:
+    except (AnalysisException, TypeError, json.JSONDecodeError) as e:
         raise ArtifactUnavailable(f"Snapshot artifact not found: {path.rsplit('/', 1)[-1]}") from e
 
 
+def latest_snapshot(spark: SparkSession, versions: list[str]) -> dict:
+    """The newest version that can be read: versions are paths, the newest first. Fails if none can."""
+    for path in versions[:-1]:
+        with suppress(ArtifactUnavailable):
+            return load_snapshot(spark, path)
+    return load_snapshot(spark, versions[-1])
+
+
 def _day(value: str | date | None, name: str) -> date | None:
     if value is None or isinstance(value, date):
         return value
@@ -96,7 +105,7 @@ class Facade:
         first, last = (date.fromisoformat(self.document["meta"][k]) for k in ("window_start", "window_end"))
         for name, value in (("start_date", start), ("end_date", end)):
             if value is not None and not first <= value <= last:
-                raise InvalidRequest(f"{name} falls outside the snapshot")
+                raise InvalidRequest(f"{name} is not within the published days")
         if start and end and start > end:
             raise InvalidRequest("start_date must not be after end_date")
         if signal_id:
@@ -110,7 +119,7 @@ class Facade:
             kind, key = "city", ""
         points = self._trends.where((F.col("kind") == kind) & (F.col("key") == key))
         if kind != "city" and points.isEmpty():
-            raise NotFound("No trend matches the requested dimensions")
+            raise NotFound("There is no trend for this district, problem or signal")
         rows = between(points, start, end).orderBy("date").collect()
         with_baseline = kind == "signal"
         return {"metric": "volume", "points": [{"date": str(r["date"]), "observed": r["observed"]} | ({"baseline": r["baseline"]} if with_baseline else {}) for r in rows]}

@@ -56,9 +56,14 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def export_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """One header, every value quoted, quotes doubled, nulls empty."""
-    out = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns or df.columns])
+def export_csv(df: DataFrame, path: str, columns: list[str] | None = None, order: list | None = None) -> None:
+    """Every value and name quoted, quotes doubled, nulls empty.
+
+    With order (of a bounded view, such as a page of signals) one file is written with one header and
+    its rows in that order. Without it, each part file has a header, and rows have no order.
+    """
+    rows = df.orderBy(*order).coalesce(1) if order else df
+    out = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns or df.columns])
     out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
