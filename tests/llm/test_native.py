@@ -114,16 +114,27 @@ def test_frequent_lines_leave_the_texts(spark):
     assert sized.where("n_chars <> length(text)").isEmpty() and sized.count() == len(rows)
 
 
-def test_longest_line_is_frequent(spark):
+def test_documents_are_told_apart_by_their_texts(spark):
     rng = random.Random(4)
-    licence, copy = prose(rng, 30), f"{prose(rng, 20)}\n{prose(rng, 30)}"
-    rows = [(k, f"{licence}\n{prose(rng, 3)}", "big") for k in range(30)] + [(100 + k, copy, "big") for k in range(30)]
-    # Near copies: their longest line is the same.
-    rows += [(200 + k, f"{copy} more\n{prose(rng, 2)}", "big") for k in range(30)]
-    got = {r["doc_id"]: r for r in quality_rules.judge_quality(documents(spark, rows), apart=True).collect()}
-    assert all(got[k]["removed"] == 30 and not got[k]["kept"] for k in range(30))
-    assert all(got[k]["kept"] for k in range(100, 130))
-    assert not any(got[k]["removed"] > 20 for k in range(200, 230))
+    # The shared line is the longest of its documents; exact copies are one document.
+    notice, licence, copy = prose(rng, 60), prose(rng, 30), f"{prose(rng, 20)}\n{prose(rng, 30)}"
+    rows = [(k, f"{prose(rng, 24)}\n{notice}", "one") for k in range(200)]
+    rows += [(1000 + k, f"{licence}\n{prose(rng, 3)}", "two") for k in range(30)] + [(2000 + k, copy, "two") for k in range(300)]
+    got = {r["doc_id"]: (r["removed"], r["kept"]) for r in quality_rules.judge_quality(documents(spark, rows)).collect()}
+    assert all(got[k] == (60, True) for k in range(200))
+    assert all(got[1000 + k] == (30, False) for k in range(30))
+    assert all(got[2000 + k] == (0, True) for k in range(300))
+
+
+def test_many_frequent_lines_of_hot_hosts(spark, monkeypatch):
+    rng = random.Random(8)
+    common = [prose(rng, 12) for _ in range(4)]
+    rows = [(k, f"{prose(rng, 30)}\n{common[k % 2]}", "hot" if k < 900 else None) for k in range(1000)]
+    rows += [(1000 + k, f"{prose(rng, 30)}\n{common[2]}", f"h{k // 20}") for k in range(40)]
+    want = [tuple(r) for r in quality_rules.judge_quality(documents(spark, rows)).orderBy("doc_id").collect()]
+    monkeypatch.setattr(quality_rules, "BROADCAST_KEYS", 0)
+    assert [tuple(r) for r in quality_rules.judge_quality(documents(spark, rows)).orderBy("doc_id").collect()] == want
+    assert sum(r[-1] for r in want) == 12 * 1040
 
 
 def test_rules_empty_and_long(spark):

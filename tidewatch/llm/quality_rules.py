@@ -1,13 +1,11 @@
 """Quality rules: word and line counts of each text, and line frequency across the documents of a host.
 
 A line that many different documents of one host share is boilerplate. Lines are normalised and
-hashed; for each host and line the different documents are counted, where documents with the same
-longest line are one, so that copies and near copies of a document do not count again. That is what the
-SQL says; but documents whose longest line is the shared one are then all one, so the pipeline tells the
-documents of a line apart by their longest other line. Lines above
+hashed; for each host and line the different documents (texts) that have it are counted. Lines above
 the limit are taken away and documents that lose too much are rejected. All steps are DataFrame
-functions; a hot host is split by its lines, and counts are aggregated before every shuffle. A verdict
-has the number of words taken away; kept documents are returned with texts that lack those lines.
+functions; a hot host is split by its lines, counts are aggregated before every shuffle, and texts
+are judged where they are read. A verdict has the number of words taken away; kept documents are
+returned with texts that lack those lines.
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, broadcast_if_few, stored
+from .common import BROADCAST_KEYS, stored
 
 #: Words that a kept document has at least, also after its frequent lines are gone.
 MIN_WORDS = 20
@@ -96,91 +94,100 @@ def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
 
 
-def _lines(docs: DataFrame, apart: bool = False) -> DataFrame:
-    """host, text hash, family (hash of the longest line), and each line's place, hash and words.
+def _line_hashes(text: Column) -> Column:
+    """hash and words of each line that is not blank, in order."""
+    clean = F.filter(F.transform(F.split(text, "\n"), normal), lambda x: x != "")
+    return F.transform(clean, lambda x: F.struct(F.xxhash64(x).alias("hash"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
 
-    With apart, family is the hash of the text's longest line that is not the line itself, if it has one."""
-    clean = F.transform(F.split(F.col("text"), "\n"), normal)
-    rows = docs.where(F.col("text").isNotNull()).select(F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("text_hash"), F.filter(clean, lambda x: x != "").alias("lines"))
 
-    def longest(lines: Column) -> Column:
-        return F.array_max(F.transform(lines, lambda x: F.struct(F.length(x).alias("n"), x.alias("line"))))["line"]
+def _host() -> Column:
+    return F.coalesce("source", F.lit(""))
 
-    # The filter on size keeps the exploded array from being computed anew for each column.
-    hashed = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("words")))
-    first = longest(F.col("lines"))
-    second = let(first, lambda one: longest(F.filter("lines", lambda x: x != one))) if apart else F.lit(None).cast("string")
-    rows = rows.where(F.size("lines") > 0).select("host", "text_hash", F.xxhash64(first).alias("family"), F.xxhash64(F.coalesce(second, first)).alias("next"), hashed.alias("lines"))
-    rows = rows.select("host", "text_hash", "family", "next", F.posexplode("lines").alias("place", "x"))
-    family = F.when(F.col("x.line") == F.col("family"), F.col("next")).otherwise(F.col("family")) if apart else F.col("family")
-    return rows.select("host", "text_hash", family.alias("family"), "place", "x.line", "x.words")
-
-
-def frequent_lines(lines: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, apart: bool = False) -> DataFrame:
-    """host and line (hash) of the frequent lines among _lines(); with apart, a host's documents are its different texts."""
-    counts = lines.select("host", "line", "family").distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
-    hosts = lines.select("host", "text_hash" if apart else "family").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    return counts.join(hosts, "host").where(F.col("n") > line_share * F.col("docs")).select("host", "line")
 
+def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """host and line (hash) of the lines that too many different documents of a host have.
 
-def removed_words(lines: DataFrame, frequent: DataFrame) -> DataFrame:
-    """host, text_hash and removed: words of frequent lines, of each text that has any."""
-    hit = lines.select("host", "line", "text_hash", "place", "words").join(frequent, ["host", "line"])
-    # Copies of a text have the same lines at the same places and count once.
-    return hit.groupBy("host", "text_hash", "place").agg(F.max("words").alias("words")).groupBy("host", "text_hash").agg(F.sum("words").alias("removed"))
+    Documents are different if their texts are, so exact copies count once. A hot host or line is
+    counted by parts: each of its (line, text) pairs is a group of its own before lines are counted.
+    """
+    rows = docs.where(F.col("text").isNotNull()).select(_host().alias("host"), F.xxhash64("text").alias("doc"), F.array_distinct(F.transform(_line_hashes(F.col("text")), lambda x: x["hash"])).alias("lines"))
+    # The filter on size keeps the exploded array from being computed anew for each column.
+    lines = stored(rows.where(F.size("lines") > 0).select("host", "doc", F.explode("lines").alias("line")), "lines")
+    counts = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
+    hosts = lines.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("docs"))
+    return counts.join(hosts, "host").where(F.col("n") > line_share * F.col("docs")).select("host", "line")
 
 
-def without_lines(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """docs with frequent lines (host and hash) taken from their texts; other lines stay as they are, and n_chars follows.
+def _with_frequent(docs: DataFrame, frequent: DataFrame) -> DataFrame:
+    """docs with the array _frequent of its host's frequent lines; null where there are none.
 
-    Above its share of a host's documents a host has few lines, so they are one array a host; a text
-    is compared with those of them that it has.
+    Above its share of a host's documents a host has few lines, so they are one array a host. Few
+    arrays are broadcast. Of many, those of hosts with over a thousandth of all rows (a thousand at
+    most) are broadcast, so that no hot host's texts meet in one task; the others are shuffled.
     """
     by_host = frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_frequent"))
-    by_host = F.broadcast(by_host) if frequent.count() <= BROADCAST_KEYS else by_host
+    if frequent.count() <= BROADCAST_KEYS:
+        return docs.join(F.broadcast(by_host), _host() == F.col("_host"), "left").drop("_host")
+    hot = docs.groupBy(_host().alias("_host")).count().where(F.col("count") > docs.count() / 1000).select("_host", F.lit(True).alias("_hot"))
+    marked = docs.join(F.broadcast(hot), _host() == F.col("_host"), "left").drop("_host")
+    few = marked.where("_hot").join(F.broadcast(by_host.join(F.broadcast(hot), "_host", "left_semi")), _host() == F.col("_host"), "left")
+    rest = marked.where("_hot IS NULL").join(by_host, _host() == F.col("_host"), "left")
+    return few.unionByName(rest).drop("_host", "_hot")
+
 
-    def rest(lines: Column) -> Column:
-        def drop(pairs: Column) -> Column:
-            found = F.array_intersect(F.transform(pairs, lambda x: x["hash"]), F.col("_frequent"))
-            return F.when(F.size(found) > 0, let(found, lambda hit: F.array_join(F.transform(F.filter(pairs, lambda x: ~F.array_contains(hit, x["hash"])), lambda x: x["line"]), "\n"))).otherwise(F.col("text"))
+def removed_words(text: Column, frequent: Column) -> Column:
+    """Words of the text's lines that are frequent."""
 
-        return let(F.transform(lines, lambda x: F.struct(x.alias("line"), F.xxhash64(normal(x)).alias("hash"))), drop)
+    def count(lines: Column) -> Column:
+        found = F.array_intersect(F.transform(lines, lambda x: x["hash"]), frequent)
+        return let(found, lambda hit: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.when(F.array_contains(hit, x["hash"]), x["words"]).otherwise(0)))
 
-    text = F.when(F.col("_frequent").isNull(), F.col("text")).otherwise(rest(F.split("text", "\n")))
-    out = docs.join(by_host, F.coalesce("source", F.lit("")) == F.col("_host"), "left").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_frequent").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return F.when(frequent.isNull(), F.lit(0).cast("long")).otherwise(F.coalesce(let(_line_hashes(text), count), F.lit(0).cast("long")))
 
 
-def judge_quality(docs: DataFrame, keep: bool = False, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED, most_removed: int = MOST_REMOVED, most_removed_short: int = MOST_REMOVED_SHORT, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, apart: bool = False) -> DataFrame:
+def without_lines(text: Column, frequent: Column) -> Column:
+    """The text without its frequent lines; other lines stay as they are."""
+
+    def drop(pairs: Column) -> Column:
+        found = F.array_intersect(F.transform(pairs, lambda x: x["hash"]), frequent)
+        rest = let(found, lambda hit: F.array_join(F.transform(F.filter(pairs, lambda x: ~F.array_contains(hit, x["hash"])), lambda x: x["line"]), "\n"))
+        return F.when(F.size(found) > 0, rest).otherwise(text)
+
+    pairs = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.xxhash64(normal(x)).alias("hash")))
+    return F.when(frequent.isNull() | text.isNull(), text).otherwise(let(pairs, drop))
+
+
+def judge_quality(docs: DataFrame, keep: bool = False, min_words: int = MIN_WORDS, most_repeated: int = MOST_REPEATED, most_removed: int = MOST_REMOVED, most_removed_short: int = MOST_REMOVED_SHORT, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """Counts and verdict of every row of docs(doc_id, text, source, ...).
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and
     removed (words of frequent lines). A null text has no words and fails; a null source is the host
-    ``. Repeated rows are judged each. With keep, the kept rows are returned with all columns of docs,
-    and their texts without the frequent lines. apart: a line's documents are told apart by their
-    longest other line, not by their longest line.
+    ``. Repeated rows are judged each and count once as documents of a line; texts of any length are
+    read whole. An empty table gives no rows. With keep, the kept rows are returned with all columns
+    of docs, their texts without the frequent lines, and n_chars (if there is such a column) set anew.
     """
-    lines = stored(_lines(docs, apart), "lines")
-    frequent = frequent_lines(lines, line_docs, line_share, apart)
-    if keep:
-        frequent = stored(frequent, "frequent")
-    removed = removed_words(lines, frequent)
-    host, text_hash = F.coalesce("source", F.lit("")), F.xxhash64("text")
-    counted = docs.select("doc_id", host.alias("host"), text_hash.alias("text_hash"), base_counts(F.col("text")).alias("c"))
-    zero = [F.coalesce(F.col(f"c.{n}"), F.lit(0).cast("long")).alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    counted = counted.select("doc_id", "host", "text_hash", *zero)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    judged = counted.withColumn("base_failed", failed).join(removed, ["host", "text_hash"], "left").withColumn("removed", F.coalesce("removed", F.lit(0).cast("long")))
-    most = F.when(F.col("n_words") - F.col("removed") < min_words, most_removed_short).otherwise(most_removed)
-    depleted = 100 * F.col("removed") > most * F.col("n_words")
-    judged = judged.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    frequent = stored(frequent_lines(docs, line_docs, line_share), "frequent")
+    rows = _with_frequent(docs, frequent)
+    counts = F.struct(base_counts(F.col("text")).alias("c"), removed_words(F.col("text"), F.col("_frequent")).alias("removed"))
+
+    def verdict(x: Column) -> Column:
+        n, removed = F.coalesce(x["c"]["n_words"], F.lit(0)), x["removed"]
+        failed = (n < min_words) | (100 * F.coalesce(x["c"]["n_repeat_words"], F.lit(0)) > most_repeated * n)
+        most = F.when(n - removed < min_words, most_removed_short).otherwise(most_removed)
+        named = [F.coalesce(x["c"][k], F.lit(0).cast("long")).alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        return F.struct(*named, failed.alias("base_failed"), (~failed & (100 * removed <= most * n)).alias("kept"), removed.alias("removed"))
+
+    judged = let(counts, verdict)
     if keep:
-        # Rejected texts are few and known by host and hash, so no text moves; nor do those that lose lines.
-        rejected = stored(judged.where(~F.col("kept")).select("host", "text_hash").distinct(), "rejected")
-        return without_lines(docs.join(broadcast_if_few(rejected), (host == rejected["host"]) & (text_hash == rejected["text_hash"]), "left_anti"), frequent)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed")
+        # A filter alone: counts and verdict are computed once for each row, texts do not move.
+        out = rows.where(judged["kept"])
+        if "n_chars" in docs.columns:
+            out = out.withColumn("text", without_lines(F.col("text"), F.col("_frequent")))
+            out = out.withColumn("n_chars", F.when(F.col("_frequent").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        else:
+            out = out.withColumn("text", without_lines(F.col("text"), F.col("_frequent")))
+        return out.select(docs.columns)
+    return rows.select("doc_id", judged.alias("x")).select("doc_id", "x.n_words", "x.word_chars", "x.n_symbols", "x.n_dup_lines", "x.n_repeat_words", "x.base_failed", "x.kept", "x.removed")
 
 
 SQL = r"""
@@ -189,10 +196,9 @@ w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_fil
 win AS (SELECT k, i, array_to_string(words[i:i + 7], ' ') AS x FROM w, unnest(range(1, len(words) - 6)) AS u(i) WHERE len(words) >= 8),
 twice AS (SELECT k, i FROM win QUALIFY count(*) OVER (PARTITION BY k, x) > 1),
 rep AS (SELECT k, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS nxt FROM twice) GROUP BY k),
-l AS (SELECT k, host, text, pos, line FROM (SELECT k, host, text, unnest(range(len(lines))) AS pos, unnest(list_transform(lines, lambda x: trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')))) AS line FROM w)),
-fam AS (SELECT k, max_by(line, struct_pack(a := length(line), b := line)) AS family FROM l GROUP BY k),
-c AS (SELECT host, line, count(DISTINCT family) AS n FROM l JOIN fam USING (k) GROUP BY ALL HAVING count(DISTINCT family) > 10),
-hosts AS (SELECT host, count(DISTINCT family) AS docs FROM l JOIN fam USING (k) GROUP BY ALL),
+l AS (SELECT k, host, text, line FROM (SELECT k, host, text, unnest(list_transform(lines, lambda x: trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')))) AS line FROM w)),
+c AS (SELECT host, line, count(DISTINCT text) AS n FROM l GROUP BY ALL HAVING count(DISTINCT text) > 10),
+hosts AS (SELECT host, count(DISTINCT text) AS docs FROM l GROUP BY ALL),
 freq AS (SELECT host, line FROM c JOIN hosts USING (host) WHERE n > 0.02 * docs),
 rem AS (SELECT k, sum(length(line) - length(replace(line, ' ', '')) + 1) AS removed FROM l JOIN freq USING (host, line) GROUP BY k),
 b AS (SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
