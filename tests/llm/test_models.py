@@ -109,58 +109,58 @@ def test_token_files(spark, odd_docs):
     assert token_files.round_trip(odd_docs.limit(0)).isEmpty()
 
 
-def backoff(docs):
-    ids = [(d, WHOLE.encode(t or "", add_special_tokens=False).ids) for d, t in docs]
-    one = Counter(i for _, x in ids for i in x)
-    pairs = [Counter(zip(["<", *x], x, strict=False)) for _, x in ids]
-    two = sum(pairs, Counter())
-    first = Counter()
-    for (a, _), n in two.items():
-        first[a] += n
-    total = sum(one.values())
+def backoff(rows, order):
+    """Scores by definition: the longest n-gram that another document has, own counts left out."""
+    ids = [["<"] * order + WHOLE.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    # N-grams ending at each id and at the last start mark.
+    own = [{n: Counter(tuple(x[j - n + 1 : j + 1]) for j in range(order - 1, len(x))) for n in range(1, order + 1)} for x in ids]
+    every = {n: sum((o[n] for o in own), Counter()) for n in range(1, order + 1)}
+    total = sum(len(x) - order for x in ids)
     out = []
-    for (d, x), own in zip(ids, pairs, strict=True):
-        score = sum(n * (math.log((two[p] - n) / first[p[0]]) if two[p] > n else math.log(0.4 * one[p[1]] / total)) for p, n in own.items())
-        out.append((d, len(x), round(float(score), 6), round(score / len(x), 6) if x else None))
-    return out
-
-
-def test_backoff_by_definition(spark):
-    rng = random.Random(3)
+    for (d, _), x, o in zip(rows, ids, own, strict=True):
+        score = 0.0
+        for j in range(order, len(x)):
+            for n in range(order, 0, -1):
+                g = tuple(x[j - n + 1 : j + 1])
+                if every[n][g] > o[n][g]:
+                    rest = every[n - 1][g[:-1]] - o[n - 1][g[:-1]] if n > 1 else total - (len(x) - order)
+                    score += (order - n) * math.log(0.4) + math.log((every[n][g] - o[n][g]) / rest)
+                    break
+            else:
+                score += order * math.log(0.4) - math.log(max(1, total - (len(x) - order)))
+        out.append((str(d), len(x) - order, score))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff_by_definition(spark, order, monkeypatch):
+    rng = random.Random(order)
     rows = [(k, " ".join(rng.choices("the cat sat on a mat again".split(), k=rng.randint(0, 30)))) for k in range(80)]
-    rows += [(200, None), (201, ""), (202, "unseen zebra"), (203, "long one " * 5000), (None, "the cat"), (0, "the cat")]
-    docs = spark.createDataFrame([(d, t, 1.0) for d, t in rows], "doc_id long, text string, log_score double").repartition(3)
-    got = lm_scoring.score_documents(docs, partition_bytes=5000).collect()
-    shown = sorted(repr((r["doc_id"], r["n_tokens"], round(r["log_score"], 6), None if r["mean_log_score"] is None else round(r["mean_log_score"], 6))) for r in got)
-    assert shown == sorted(map(repr, backoff(rows)))
-    assert lm_scoring.score_documents(docs.limit(0)).isEmpty()
-
-
-def test_backoff_of_order_three(spark):
-    rng = random.Random(9)
-    rows = [(k, " ".join(rng.choices("the cat sat on a mat again".split(), k=rng.randint(0, 30)))) for k in range(60)]
-    rows += [(200, None), (202, "unseen zebra"), (203, "long one " * 3000), (None, "the cat"), (0, "the cat")]
-    ids = [WHOLE.encode(t or "", add_special_tokens=False).ids for _, t in rows]
-    own = [{n: Counter(zip(*(["<", "<", *x][3 - n + k :] for k in range(n)), strict=False)) for n in (2, 3)} for x in ids]
-    one, total = Counter(i for x in ids for i in x), sum(map(len, ids))
-    grams = {n: sum((o[n] for o in own), Counter()) for n in (2, 3)}
-    heads = {n: Counter() for n in (2, 3)}
-    for n in (2, 3):
-        for g, c in grams[n].items():
-            heads[n][g[:-1]] += c
-
-    def value(g, o):
-        for n in (3, 2):
-            h = g[3 - n :]
-            if grams[n][h] > o[n][h]:
-                return (3 - n) * math.log(0.4) + math.log((grams[n][h] - o[n][h]) / heads[n][h[:-1]])
-        return 2 * math.log(0.4) + math.log(one[g[2]] / total)
-
-    want = [(str(d), len(x), sum(c * value(g, o) for g, c in o[3].items())) for (d, _), x, o in zip(rows, ids, own, strict=True)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted((str(r[0]), r[1], r[2]) for r in lm_scoring.score_documents(docs, partition_bytes=5000, order=3).collect())
-    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
-    assert np.allclose([g[2] for g in got], [w[2] for w in sorted(want)])
+    rows += [(200, None), (201, ""), (202, "unseen zebra"), (203, "long one " * 3000), (None, "the cat"), (0, "the cat"), (0, "the cat")]
+    docs = spark.createDataFrame([(d, t, 1.0, 5) for d, t in rows], "doc_id long, text string, log_score double, lot long").repartition(3)
+    for module, grams in ((lm_scoring, 500), (lm_scoring, 10**6)):
+        got = module.score_documents(docs, order=order, partition_grams=grams).collect()
+        shown, want = sorted((str(r["doc_id"]), r["n_tokens"], r["log_score"]) for r in got), backoff(rows, order)
+        assert [g[:2] for g in shown] == [w[:2] for w in want]
+        assert np.allclose([g[2] for g in shown], [w[2] for w in want])
+        assert all(r["mean_log_score"] is None if not r["n_tokens"] else math.isclose(r["mean_log_score"], r["log_score"] / r["n_tokens"]) for r in got)
+    assert lm_scoring.score_documents(docs.limit(0), order=order).isEmpty()
+
+
+def test_scores_set_repeated_documents_apart(spark):
+    rng = random.Random(3)
+    words = [f"{rng.randrange(16**6):06x}" for k in range(3000)]
+    texts = [" ".join(rng.choices(words, k=120)) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:20])), "doc_id long, text string")
+    got = {r["doc_id"]: r["mean_log_score"] for r in lm_scoring.score_documents(docs).collect()}
+    twice, once = [got[k] for k in [*range(20), *range(300, 320)]], [got[k] for k in range(20, 300)]
+    assert min(twice) > max(once)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 300), max_size=50))
+def test_packed_numbers(values):
+    assert lm_scoring.unpack(lm_scoring.pack(np.array(values, np.uint64)), len(values)).tolist() == values
 
 
 def test_held_out_ids(spark):

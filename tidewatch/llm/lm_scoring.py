@@ -1,14 +1,15 @@
 """Language-model scores of documents: stupid backoff over token ids, computed relationally.
 
-Count tables: unigrams are summed by id and have a row an id of the tokenizer's vocabulary at most,
-so they can be broadcast. Bigrams are hash partitioned: each document's distinct bigrams go, as packed
-columns of a lot of documents, to the partition of their hash, where the partition's count table is
-made and joined with them at once; each partition answers with a sum a document, and the answers are
-summed per document. The number of partitions follows the corpus, so a partition's size is bounded.
-
-Trigrams (order 3) go to two partitions: that of their first two ids has the context's count and
-scores the trigrams that another document has; that of their last two ids has the pair's count and
-scores the step back of the others. Both see all occurrences of a trigram, so they agree on which is which.
+1. Texts are encoded once and stored as lots: the token ids of about a million tokens of documents.
+2. Each lot explodes to its distinct n-grams of every order, with their counts in the lot, as packed
+   columns by hash partition. An n-gram moves once a lot, however many of the lot's documents have it,
+   so that a hot n-gram has no more entries than there are lots.
+3. Each hash partition sums its lots' entries to its part of the count table and joins it with them at
+   once: each lot gets the corpus counts of its n-grams, in order, without their keys.
+4. Lots are joined with their counts. What a document itself has of an n-gram and of its context is
+   taken out of both counts, and the logarithms are summed per document.
+
+Keys are exact numbers (ids as digits), not hashes, and partitions grow in number with the corpus.
 """
 
 from __future__ import annotations
@@ -20,24 +21,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, map_arrow, worker_cache
+from .common import chunks, give_back, map_arrow, stored, worker_cache
 from .tokens import ENCODED_ROWS, default_tokenizer, encoder
 
 #: Fixed value of the method: the factor of a step back.
 BACKOFF = 0.4
-#: Bytes of text that one hash partition of bigrams is made for.
-PARTITION_BYTES = 16_000_000
-#: Token ids and documents that a task gathers to one lot.
-LOT_TOKENS, LOT_DOCS = 1_500_000, 60_000
+ORDER = 3
+#: Token ids and documents that a task gathers to one lot; a longer text is a lot of its own.
+LOT_TOKENS, LOT_DOCS = 1_000_000, 60_000
+#: N-grams, repeats of a lot counted, that one hash partition is made for.
+PARTITION_GRAMS = 8_000_000
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-PACKED = "part int, lot long, docs binary, keys binary, counts binary, doc_ids array<bigint>, n_tokens array<bigint>"
-_PACKED = pa.schema([("part", pa.int32()), ("lot", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64()))])
-ANSWERS = "lot long, docs binary, sums binary, doc_ids array<bigint>, n_tokens array<bigint>"
-_ANSWERS = pa.schema([("lot", pa.int64()), ("docs", pa.binary()), ("sums", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64()))])
-SCHEMA = "doc_id long, n_tokens long, log_score double, mean_log_score double"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("log_score", pa.float64()), ("mean_log_score", pa.float64())])
+LOTS = "lot long, doc_ids array<bigint>, sizes array<bigint>, n_tokens long, ids binary"
+_LOTS = pa.schema([("lot", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+GRAMS = "part int, lot long, gram int, n int, keys binary, counts binary"
+_GRAMS = pa.schema([("part", pa.int32()), ("lot", pa.int64()), ("gram", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+TOTALS = "lot long, part int, gram int, n int, totals binary"
+_TOTALS = pa.schema([("lot", pa.int64()), ("part", pa.int32()), ("gram", pa.int32()), ("n", pa.int32()), ("totals", pa.binary())])
+SCHEMA = "doc_id long, n_tokens long, mean_log_score double, log_score double"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("mean_log_score", pa.float64()), ("log_score", pa.float64())])
 
 
 def vocabulary_size(path: str) -> int:
@@ -46,188 +50,181 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
-def unigrams(docs: DataFrame, path: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """How often each id occurs, and how often as the first of a bigram (`size` stands for a text's start)."""
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes, all lowest bytes first: high bytes are mostly zero."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    used = max((k + 1 for k in range(8) if planes[k].any()), default=1)
+    return bytes([used]) + pa.compress(planes[:used].tobytes(), "zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A text's ids, but the last, are each the first of a bigram, and so is its start.
-        n, first = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
-        for chunk in chunks(batches, ENCODED_ROWS):
-            found = [ids for ids in encoder(path).encode(chunk.column(0).to_pylist()) if len(ids)]
-            if found:
-                n += np.bincount(np.concatenate(found), minlength=size + 1)
-                first -= np.bincount([ids[-1] for ids in found], minlength=size + 1)
-                first[size] += len(found)
-        used = np.flatnonzero((n != 0) | (first != 0))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used]), pa.array((n + first)[used])], names=["id", "n", "first"])
 
-    found = map_arrow(docs.select("text"), run, "id long, n long, first long").groupBy("id").agg(F.sum("n").alias("n"), F.sum("first").alias("first")).toArrow()
-    n, first = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
-    at = found.column("id").to_numpy()
-    n[at], first[at] = found.column("n").to_numpy(), found.column("first").to_numpy()
-    return n, first
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    used = raw[0]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :used] = np.frombuffer(pa.decompress(raw[1:], n * used, "zstd", asbytes=True), np.uint8).reshape(used, n).T
+    return out.view("<u8").ravel()
 
 
-def _packed(docs: DataFrame, path: str, size: int, parts: int, order: int) -> DataFrame:
-    """Each lot's distinct n-grams of each document with their counts, by hash partition; and the lot's documents.
-
-    Trigrams u, v, w are keyed as u, v, w in the first `parts` partitions and as v, w, u in as many more.
-    """
-    wide = order == 3 or (size + 1) * size >= 1 << 32
-    kind = "<u8" if wide else "<u4"
+def _lots(docs: DataFrame, path: str) -> DataFrame:
+    """Each lot's documents (doc_id and number of ids) and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         lot = TaskContext.get().partitionId() << 32
         names: list[int | None] = []
-        sizes: list[int] = []
-        keys: list[np.ndarray] = []
-
-        def blocks(key: np.ndarray, hashed: np.ndarray, side: int) -> list[tuple]:
-            doc = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
-            part = ((hashed * _SPREAD) >> np.uint64(40)) % np.uint64(parts) + np.uint64(side * parts)
-            # Sorted by partition, document and key. One sort of packed numbers where they fit in 64 bits.
-            if not wide and parts <= 1 << 16 and len(sizes) <= 1 << 16:
-                packed, counts = np.unique(part << np.uint64(48) | doc << np.uint64(32) | key, return_counts=True)
-                part, doc, key = packed >> np.uint64(48), packed >> np.uint64(32) & np.uint64(0xFFFF), packed & np.uint64(0xFFFFFFFF)
-            else:
-                at = np.lexsort((key, doc, part))
-                part, doc, key = part[at], doc[at], key[at]
-                new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.zeros(0, int)
-                counts = np.diff(np.r_[new, len(key)])
-                part, doc, key = part[new], doc[new], key[new]
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
-            ends = np.r_[starts[1:], len(part)].astype(int)
-            doc, key, counts = doc.astype("<u4"), key.astype(kind), counts.astype("<u4")
-            return [(int(part[a]), lot, doc[a:b].tobytes(), key[a:b].tobytes(), counts[a:b].tobytes(), None, None) for a, b in zip(starts, ends, strict=True)]
+        found: list[np.ndarray] = []
+        held = 0
 
         def close() -> pa.RecordBatch:
-            key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            if order == 3:
-                base = np.uint64(size + 1)
-                pair, last = key // base, key % base
-                rows = blocks(key, pair, 0)
-                pair, first = pair % base * base + last, pair // base
-                rows += blocks(pair * base + first, pair, 1)
-            else:
-                rows = blocks(key, key, 0)
-            rows.append((lot % parts, lot, None, None, None, names, sizes))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+            row = (lot, names, [len(f) for f in found], held, pack(np.concatenate(found)))
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _LOTS, strict=True)], schema=_LOTS)
 
-        held = 0
         for chunk in chunks(batches, ENCODED_ROWS):
             for doc_id, ids in zip(chunk.column(0).to_pylist(), encoder(path).encode(chunk.column(1).to_pylist()), strict=True):
+                if names and (held + len(ids) > LOT_TOKENS or len(names) >= LOT_DOCS):
+                    yield close()
+                    names, found, held = [], [], 0
+                    lot += 1
                 names.append(doc_id)
-                sizes.append(len(ids))
-                if len(ids):
-                    wide_ids = ids.astype(np.uint64)
-                    before = np.empty(len(ids), np.uint64)
-                    before[0], before[1:] = size, wide_ids[:-1]
-                    if order == 3:
-                        base = np.uint64(size + 1)
-                        two = np.r_[np.uint64(size), before[:-1]]
-                        keys.append((two * base + before) * base + wide_ids)
-                    else:
-                        keys.append(before * np.uint64(size) + wide_ids)
+                found.append(ids)
                 held += len(ids)
-            if held >= LOT_TOKENS or len(names) >= LOT_DOCS:
-                yield close()
-                names, sizes, keys, held = [], [], [], 0
-                lot += 1
         if names:
             yield close()
 
-    return map_arrow(docs.select("doc_id", "text"), run, PACKED)
+    return map_arrow(docs.select("doc_id", "text"), run, LOTS)
+
 
+class Grams:
+    """The n-grams of a lot: each document is a start mark and its ids, and an n-gram ends at each of them.
 
-def score_documents(docs: DataFrame, tokenizer: str | None = None, partition_bytes: int = PARTITION_BYTES, order: int = 2) -> DataFrame:
+    What stands before a document's start mark counts as start marks, too.
+    """
+
+    def __init__(self, sizes: np.ndarray, ids: np.ndarray, start: int) -> None:
+        self.base = np.uint64(start + 1)
+        ends = np.cumsum(sizes + 1)
+        self.first = ends - (sizes + 1)  # places of start marks
+        self.doc = np.repeat(np.arange(len(sizes)), sizes + 1)
+        every = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+        real = np.ones(len(every), bool)
+        real[self.first] = False
+        every[self.first] = start
+        every[real] = ids
+        self.every, self.real, self.start = every, np.flatnonzero(real), np.uint64(start)
+
+    def keys(self, n: int) -> np.ndarray:
+        """The n-gram that ends at each place, as a number whose digits are ids."""
+        key, shifted = self.every.copy(), self.every
+        for k in range(1, n):
+            before = np.empty_like(shifted)
+            before[1:] = shifted[:-1]
+            before[self.first] = self.start
+            key += before * self.base ** np.uint64(k)
+            shifted = before
+        return key
+
+
+def _by_part(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How a lot's distinct n-grams, in order, are dealt: places by partition, where each partition starts, and which it is."""
+    part = ((key * _SPREAD) >> np.uint64(40)) % np.uint64(parts)
+    part = part.astype(np.uint16 if parts <= 1 << 16 else np.uint64)  # short numbers sort faster
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
+    return order, starts, part[starts]
+
+
+def _read(batch: pa.Table | pa.RecordBatch, row: int, size: int) -> Grams:
+    sizes = np.array(batch.column("sizes")[row].as_py(), np.int64)
+    return Grams(sizes, unpack(batch.column("ids")[row].as_py(), int(sizes.sum())), size)
+
+
+def score_documents(docs: DataFrame, tokenizer: str | None = None, order: int = ORDER, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
     """Stupid-backoff scores of every row of docs(doc_id, text, ...) by the counts of all rows.
 
-    The model is of order 2 or 3. A bigram's count leaves out the document that is scored, so a text's own
-    words don't vouch for it: log(c(a, b) / c(a)) where another document has (a, b), else
-    log(0.4 c(b) / N). Order 3 looks first for (z, a, b) in another document, with log(c(z, a, b) / c(z, a)),
-    and else adds log(0.4) to what order 2 gives. Each text starts with order - 1 start marks. log_score is the sum and mean_log_score
-    the mean over ids. Null and empty texts have no ids, sum 0 and a null mean. Repeated rows are
-    documents of their own. An empty table gives no rows.
+    An id's score is log(c(g) / c(h)), where g is the longest n-gram (of at most `order` ids) ending at
+    the id that another document has and h is g without the id, plus log(0.4) for each step back from
+    `order`. Counts leave out the document that is scored, of g and of h alike; h of a single id is
+    nothing, whose count is all ids of the other documents. An id that no other document has counts
+    one step back more, as once in all. Each text is preceded by start marks.
+
+    log_score is the sum over a document's ids and mean_log_score, which compares documents of any
+    length, the mean. Null and empty texts have no ids, sum 0 and a null mean. Repeated rows are
+    documents of their own. Very long texts are read whole, one to a lot. An empty table gives no rows.
     """
     path = tokenizer or default_tokenizer()
     size = vocabulary_size(path)
-    if order not in (2, 3) or (size + 1) ** order >= 1 << 64:
+    if order < 1 or (size + 1) ** order >= 1 << 64:
         raise ValueError(f"order {order} with {size} ids")
-    kind = "<u8" if order == 3 or (size + 1) * size >= 1 << 32 else "<u4"
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total * (order - 1) // partition_bytes))  # keys of order 3 are twice as long
-    n, first = unigrams(docs, path, size)
-    with np.errstate(divide="ignore"):
-        log_first = np.log(first)
-        log_back = np.log(BACKOFF) + np.log(n) - np.log(max(1, n.sum()))
-    shared = docs.sparkSession.sparkContext.broadcast((log_first, log_back))  # two numbers an id of the vocabulary
-
-    def trigrams(every: np.ndarray, count: np.ndarray, new: np.ndarray, stepped: bool) -> np.ndarray:
-        """What each trigram adds to its document; new: where a document's entries start."""
-        if not len(every):
-            return np.zeros(0)
-        base = np.uint64(size + 1)
-        keys, place = np.unique(every, return_inverse=True)
-        total = np.bincount(place, count)
-        pairs = keys // base
-        starts = np.flatnonzero(np.r_[True, pairs[1:] != pairs[:-1]])
-        of_pair = np.repeat(np.add.reduceat(total, starts), np.diff(np.r_[starts, len(keys)]))[place]
-        others = total[place] - count
-        if not stepped:
-            return count * np.where(others > 0, np.log(np.maximum(others, 1)) - np.log(of_pair), 0.0)
-        pair = every // base
-        # The document's own count of the pair; its trigrams of one pair are neighbours.
-        runs = np.flatnonzero(new | np.r_[True, pair[1:] != pair[:-1]])
-        own = np.repeat(np.add.reduceat(count.astype(np.int64), runs), np.diff(np.r_[runs, len(pair)]))
-        pair_others = of_pair - own
-        log_first, log_back = shared.value
-        a, b = pair // base, pair % base
-        back = np.where(pair_others > 0, np.log(np.maximum(pair_others, 1)) - log_first[a], log_back[b])
-        return np.where(others > 0, 0.0, count * (np.log(BACKOFF) + back))
-
-    def bigrams(every: np.ndarray, count: np.ndarray) -> np.ndarray:
-        log_first, log_back = shared.value
-        # The partition's count table, joined with its bigrams by place.
-        _, place = np.unique(every, return_inverse=True)
-        others = np.bincount(place, count)[place] - count if len(every) else np.zeros(0)
-        a = every // every.dtype.type(size)
-        b = every - a * every.dtype.type(size)
-        with np.errstate(divide="ignore"):
-            return count * np.where(others > 0, np.log(np.maximum(others, 1)) - log_first[a], log_back[b])
-
-    def join(batch: pa.Table) -> pa.Table:
+    lots = stored(_lots(docs, path), "lots")
+    total = lots.agg(F.sum("n_tokens")).first()[0] or 0
+    parts = max(1, -(-total * order // partition_grams))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("counts", dict)  # the encoder's memory is needed here
+        for chunk in chunks(batches, 1):
+            grams, lot = _read(chunk, 0, size), chunk.column("lot")[0].as_py()
+            for n in range(1, order + 1):
+                key, counts = np.unique(grams.keys(n), return_counts=True)
+                at, starts, which = _by_part(key, parts)
+                key, counts, ends = key[at], counts[at], np.r_[starts[1:], len(key)].astype(int)
+                rows = [(int(p), lot, n, int(b - a), pack(np.diff(key[a:b], prepend=np.uint64(0))), pack(counts[a:b])) for p, a, b in zip(which, starts, ends, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _GRAMS, strict=True)], schema=_GRAMS)
+
+    def count(batch: pa.Table) -> pa.Table:
+        """The partition's count table, joined with its lots' entries by their places."""
+        give_back()
+        out: list[tuple] = []
+        for n in range(1, order + 1):
+            rows = batch.filter(pa.array(batch.column("gram").to_numpy() == n, pa.bool_()))
+            lengths = rows.column("n").to_pylist()
+            key = np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(unpack(k, m), dtype=np.uint64) for k, m in zip(rows.column("keys").to_pylist(), lengths, strict=True))])
+            own = np.concatenate([np.zeros(0, np.uint64), *(unpack(c, m) for c, m in zip(rows.column("counts").to_pylist(), lengths, strict=True))])
+            table, place = np.unique(key, return_inverse=True)
+            del key
+            sums = np.bincount(place, own, len(table)).astype(np.uint64)[place]
+            at = 0
+            for lot, part, m in zip(rows.column("lot").to_pylist(), rows.column("part").to_pylist(), lengths, strict=True):
+                out.append((lot, part, n, m, pack(sums[at : at + m])))
+                at += m
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(_TOTALS)
+        give_back()
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _TOTALS, strict=True)], schema=_TOTALS)
+
+    def score(lot: pa.Table, totals: pa.Table) -> pa.Table:
         give_back()
-        lots, docs_of, keys, counts = (batch.column(c).to_pylist() for c in ("lot", "docs", "keys", "counts"))
-        filled = [i for i, k in enumerate(keys) if k is not None]
-        every = np.frombuffer(b"".join(keys[i] for i in filled), kind)
-        count = np.frombuffer(b"".join(counts[i] for i in filled), "<u4")
-        if order == 3:
-            docs_at = [np.frombuffer(docs_of[i], "<u4") for i in filled]
-            new = np.concatenate([np.r_[True, d[1:] != d[:-1]] for d in docs_at]) if filled else np.zeros(0, bool)
-            value = trigrams(every, count, new, batch.column("part")[0].as_py() >= parts)
-        else:
-            value = bigrams(every, count)
-        out, at = [], 0
-        for i in filled:
-            doc = np.frombuffer(docs_of[i], "<u4")
-            starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            out.append((lots[i], doc[starts].tobytes(), np.add.reduceat(value[at : at + len(doc)], starts).tobytes(), None, None))
-            at += len(doc)
-        out += [(lots[i], None, None, batch.column("doc_ids")[i].as_py(), batch.column("n_tokens")[i].as_py()) for i, k in enumerate(keys) if k is None]
-        columns = list(zip(*out, strict=True)) if out else [[]] * len(_ANSWERS)
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ANSWERS, strict=True)], schema=_ANSWERS)
-
-    def add(batch: pa.Table) -> pa.Table:
-        docs_of, sums = batch.column("docs").to_pylist(), batch.column("sums").to_pylist()
-        head = next(i for i, d in enumerate(docs_of) if d is None)
-        names, sizes = batch.column("doc_ids")[head].as_py(), batch.column("n_tokens")[head].as_py()
-        doc = np.frombuffer(b"".join(d for d in docs_of if d), "<u4")
-        total = np.bincount(doc, np.frombuffer(b"".join(s for s in sums if s), "<f8"), len(names))
-        mean = [float(t) / s if s else None for t, s in zip(total, sizes, strict=True)]
-        return pa.table([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], schema=_SCHEMA)
-
-    answers = _packed(docs, path, size, parts, order).groupBy("part").applyInArrow(join, ANSWERS)
-    return answers.groupBy("lot").applyInArrow(add, SCHEMA)
+        if not lot.num_rows:
+            return _SCHEMA.empty_table()
+        grams = _read(lot, 0, size)
+        names, sizes = lot.column("doc_ids")[0].as_py(), np.diff(np.r_[grams.first, len(grams.every)]) - 1
+        given = {(g, p): (r, n) for g, p, r, n in zip(*(totals.column(c).to_pylist() for c in ("gram", "part", "totals", "n")), strict=True)}
+        real = grams.real
+        above = np.full(len(grams.every), float(total)) - sizes[grams.doc]  # what others have of the context: all ids, for n = 1
+        best: np.ndarray | None = None
+        for n in range(1, order + 1):
+            key = grams.keys(n)
+            sort = np.argsort(key, kind="stable")  # by n-gram, then by document
+            key, doc = key[sort], grams.doc[sort]
+            new = np.r_[True, key[1:] != key[:-1]]
+            at, _, which = _by_part(key[new], parts)
+            everywhere = np.empty(len(at), np.uint64)
+            everywhere[at] = np.concatenate([unpack(*given[n, int(p)]) for p in which])
+            # What a document itself has of an n-gram stands together.
+            runs = np.flatnonzero(new | np.r_[True, doc[1:] != doc[:-1]])
+            own = np.repeat(np.diff(np.r_[runs, len(key)]), np.diff(np.r_[runs, len(key)]))
+            others = np.empty(len(key))
+            others[sort] = everywhere[np.cumsum(new) - 1].astype(np.float64) - own
+            del key, sort, doc, new, at, runs, own, everywhere
+            here, context = others[real], above[real] if n == 1 else above[real - 1]
+            below = np.log(np.maximum(context, 1))
+            if best is None:
+                best = order * np.log(BACKOFF) - below  # no other document has the id
+            best = np.where(here > 0, (order - n) * np.log(BACKOFF) + np.log(np.maximum(here, 1)) - below, best)
+            above = others
+        sums = np.bincount(grams.doc[real], best, len(names)) if len(real) else np.zeros(len(names))
+        mean = [float(t) / s if s else None for t, s in zip(sums, sizes.tolist(), strict=True)]
+        return pa.table([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mean, pa.float64()), pa.array(sums, pa.float64())], schema=_SCHEMA)
+
+    packed = map_arrow(lots.select("lot", "sizes", "ids"), explode, GRAMS)
+    counted = packed.groupBy("part").applyInArrow(count, TOTALS)
+    return lots.select("lot", "doc_ids", "sizes", "ids").groupBy("lot").cogroup(counted.groupBy("lot")).applyInArrow(score, SCHEMA)
