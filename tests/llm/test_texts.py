@@ -84,6 +84,41 @@ def test_minimum_cut_is_minimal():
         assert cost(html_extract.minimum_cut(n, s, t, edges)) == pytest.approx(best)
 
 
+@pytest.mark.parametrize("n", [1_000, 40_000])
+def test_long_pages(n):
+    import time
+
+    rng = random.Random(n)
+    page = "<main>" + "".join(f"<p>{'Some sentence of words that go on. ' * rng.randint(0, 3)}x</p>" if rng.random() < 0.6 else f"<p><a href=u>link {k}</a></p>" for k in range(n)) + "</main>"
+    blocks = html_extract.read_blocks(page)
+    odds = [rng.gauss(-1, 3) for b in blocks]
+    began = time.process_time()
+    cut = html_extract.minimum_cut(len(blocks), [max(0.0, -v) for v in odds], [max(0.0, v) for v in odds], html_extract.smoothness(blocks))
+    assert time.process_time() - began < 5 and 0 < sum(cut) < len(blocks) == n
+
+
+LONG = "This is a paragraph of the article that goes on for some words, as articles do."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # One word of an identifier does not decide.
+        (f'<article><div class="search-results-explained"><p>{LONG}</p></div><p id="main-form-of-address">{LONG}</p></article>', f"{LONG}\n{LONG}"),
+        (f'<div class="post comments-open"><h1>Head line</h1><p>{LONG}</p></div>', f"Head line\n{LONG}"),
+        # Nor does a page without any.
+        (f"<div><a href=x>Home</a> | <a href=y>About</a></div><div>{LONG} {LONG}</div><div>{LONG}</div><div>All rights reserved 2020</div>", f"{LONG} {LONG}\n{LONG}"),
+        (f"<div>{LONG}</div><div>{LONG}</div><div>Copyright © 2020 Example Ltd</div>", f"{LONG}\n{LONG}"),
+        # Long identifiers whose last word names the thing.
+        (f'<main><p>{LONG}</p><div class="article-comments"><p>{LONG} Nice!</p></div><div id="cookie-notice"><p>{LONG}</p></div></main>', LONG),
+        (f'<div role="main"><p>{LONG}</p><ul class="related-links"><li><a href=x>One more story</a><li><a href=y>Another story here</a></ul></div>', LONG),
+        (f'<div class="site-footer-inner"><p>{LONG}</p></div><section><p>{LONG} Yes.</p><p>{LONG}</p></section>', f"{LONG} Yes.\n{LONG}"),
+    ],
+)
+def test_evidence_is_combined(page, text):
+    assert html_extract.extract(f"<html><body>{page}</body></html>")[0] == text
+
+
 def word_set(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()

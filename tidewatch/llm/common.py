@@ -9,6 +9,7 @@ import tempfile
 import types
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,13 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share.
 
-    The folder is spark.checkpoint.dir; only where a session sets none (tests in local mode)
-    a temporary folder is made and set.
+    The folder is spark.checkpoint.dir; only in local mode, where a session sets none, a temporary
+    folder is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         base = spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidewatch-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
@@ -70,11 +73,34 @@ def broadcast_if_few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
+def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], n: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows (about n of them) joined with values, which has at most one row a key.
+
+    A key with over a thousandth of the rows is dealt to several tasks, and its row of values is
+    repeated for each; there are a thousand such keys at most, so they are broadcast, and two thousand
+    repeats. Null keys match nothing and are dealt to a thousand. counts, if given, has how many rows each key has, as _n.
+    """
+    most = max(1, n // 1000)
+    counts = rows.groupBy(keys).agg(F.count("*").alias("_n")) if counts is None else counts
+    heavy = F.broadcast(counts.where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_salts")))
+    deal = F.xxhash64(*keys, F.monotonically_increasing_id())
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    salt = F.pmod(deal, F.when(missing, 1000).otherwise(F.coalesce("_salts", F.lit(1)))).cast("int")
+    dealt = rows.join(heavy, keys, "left").withColumn("_salt", salt).drop("_salts")
+    repeated = values.join(heavy, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's text is divisible by 5; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def hash_share(value: Column, share: Column) -> Column:
+    """True for the values in the lowest `share` (a number, all from 1 on) of 64-bit hashes."""
+    return (share >= 1) | ((F.xxhash64(value).cast("double") + 2.0**63) < share * 2.0**64)
+
+
 def worker_cache(kind: str, make: Callable[[], object]) -> object:
     """This Python worker's cache of a kind, made if it has none. A worker holds one kind at a time, so
     that what one operator remembers doesn't take memory from the next."""

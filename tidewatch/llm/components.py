@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -31,6 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = stored(small, "edges")
+        done, edges = edges, stored(small, "edges")
+        discard(done)
     roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -1,8 +1,9 @@
 """Main text of web pages by a minimum cut.
 
-A page is read into text blocks with the elements around them. A classifier gives each block a cost
-of calling it content and one of calling it boilerplate; these are the capacities of its edges to
-the two terminals. Blocks that follow each other, and blocks that are near in the element tree, are
+A page is read into text blocks with the elements around them. A classifier adds up evidence of the
+elements' names and identifiers, of the block's words, links and sentences, and of its place in the page,
+and gives each block a cost of calling it content and one of calling it boilerplate; these are the
+capacities of its edges to the two terminals. Blocks that follow each other, and blocks that are near in the element tree, are
 tied by smoothness edges. A maximum flow between the terminals leaves the cheapest labelling: the
 blocks that the source still reaches are the page's content.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, deque
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -57,8 +58,23 @@ WORD_EVIDENCE = {
     **dict.fromkeys("header".split(), 2.5),
     **dict.fromkeys("article content post entry story body main text maincontent articlebody".split(), -2.0),
 }
-#: Weights of the classifier of a block's own text.
+#: Words that name a part's shape rather than its kind; they count only where an identifier has no other.
+SHAPE_WORDS = frozenset("container wrapper wrap inner outer box block area section list item items panel group row col column left right top bottom content body text main page site widget title link links bar".split())
+#: How much the last word of an identifier, which names the thing, counts against each before it.
+HEAD_WEIGHT = 2.0
+#: What further identifiers of an element add to the strongest.
+FURTHER = 0.3
+#: Words of notices, forms and adverts in a block's own text, in the languages of the tables, and what a block that consists of them gets.
+CUE_WORDS = frozenset(
+    "copyright rights reserved cookie cookies privacy policy terms imprint subscribe newsletter advertisement sponsored login signup share tweet follow "
+    "rechte vorbehalten datenschutz impressum agb werbung anzeige newsletter anmelden teilen "
+    "droits réservés confidentialité mentions légales publicité abonnez partager connexion "
+    "derechos reservados privacidad aviso legal publicidad suscríbete compartir".split()
+)
+CUE, CUE_SHARE = 3.0, 0.25
+#: Weights of the classifier of a block's own text, and of short blocks in the first and last twentieth of a page.
 BIAS, PER_LOG_WORD, PER_LINK, PER_SENTENCE = 0.3, -0.55, 3.0, -0.9
+EDGE, EDGE_SHARE, EDGE_WORDS = 0.6, 0.05, 12
 #: Capacities of the smoothness edges.
 ADJACENT, SIBLING, COUSIN = 0.35, 0.6, 0.2
 
@@ -68,6 +84,7 @@ _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _HIDDEN_END = re.compile(rf"</({'|'.join(sorted(HIDDEN))})(?=[\s/>])", re.I)
 _ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden|style|itemprop)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_CUE = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SENTENCE = re.compile(r"[.!?…。？！][\"'”’»)]*(?:\s|$)")
 
@@ -93,19 +110,31 @@ class Block:
     text: str = ""
 
 
+def identifier_evidence(identifier: str) -> float:
+    """Evidence of one class, id, role or label: the mean of its words', in which the last one weighs more.
+
+    A known word among others that aren't known counts little, so `search-results-explained` is no search form.
+    """
+    words = _WORD.findall(_CAMEL.sub(" ", identifier).lower())
+    words = [w for w in words if w not in SHAPE_WORDS] or words
+    if not words:
+        return 0.0
+    weights = [1.0] * (len(words) - 1) + [HEAD_WEIGHT]
+    return sum(k * WORD_EVIDENCE.get(w, 0.0) for k, w in zip(weights, words, strict=True)) / sum(weights)
+
+
 def _evidence(name: str, attributes: str) -> float:
     value = NAME_EVIDENCE.get(name, 0.0)
     if attributes and len(attributes) > 3:
-        words: set[str] = set()
+        found: list[float] = []
         for key, given in _ATTRIBUTE.findall(attributes):
             key, given = key.lower(), given.strip("\"'")
             if key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", given, re.I)):
                 value += 8.0
             elif key != "style":
-                words.update(_WORD.findall(_CAMEL.sub(" ", given).lower()))
-        found = [WORD_EVIDENCE[w] for w in words if w in WORD_EVIDENCE]
-        if found:
-            value += max(found) if max(found) > 0 else min(found)
+                found += [identifier_evidence(x) for x in ([given] if key == "aria-label" else given.split())]
+        strongest = max(found, key=abs, default=0.0)
+        value += strongest + FURTHER * (sum(found) - strongest)
     return value
 
 
@@ -221,65 +250,99 @@ def read_blocks(html: str) -> list[Block]:
     return [b for b in blocks if b.text]
 
 
-def log_odds(block: Block) -> float:
-    """The classifier: log odds that a block is boilerplate, from its text and what it stands in."""
+def log_odds(block: Block, place: float = 0.5) -> float:
+    """The classifier: log odds that a block is boilerplate, from its text, its place in the page (0 to 1) and what it stands in."""
     text = block.text
     words = text.count(" ") + 1
     value = BIAS + PER_LOG_WORD * math.log(words) + PER_LINK * min(1.0, block.link_chars / max(1, block.chars))
-    if words >= 4 and _SENTENCE.search(text):
+    sentence = words >= 4 and _SENTENCE.search(text)
+    if sentence:
         value += PER_SENTENCE
+    if words <= 40:
+        # What a short block says: notices are full of their own words.
+        cues = sum(w in CUE_WORDS for w in _CUE.findall(text.lower())) + 2 * ("©" in text)
+        value += CUE * min(1.0, cues / words / CUE_SHARE)
+    if words <= EDGE_WORDS and not sentence and min(place, 1 - place) < EDGE_SHARE:
+        value += EDGE
     bad, good = block.parent.bad, block.parent.good
     # What marks boilerplate outweighs what marks content: notices and comments stand in articles too.
-    return value + bad + (good if bad < 4 else 0.25 * good)
+    return value + bad + (good if bad < 3 else 0.25 * good)
 
 
 def minimum_cut(n: int, source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which of n nodes stay with the source. source and sink: terminal capacities; edges go both ways.
 
-    Flow is first sent straight through each node; what remains is augmented along shortest paths.
+    Flow is first sent straight through each node. Then, in phases, nodes are numbered by their distance
+    from what is left at the source, and all shortest ways to the sink are filled at once: a node that
+    leads nowhere is not tried again in a phase.
     """
+    merged: dict[tuple[int, int], float] = {}
+    for a, b, c in edges:
+        key = (a, b) if a < b else (b, a)
+        merged[key] = merged.get(key, 0.0) + c
     head: list[list[int]] = [[] for _ in range(n)]
     to: list[int] = []
     room: list[float] = []
-    for a, b, c in edges:
+    for (a, b), c in merged.items():
         head[a].append(len(to))
-        to.append(b)
-        room.append(c)
-        head[b].append(len(to))
-        to.append(a)
-        room.append(c)
+        head[b].append(len(to) + 1)
+        to += (b, a)
+        room += (c, c)
+    tiny = 1e-9
     left = [max(0.0, s - t) for s, t in zip(source, sink, strict=True)]
     take = [max(0.0, t - s) for s, t in zip(source, sink, strict=True)]
     while True:
-        came: list[int] = [-2] * n
-        queue = deque()
-        for i in range(n):
-            if left[i] > 1e-9:
-                came[i] = -1
-                queue.append(i)
-        end = -1
-        while queue:
-            i = queue.popleft()
-            if take[i] > 1e-9:
-                end = i
-                break
-            for e in head[i]:
-                j = to[e]
-                if came[j] == -2 and room[e] > 1e-9:
-                    came[j] = e
-                    queue.append(j)
-        if end < 0:
-            return [c != -2 for c in came]
-        path, i = [], end
-        while came[i] >= 0:
-            path.append(came[i])
-            i = to[came[i] ^ 1]
-        flow = min([left[i], take[end], *(room[e] for e in path)])
-        left[i] -= flow
-        take[end] -= flow
-        for e in path:
-            room[e] -= flow
-            room[e ^ 1] += flow
+        level = [-1] * n
+        front = starts = [i for i in range(n) if left[i] > tiny]
+        for i in front:
+            level[i] = 0
+        depth, found = 0, False
+        while front and not found:
+            depth += 1
+            nearest = []
+            for i in front:
+                if take[i] > tiny:
+                    found = True
+                for e in head[i]:
+                    j = to[e]
+                    if level[j] < 0 and room[e] > tiny:
+                        level[j] = depth
+                        nearest.append(j)
+            front = nearest
+        if not found:
+            return [k >= 0 for k in level]
+        after = [0] * n  # the next edge to try, by node
+        for start in starts:
+            path: list[int] = []
+            i = start
+            while left[start] > tiny:
+                if take[i] > tiny:
+                    flow = min([left[start], take[i], *(room[e] for e in path)])
+                    left[start] -= flow
+                    take[i] -= flow
+                    full = len(path)
+                    for k, e in enumerate(path):
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                        if room[e] <= tiny and k < full:
+                            full = k
+                    # Go on from before the first edge that is full.
+                    if full < len(path):
+                        i = to[path[full] ^ 1]
+                        del path[full:]
+                    continue
+                edges_of, k = head[i], after[i]
+                while k < len(edges_of) and not (room[edges_of[k]] > tiny and level[to[edges_of[k]]] == level[i] + 1):
+                    k += 1
+                after[i] = k
+                if k < len(edges_of):
+                    path.append(edges_of[k])
+                    i = to[edges_of[k]]
+                elif path:
+                    i = to[path.pop() ^ 1]
+                    after[i] += 1
+                else:
+                    break
 
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
@@ -298,7 +361,7 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
 def extract(html: str | None) -> tuple[str, int, int]:
     """Main text of a page, its blocks and its content blocks."""
     blocks = read_blocks(html or "")
-    odds = [log_odds(b) for b in blocks]
+    odds = [log_odds(b, (k + 0.5) / len(blocks)) for k, b in enumerate(blocks)]
     # Cutting a block from the source costs what calling it boilerplate loses, and the other way round.
     content = minimum_cut(len(blocks), [max(0.0, -v) for v in odds], [max(0.0, v) for v in odds], smoothness(blocks))
     kept = [b.text for b, keep in zip(blocks, content, strict=True) if keep]
@@ -309,7 +372,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """Main text of every row of pages(page_id, url, html, ...).
 
     A null or empty html, or one without content, gives an empty text. Whole pages are read whatever
-    their length; repeated rows give repeated results, and other columns are left out.
+    their length; repeated rows give repeated results, and other columns are left out. An empty table
+    gives no rows. A <header> is left out also inside an article, with a headline that it may hold.
     """
 
     def run(columns: dict[str, list]) -> dict[str, list]:

@@ -2,15 +2,17 @@
 
 1. Census. Every document's set of 5-word shingles is hashed; the shingles whose hashes are low meet
    by hash partition and are counted. A document more than a fifth of whose shingles no other has
-   cannot be like any other, and leaves. What moves are packed hashes of lots of documents.
+   cannot be like any other, and leaves. What moves are packed hashes of lots of documents; a shingle
+   that several documents of a lot have moves once, without them.
 2. The few documents left are read again; equal sets become one, and a second census among the
    sets drops those that had only exact copies.
 3. The sets' shingles are ordered by frequency, rarest first; of each set the prefix stays that two
    like sets must share a shingle of. Sets with the same prefix and size form a group.
-4. Groups that share a prefix shingle and have fitting sizes are candidates. In star rounds each
-   group meets one leader of its shingles; pairs are expanded to members and verified, and linked
-   sets become one component. What is left are pairs between components, which are all verified:
-   no link between components is lost, and no large group of copies is paired with itself.
+4. Groups that share a prefix shingle and have fitting sizes are candidates. While it joins many sets,
+   each group meets one leader of its shingles and its members meet their first; verified pairs make
+   their components one. What is left are pairs of groups that are not of one component: they are
+   filtered by size and position, expanded to members of different components, and all verified. No
+   link between components is lost, and no large group of copies is paired with itself.
 
 All sets of a pair are compared shingle by shingle (by 64-bit hashes) before they count as linked.
 """
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, broadcast_if_few, chunks, discard, map_arrow, stored, word_hashes
+from .common import LOWER, broadcast_if_few, chunks, discard, map_arrow, spread_join, stored, word_hashes
 from .components import connected_components
 
 SHINGLE_WORDS = 5
@@ -36,8 +38,8 @@ CENSUS_SHARE = 0.4
 PARTITION_BYTES = 16_000_000
 #: Shingles and documents of one lot.
 LOT_SHINGLES, LOT_DOCS = 600_000, 60_000
-#: Star rounds at most before the pairs between components are all tried.
-STAR_ROUNDS = 4
+#: Stands for the documents of a shingle that several of a lot have.
+_SEVERAL = 0xFFFFFFFF
 
 #: Odd factors of the hash of a shingle.
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -90,9 +92,12 @@ def _census(rows: DataFrame, sets_of, total_bytes: int) -> DataFrame:
         def close() -> pa.RecordBatch:
             key = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
             doc = np.repeat(np.arange(len(kept), dtype="<u4"), [len(k) for k in kept])
+            order = np.argsort(key, kind="stable")
+            doc, key = doc[order], key[order]
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+            doc = np.where(np.diff(np.r_[new, len(key)]) > 1, np.uint32(_SEVERAL), doc[new]).astype("<u4")
+            key = key[new]
             part = (key // width).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, doc, key = part[order], doc[order], key[order]
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
             ends = np.r_[starts[1:], len(part)].astype(int)
             out = [(int(part[a]), lot, doc[a:b].tobytes(), key[a:b].astype("<u8").tobytes(), None, None) for a, b in zip(starts, ends, strict=True)]
@@ -118,6 +123,7 @@ def _census(rows: DataFrame, sets_of, total_bytes: int) -> DataFrame:
         filled = [i for i, k in enumerate(keys) if k is not None]
         _, place, times = np.unique(np.frombuffer(b"".join(keys[i] for i in filled), "<u8"), return_inverse=True, return_counts=True)
         alone = times[place] == 1
+        alone &= np.frombuffer(b"".join(docs_of[i] for i in filled), "<u4") != _SEVERAL
         out, at = [], 0
         for i in filled:
             doc = np.frombuffer(docs_of[i], "<u4")
@@ -161,30 +167,33 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
-    """sid, n and shingles, the latter as an array of longs."""
+    """sid, rep, n and shingles, the latter as an array of longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("sid", pa.binary()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+        kinds = pa.schema([("sid", pa.binary()), ("rep", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64()))])
         for chunk in chunks(batches):
-            yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), pa.array([np.frombuffer(r, "<i8") for r in chunk.column(2).to_pylist()], pa.list_(pa.int64()))], schema=kinds)
+            found = pa.array([np.frombuffer(r, "<i8") for r in chunk.column(3).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), chunk.column(2), found], schema=kinds)
 
-    return map_arrow(sets.select("sid", "n", "shingles"), run, "sid binary, n long, shingles array<bigint>")
+    return map_arrow(sets.select("sid", "rep", "n", "shingles"), run, "sid binary, rep long, n long, shingles array<bigint>")
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """sid, n, own, gid and prefix (array of place and shingle) of every set whose prefix has a shared shingle.
+    """sid, rep, n, own, gid and prefix (array of place and shingle) of every set whose prefix has a shared shingle.
 
     Shingles are ordered by frequency, then hash. Those of one set alone come first and fill the
     prefix, but they can't match and are only counted, as own.
     """
-    every = sets.select("sid", "n", F.explode("shingles").alias("s"))
+    every = sets.select("sid", "rep", "n", F.explode("shingles").alias("s"))
     counts = sets.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    shared = every.join(counts, "s").groupBy("sid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
+    n = sets.agg(F.sum("n")).first()[0] or 0
+    shared = spread_join(every, counts, ["s"], n, counts=counts.withColumnRenamed("df", "_n"))
+    shared = shared.groupBy("sid").agg(F.first("rep").alias("rep"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
     long = F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") / F.lit(100)) + 1
     first = F.col("n") - F.size("x")
     cut = shared.withColumn("room", (long - first).cast("int")).withColumn("first", first).where("room > 0")
     prefix = F.transform(F.slice("x", F.lit(1), F.col("room")), lambda e, i: F.struct((F.col("first") + i).alias("i"), e["s"].alias("s")))
-    cut = cut.select("sid", "n", F.col("first").cast("long").alias("own"), prefix.alias("prefix"))
+    cut = cut.select("sid", "rep", "n", F.col("first").cast("long").alias("own"), prefix.alias("prefix"))
     name = F.md5(F.concat_ws(",", F.col("n").cast("string"), F.array_join(F.transform("prefix", lambda e: e["s"].cast("string")), ",")))
     return cut.withColumn("gid", name)
 
@@ -195,15 +204,17 @@ def _fits(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sids whose sets are as similar as asked."""
+    """Pairs (a, b) of sids whose sets are as similar as asked. pairs are stored; those of one leader are dealt to several tasks."""
     one = tokens.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
     two = tokens.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= SIMILARITY * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    n = pairs.count()
+    counts = pairs.groupBy("b").agg(F.count("*").alias("_n"))
+    return spread_join(spread_join(pairs, one, ["a"], n), two, ["b"], n, counts=counts).where(100 * both >= SIMILARITY * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def _star_pairs(postings: DataFrame, turn: int) -> DataFrame:
-    """For each group the leader, of another component, that shares most prefix shingles with it.
+def _star_pairs(postings: DataFrame, turn: int, n: int) -> DataFrame:
+    """For each of about n groups' postings the leader, of another component, that shares most prefix shingles with it.
 
     Leaders are the groups with fewest shingles of their own, which are nearest to what copies were
     made from; from turn to turn more of them count alike, and a hash chooses among them.
@@ -212,7 +223,8 @@ def _star_pairs(postings: DataFrame, turn: int) -> DataFrame:
     rank = F.struct(F.floor(F.col("own") / (1 + 4 * turn)).alias("own"), F.xxhash64("gid", F.lit(turn)).alias("h"), F.col("sid").alias("to_sid"), F.col("n").alias("to_n"), F.col("comp").alias("to_comp"))
     leaders = banded.groupBy("s", "band").agg(F.min(rank).alias("x")).select("s", "band", "x.to_sid", "x.to_n", "x.to_comp")
     near = banded.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    met = near.join(leaders, ["s", "band"]).where((F.col("comp") != F.col("to_comp")) & _fits("n", "to_n"))
+    # An entry is its set's, its band's and its neighbours'.
+    met = spread_join(near, leaders, ["s", "band"], 3 * n).where((F.col("comp") != F.col("to_comp")) & _fits("n", "to_n"))
     best = met.groupBy("sid", "to_sid").agg(F.count("*").alias("k")).groupBy("sid").agg(F.max(F.struct("k", "to_sid")).alias("x"))
     return best.select(F.greatest("sid", "x.to_sid").alias("a"), F.least("sid", "x.to_sid").alias("b")).distinct()
 
@@ -225,37 +237,52 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(found, "comp", "left").select("sid", "gid", F.coalesce("found", "comp").alias("comp"))
 
 
+def _group_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sids of different components, of groups that may be alike by prefix, size and position."""
+    groups = postings.groupBy("s", "gid").agg(F.first("n").alias("n"), F.first("i").alias("i"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+    here, there = (groups.select("s", *[F.col(c).alias(f"{x}_{c}") for c in ("gid", "n", "i", "c", "d")]) for x in "xy")
+    # From the first shared shingle on no more can be shared than either set has left.
+    enough = 9 * (F.least(F.expr("x_n - x_i"), F.expr("y_n - y_i"))) >= 4 * (F.col("x_n") + F.col("y_n"))
+    apart = ~((F.col("x_c") == F.col("x_d")) & (F.col("y_c") == F.col("y_d")) & (F.col("x_c") == F.col("y_c")))
+    met = here.join(there, (here["s"] == there["s"]) & (F.col("x_gid") >= F.col("y_gid")) & apart & _fits("x_n", "y_n") & enough)
+    met = met.select("x_gid", "y_gid").distinct()
+    one, two = (labels.select(F.col("gid").alias(f"{x}_gid"), F.col("sid").alias(f"{x}_sid"), F.col("comp").alias(f"{x}_comp")) for x in "xy")
+    both = met.join(one, "x_gid").join(two, "y_gid").where((F.col("x_comp") != F.col("y_comp")) & ((F.col("x_gid") != F.col("y_gid")) | (F.col("x_sid") > F.col("y_sid"))))
+    return both.select(F.greatest("x_sid", "y_sid").alias("a"), F.least("x_sid", "y_sid").alias("b")).distinct()
+
+
 def set_components(sets: DataFrame) -> DataFrame:
-    """sid and comp (the smallest sid reachable by links) of sets(sid, n, shingles) that may have links.
+    """sid and comp (the smallest rep reachable by links) of sets(sid, rep, n, shingles) that may have links.
 
-    Every link is verified; of links inside a component some are not looked for.
+    rep is the smallest doc_id of a set. Every link is verified; of links inside a component some are
+    not looked for.
     """
     members = stored(_prefixes(sets), "prefixes")
-    labels = members.select("sid", "gid", F.col("sid").alias("comp"))
-    slow, tried = False, None
+    labels = members.select("sid", "gid", F.col("rep").alias("comp"))
+    slow, tried, turn, before = False, None, 0, []
     every = members.select("sid", "gid", "n", "own", F.explode("prefix").alias("p")).select("sid", "gid", "n", "own", "p.s", "p.i")
-    for turn in range(STAR_ROUNDS + 1):
+    while True:
         # Buckets of a prefix shingle where more than one component is left.
         postings = every.join(labels.select("sid", "comp"), "sid")
-        mixed = postings.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("s")
-        postings = stored(postings.join(mixed, "s"), "postings")
+        buckets = postings.groupBy("s").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("_n"))
+        mixed = buckets.where("x <> y").select("s")
+        postings = stored(spread_join(postings, mixed, ["s"], every.count(), counts=buckets.select("s", "_n")), "postings")
         every = postings.drop("comp")
+        for done in before:
+            discard(done)
+        before = [postings]
         sizes = postings.groupBy("s", "comp").count().groupBy("s").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("same"))
         n, left = sizes.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()
         if not n:
             break
-        last = turn > 0 and (slow or turn == STAR_ROUNDS or left <= 4 * n)
+        # Leaders go on as long as they join sets, however often that is.
+        last = turn > 0 and (slow or left <= 4 * n)
         if last:
-            # All pairs of groups between components, expanded to their members.
-            here, there = (postings.select("s", *[F.col(c).alias(f"{x}_{c}") for c in ("sid", "n", "i", "comp")]) for x in "xy")
-            # From the first shared shingle on no more can be shared than either set has left.
-            enough = 9 * (F.least(F.expr("x_n - x_i"), F.expr("y_n - y_i"))) >= 4 * (F.col("x_n") + F.col("y_n"))
-            met = here.join(there, (here["s"] == there["s"]) & (F.col("x_comp") != F.col("y_comp")) & (F.col("x_sid") > F.col("y_sid")) & _fits("x_n", "y_n") & enough)
-            pairs = met.select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b")).distinct()
+            pairs = _group_pairs(postings, labels)
         else:
             # One posting a group and component stands for its members; members meet their group's first.
             stand = postings.groupBy("s", "gid", "comp").agg(F.min("sid").alias("sid"), F.first("n").alias("n"), F.min("own").alias("own"))
-            pairs = _star_pairs(stand, turn)
+            pairs = _star_pairs(stand, turn, n)
             if turn == 0:
                 firsts = labels.groupBy("gid").agg(F.min("sid").alias("b"), F.max("sid").alias("z")).where("b <> z").select("gid", "b")
                 pairs = pairs.union(labels.join(firsts, "gid").where("sid <> b").select(F.col("sid").alias("a"), "b")).distinct()
@@ -263,9 +290,11 @@ def set_components(sets: DataFrame) -> DataFrame:
         tried = pairs if tried is None else tried.union(pairs)
         links = stored(_verified(pairs, sets), "links")
         labels = stored(_merged(labels, links), "labels")
+        before += [links]
         if last:
             break
         slow = 1000 * links.count() < n
+        turn += 1
     return labels.select("sid", "comp")
 
 
@@ -274,7 +303,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows of one doc_id are
     one document: its links are those of all its rows. A row with a null doc_id is linked with
-    nothing and has a null component. Other columns are left out; an empty table gives no rows.
+    nothing and has a null component. Texts of any length are read whole. Other columns are left out;
+    an empty table gives no rows.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rows = docs.select(F.col("doc_id").cast("string").cast("binary").alias("id"), "text")
@@ -283,8 +313,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
     maybe = counted.where(_may_link(F.col("n_shingles"), F.col("alone")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     found = stored(_sets(docs.select("doc_id", "text").join(broadcast_if_few(maybe), "doc_id", "left_semi")).where("n > 0"), "sets")
     members = stored(found.select("doc_id", "sid").distinct(), "members")
-    different = found.groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    different = found.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("shingles").alias("shingles"))
     different = stored(different, "different")
+    reps = stored(different.select("sid", "rep"), "reps")
     discard(found)
     held = different.agg(F.sum("n")).first()[0] or 0
     alone = _census(different.select(F.col("sid").alias("id"), "shingles"), lambda column: (np.frombuffer(r, "<u8") for r in column.to_pylist()), 6 * held)
@@ -292,16 +323,17 @@ def link_documents(docs: DataFrame) -> DataFrame:
     tokens = stored(_tokens(different.join(alike, "sid", "left_semi")), "tokens")
     discard(different)
     comps = set_components(tokens)
-    labelled = stored(members.join(comps, "sid", "left").withColumn("comp", F.coalesce("comp", "sid")), "labels")
+    every = reps.join(comps, "sid", "left").select("sid", F.coalesce("comp", "rep").alias("comp"))
+    labelled = stored(spread_join(members, every, ["sid"], members.count()), "labels")
     # Rows of one document in several components make these one.
     several = labelled.groupBy("doc_id").agg(F.min("comp").alias("b"), F.max("comp").alias("z")).where("b <> z").select("doc_id", "b")
     if not several.isEmpty():
         more = labelled.join(several, "doc_id").where("comp <> b").select(F.col("comp").alias("a"), "b")
         found = connected_components(more).withColumnsRenamed({"node": "comp", "component": "found"})
         labelled = labelled.join(found, "comp", "left").withColumn("comp", F.coalesce("found", "comp"))
-    least = labelled.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    by_doc = labelled.join(least, "comp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return counted.join(by_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_doc = labelled.groupBy("doc_id").agg(F.min("comp").alias("component_id"))
+    without = counted.where("doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return counted.where("doc_id IS NOT NULL").join(by_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).union(without)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
