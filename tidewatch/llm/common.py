@@ -28,6 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores behind as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share.
 
@@ -73,13 +81,20 @@ def broadcast_if_few(keys: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
+#: Rows of a few numbers that one task can always take.
+TASK_ROWS = 10_000
+
+
 def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], n: int, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """rows (about n of them) joined with values, which has at most one row a key.
 
     A key with over a thousandth of the rows is dealt to several tasks, and its row of values is
     repeated for each; there are a thousand such keys at most, so they are broadcast, and two thousand
     repeats. Null keys match nothing and are dealt to a thousand. counts, if given, has how many rows each key has, as _n.
+    So few rows that one task can take all of them are not dealt.
     """
+    if n <= TASK_ROWS:
+        return rows.join(values, keys, how)
     most = max(1, n // 1000)
     counts = rows.groupBy(keys).agg(F.count("*").alias("_n")) if counts is None else counts
     heavy = F.broadcast(counts.where(F.col("_n") > most).select(*keys, F.ceil(F.col("_n") / most).cast("int").alias("_salts")))

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, stored
+from .common import BROADCAST_KEYS, free_name, stored
 
 #: Words that a kept document has at least, also after its frequent lines are gone.
 MIN_WORDS = 20
@@ -118,21 +118,22 @@ def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: floa
     return counts.join(hosts, "host").where(F.col("n") > line_share * F.col("docs")).select("host", "line")
 
 
-def _with_frequent(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """docs with the array _frequent of its host's frequent lines; null where there are none.
+def _with_frequent(docs: DataFrame, frequent: DataFrame, name: str) -> DataFrame:
+    """docs with an array, called name, of its host's frequent lines; null where there are none.
 
     Above its share of a host's documents a host has few lines, so they are one array a host. Few
     arrays are broadcast. Of many, those of hosts with over a thousandth of all rows (a thousand at
     most) are broadcast, so that no hot host's texts meet in one task; the others are shuffled.
     """
-    by_host = frequent.groupBy(F.col("host").alias("_host")).agg(F.collect_list("line").alias("_frequent"))
+    host, mark = free_name(docs, "_host"), free_name(docs, "_hot")
+    by_host = frequent.groupBy(F.col("host").alias(host)).agg(F.collect_list("line").alias(name))
     if frequent.count() <= BROADCAST_KEYS:
-        return docs.join(F.broadcast(by_host), _host() == F.col("_host"), "left").drop("_host")
-    hot = docs.groupBy(_host().alias("_host")).count().where(F.col("count") > docs.count() / 1000).select("_host", F.lit(True).alias("_hot"))
-    marked = docs.join(F.broadcast(hot), _host() == F.col("_host"), "left").drop("_host")
-    few = marked.where("_hot").join(F.broadcast(by_host.join(F.broadcast(hot), "_host", "left_semi")), _host() == F.col("_host"), "left")
-    rest = marked.where("_hot IS NULL").join(by_host, _host() == F.col("_host"), "left")
-    return few.unionByName(rest).drop("_host", "_hot")
+        return docs.join(F.broadcast(by_host), _host() == F.col(host), "left").drop(host)
+    hot = docs.groupBy(_host().alias(host)).agg(F.count("*").alias("n")).where(F.col("n") > docs.count() / 1000).select(host, F.lit(True).alias(mark))
+    marked = docs.join(F.broadcast(hot), _host() == F.col(host), "left").drop(host)
+    few = marked.where(F.col(mark)).join(F.broadcast(by_host.join(F.broadcast(hot.select(host)), host, "left_semi")), _host() == F.col(host), "left")
+    rest = marked.where(F.col(mark).isNull()).join(by_host, _host() == F.col(host), "left")
+    return few.union(rest).drop(host, mark)
 
 
 def removed_words(text: Column, frequent: Column) -> Column:
@@ -167,8 +168,9 @@ def judge_quality(docs: DataFrame, keep: bool = False, min_words: int = MIN_WORD
     of docs, their texts without the frequent lines, and n_chars (if there is such a column) set anew.
     """
     frequent = stored(frequent_lines(docs, line_docs, line_share), "frequent")
-    rows = _with_frequent(docs, frequent)
-    counts = F.struct(base_counts(F.col("text")).alias("c"), removed_words(F.col("text"), F.col("_frequent")).alias("removed"))
+    name = free_name(docs, "_frequent")
+    rows = _with_frequent(docs, frequent, name)
+    counts = F.struct(base_counts(F.col("text")).alias("c"), removed_words(F.col("text"), F.col(name)).alias("removed"))
 
     def verdict(x: Column) -> Column:
         n, removed = F.coalesce(x["c"]["n_words"], F.lit(0)), x["removed"]
@@ -180,12 +182,9 @@ def judge_quality(docs: DataFrame, keep: bool = False, min_words: int = MIN_WORD
     judged = let(counts, verdict)
     if keep:
         # A filter alone: counts and verdict are computed once for each row, texts do not move.
-        out = rows.where(judged["kept"])
+        out = rows.where(judged["kept"]).withColumn("text", without_lines(F.col("text"), F.col(name)))
         if "n_chars" in docs.columns:
-            out = out.withColumn("text", without_lines(F.col("text"), F.col("_frequent")))
-            out = out.withColumn("n_chars", F.when(F.col("_frequent").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-        else:
-            out = out.withColumn("text", without_lines(F.col("text"), F.col("_frequent")))
+            out = out.withColumn("n_chars", F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
         return out.select(docs.columns)
     return rows.select("doc_id", judged.alias("x")).select("doc_id", "x.n_words", "x.word_chars", "x.n_symbols", "x.n_dup_lines", "x.n_repeat_words", "x.base_failed", "x.kept", "x.removed")
 
