@@ -4,7 +4,8 @@ Two texts' kernel value is the number of byte n-grams of 1 to 3 bytes (blended s
 both, over the root of the product of their numbers. A few training texts are Nystroem landmarks: a
 text's features are its kernel values with them times the inverse root of the landmarks' own kernel
 matrix, and one-versus-rest kernel ridge regression is solved on these features. Scoring is two
-matrix products a batch: presence matrix by landmark presence matrix, then by the weights.
+matrix products a batch: presence matrix by landmark presence matrix, which is taken in blocks of
+n-grams, so that every n-gram of a landmark counts whatever their number; then by the weights.
 """
 
 from __future__ import annotations
@@ -14,15 +15,19 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import held_out, map_chunks
+from .common import hash_share, held_out, map_chunks
 
-#: Bounds of the sample that the classifier is fitted on: training texts in all and landmarks of a language.
+#: Bounds of the sample that the classifier is fitted on: training texts in all, landmarks of a
+#: language and in all. Where there are more languages than landmarks, those with most texts are learned.
 TRAIN_TEXTS = 4_000
 LANDMARKS = 24
-#: Languages at most: those with most training texts would be a cap, so more than this is an error.
-MOST_LANGUAGES = 400
+MOST_LANDMARKS = 1_600
+#: N-grams of a block of the matrix product, and texts that are scored at once.
+BLOCK_GRAMS = 1 << 14
+SCORED_ROWS = 256
 RIDGE = 1e-2
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -40,108 +45,141 @@ def has_letter(text: str | None) -> bool:
     return any(map(str.isalpha, text or ""))
 
 
+#: Codes of n-grams: three bytes, then two, then one.
+CODES = (1 << 24) + (1 << 16) + (1 << 8)
+
+
+@dataclass
+class Landmarks:
+    """The n-grams of the landmarks: sorted codes, and which landmarks have each (from starts[k] to starts[k + 1])."""
+
+    vocabulary: np.ndarray
+    starts: np.ndarray
+    owners: np.ndarray
+    sizes: np.ndarray  # n-grams of each landmark
+
+    @classmethod
+    def of(cls, found: list[np.ndarray]) -> Landmarks:
+        codes = np.concatenate(found)
+        owners = np.repeat(np.arange(len(found), dtype=np.int32), [len(c) for c in found])
+        order = np.argsort(codes, kind="stable")
+        vocabulary, starts = np.unique(codes[order], return_index=True)
+        return cls(vocabulary, np.r_[starts, len(codes)], owners[order], np.array([len(c) for c in found], np.float32))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}  # not what is looked up with
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Places in the vocabulary of the codes that it has."""
+        if getattr(self, "_lookup", None) is None:
+            self._lookup = np.full(CODES, -1, np.int32)
+            self._lookup[self.vocabulary] = np.arange(len(self.vocabulary), dtype=np.int32)
+        out = self._lookup[codes]
+        return out[out >= 0]
+
+    def block(self, k: int) -> np.ndarray:
+        """Presence of a block of the vocabulary in each landmark; kept if there is one block only."""
+        only = len(self.vocabulary) <= BLOCK_GRAMS
+        if only and getattr(self, "_block", None) is not None:
+            return self._block
+        first, last = k * BLOCK_GRAMS, min(len(self.vocabulary), (k + 1) * BLOCK_GRAMS)
+        out = np.zeros((last - first, len(self.sizes)), np.float32)
+        rows = np.repeat(np.arange(last - first), np.diff(self.starts[first : last + 1]))
+        out[rows, self.owners[self.starts[first] : self.starts[last]]] = 1
+        if only:
+            self._block = out
+        return out
+
+    def kernel(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Kernel values of texts, given as codes, with the landmarks."""
+        places = [self.places(c) for c in texts]
+        text = np.repeat(np.arange(len(texts)), [len(p) for p in places])
+        place = np.concatenate([np.zeros(0, np.int32), *places])
+        common = np.zeros((len(texts), len(self.sizes)), np.float32)
+        for k in range(-(-len(self.vocabulary) // BLOCK_GRAMS)):
+            here = place // BLOCK_GRAMS == k
+            marks = self.block(k)
+            presence = np.zeros((len(texts), len(marks)), np.float32)
+            presence[text[here], place[here] - k * BLOCK_GRAMS] = 1
+            common += presence @ marks
+        sizes = np.array([max(1, len(c)) for c in texts], np.float32)
+        return common / np.sqrt(sizes[:, None] * self.sizes[None, :])
+
+
 @dataclass
 class Model:
     languages: list[str]
-    vocabulary: np.ndarray  # sorted codes that any landmark has
-    landmarks: np.ndarray  # presence, vocabulary x landmarks
-    sizes: np.ndarray  # n-grams of each landmark
+    landmarks: Landmarks
     weights: np.ndarray  # landmarks x languages
     sharpness: float = 8.0
 
-    def kernel(self, texts: list[str]) -> np.ndarray:
-        """Kernel values of texts with the landmarks."""
-        presence = np.zeros((len(texts), len(self.vocabulary)), np.float32)
-        sizes = np.ones(len(texts), np.float32)
-        lookup = self.lookup()
-        for i, text in enumerate(texts):
-            codes = grams(text)
-            sizes[i] = len(codes)
-            places = lookup[codes]
-            presence[i, places[places >= 0]] = 1
-        return (presence @ self.landmarks) / np.sqrt(sizes[:, None] * self.sizes[None, :])
-
-    def lookup(self) -> np.ndarray:
-        """Place in the vocabulary by code, or -1."""
-        if getattr(self, "_lookup", None) is None:
-            self._lookup = np.full((1 << 24) + (1 << 16) + (1 << 8), -1, np.int16)
-            self._lookup[self.vocabulary] = np.arange(len(self.vocabulary))
-        return self._lookup
-
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        raw = self.kernel(texts) @ self.weights
+        raw = self.landmarks.kernel([grams(t) for t in texts]) @ self.weights
         power = np.exp(self.sharpness * (raw - raw.max(axis=1, keepdims=True)))
         best = raw.argmax(axis=1)
         share = power[np.arange(len(raw)), best] / power.sum(axis=1)
         return [self.languages[b] for b in best], share.astype(float).tolist()
 
 
-def _split_vocabulary(found: list[np.ndarray]) -> np.ndarray:
-    """Codes that two landmarks have at least; all where that leaves none. int16 places bound their number."""
-    codes, counts = np.unique(np.concatenate(found), return_counts=True)
-    order = np.argsort(-counts, kind="stable")[:32_000]
-    keep = np.zeros(len(codes), bool)
-    keep[order] = True
-    return codes[keep & (counts > 1)] if (counts > 1).any() else codes[keep]
+def solve(found: list[np.ndarray], target: np.ndarray, n_languages: int, each: int) -> tuple[Landmarks, np.ndarray]:
+    """Landmarks (the first `each` texts of every language) and weights, from texts as codes and their languages' numbers."""
+    chosen = np.concatenate([np.flatnonzero(target == k)[:each] for k in range(n_languages)])
+    landmarks = Landmarks.of([found[i] for i in chosen])
+    kernel = np.concatenate([landmarks.kernel(found[at : at + SCORED_ROWS]) for at in range(0, len(found), SCORED_ROWS)])
+    own = kernel[chosen].astype(float)
+    values, vectors = np.linalg.eigh((own + own.T) / 2)
+    good = values > 1e-6 * values.max()
+    root = vectors[:, good] / np.sqrt(values[good])
+    features = kernel @ root
+    signs = np.where(target[:, None] == np.arange(n_languages)[None, :], 1.0, -1.0)
+    weight = (len(target) / n_languages) / np.bincount(target, minlength=n_languages)[target]  # languages count alike
+    left = features.T @ (features * weight[:, None]) + RIDGE * np.eye(features.shape[1])
+    beta = np.linalg.solve(left, features.T @ (signs * weight[:, None]))
+    return landmarks, (root @ beta).astype(np.float32)
 
 
-def fit(docs: DataFrame, train_texts: int = TRAIN_TEXTS, landmarks: int = LANDMARKS) -> Model | None:
+def fit(docs: DataFrame, train_texts: int = TRAIN_TEXTS, landmarks: int = LANDMARKS, most_landmarks: int = MOST_LANDMARKS) -> Model | None:
     """A model from docs(doc_id, text, lang) whose id is not held out, or None without any to learn from.
 
-    The sample takes at most train_texts texts, with the smallest xxhash64 of doc_id in each language.
+    The sample takes about train_texts texts at most, those of each language with the lowest hashes of
+    doc_id and text, and at most most_landmarks landmarks. Each language that is learned has two texts
+    (if there are) and a landmark; languages beyond most_landmarks, fewest texts last, are not learned.
     """
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    usable = usable.select("doc_id", "lang").groupBy("lang").count().orderBy(F.desc("count"), "lang")
-    counts = usable.limit(MOST_LANGUAGES + 1).collect()
+    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_landmarks).collect()
     if not counts:
         return None
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     each = max(2, train_texts // len(counts))
-    # A language's share of hash values is chosen to give about `each` texts; a bounded take follows.
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.1 * each / r["count"])))])
-    mark = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (mark < F.try_element_at(share, F.col("lang"))))
+    # Of each language somewhat more than `each` texts by hash, then the first of these: at most about 2 * train_texts.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], 1.0 if r["n"] <= 2 * each else 1.2 * each / r["n"]) for r in counts], "lang string, share double")
+    mark = F.xxhash64("doc_id", "text")
+    near = usable.join(F.broadcast(shares), "lang").withColumn("mark", mark).where(hash_share(F.col("mark"), F.col("share")))
 
     def codes(columns: dict[str, list]) -> dict[str, list]:
-        return {"doc_id": columns["doc_id"], "lang": columns["lang"], "codes": [grams(t).astype("<i4").tobytes() for t in columns["text"]]}
+        return {"mark": columns["mark"], "lang": columns["lang"], "codes": [grams(t).astype("<i4").tobytes() for t in columns["text"]]}
 
-    sample = map_chunks(rows.select("doc_id", "lang", "text"), codes, "doc_id long, lang string, codes binary")
-    got = sample.orderBy(F.xxhash64("doc_id"), "lang").limit(2 * train_texts).collect()
+    sample = map_chunks(near.select("mark", "lang", "text"), codes, "mark long, lang string, codes binary")
+    first = sample.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("mark", "codes"))).where(F.col("k") <= each)
+    got = sorted(first.select("mark", "lang", "codes").collect())
+    if not got:
+        return None
     languages = sorted({r["lang"] for r in got})
-    found = [np.frombuffer(r["codes"], "<i4") for r in got]
     place = {lang: k for k, lang in enumerate(languages)}
     target = np.array([place[r["lang"]] for r in got])
-    chosen = np.concatenate([np.flatnonzero(target == k)[:landmarks] for k in range(len(languages))])
-    vocabulary = _split_vocabulary([found[i] for i in chosen])
-    presence = np.zeros((len(found), len(vocabulary)), np.float32)
-    for i, c in enumerate(found):
-        presence[i] = np.isin(vocabulary, c, assume_unique=True)
-    sizes = np.array([len(c) for c in found], np.float32)
-    marks = presence[chosen]
-    kernel = presence @ marks.T / np.sqrt(sizes[:, None] * sizes[chosen][None, :])
-    own = kernel[chosen].astype(float)
-    values, vectors = np.linalg.eigh((own + own.T) / 2)
-    good = values > 1e-6 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])
-    features = kernel @ root
-    signs = np.where(target[:, None] == np.arange(len(languages))[None, :], 1.0, -1.0)
-    rows_of = np.bincount(target, minlength=len(languages))[target]
-    weight = (len(target) / len(languages)) / rows_of  # languages count alike
-    left = features.T @ (features * weight[:, None]) + RIDGE * np.eye(features.shape[1])
-    beta = np.linalg.solve(left, features.T @ (signs * weight[:, None]))
-    return Model(languages, vocabulary, marks.T.copy(), sizes[chosen], (root @ beta).astype(np.float32))
+    marks, weights = solve([np.frombuffer(r["codes"], "<i4") for r in got], target, len(languages), max(1, min(landmarks, most_landmarks // len(languages))))
+    return Model(languages, marks, weights)
 
 
 def predict_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of docs(doc_id, text, lang, ...).
 
     `und` with score 0 for a null or letterless text, and for all where there is nothing to learn
-    from. Repeated rows are predicted each; a null doc_id is not held out. Ties go to the language
-    that is first in order.
+    from. Repeated rows are predicted each; a null doc_id is not held out; texts of any length are
+    read whole; other columns may have any names. Ties go to the language that is first in order. An
+    empty table gives no rows.
     """
     model = model or fit(docs)
-    # At most 32,000 n-grams by the landmarks; pickled by value, so workers need no copy of this package.
+    # At most most_landmarks texts' n-grams; pickled by value, so workers need no copy of this package.
     shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
 
     def predict(columns: dict[str, list], known: Model | None) -> dict[str, list]:
@@ -154,4 +192,4 @@ def predict_language(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return {"doc_id": columns["doc_id"], "held_out": columns["held_out"], "lang_pred": lang, "score": score}
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return map_chunks(rows, predict, SCHEMA, lambda: cloudpickle.loads(shared.value), 256)
+    return map_chunks(rows, predict, SCHEMA, lambda: cloudpickle.loads(shared.value), SCORED_ROWS)
