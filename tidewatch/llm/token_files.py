@@ -3,8 +3,9 @@
 A block splits each id into bytes: level 0 holds the lowest byte of every id, a bitmap tells which
 ids go on, and level k + 1 holds the next byte of those alone. A rank directory counts the set bits
 before every 512th bit, so the place of any id on the next level is one lookup and a short count:
-`Block.ids` reads any range and decodes nothing else. Blocks hold whole documents and their table;
-they are stored as binary rows of a Parquet data set, which any store that Spark knows can hold.
+`Block.id` and `Block.document` read an id or a document and decode nothing else. Blocks hold whole
+documents and their table; they are stored without compression as binary rows of a Parquet data set,
+which any store that Spark knows can hold, with the documents' ids and ends beside them as an index.
 """
 
 from __future__ import annotations
@@ -18,16 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, chunks, map_arrow, shared_path
+from .common import arrow_schema, broadcast_if_few, chunks, map_arrow, shared_path
 from .tokens import ENCODED_ROWS, LARGE_CACHE_WORDS, default_tokenizer, encoder
 
 #: Fixed values of the format.
 MAGIC = b"TWD1"
 RANK_BITS = 512
-#: Ids of a block at which it is closed.
+#: Ids of a block at which it is closed, and bytes of text that a part file is made for.
 BLOCK_TOKENS = 1_000_000
+PART_BYTES = 32_000_000
 
-FILE_SCHEMA = "part long, block long, start_in_part long, n_tokens long, payload binary"
+FILE_SCHEMA = "part long, block long, start_in_part long, n_tokens long, doc_ids array<bigint>, ends array<bigint>, payload binary"
+_FILE = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("payload", pa.binary())])
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -114,20 +117,21 @@ class Block:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1, block_tokens: int = BLOCK_TOKENS, cache_words: int = LARGE_CACHE_WORDS) -> None:
     """Writes the ids of docs(doc_id, text, ...) in ascending doc_id order as blocks to path.
 
-    Part files are ranges of doc_id; null ids come first, repeated ids follow each other by text.
-    A null or empty text is the end id alone. Other columns are left out.
+    Part files are ranges of doc_id, as many as the texts' size asks for; null ids come first. Rows of
+    one id follow each other by a hash of their texts, by which a very frequent id is dealt to several
+    parts. A null or empty text is the end id alone. Other columns are left out.
     """
     source = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        kinds, part = arrow_schema(FILE_SCHEMA), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         names, found, held, before, block = [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            row = (part, block, before, held, encode_block(names, found))
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, kinds, strict=True)], schema=kinds)
+            row = (part, block, before, held, names, np.cumsum([len(f) for f in found]), encode_block(names, found))
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _FILE, strict=True)], schema=_FILE)
 
         for chunk in chunks(batches, ENCODED_ROWS):
             for doc_id, ids in zip(chunk.column(0).to_pylist(), encoder(source, cache_words).encode(chunk.column(1).to_pylist()), strict=True):
@@ -141,12 +145,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         if names:
             yield close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_arrow(ordered, run, FILE_SCHEMA).write.option("compression", "zstd").parquet(path)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    ordered = rows.repartitionByRange(max(1, -(-total // PART_BYTES)), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    map_arrow(ordered.select("doc_id", "text"), run, FILE_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the files at path: doc_id, start, n_tokens, ids_crc32."""
+    """One row per document of the files at path: doc_id, start, n_tokens, ids_crc32. Documents are read one by one."""
     blocks = spark.read.parquet(path)
     # One row per part file reaches the driver, never one per document or block.
     sizes = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
@@ -162,8 +168,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
             block = Block(raw)
             ends = block.ends.tolist()
             starts = [0, *ends[:-1]][: len(ends)]
-            ids = block.ids(0, block.n_tokens).tobytes()
-            crcs = [zlib.crc32(ids[4 * s : 4 * e]) for s, e in zip(starts, ends, strict=True)]
+            crcs = [zlib.crc32(block.document(k)) for k in range(block.n_docs)]
             base = first[part] + before
             yield pa.RecordBatch.from_arrays(
                 [pa.array(block.doc_ids, pa.int64()), pa.array([base + s for s in starts], pa.int64()), pa.array([e - s for s, e in zip(starts, ends, strict=True)], pa.int64()), pa.array(crcs, pa.int64())],
@@ -173,8 +178,37 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return map_arrow(blocks.select("part", "start_in_part", "payload"), run, SCHEMA)
 
 
+def read_ids(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """doc_id, place and id (int) of places(doc_id, place) in the files at path, by one rank a level.
+
+    Blocks without a wanted document are not read, as the index lies beside them. A place beyond its
+    document, or an unknown or null doc_id, gives no row; of rows with one doc_id each gives one.
+    """
+    blocks = spark.read.parquet(path)
+    table = blocks.select("part", "block", F.posexplode(F.arrays_zip("doc_ids", "ends")).alias("k", "d")).select("part", "block", "k", F.col("d.doc_ids").alias("doc_id"))
+    wanted = table.join(broadcast_if_few(places.select("doc_id", "place").dropna()), "doc_id")
+    by_block = wanted.groupBy("part", "block").agg(F.collect_list("k").alias("ks"), F.collect_list("place").alias("places"))
+    kinds = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("id", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches, 1):
+            ks, at, raw = (chunk.column(i)[0].as_py() for i in range(3))
+            block = Block(raw)
+            starts = np.r_[0, block.ends]
+            rows = [(block.doc_ids[k], p, block.id(int(starts[k]) + p)) for k, p in zip(ks, at, strict=True) if 0 <= p < starts[k + 1] - starts[k]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], schema=kinds)
+
+    found = blocks.select("part", "block", "payload").join(broadcast_if_few(by_block), ["part", "block"])
+    return map_arrow(found.select("ks", "places", "payload"), run, "doc_id long, place long, id long")
+
+
 def round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
-    """Writes the token files of docs to the shared folder and reads their documents back."""
+    """Writes the token files of docs(doc_id, text, ...) to the shared folder and reads their documents back.
+
+    A row per row of docs, in the order of write_token_files: null and empty texts have the end id
+    alone, a null doc_id comes back as null, repeated rows come back each, texts of any length are
+    kept whole, and an empty table gives no rows.
+    """
     path = shared_path(docs.sparkSession, "tokens")
     write_token_files(docs, path, tokenizer, end_id)
     return read_token_files(docs.sparkSession, path)
