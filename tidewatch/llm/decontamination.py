@@ -2,9 +2,10 @@
 
 Patterns are the windows of all benchmark items. Those of full length share one search, with the
 shift table over blocks of two words; shorter items (whole sequences) get a search of their own for
-each length, as their shifts are smaller. A visited block with shift 0 selects by suffix hash the
-few patterns to compare word by word. Benchmarks of any size are searched in blocks of bounded
-size, one after the other on the same rows, so nothing unbounded is broadcast.
+each length, as their shifts are smaller. A visited block with shift 0 selects by suffix hash, then by
+prefix hash, the few patterns to compare word by word. A larger benchmark is cut to blocks of patterns,
+which are searched one after the other in each lot of documents, in one pass over the documents; what
+a pass broadcasts is bounded, and only a benchmark beyond that bound takes more passes.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, chunks, map_arrow, map_chunks, stored
+from .common import broadcast_if_few, chunks, map_arrow, map_chunks, spread_join, stored
 
 #: Words of a window.
 WINDOW_WORDS = 10
-#: Bytes of benchmark text that one block of patterns may hold.
-BLOCK_BYTES = 8_000_000
+#: Bytes of benchmark text that one block of patterns may hold, and all blocks of a pass.
+BLOCK_BYTES, PASS_BYTES = 8_000_000, 64_000_000
+#: Bytes of documents that are gathered where there are several blocks, each of which is built for a lot.
+LOT_BYTES = 32_000_000
 
 #: Bytes of ASCII letters lower-cased, digits and all of non-ASCII characters kept, the rest blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -39,19 +42,20 @@ def words_of(text: str | None) -> list[bytes]:
 class WuManber:
     """Finds all occurrences of word sequences of one length in a word list."""
 
-    def __init__(self, patterns: dict[tuple[bytes, ...], list]) -> None:
+    def __init__(self, patterns: dict[tuple[bytes, ...], dict]) -> None:
         self.length = m = len(next(iter(patterns)))
         self.block = b = min(2, m)
         self.default = m - b + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list] = defaultdict(list)
+        #: By suffix and prefix of b words.
+        self.bucket: dict[tuple[bytes, ...], dict[tuple[bytes, ...], dict]] = defaultdict(lambda: defaultdict(dict))
         for pattern, owners in patterns.items():
             for j in range(b, m + 1):
                 key = pattern[j - b : j]
                 self.shift[key] = min(self.shift.get(key, self.default), m - j)
-            self.bucket[pattern[m - b :]].append((pattern, owners))
+            self.bucket[pattern[m - b :]][pattern[:b]][pattern] = owners
 
-    def search(self, words: list[bytes]) -> list[tuple[int, list]]:
+    def search(self, words: list[bytes]) -> list[tuple[int, dict]]:
         """(start, owners) of each occurrence."""
         found, m, b, default = [], self.length, self.block, self.default
         shift, bucket = self.shift, self.bucket
@@ -63,8 +67,9 @@ class WuManber:
                 end += skip
                 continue
             at = end - m
-            seen = tuple(words[at:end])
-            found += [(at, owners) for pattern, owners in bucket[key] if pattern == seen]
+            near = bucket[key].get(tuple(words[at : at + b]))
+            if near is not None and (owners := near.get(tuple(words[at:end]))) is not None:
+                found.append((at, owners))
             end += 1
         return found
 
@@ -73,14 +78,12 @@ class BenchmarkSearch:
     """All patterns of a block of benchmark items."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW_WORDS) -> None:
-        by_length: dict[int, dict[tuple[bytes, ...], list]] = defaultdict(lambda: defaultdict(list))
+        by_length: dict[int, dict[tuple[bytes, ...], list]] = defaultdict(lambda: defaultdict(dict))
         for item_id, text in items:
             words = tuple(words_of(text))
             size = min(window, len(words))
             for at in range(len(words) - size + 1 if size else 0):
-                owners = by_length[size][words[at : at + size]]
-                if item_id not in owners:
-                    owners.append(item_id)
+                by_length[size][words[at : at + size]][item_id] = True
         self.searches = [WuManber(dict(p)) for _, p in sorted(by_length.items())]
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
@@ -102,58 +105,97 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def pattern_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[object, str | None]]]:
-    """The benchmark's items in blocks of at most block_bytes of text (or one longer item), one at a time."""
-    block, held = [], 0
+class Blocks:
+    """All blocks of a pass; the search of one is built at a time."""
+
+    def __init__(self, blocks: list[list[tuple[object, str | None]]], window: int) -> None:
+        self.blocks, self.window, self.order = blocks, window, list(range(len(blocks)))
+        self.built: tuple[int, BenchmarkSearch] | None = None
+
+    def hits(self, texts: list[str | None]) -> list[tuple[list[tuple[int, int]], set, int]]:
+        """Spans of hits, items and number of words of each text."""
+        words = [words_of(t) for t in texts]
+        found: list[tuple[list, set]] = [([], set()) for _ in texts]
+        for k in self.order:
+            if self.built is None or self.built[0] != k:
+                self.built = None  # the old one goes first
+                self.built = (k, BenchmarkSearch(self.blocks[k], self.window))
+            for w, (spans, items) in zip(words, found, strict=True):
+                new, owners = self.built[1].hits(w)
+                spans += new
+                items |= owners
+        self.order.reverse()  # the next lot begins with the search that is there
+        return [(spans, items, len(w)) for w, (spans, items) in zip(words, found, strict=True)]
+
+    def lots(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batches in lots: chunks, or as many rows as LOT_BYTES hold where there are several blocks."""
+        if len(self.blocks) < 2:
+            yield from chunks(batches)
+            return
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for chunk in chunks(batches):
+            held.append(chunk)
+            size += chunk.nbytes
+            if size >= LOT_BYTES:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+
+def pattern_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> Iterator[list[list[tuple[object, str | None]]]]:
+    """The blocks of one pass after the other: items of at most block_bytes of text (or one longer item) and pass_bytes."""
+    blocks, block, held, taken = [], [], 0, 0
     for item_id, text in benchmark.select("item_id", "text").toLocalIterator():
         size = len(text or "")
         if block and held + size > block_bytes:
-            yield block
+            blocks.append(block)
             block, held = [], 0
+        if (blocks or block) and taken + size > pass_bytes:
+            yield blocks + [block] * bool(block)
+            blocks, block, held, taken = [], [], 0, 0
         block.append((item_id, text))
-        held += size
-    yield block
+        held, taken = held + size, taken + size
+    yield [*blocks, block]
 
 
 def _digest(items: set | list) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def _one_block(docs: DataFrame, block: list, window: int, keep: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-
-    def setup() -> BenchmarkSearch:
-        return BenchmarkSearch(shared.value, window)
-
-    if keep:
-        place = docs.columns.index("text")
+_REPORT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            search = setup()
-            for chunk in chunks(batches):
-                yield chunk.filter(pa.array([not search.hits(words_of(t))[0] for t in chunk.column(place).to_pylist()], pa.bool_()))
 
-        return map_arrow(docs, run, docs.schema)
+def _one_pass(docs: DataFrame, blocks: list, window: int, keep: bool) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+    rows = docs if keep else docs.select("doc_id", "text")
+    place = rows.columns.index("text")
 
-    def judge(columns: dict[str, list], search: BenchmarkSearch) -> dict[str, list]:
-        words = [words_of(t) for t in columns["text"]]
-        found = [search.hits(w) for w in words]
-        n_hit = [covered(spans) for spans, _ in found]
-        return {"doc_id": columns["doc_id"], "n_words": list(map(len, words)), "n_hit": n_hit, "n_items": [len(i) for _, i in found], "items_sha256": [_digest(i) for _, i in found], "contaminated": [h > 0 for h in n_hit]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = Blocks(shared.value, window)
+        for lot in search.lots(batches):
+            found = search.hits(lot.column(place).to_pylist())
+            if keep:
+                yield lot.filter(pa.array([not spans for spans, _, _ in found], pa.bool_()))
+                continue
+            n_hit = [covered(spans) for spans, _, _ in found]
+            columns = [lot.column(0), [n for _, _, n in found], n_hit, [len(i) for _, i, _ in found], [_digest(i) for _, i, _ in found], [h > 0 for h in n_hit]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(columns, _REPORT, strict=True)], schema=_REPORT)
 
-    return map_chunks(docs.select("doc_id", "text"), judge, SCHEMA, setup)
+    return map_arrow(rows, run, docs.schema if keep else SCHEMA)
 
 
-def _hits_of_block(texts: DataFrame, block: list, window: int) -> DataFrame:
-    """key, spans (starts and ends) and items of the texts(key, text) that have a window of the block; written."""
-    shared = texts.sparkSession.sparkContext.broadcast(block)
+def _hits_of_pass(texts: DataFrame, blocks: list, window: int) -> DataFrame:
+    """key, spans (starts and ends) and items of the texts(key, text) that have a window of the blocks; written."""
+    shared = texts.sparkSession.sparkContext.broadcast(blocks)
     kinds = pa.schema([("key", pa.binary()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = BenchmarkSearch(shared.value, window)
-        for chunk in chunks(batches):
-            found = [(k, *search.hits(words_of(t))) for k, t in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True)]
-            rows = [(k, [x for span in spans for x in span], sorted(map(str, items))) for k, spans, items in found if spans]
+        search = Blocks(shared.value, window)
+        for lot in search.lots(batches):
+            found = zip(lot.column(0).to_pylist(), search.hits(lot.column(1).to_pylist()), strict=True)
+            rows = [(k, [x for span in spans for x in span], sorted(map(str, items))) for k, (spans, items, _) in found if spans]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
 
     out = stored(map_arrow(texts, run, "key binary, spans array<bigint>, items array<string>"), "hits")
@@ -161,23 +203,24 @@ def _hits_of_block(texts: DataFrame, block: list, window: int) -> DataFrame:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, keep: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES, keep: bool = False) -> DataFrame:
     """Which words of docs(doc_id, text, ...) lie in a window of benchmark(item_id, text, ...).
 
     A null or empty text has no words and no hits; an item without words has no window. Repeated
-    rows are reported each. Items with a null id count and are written as `None`; ids that repeat are
-    one item. With keep, the rows of docs that have no hit are returned instead, with all columns.
-    A benchmark of one block is broadcast; a larger one is searched block after block, each broadcast
-    and dropped again, and only the texts with hits are gathered.
+    rows are reported each; texts of any length are read whole. Items with a null id count and are
+    written as `None`; ids that repeat are one item. An empty benchmark hits nothing. With keep, the
+    rows of docs that have no hit are returned instead, with all columns. A benchmark of at most
+    pass_bytes is broadcast and searched in one pass; a larger one takes a pass for each such part, and
+    only the hits of each are gathered.
     """
-    blocks = pattern_blocks(benchmark, block_bytes)
-    first = next(blocks)
-    second = next(blocks, None)
+    passes = pattern_blocks(benchmark, block_bytes, pass_bytes)
+    first = next(passes)
+    second = next(passes, None)
     if second is None:
-        return _one_block(docs, first, window, keep)
+        return _one_pass(docs, first, window, keep)
     key = F.sha2("text", 256).cast("binary")
     texts = docs.where(F.col("text").isNotNull()).select(key.alias("key"), "text")
-    hits = reduce(DataFrame.union, [_hits_of_block(texts, b, window) for b in chain([first, second], blocks)])
+    hits = reduce(DataFrame.union, [_hits_of_pass(texts, b, window) for b in chain([first, second], passes)])
     if keep:
         bad = stored(hits.select("key").distinct(), "bad")
         return docs.join(broadcast_if_few(bad), key == bad["key"], "left_anti")
@@ -186,12 +229,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         spans = [list(zip(s[::2], s[1::2], strict=True)) for s in columns["spans"]]
         return {"key": columns["key"], "n_hit": [covered(s) for s in spans], "n_items": [len(i) for i in columns["items"]], "items_sha256": [_digest(i) for i in columns["items"]]}
 
-    # A text's spans and items are no more than its words and the benchmark's items allow.
-    grouped = hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    found = map_chunks(grouped, merge, "key binary, n_hit long, n_items long, items_sha256 string")
+    # Copies of a text have the same hits; a text's spans and items are no more than its words and the benchmark's items allow.
+    grouped = hits.distinct().groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    found = stored(map_chunks(grouped, merge, "key binary, n_hit long, n_items long, items_sha256 string"), "found")
     words = map_chunks(docs.select("doc_id", key.alias("key"), "text"), lambda c: {"doc_id": c["doc_id"], "key": c["key"], "n_words": [len(words_of(t)) for t in c["text"]]}, "doc_id long, key binary, n_words long")
     none, zero = F.lit(_digest([])), F.lit(0).cast("long")
-    out = words.join(found, "key", "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"))
+    out = spread_join(words, found, ["key"], docs.count(), "left").select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
