@@ -4,8 +4,9 @@ Each rule's canonical key is its host and its path up to the last `/`. A page's
 suffixes of its host at dots with all prefixes of its path at slashes, as deep as the rules go. A
 blocked Bloom filter of the rules' keys (one block of four words a key) drops nearly all keys of
 pages without a rule; the rest meet the rules in an exact join that removes false positives. All
-steps are DataFrame functions; distinct (host, path) pairs are judged once, so a hot host or a
-repeated URL is split by its paths and judged once.
+steps are DataFrame functions; distinct (host, path) pairs are judged once, so a hot host is split by
+its paths, and the pages of a URL that holds over a thousandth of all (null ones, too) are dealt to
+several tasks where they meet its verdict.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks of the Bloom filter at most: 65,536 rows of five longs, 2.6 MB, are broadcast.
-MOST_BLOCKS = 1 << 16
+from .common import spread_join
+
+#: Blocks of a Bloom filter that is broadcast: 65,536 rows of five longs, 2.6 MB. A larger one is joined by block.
+BROADCAST_BLOCKS = 1 << 16
 #: Keys that a block is meant for.
 KEYS_A_BLOCK = 8
 
@@ -59,7 +62,8 @@ def bloom_filter(keys: DataFrame, blocks: int) -> DataFrame:
 
 def possible_hits(keys: DataFrame, filter_blocks: DataFrame, blocks: int) -> DataFrame:
     """Rows of keys(key, ...) that the Bloom filter passes: all listed ones and few others."""
-    found = keys.withColumn("block", _block(F.col("key"), blocks)).join(F.broadcast(filter_blocks), "block")
+    held = F.broadcast(filter_blocks) if blocks <= BROADCAST_BLOCKS else filter_blocks
+    found = keys.withColumn("block", _block(F.col("key"), blocks)).join(held, "block")
     passes = reduce(lambda a, b: a & b, [F.col(f"w{j}").bitwiseAND(m) == m for j, m in enumerate(_masks(F.col("key")))])
     return found.where(passes).drop("block", "w0", "w1", "w2", "w3")
 
@@ -70,8 +74,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     rules(host, path, verdict): a rule fits its host and all subdomains where the url's path starts
     with the rule's; the longest fitting rule (host and path together) decides, and of equally long
     ones the first in order. Rules with a null are left out; rule hosts are lower-cased. Pages
-    without a rule get `default`. Null urls, empty ones and urls without `://` have an empty host.
-    Repeated pages are judged each; an empty table of rules gives every page the default.
+    without a rule get `default`. Null urls, empty ones and urls without `://` have an empty host; urls
+    of any length are read whole. Repeated pages are judged each; an empty table of rules gives every
+    page the default. Other columns are left out.
     """
     host, path = host_and_path(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -80,7 +85,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     slashes = F.length("rule_path") - F.length(F.replace("rule_path", F.lit("/"), F.lit("")))
     # One row: how many rules there are and how deep they go.
     n, labels, depth = listed.agg(F.count("*"), F.max(F.size(F.split("rule_host", r"\."))), F.max(slashes)).first()
-    blocks = min(MOST_BLOCKS, 1 << max(0, (n // KEYS_A_BLOCK).bit_length()))
+    blocks = 1 << (n // KEYS_A_BLOCK).bit_length()
 
     names = F.split("host", r"\.")
     first = F.greatest(F.lit(1), F.size(names) - F.lit((labels or 1) - 1))
@@ -90,12 +95,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
         F.sequence(F.lit(0), F.least(depths, F.lit(depth or 0))),
         lambda k: F.when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(F.split("path", "/"), F.lit(1), k), "/"), F.lit("/"))),
     )
-    keys = judged.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
+    pairs = judged.groupBy("host", "path").agg(F.count("*").alias("_n"))
+    keys = pairs.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes"))
     keys = keys.select("host", "path", "suffix", F.explode("prefixes").alias("prefix")).select("host", "path", F.concat("suffix", "prefix").alias("key"))
     hits = possible_hits(keys, bloom_filter(listed.select("key"), blocks), blocks).join(listed, "key").where(F.expr("startswith(path, rule_path)"))
     name = F.concat("rule_host", "rule_path")
     best = hits.groupBy("host", "path").agg(F.min(F.struct((-F.length(name)).alias("size"), name.alias("rule"), F.col("rule_verdict").alias("verdict"))).alias("best"))
-    return judged.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return spread_join(judged, best, ["host", "path"], pages.count(), "left", pairs).select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 SQL = """
