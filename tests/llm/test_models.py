@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewatch.llm import language_id, lm_scoring, packing, quality_classifier, token_files, tokens
-from tidewatch.llm.common import held_out, table
+from tidewatch.llm.common import hash_share, held_out, table
 
 PATH = tokens.default_tokenizer()
 WHOLE = Tokenizer.from_file(PATH)
@@ -101,6 +101,7 @@ def test_blocks(documents, rng):
 def test_token_files(spark, odd_docs):
     got = sorted(token_files.round_trip(odd_docs).collect(), key=lambda r: r["start"])
     rows = sorted(odd_docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
+    assert [r["doc_id"] for r in got] == [r["doc_id"] for r in rows]
     start = 0
     for r, d in zip(got, rows, strict=True):
         ids = ids_of(d["text"], 1)
@@ -109,6 +110,30 @@ def test_token_files(spark, odd_docs):
     assert token_files.round_trip(odd_docs.limit(0)).isEmpty()
 
 
+def test_single_ids_of_token_files(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(token_files, "PART_BYTES", 100_000)
+    path = token_files.shared_path(spark, "tokens")
+    token_files.write_token_files(odd_docs, path, block_tokens=3_000)
+    files = spark.read.parquet(path)
+    assert files.select("part").distinct().count() > 3 and files.count() > 8
+    texts = {r["doc_id"]: ids_of(r["text"], 1) for r in odd_docs.collect() if r["doc_id"] != 103}
+    rng = random.Random(4)
+    places = [(d, rng.randrange(-1, len(x) + 2)) for d, x in texts.items() for _ in range(5)] + [(555, 0), (None, 0), (5, None)]
+    got = token_files.read_ids(spark, path, spark.createDataFrame(places, "doc_id long, place long")).collect()
+    want = [(d, p, int(texts[d][p])) for d, p in places if d in texts and d is not None and p is not None and 0 <= p < len(texts[d])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_frequent_ids_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "PART_BYTES", 2_000)
+    rows = [(None if k % 3 else 7, f"text number {k % 150} of many") for k in range(900)] + [(8, "a"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(token_files.round_trip(docs).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 600 + [6] + [7] * 300 + [8]
+    want = Counter((d, len(ids_of(t, 1)), zlib.crc32(ids_of(t, 1).tobytes())) for d, t in rows)
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+
+
 def backoff(rows, order):
     """Scores by definition: the longest n-gram that another document has, own counts left out."""
     ids = [["<"] * order + WHOLE.encode(t or "", add_special_tokens=False).ids for _, t in rows]
@@ -217,3 +242,128 @@ def test_quality_without_labels(spark):
 
 def test_shapes():
     assert [quality_classifier.shape(w) for w in (b"Word,", b"LOUD!!", b"x9--", "é".encode())] == [b"Aa aa,", b"AA A!!", b"a0 0--", b"aa aa"]
+
+
+def test_word_vectors_by_definition(spark, monkeypatch):
+    rng = random.Random(6)
+    words = ["the", "The", "cat", "sat!", "x9", "é", "mat"]
+    texts = [None, "", "one"] + [" ".join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(60)]
+    reader = quality_classifier.Reader()
+
+    def buckets(word):
+        value = reader.buckets[word.encode()]
+        both, form = divmod(value, quality_classifier.SHAPES)
+        return *divmod(both, quality_classifier.BUCKETS), form
+
+    assert buckets("the")[:2] == buckets("The")[:2] != buckets("cat")[:2]
+    sums, n = np.zeros((quality_classifier.BUCKETS, quality_classifier.SIZE)), Counter()
+    for t in texts:
+        every = [buckets(w) for w in (t or "").split()]
+        for i, (one, two, _) in enumerate(every):
+            for bucket in (one, two):
+                n[bucket] += 1
+                for other, _, form in [every[j] for j in (i - 1, i + 1) if 0 <= j < len(every)]:
+                    for k in range(2):
+                        sums[bucket, reader.word_places[other, k]] += reader.word_signs[other, k]
+                        sums[bucket, reader.form_places[form, k]] += reader.form_signs[form, k]
+    total, used = sum(n.values()), sorted(n)
+    mean = {b: sums[b] / n[b] for b in used}
+    centre = sum(n[b] * mean[b] for b in used) / total
+    spread = np.sqrt(sum(n[b] * (mean[b] - centre) ** 2 for b in used) / total) + 1e-6
+    monkeypatch.setattr(quality_classifier, "TASKS_AT_ONCE", 2)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    got = quality_classifier.word_vectors(docs)
+    assert np.allclose(got[used], [(mean[b] - centre) / spread for b in used], atol=1e-4)
+    assert not np.delete(got, used, axis=0).any()
+    # Pooling, by definition, with these vectors.
+    features = quality_classifier.pooled(reader, got, texts)
+    size = quality_classifier.SIZE
+    for row, t in zip(features, texts, strict=True):
+        every = [buckets(w) for w in (t or "").split()]
+        if not every:
+            assert not row[:-1].any() and row[-1] == 1
+            continue
+        seen = np.array([got[a] + got[b] for a, b, _ in every])
+        assert np.allclose(row[:size], seen.mean(axis=0), atol=1e-4)
+        assert np.allclose(row[size : 2 * size], seen.std(axis=0), atol=2e-2)
+        assert np.allclose(row[2 * size : 3 * size], np.mean([reader.form_index[f] for *_, f in every], axis=0), atol=1e-5)
+        assert np.allclose(row[-3:], [np.mean([k > 0 and every[k][:2] == every[k - 1][:2] for k in range(len(every))]), np.log1p(len(every)), 0], atol=1e-5)
+
+
+def test_network_slopes_are_differences():
+    rng = np.random.default_rng(2)
+    z, y = rng.normal(size=(30, 5)), (rng.random(30) > 0.5).astype(float)
+    values = [rng.normal(size=s) for s in ((5, 4), (4,), (4,), (1,))]
+    _, slopes = quality_classifier.gradient(values, z, y)
+    for v, slope in zip(values, slopes, strict=True):
+        for at in np.ndindex(v.shape):
+            kept, sides = v[at], []
+            for step in (1e-5, -1e-5):
+                v[at] = kept + step
+                sides.append(quality_classifier.gradient(values, z, y)[0])
+            v[at] = kept
+            assert slope[at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-6)
+
+
+def test_quality_of_odd_inputs(spark):
+    rng = random.Random(1)
+    good, bad = [["alpha beta gamma", "delta epsilon"][k % 2] for k in range(2)], ["zz!! 99", "## zz"]
+    rows = [(k, " ".join(rng.choices(good if k % 2 else bad, k=20)), "x", 0.5, True, 3) for k in range(200)]
+    rows += [(3, rows[5][1], "x", 0.5, True, 3)] * 40 + [(900, "alpha beta " * 60_000, "x", 0.5, True, 3), (None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, score double, held_out boolean, predicted int")
+    labels = spark.createDataFrame([(k, k % 2, "x") for k in range(200)] * 3, "doc_id long, quality int, text string")
+    got = quality_classifier.score_quality(docs, labels).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 3 and r["predicted"] == 1}) <= 2
+    by_id = {r["doc_id"]: r for r in got}
+    assert np.mean([by_id[k]["predicted"] == k % 2 for k in range(200)]) > 0.95 and by_id[900]["predicted"] == 1
+    kept = quality_classifier.score_quality(docs, labels, keep=True)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+
+
+def test_sample_of_any_share(spark):
+    ids = spark.range(200_000)
+    for share, least, most in ((1.0, 200_000, 200_000), (7.0, 200_000, 200_000), (0.01, 1_800, 2_200), (1e-9, 0, 3)):
+        assert least <= ids.where(hash_share(F.col("id"), F.lit(share))).count() <= most
+
+
+@pytest.mark.parametrize("block", [1 << 14, 50])
+def test_kernel_by_definition(monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK_GRAMS", block)
+    rng = random.Random(3)
+    texts = ["a", "é", "Ab  C\n"] + ["".join(rng.choices("abcé \n日x", k=rng.randint(1, 60))) for _ in range(30)]
+
+    def parts(text):
+        raw = b" " + " ".join(text.lower().split()).encode() + b" "
+        return {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+
+    found = [language_id.grams(t) for t in texts]
+    marks = language_id.Landmarks.of(found[:9])
+    assert len(marks.vocabulary) == len(set().union(*map(parts, texts[:9])))
+    want = [[len(parts(t) & parts(m)) / math.sqrt(len(parts(t)) * len(parts(m))) for m in texts[:9]] for t in texts]
+    assert np.allclose(marks.kernel(found), want, atol=1e-5)
+    # The weights solve the ridge problem on Nystroem features: on the landmarks alone this is kernel ridge regression.
+    target = np.array([0, 1, 2] * 3)
+    own, weights = language_id.solve(found[:9], target, 3, 9)
+    k = own.kernel(found[:9]).astype(float)
+    order = np.concatenate([np.flatnonzero(target == c) for c in range(3)])
+    signs = np.where(target[:, None] == np.arange(3), 1.0, -1.0)
+    square = k[:, np.argsort(order)]
+    want = square @ np.linalg.solve(square + language_id.RIDGE * np.eye(9), signs)
+    assert np.allclose(k @ weights, want, atol=1e-2)
+
+
+def test_many_languages_and_odd_texts(spark):
+    rng = random.Random(2)
+    names = [f"l{k:03d}" for k in range(450)]
+    words = {n: [f"{n}{rng.randrange(99)}" for _ in range(8)] for n in names}
+    rows = [(k, " ".join(rng.choices(words[names[k % 450]], k=30)), names[k % 450], 0.1, "x") for k in range(2700)]
+    rows += [(5000, "zz " * 300_000, "l001", 0.1, "x")] + [(7, rows[7][1], rows[7][2], 0.1, "x")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    model = language_id.fit(docs)
+    assert set(names) == set(model.languages)
+    got = language_id.predict_language(docs, model).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert len(got) == len(rows) and np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in got if r["held_out"]]) > 0.9
+    assert len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 7}) == 1
+    # More languages than landmarks: those with most texts are learned.
+    assert set(language_id.fit(docs, most_landmarks=20).languages) <= set(names)

@@ -8,7 +8,7 @@ import re
 import duckdb
 import pytest
 
-from tidewatch.llm import queries, quality_rules, url_filter
+from tidewatch.llm import common, queries, quality_rules, url_filter
 from tidewatch.llm.common import table
 
 SQL_TABLES = ("pages", "documents", "benchmark")
@@ -47,6 +47,20 @@ def test_urls_by_definition(spark):
     assert sorted(repr(tuple(r)) for r in got) == want
 
 
+def test_hot_and_long_urls(spark, monkeypatch):
+    long = "http://a.example.com/de/" + "x/" * 20_000 + "?q"
+    urls = [None] * 700 + ["no scheme"] * 300 + ["http://hot.net/one"] * 900 + [long, f"http://{'s.' * 5_000}net/"] + [f"http://h{k}.org/fr/{k}" for k in range(50)]
+    rules = [*url_filter.RULES, *[(f"h{k}.org", "/", "block") for k in range(40)]]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4)
+    listed = spark.createDataFrame(rules, "host string, path string, verdict string")
+    want = sorted(repr((k, *verdict(u, rules))) for k, u in enumerate(urls))
+    assert sorted(repr(tuple(r)) for r in url_filter.filter_urls(rows, listed).collect()) == want
+    # Keys that are dealt to several tasks, and a filter that is too large to broadcast.
+    monkeypatch.setattr(common, "TASK_ROWS", 0)
+    monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", 0)
+    assert sorted(repr(tuple(r)) for r in url_filter.filter_urls(rows, listed).collect()) == want
+
+
 def test_urls_empty(spark):
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     rows = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewatch.llm.common import stored, table
@@ -34,3 +35,25 @@ def test_run_equals_stages(spark, sf_dir):
     # Sequences depend on partitions; what each document has in them doesn't.
     totals = [{tuple(r) for r in x.groupBy("doc_id").agg({"length": "sum"}).collect()} for x in (docs, corpus_pipeline.run(spark, sf_dir))]
     assert totals[0] == totals[1]
+
+
+def test_stages_on_odd_documents(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, empty tables, further columns with clashing names."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    names = ["_frequent", "_host", "_salt", "comp", "sid", "x", "kept", "score"]
+    more = docs.select(*docs.columns, *[F.lit("clash").alias(n) for n in names])
+    kinds = more.schema
+    long = " ".join(f"long{k % 5000} text{k % 77}" for k in range(60_000))
+    odd = [{"doc_id": None, "text": None}, {"doc_id": 10**9, "text": None}, {"doc_id": 10**9 + 1, "text": ""}, {"doc_id": 10**9 + 2, "text": long}, {"doc_id": None, "text": "one two three four five " * 9}] + [{"doc_id": 10**9 + 3, "text": docs.first()["text"], "source": "s", "_salt": "y"}] * 3
+    rows = more.union(spark.createDataFrame([tuple(r.get(f.name) for f in kinds) for r in odd], kinds))
+    for t in ("labels", "benchmark"):
+        table(spark, "/root/testdata/sf0.001", t).write.parquet(f"{tmp_path}/{t}.parquet")
+    for given in (rows, rows.limit(0)):
+        left, before = given, given.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            left = stored(stage(spark, left, str(tmp_path)), name)
+            assert left.columns == more.columns and left.count() <= before
+            before = left.count()
+        packed = corpus_pipeline.STAGES[-1][1](spark, left, str(tmp_path))
+        assert packed.select("doc_id").distinct().count() == left.select("doc_id").distinct().count()
+    assert before == 0

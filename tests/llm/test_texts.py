@@ -9,7 +9,7 @@ from itertools import pairwise
 
 import pytest
 
-from tidewatch.llm import decontamination, html_extract, ngram_join
+from tidewatch.llm import common, decontamination, html_extract, ngram_join
 from tidewatch.llm.common import stored
 from tidewatch.llm.components import connected_components
 
@@ -181,6 +181,39 @@ def test_join_by_definition(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [*{d for d, c in want.items() if d == c}, None]))
 
 
+@pytest.mark.parametrize("task_rows", [0, 10_000])
+def test_join_of_hot_groups(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(common, "TASK_ROWS", task_rows)
+    rng = random.Random(5)
+
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    long, base, passage = words(30_000), words(80), words(40)
+    rows = [" ".join(long), " ".join([*long[:-20], *words(20)]), " ".join(words(30_000))]
+    rows += [" ".join(base)] * 400  # exact copies
+    rows += [" ".join([*base[:k], "edit", *base[k + 1 :]]) for k in range(80)] * 2  # near copies of one origin
+    rows += [" ".join(passage + words(15)) for _ in range(120)]  # unlike texts with one hot passage
+    rows += [" ".join(passage + words(6)) for _ in range(40)]  # like texts with it
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.link_documents(docs).collect()}
+    assert got == expected(list(enumerate(rows)))
+
+
+@pytest.mark.parametrize("task_rows", [0, 10_000])
+def test_spread_join(spark, monkeypatch, task_rows):
+    monkeypatch.setattr(common, "TASK_ROWS", task_rows)
+    rng = random.Random(2)
+    rows = [(k, None if k % 5 == 0 else "hot" if k % 2 else f"k{rng.randrange(50)}", k % 3) for k in range(4000)] + [(1, "hot", 1)] * 500
+    values = [(f"k{k}", j, f"v{k}.{j}") for k in range(0, 60, 2) for j in range(2)] + [("hot", 1, "v")]
+    df = spark.createDataFrame(rows, "id long, a string, b long").repartition(4)
+    given = spark.createDataFrame(values, "a string, b long, v string")
+    for how in ("inner", "left"):
+        got, want = common.spread_join(df, given, ["a", "b"], df.count(), how), df.join(given, ["a", "b"], how)
+        assert sorted(map(repr, got.select("id", "a", "b", "v").collect())) == sorted(map(repr, want.select("id", "a", "b", "v").collect()))
+    assert common.spread_join(df.limit(0), given, ["a", "b"], 0, "left").isEmpty()
+
+
 def test_join_random_pairs(spark):
     # Similarities close to the threshold on both sides.
     rng = random.Random(9)
@@ -220,8 +253,8 @@ def hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block_bytes", [10**6, 60])
-def test_decontamination_by_definition(spark, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "pass_bytes"), [(10**6, 10**6), (60, 10**6), (60, 150)])
+def test_decontamination_by_definition(spark, block_bytes, pass_bytes):
     rng = random.Random(8)
 
     def words(n):
@@ -231,13 +264,32 @@ def test_decontamination_by_definition(spark, block_bytes):
     texts = [None, "", "?", "The CAT sat"] + [", ".join(words(rng.randint(1, 60))) for _ in range(60)] + [f"{' '.join(words(5))} {t or ''} {' '.join(words(4))}" for _, t in items]
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, n_hit int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:] for r in decontamination.find_contamination(docs, bench, block_bytes=block_bytes).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontamination.find_contamination(docs, bench, block_bytes=block_bytes, pass_bytes=pass_bytes).collect()}
     assert got == {k: hits(t, items) for k, t in enumerate(texts)}
-    clean = decontamination.find_contamination(docs, bench, block_bytes=block_bytes, keep=True)
+    clean = decontamination.find_contamination(docs, bench, block_bytes=block_bytes, pass_bytes=pass_bytes, keep=True)
     assert clean.columns == docs.columns
     assert {r["doc_id"] for r in clean.collect()} == {k for k, v in got.items() if not v[4]}
 
 
+def test_blocks_of_passes(spark):
+    items = spark.createDataFrame([(k, "x" * n) for k, n in enumerate([30, 30, 50, 10, 200, 5, 5])], "item_id long, text string").coalesce(1)
+    passes = [[[i for i, _ in b] for b in p] for p in decontamination.pattern_blocks(items, 60, 120)]
+    assert passes == [[[0, 1], [2, 3]], [[4]], [[5, 6]]]
+    assert list(decontamination.pattern_blocks(items.limit(0))) == [[[]]]
+
+
+def test_decontamination_of_long_and_repeated_texts(spark):
+    shared = " ".join(f"w{k}" for k in range(12))
+    # Many patterns that begin or end alike, and windows that many items share.
+    items = [(k, f"{shared} end{k}") for k in range(3000)] + [(5000 + k, f"start{k} {shared}") for k in range(3000)]
+    long = "filler words here " * 60_000
+    rows = [(1, f"{long} {shared} end7 {long}"), (2, long)] + [(3, f"start9 {shared}")] * 50 + [(None, shared)]
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, item_id long, contaminated string")
+    got = decontamination.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    shown = {(r["doc_id"], r["n_hit"], r["n_items"]) for r in got}
+    assert len(got) == len(rows) and shown == {(1, 13, 6000), (2, 0, 0), (3, 13, 6000), (None, 12, 6000)}
+
+
 def test_decontamination_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
