@@ -59,6 +59,15 @@ def signal_id(kind: Column, district: Column, problem: Column, day: Column) -> C
     return F.concat(F.lit("SIG-"), F.upper(F.substring(F.sha2(identity, 256), 1, 10)))
 
 
+def canonical_json(row: dict[str, Column]) -> Column:
+    """The columns as a JSON object with sorted keys and no blanks; nulls stay as keys."""
+    return F.to_json(F.struct(*[row[k].alias(k) for k in sorted(row)]), {"ignoreNullFields": "false"})
+
+
+def canonical_hash(row: dict[str, Column]) -> Column:
+    return F.sha2(canonical_json(row), 256)
+
+
 def minutes_between(start: Column | str, end: Column | str) -> Column:
     """Minute boundaries between two times."""
 

@@ -1,14 +1,32 @@
-"""Results that several parts of a plan read."""
+"""Results that several parts of a plan read, and the folder they are kept in."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir, which the driver and all executors share; a temporary one in local mode."""
+    base = checkpoint_dir(spark)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
+        base = tempfile.mkdtemp(prefix="tidewatch-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df computed once: checkpointed to spark.checkpoint.dir, or cached where a session has no such folder."""
     spark = df.sparkSession
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    shared = checkpoint_dir(spark)
     if shared is None:
         return df.cache()
     if spark.sparkContext.getCheckpointDir() is None:

@@ -93,6 +93,10 @@ _NEEDS |= {
     "weekday_level": ["pan"], "template": ["level"], "picked": ["req", "district_parts"], "eligible": ["pan"],
 }
 
+_CODES = "SELECT (100 * b + n)::INT AS code, name || ' ' || lpad(n::VARCHAR, 2, '0') AS district FROM (VALUES (1, 'Manhattan', 12), (2, 'Bronx', 12), (3, 'Brooklyn', 18), (4, 'Queens', 14), (5, 'Staten Island', 3)) AS t(b, name, most), unnest(range(1, most + 1)) AS u(n)"
+
+_REPLAYED = ["1997-06-30", "1999-06-30"]
+
 _ALERT = ["id", "type", "date", "district", "problem", "observed", "expected", "effect", "anomaly_score", "calibrated_score", "upper_bound", "excess_count", "detector", "affected_count"]
 _REALS = {"observed", "expected", "effect", "anomaly_score", "calibrated_score", "upper_bound", "excess_count", "strength_pct", "impact_pct", "persistence_pct", "priority_score"}
 
@@ -143,6 +147,16 @@ def oracle_sql() -> dict[str, str]:
         "daily_sparse": (["req"], "SELECT created_date::DATE AS day, community_board, complaint_type, count(*) AS requests FROM req GROUP BY ALL"),
         "selected_daily": (["picked"], "SELECT created_date::DATE AS day, community_board, complaint_type, count(*) AS requests FROM picked GROUP BY ALL"),
         "dense_panel": (["pan"], "SELECT * FROM pan"),
+        "injected_effects": (["pan", "ev", "weekday_level"], ", e AS (SELECT *, CASE scenario WHEN 'spike' THEN 3.5::DOUBLE WHEN 'level_shift' THEN 2.0::DOUBLE ELSE 2.25::DOUBLE END AS strength FROM ev), x AS (SELECT p.date, p.district, p.problem, p.requests, m, CASE WHEN start IS NULL THEN 1.0::DOUBLE WHEN scenario = 'gradual_ramp' THEN 1.25::DOUBLE + (strength - 1.25::DOUBLE) * (p.date - start) / greatest(\"end\" - start, 1) ELSE strength END AS factor, start FROM pan p JOIN weekday_level w ON w.district = p.district AND w.problem = p.problem AND k = isodow(p.date) - 1 LEFT JOIN e ON e.district = p.district AND e.problem = p.problem AND p.date BETWEEN start AND \"end\") SELECT date, district, problem, round(CASE WHEN start IS NULL THEN requests::DOUBLE ELSE ceil(greatest(requests * factor, m * factor)) END, 6) AS requests, round(factor, 6) AS factor FROM x"),
+        "candidate_choice": ([], "SELECT place, n_name, passes FROM (SELECT *, f1 >= 0.8 AND rate <= 5 AND delay <= 2 AND weakest >= 0.7 AS passes FROM (SELECT n_nationkey::BIGINT AS place, n_name, 0.7::DOUBLE + (n_nationkey * 7 % 25) / 80.0::DOUBLE AS f1, (n_nationkey * 3 % 8)::DOUBLE AS rate, (n_nationkey % 4)::DOUBLE AS delay, 0.5::DOUBLE + (n_nationkey % 10) / 20.0::DOUBLE AS weakest, n_nationkey % 3 AS complexity FROM nation)) ORDER BY passes DESC, f1 DESC, rate, weakest DESC, complexity, place LIMIT 1"),
+        "district_codes": ([], f"SELECT code, district FROM ({_CODES})"),
+        "boundary_map": ([], f"SELECT c.code, c.district, 'g' || c.code AS geometry, coalesce(requests, 0)::BIGINT AS requests, CASE WHEN requests IS NULL THEN 'normal' WHEN requests % 2 = 0 THEN 'watch' ELSE 'high' END AS severity FROM ({_CODES}) c LEFT JOIN (SELECT (c_custkey % 5 + 1) * 100 + c_custkey % 20 AS code, count(*) AS requests FROM customer GROUP BY 1) n ON n.code = c.code"),
+        "canonical_hashes": ([], """SELECT n_nationkey, sha256('{"area":{"region":' || n_regionkey || '},"comment":null,"key":' || n_nationkey || ',"name":"' || n_name || '"}') AS sha256 FROM nation"""),
+        "stream_daily_counts": ([], "SELECT o_orderdate::DATE AS day, o_orderstatus AS community_board, o_orderpriority AS complaint_type, count(*) AS requests FROM orders WHERE o_orderdate::DATE + INTERVAL 1 DAY <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 2 DAY GROUP BY ALL"),
+        "stream_deduplicated": ([], "SELECT DISTINCT l_orderkey AS unique_key FROM lineitem"),
+        "stream_sessions": (["epi"], "SELECT district, problem, episode_start, episode_end, persistence FROM epi WHERE episode_end + 7 <= (SELECT max(date) FROM robust)"),
+        "stream_ingest": (["req"], "SELECT CASE WHEN o = '' THEN 'kept' ELSE o END AS outcome, count(*) AS requests FROM (SELECT concat_ws(',', CASE WHEN trim(borough) = '' THEN 'borough_blank' END, CASE WHEN closed_date < created_date THEN 'closed_before_created' END) AS o FROM req) GROUP BY ALL"),
+        "replayed_episodes": (["robust"], ", " + ", ".join(f"n{k} AS ({_PARTS['numbered'].replace('FROM robust', f'FROM robust WHERE date <= DATE {day!r}')}), e{k} AS ({_PARTS['epi'].replace('numbered', f'n{k}')})" for k, day in enumerate(_REPLAYED)) + " " + " UNION ALL ".join(f"SELECT {_columns(_EPISODE)}, DATE {day!r} AS known_on FROM e{k}" for k, day in enumerate(_REPLAYED))),
         "dense_districts": (["req", "district_parts"], ", c AS (SELECT created_date::DATE AS date, p.district, complaint_type AS problem, count(*) AS n FROM req JOIN district_parts p USING (community_board) WHERE created_date::DATE BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY ALL) SELECT d.date, s.district, s.problem, coalesce(n, 0)::BIGINT AS requests FROM (SELECT DISTINCT district, problem FROM c) s CROSS JOIN (SELECT unnest(generate_series(DATE '1997-01-01', DATE '1998-12-31', INTERVAL 1 DAY))::DATE AS date) d LEFT JOIN c USING (date, district, problem)"),
         "dup_row_gate": ([], "SELECT l_orderkey, l_suppkey, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"),
         "dup_key_gate": ([], "SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"),

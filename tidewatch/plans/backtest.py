@@ -105,6 +105,12 @@ def choose(rows: list[dict], g: Gates) -> int:
     return max(usable, key=value)
 
 
+def choose_row(rows: DataFrame, g: Gates) -> DataFrame:
+    """The chosen one of rows(place, f1, false_alerts_per_week, median_detection_delay_days, weakest, complexity), by the rule of choose()."""
+    passes = (F.col("f1") >= g.min_f1) & (F.col("false_alerts_per_week") <= g.max_false_per_week) & (F.col("median_detection_delay_days") <= g.max_delay_days) & (F.col("weakest") >= g.min_scenario_recall)
+    return rows.withColumn("passes", passes).orderBy(F.desc("passes"), F.desc("f1"), "false_alerts_per_week", F.desc("weakest"), "complexity", "place").limit(1)
+
+
 def _run(panel: DataFrame, seed: int, events: int, configurations: list[Thresholds], **more) -> list[dict]:
     with_events, without, labels = make_panels(panel, seed=seed, events=events, **more)
     a, b = Features(with_events), Features(without)

@@ -121,6 +121,24 @@ def inject(counts: np.ndarray, mean: np.ndarray, at: int, duration: int, scenari
     return out
 
 
+def with_effects(panel: DataFrame, templates: DataFrame, events: DataFrame) -> DataFrame:
+    """panel with declared events put into it, as columns: date, district, problem, requests, factor.
+
+    events(district, problem, start, end, scenario, strength) don't overlap in a series. Within an event
+    counts and weekday levels are multiplied by its strength, which a gradual ramp reaches on its last
+    day, and the larger is rounded up; elsewhere counts stay and factor is 1.
+    """
+    e = events.select(*[F.col(c).alias(f"_{c}") for c in SERIES], "start", "end", "scenario", "strength")
+    same = (F.col("district") == F.col("_district")) & (F.col("problem") == F.col("_problem")) & F.col("date").between(F.col("start"), F.col("end"))
+    rows = panel.select("date", *SERIES, "requests").join(e, same, "left")
+    ramp = RAMP_START + (F.col("strength") - RAMP_START) * F.datediff("date", "start") / F.greatest(F.datediff("end", "start"), F.lit(1))
+    factor = F.when(F.col("start").isNull(), 1.0).when(F.col("scenario") == "gradual_ramp", ramp).otherwise(F.col("strength"))
+    mean = F.get("weekday_level", F.weekday("date"))
+    counted = rows.join(templates.select(*SERIES, "weekday_level"), SERIES).withColumn("factor", factor)
+    raised = F.ceil(F.greatest(F.col("requests") * F.col("factor"), mean * F.col("factor"))).cast("double")
+    return counted.select("date", *SERIES, F.when(F.col("start").isNull(), F.col("requests").cast("double")).otherwise(raised).alias("requests"), "factor")
+
+
 def make_panels(panel: DataFrame, *, seed: int, events: int = 1200, start: date = START, days: int = DAYS, min_median: float = 10.0, level_floor: float = LEVEL_FLOOR) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(panel with events, the same panel without, events).
 

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .functions.text import borough_of, is_official, parse_district, signal_id, strip
+from .functions.text import borough_of, canonical_hash, district_of_code, is_official, parse_district, signal_id, strip
 from .operators import contracts, detectors, episodes, features, marts, metrics, panel, ranked_views, review, survival
-from .plans import synthetic
-from .schemas import DISTRICTS, SERIES, Thresholds
+from .operators.settled import settled, shared_folder
+from .plans import backtest, synthetic
+from .schemas import DISTRICTS, SAFE_FIELDS, SERIES, Gates, Thresholds
+from .sources import files
 from .sources.bindings import PANEL_END, PANEL_START, labelled_events, requests, shipments, table
 from .sources.bindings import panel as dense
+from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -455,15 +459,106 @@ def strata_plan(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def synthetic_panel(s: SparkSession, d: str) -> DataFrame:
-    rows, _ = synthetic.make_panel(dense(s, d), seed=311, events=24, min_median=1.0)
+    rows, _ = synthetic.make_panel(dense(s, d), seed=311, events=60, min_median=1.0)
     return rows
 
 
 @_query
 def candidate_backtest(s: SparkSession, d: str) -> DataFrame:
-    from .plans.backtest import candidate_rows
+    return backtest.candidate_rows(dense(s, d), seed=311, events=60, min_median=1.0)
 
-    return candidate_rows(dense(s, d), seed=311, events=12, min_median=1.0)
+
+@_query
+def injected_effects(s: SparkSession, d: str) -> DataFrame:
+    """Labelled events put into the panel, each scenario with its middle strength."""
+    rows = dense(s, d)
+    strength = F.when(F.col("scenario") == "spike", 3.5).when(F.col("scenario") == "level_shift", 2.0).otherwise(2.25)
+    return _rounded(synthetic.with_effects(rows, synthetic.series_templates(rows, 5.0), labelled_events(rows).withColumn("strength", strength)))
+
+
+@_query
+def candidate_choice(s: SparkSession, d: str) -> DataFrame:
+    """Nations stand for candidates: the best of those that meet the gates."""
+    k = F.col("n_nationkey")
+    rows = table(s, d, "nation").select(
+        k.cast("long").alias("place"), "n_name", (0.7 + (k * 7 % 25) / 80.0).alias("f1"), (k * 3 % 8).cast("double").alias("false_alerts_per_week"),
+        (k % 4).cast("double").alias("median_detection_delay_days"), (0.5 + (k % 10) / 20.0).alias("weakest"), (k % 3).cast("long").alias("complexity"),
+    )
+    return backtest.choose_row(rows, Gates()).select("place", "n_name", "passes")
+
+
+# -- boundaries, hashes
+
+
+@_query
+def district_codes(s: SparkSession, d: str) -> DataFrame:
+    return files.official_codes(s)
+
+
+@_query
+def boundary_map(s: SparkSession, d: str) -> DataFrame:
+    """Boundaries with the customers of each district, whose codes come from their keys; some codes are not official."""
+    code = (F.col("c_custkey") % 5 + 1) * 100 + F.col("c_custkey") % 20
+    counts = table(s, d, "customer").groupBy(district_of_code(code).alias("district")).agg(F.count("*").alias("requests"))
+    shapes = files.official_codes(s).withColumn("geometry", F.concat(F.lit("g"), F.col("code").cast("string")))
+    return files.join_boundaries(shapes, counts.withColumn("severity", F.when(F.col("requests") % 2 == 0, "watch").otherwise("high")))
+
+
+@_query
+def canonical_hashes(s: SparkSession, d: str) -> DataFrame:
+    row = {"name": F.col("n_name"), "key": F.col("n_nationkey"), "comment": F.lit(None).cast("string"), "area": F.struct(F.col("n_regionkey").alias("region"))}
+    return table(s, d, "nation").select("n_nationkey", canonical_hash(row).alias("sha256"))
+
+
+# -- streams: each reads what a stream of files has now, and stops
+
+
+def _streamed(s: SparkSession, source: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows that a stream over the Parquet files of source has put out when it has read all of them."""
+    # A pattern, as a stream's path must be a folder or a pattern, and source may be one file.
+    rows = change(s.readStream.schema(s.read.parquet(source).schema).parquet(f"{source[:-1]}[{source[-1]}]"))
+    out = shared_folder(s, "stream")
+    rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start(out).awaitTermination()
+    return s.read.schema(rows.schema).parquet(out)
+
+
+@_query
+def stream_daily_counts(s: SparkSession, d: str) -> DataFrame:
+    """Counts of the days that the watermark has closed."""
+    names = {"o_orderdate": "created_date", "o_orderstatus": "community_board", "o_orderpriority": "complaint_type"}
+    return _streamed(s, f"{d}/orders.parquet", lambda rows: ingest.daily_counts(rows.withColumnsRenamed(names)))
+
+
+@_query
+def stream_deduplicated(s: SparkSession, d: str) -> DataFrame:
+    names = {"l_shipdate": "created_date", "l_orderkey": "unique_key"}
+    return _streamed(s, f"{d}/lineitem.parquet", lambda rows: ingest.deduplicated(rows.withColumnsRenamed(names))).select("unique_key")
+
+
+@_query
+def stream_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Episodes of a stream of alerts that the watermark has closed."""
+    source = shared_folder(s, "alerts")
+    detectors.detect(dense(s, d), ROBUST).select("date", *SERIES).write.parquet(source)
+    return _streamed(s, source, ingest.episode_sessions)
+
+
+@_query
+def stream_ingest(s: SparkSession, d: str) -> DataFrame:
+    """Requests written as JSON lines and ingested as a stream: how many were kept, and why the others were not."""
+    source, out = shared_folder(s, "requests"), shared_folder(s, "ingested")
+    files.write_requests(requests(s, d), source)
+    ingest.ingest(files.stream_requests(s, source), out, f"{out}-checkpoint").awaitTermination()
+    kept = s.read.schema(", ".join(f"{c} string" for c in SAFE_FIELDS)).json(f"{out}/valid/*").agg(F.lit("kept").alias("outcome"), F.count("*").alias("requests"))
+    bad = s.read.schema("broken_rules array<string>").json(f"{out}/quarantine/*").groupBy(F.array_join("broken_rules", ",").alias("outcome")).agg(F.count("*").alias("requests"))
+    return kept.union(bad)
+
+
+@_query
+def replayed_episodes(s: SparkSession, d: str) -> DataFrame:
+    """What was known at the end of two days."""
+    known = ingest.replay(dense(s, d), ROBUST, [date(1997, 6, 30), AS_OF])
+    return settled(_rounded(reduce(DataFrame.unionByName, [rows.withColumn("known_on", F.lit(day)) for day, rows in known.items()])))
 
 
 # -- review
