@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
 from tidewatch.llm.common import stored, table
@@ -42,7 +43,7 @@ def test_stages_on_odd_documents(spark, tmp_path):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     names = ["_frequent", "_host", "_salt", "comp", "sid", "x", "kept", "score"]
     more = docs.select(*docs.columns, *[F.lit("clash").alias(n) for n in names])
-    kinds = more.schema
+    kinds = T.StructType([T.StructField(f.name, f.dataType) for f in more.schema])
     long = " ".join(f"long{k % 5000} text{k % 77}" for k in range(60_000))
     odd = [{"doc_id": None, "text": None}, {"doc_id": 10**9, "text": None}, {"doc_id": 10**9 + 1, "text": ""}, {"doc_id": 10**9 + 2, "text": long}, {"doc_id": None, "text": "one two three four five " * 9}] + [{"doc_id": 10**9 + 3, "text": docs.first()["text"], "source": "s", "_salt": "y"}] * 3
     rows = more.union(spark.createDataFrame([tuple(r.get(f.name) for f in kinds) for r in odd], kinds))

@@ -280,10 +280,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Net
     found = map_chunks(rows, lambda c, r: {"doc_id": c["doc_id"]} | features(c, r), "doc_id long, quality long, x binary", Reader, POOLED_ROWS)
     got = found.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("x").alias("x")).collect()
     got.sort(key=lambda r: r["doc_id"])
-    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), -1)
     y = np.array([r["quality"] > 0 for r in got], float)
-    if len(set(y.tolist())) < 2:
+    if len(set(y.tolist())) < 2:  # no document, or those of one class only
         return float(y.mean()) if len(y) else 0.5
+    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(len(got), -1)
     return train(x, y, vectors)
 
 
