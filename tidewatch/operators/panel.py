@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import GateError
@@ -99,3 +100,14 @@ def eligible_series(panel: DataFrame, min_days: int = 70, min_median: float = 10
     """Series that are long and busy enough to be evaluated."""
     found = panel.groupBy(*SERIES).agg(F.count("*").alias("days"), F.percentile("requests", F.lit(0.5)).alias("median_requests"))
     return found.where((F.col("days") >= min_days) & (F.col("median_requests") >= min_median))
+
+
+def numbered_series(series: DataFrame) -> DataFrame:
+    """series with place, from 0 in the order of district and problem.
+
+    Places are counted within districts, and one task orders only the districts.
+    """
+    before = series.groupBy("district").agg(F.count("*").alias("n"))
+    before = before.select("district", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("district").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = series.withColumn("within", F.row_number().over(W.partitionBy("district").orderBy("problem")))
+    return within.join(before, "district").withColumn("place", (F.col("before") + F.col("within") - 1).cast("int")).drop("before", "within")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import GateError
 from ..schemas import SERIES, Gates
 from .episodes import top_ranked
+from .panel import numbered_series
 
 #: Labels of reviewers; the first two are positive.
 LABELS = ["clear_anomaly", "plausible_anomaly", "unsupported", "uncertain"]
@@ -51,11 +52,14 @@ def build_packet(panel: DataFrame, ranked: DataFrame, alerts: DataFrame, day: da
     spark, rng = panel.sparkSession, np.random.default_rng(seed)
     top = top_ranked(ranked, 2 * GROUP_CASES).orderBy("place").select(*SERIES, "date").collect()
     chosen = [(r["district"], r["problem"], r["date"], "top20" if k < GROUP_CASES else "near_threshold") for k, r in enumerate(top)]
-    pool = control_pool(panel, alerts, day).orderBy(*SERIES).select(*SERIES, "date").collect()
-    if len(pool) < GROUP_CASES:
-        raise GateError(f"A blind review needs {GROUP_CASES} series without an alert; there are {len(pool)}")
-    picked = rng.choice(len(pool), size=GROUP_CASES, replace=False)
-    chosen += [(*pool[int(k)], "matched_control") for k in picked]
+    pool = control_pool(panel, alerts, day).select(*SERIES, "date")
+    n = pool.count()
+    if n < GROUP_CASES:
+        raise GateError(f"A blind review needs {GROUP_CASES} series without an alert; there are {n}")
+    # Places are drawn, and only the series at these places leave Spark.
+    picked = [int(k) for k in rng.choice(n, size=GROUP_CASES, replace=False)]
+    controls = {r["place"]: r for r in numbered_series(pool).where(F.col("place").isin(picked)).collect()}
+    chosen += [(controls[k]["district"], controls[k]["problem"], controls[k]["date"], "matched_control") for k in picked]
     if len(chosen) != 3 * GROUP_CASES:
         raise GateError(f"{len(chosen)} cases were found for a packet of {3 * GROUP_CASES}")
     given = [(k, *c) for k, c in enumerate(chosen)]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.panel import eligible_series
+from ..operators.panel import eligible_series, numbered_series
 from ..schemas import SERIES
 
 #: Fixed values of the protocol.
@@ -61,11 +61,7 @@ def quiet_days(panel: DataFrame, templates: DataFrame) -> DataFrame:
 
 def strata(series: DataFrame, events: int) -> DataFrame:
     """The plan of `events` synthetic series: source series, scenario, duration, strength, generator by place."""
-    # Places are counted within districts; one task orders only the districts.
-    before = series.groupBy("district").agg(F.count("*").alias("n"))
-    before = before.select("district", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("district").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = series.withColumn("within", F.row_number().over(W.partitionBy("district").orderBy("problem")))
-    numbered = within.join(before, "district").select(*SERIES, (F.col("before") + F.col("within") - 1).cast("int").alias("place"))
+    numbered = numbered_series(series.select(*SERIES))
     n = max(1, numbered.count())  # without series the plan is empty
     k = F.col("i")
 
