@@ -98,8 +98,10 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     """Pieces of packed sequences of docs(doc_id, text, ...); other columns are left out.
 
     A document's ids are its text's, by the tokenizer file, and end_id. A null text is empty and has
-    the end id alone; repeated rows and null doc_ids are packed as documents of their own. Sequence
-    and group ids are unique over partitions. At most one sequence of a partition is padded.
+    the end id alone; repeated rows and null doc_ids are packed as documents of their own. A text of
+    more tokens than the longest tier, however long, is cut to windows of that tier and a rest. Sequence
+    and group ids are unique over partitions. At most one sequence of a partition is padded. Step
+    groups have equal token counts within the documents that a task gathers (window_tokens).
     with_ids adds each piece's ids as little-endian unsigned 32-bit bytes. An empty table gives no rows.
     cache_words is how many words' ids a worker remembers: fewer take less memory and more time.
     """
