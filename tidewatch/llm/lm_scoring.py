@@ -34,8 +34,8 @@ PARTITION_GRAMS = 8_000_000
 
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
-LOTS = "lot long, doc_ids array<bigint>, sizes array<bigint>, n_tokens long, ids binary"
-_LOTS = pa.schema([("lot", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("ids", pa.binary())])
+LOTS = "lot long, doc_ids array<bigint>, sizes array<bigint>, n_tokens long, table array<int>, ids binary"
+_LOTS = pa.schema([("lot", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("n_tokens", pa.int64()), ("table", pa.list_(pa.int32())), ("ids", pa.binary())])
 GRAMS = "part int, lot long, gram int, n int, keys binary, counts binary"
 _GRAMS = pa.schema([("part", pa.int32()), ("lot", pa.int64()), ("gram", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 TOTALS = "lot long, part int, gram int, n int, totals binary"
@@ -54,7 +54,7 @@ def pack(values: np.ndarray) -> bytes:
     """Whole numbers as compressed bytes, all lowest bytes first: high bytes are mostly zero."""
     planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
     used = max((k + 1 for k in range(8) if planes[k].any()), default=1)
-    return bytes([used]) + pa.compress(planes[:used].tobytes(), "zstd", asbytes=True)
+    return bytes([used]) + pa.Codec("zstd", compression_level=3).compress(planes[:used].tobytes(), asbytes=True)
 
 
 def unpack(raw: bytes, n: int) -> np.ndarray:
@@ -64,8 +64,17 @@ def unpack(raw: bytes, n: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def by_frequency(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids that occur, the most frequent first, and each id's place among them: small numbers, which pack well."""
+    counts = np.bincount(ids)
+    table = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+    place = np.zeros(len(counts), np.int64)
+    place[table] = np.arange(len(table))
+    return table, place[ids]
+
+
 def _lots(docs: DataFrame, path: str) -> DataFrame:
-    """Each lot's documents (doc_id and number of ids) and ids."""
+    """Each lot's documents (doc_id and number of ids) and ids, these as places in a table by frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -76,7 +85,8 @@ def _lots(docs: DataFrame, path: str) -> DataFrame:
         held = 0
 
         def close() -> pa.RecordBatch:
-            row = (lot, names, [len(f) for f in found], held, pack(np.concatenate(found)))
+            table, places = by_frequency(np.concatenate(found))
+            row = (lot, names, [len(f) for f in found], held, table, pack(places))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _LOTS, strict=True)], schema=_LOTS)
 
         for chunk in chunks(batches, ENCODED_ROWS):
@@ -136,7 +146,8 @@ def _by_part(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def _read(batch: pa.Table | pa.RecordBatch, row: int, size: int) -> Grams:
     sizes = np.array(batch.column("sizes")[row].as_py(), np.int64)
-    return Grams(sizes, unpack(batch.column("ids")[row].as_py(), int(sizes.sum())), size)
+    table = np.array(batch.column("table")[row].as_py(), np.uint64)
+    return Grams(sizes, table[unpack(batch.column("ids")[row].as_py(), int(sizes.sum()))], size)
 
 
 def score_documents(docs: DataFrame, tokenizer: str | None = None, order: int = ORDER, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
@@ -225,6 +236,6 @@ def score_documents(docs: DataFrame, tokenizer: str | None = None, order: int =
         mean = [float(t) / s if s else None for t, s in zip(sums, sizes.tolist(), strict=True)]
         return pa.table([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mean, pa.float64()), pa.array(sums, pa.float64())], schema=_SCHEMA)
 
-    packed = map_arrow(lots.select("lot", "sizes", "ids"), explode, GRAMS)
+    packed = map_arrow(lots.select("lot", "sizes", "table", "ids"), explode, GRAMS)
     counted = packed.groupBy("part").applyInArrow(count, TOTALS)
-    return lots.select("lot", "doc_ids", "sizes", "ids").groupBy("lot").cogroup(counted.groupBy("lot")).applyInArrow(score, SCHEMA)
+    return lots.select("lot", "doc_ids", "sizes", "table", "ids").groupBy("lot").cogroup(counted.groupBy("lot")).applyInArrow(score, SCHEMA)
