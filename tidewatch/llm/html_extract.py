@@ -59,7 +59,7 @@ WORD_EVIDENCE = {
     **dict.fromkeys("article content post entry story body main text maincontent articlebody".split(), -2.0),
 }
 #: Words that name a part's shape rather than its kind; they count only where an identifier has no other.
-SHAPE_WORDS = frozenset("container wrapper wrap inner outer box block area section list item items panel group row col column left right top bottom content body text main page site widget title link links bar".split())
+SHAPE_WORDS = frozenset("container wrapper wrap inner outer box block area section list item items panel group row col column slot unit zone holder placeholder module component card teaser button buttons left right top bottom content body text main page site widget title link links bar".split())
 #: How much the last word of an identifier, which names the thing, counts against each before it.
 HEAD_WEIGHT = 2.0
 #: What further identifiers of an element add to the strongest.
