@@ -109,6 +109,7 @@ LONG = "This is a paragraph of the article that goes on for some words, as artic
         # Nor does a page without any.
         (f"<div><a href=x>Home</a> | <a href=y>About</a></div><div>{LONG} {LONG}</div><div>{LONG}</div><div>All rights reserved 2020</div>", f"{LONG} {LONG}\n{LONG}"),
         (f"<div>{LONG}</div><div>{LONG}</div><div>Copyright © 2020 Example Ltd</div>", f"{LONG}\n{LONG}"),
+        (f'<header class="top"><a href=x>Site</a></header><article><header><h1>Head line</h1></header><p>{LONG}</p></article>', f"Head line\n{LONG}"),
         # Words of shape say nothing beside others.
         (f'<main><p>{LONG}</p><div class="ad-slot-top"><p>{LONG}</p></div><div id="promo-teaser">{LONG}</div></main>', LONG),
         # Long identifiers whose last word names the thing.

@@ -373,7 +373,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     A null or empty html, or one without content, gives an empty text. Whole pages are read whatever
     their length; repeated rows give repeated results, and other columns are left out. An empty table
-    gives no rows. A <header> is left out also inside an article, with a headline that it may hold.
+    gives no rows. A page's header is left out; the headline in an article's own <header> is kept.
     """
 
     def run(columns: dict[str, list]) -> dict[str, list]:
