@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import sys
 import tempfile
 import types
@@ -46,7 +47,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if base is None:
         base = spark.sparkContext.getCheckpointDir()
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidewatch-")
         spark.sparkContext.setCheckpointDir(base)
