@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, language_id, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, token_files, url_filter
+from . import decontamination, html_extract, language_id, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, simhash, token_files, url_filter
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.link_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -63,8 +67,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_language_id": op9_language_id,
         "op10_token_files": op10_token_files,
+        "op13_simhash": op13_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.SQL, "op3_url_filter": url_filter.SQL, "op5_quality_rules": quality_rules.SQL, "op8_decontamination": decontamination.SQL}
+    return {
+        "op2_ngram_join": ngram_join.SQL,
+        "op3_url_filter": url_filter.SQL,
+        "op5_quality_rules": quality_rules.SQL,
+        "op8_decontamination": decontamination.SQL,
+    }
