@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, language_id, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, simhash, token_files, url_filter
+from . import decontamination, html_extract, language_id, lexical_search, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, simhash, token_files, url_filter
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link_documents(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_language_id": op9_language_id,
         "op10_token_files": op10_token_files,
+        "op12_lexical_search": op12_lexical_search,
         "op13_simhash": op13_simhash,
     }
 
@@ -77,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": url_filter.SQL,
         "op5_quality_rules": quality_rules.SQL,
         "op8_decontamination": decontamination.SQL,
+        "op12_lexical_search": lexical_search.SQL,
     }
