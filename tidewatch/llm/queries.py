@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, language_id, lexical_search, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, simhash, token_files, url_filter
+from . import conversations, decontamination, html_extract, language_id, lexical_search, lm_scoring, ngram_join, packing, quality_classifier, quality_rules, simhash, token_files, url_filter
 from .common import table
 
 
@@ -51,6 +51,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damage(table(spark, sf_dir, "conversations"))
+    return conversations.report(conversations.repair_conversations(damaged, "copies"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_language_id": op9_language_id,
         "op10_token_files": op10_token_files,
+        "op11_conversation_repair": op11_conversation_repair,
         "op12_lexical_search": op12_lexical_search,
         "op13_simhash": op13_simhash,
     }
