@@ -12,8 +12,9 @@ from pyspark import cloudpickle
 from tidewatch.errors import GateError
 from tidewatch.functions.text import district_of_code, is_official, parse_district, strip
 from tidewatch.operators.contracts import valid
-from tidewatch.schemas import BOROUGH_CODES, DISTRICTS
-from tidewatch.sources import files, rest
+from tidewatch.schemas import BOROUGH_CODES, DISTRICTS, REQUEST
+from tidewatch.sources import files, parts, rest
+from tidewatch.sources.service import TableService
 from tidewatch.streaming import ingest
 
 
@@ -181,3 +182,142 @@ def test_stream_sessions_and_counts(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("day_counts").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r["requests"] for r in spark.table("day_counts").collect()) == 26
+
+
+def service_table(tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 400
+    times = pa.array([1_000_000 * (880_000_000 + 7200 * k) for k in range(n)], pa.timestamp("us"))
+    table = pa.table({"o_orderkey": list(range(n)), "o_orderdate": times, "o_custkey": [k * 7 % 50 for k in range(n)], "o_orderpriority": [["1-URGENT", "it's", "5-LOW", "Ä"][k % 4] for k in range(n)], "o_orderstatus": ["OFP"[k % 3] for k in range(n)]})
+    pq.write_table(table, tmp_path / "orders.parquet")
+    return str(tmp_path / "orders.parquet")
+
+
+class Recorded:
+    """A service that notes what it was asked in a file, as its calls come from other processes."""
+
+    def __init__(self, path, log):
+        self.service, self.log = TableService(path), str(log)
+
+    def __call__(self, params):
+        with open(self.log, "a") as out:
+            out.write(json.dumps(params) + "\n")
+        return self.service(params)
+
+
+def test_filters_and_columns_reach_the_service(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    by_value()
+    path, log = service_table(tmp_path), tmp_path / "asked"
+    rows = rest.read_api(spark, Recorded(path, log), ["unique_key", "created_date", "complaint_type", "descriptor"], "api_pushed", page_size=50)
+    when = F.col("created_date") >= F.lit("1997-11-25 00:00:00").cast("timestamp_ntz")
+    wanted = rows.where(when & F.col("complaint_type").isin("it's", "Ä") & F.col("descriptor").isNotNull() & (F.col("descriptor") != "d'1") & (F.length("complaint_type") > 1))
+    plan = wanted._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("Filter") : plan.index("Filter") + 200].split("\n")[0]
+    assert "length" in above and " >= " not in above and " IN " not in above and "descriptor" not in above
+    whole = spark.read.parquet(path).where("o_orderdate >= '1997-11-25' AND o_orderpriority = \"it's\" AND o_orderkey % 5 > 0 AND o_orderkey % 3 <> 1")
+    assert sorted(r[0] for r in wanted.select("unique_key").collect()) == sorted(f"{r[0]:012d}" for r in whole.select("o_orderkey").collect())
+    asked = [json.loads(x) for x in log.read_text().splitlines()]
+    pages = [a for a in asked if "$offset" in a]
+    assert {a["$select"] for a in pages} == {"unique_key,created_date,complaint_type,descriptor"}
+    for part in ("created_date >= '1997-11-25T00:00:00.000'", "complaint_type in('it''s','Ä')", "descriptor is not null", "not (descriptor = 'd''1')"):
+        assert all(part in a["$where"] for a in asked)
+    assert len({a["$offset"] for a in pages}) < 4  # pages of what is left, not of the table
+
+
+def test_filters_that_stay_in_spark(spark, tmp_path):
+    """Whatever is asked, the rows are those of the same filter on the whole table."""
+    from pyspark.sql import functions as F
+
+    by_value()
+    path = service_table(tmp_path)
+    rows = rest.read_api(spark, TableService(path), name="api_left", page_size=150)
+    every = rows.collect()
+    assert len(every) == 400 and "address" not in rows.columns
+    key, kind, text, made = (F.col(c) for c in ("unique_key", "complaint_type", "descriptor", "created_date"))
+    local = spark.createDataFrame(every, rows.schema)
+    odd_time = F.lit("1997-11-25 00:00:00.000123").cast("timestamp_ntz")
+    for found in (key > "000000000100", kind == "it's", ~kind.isin("5-LOW", "Ä"), text.isNull(), text.eqNullSafe("d'0"), ~text.isNull(), kind.startswith("1"), made.isNull(), made > odd_time, made == made, (kind == "Ä") | text.isNull(), ~(text == "d'0"), kind.isin("Ä", None), F.lower(kind) == "ä", ~(made < F.lit("1997-12-01").cast("timestamp_ntz"))):
+        assert sorted(map(repr, rows.where(found).collect())) == sorted(map(repr, local.where(found).collect()))
+
+
+def test_broken_cache_is_asked_again(spark, tmp_path):
+    calls = []
+
+    def answer(params):
+        calls.append(params)
+        return [{"n": "3"}]
+
+    def rows(**more):
+        return [tuple(r) for r in rest.cached_query(spark, answer, {"$select": "n"}, str(tmp_path / "cache"), **({"schema": "n string"} | more)).collect()]
+
+    assert rows() == [("3",)]
+    (entry,) = (tmp_path / "cache").iterdir()
+    for f in [f for f in entry.rglob("*") if f.is_file() and (f.parent.name == "done" or f.name != "_SUCCESS")]:
+        f.unlink()
+    for name in ("rows", "done"):
+        (entry / name / "_temporary").mkdir()
+    assert rows() == rows() == [("3",)] and len(calls) == 2
+    assert rows(schema="n string, m string") == [("3", None)] and rows(endpoint="other") == [("3",)] and len(calls) == 4
+
+
+def test_errors_of_a_transport_that_are_not_retried():
+    def broken(params):
+        raise KeyError("own bug")
+
+    with pytest.raises(KeyError):
+        rest.query(broken, {}, sleep=lambda s: pytest.fail("no pause"))
+
+
+def test_parts_are_committed_once(spark, tmp_path):
+    by_value()
+    path, out, check = service_table(tmp_path), str(tmp_path / "out"), tmp_path / "check"
+    spark.dataSource.register(rest.source(TableService(path), "api_parts"))
+
+    def run():
+        stream = spark.readStream.format("api_parts").option("page_size", "90").load()
+        q = parts.stream_parts(stream, out, str(check)).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        rows = parts.read_parts(spark, out, REQUEST)
+        return sorted(r["unique_key"] for r in rows.select("unique_key").collect())
+
+    want = [f"{k:012d}" for k in range(400)]
+    assert run() == want
+    assert json.loads((tmp_path / "out/checkpoint.json").read_text()) == {"offset": 400}
+    commits, manifests = sorted((check / "commits").glob("[0-9]*")), sorted((tmp_path / "out/_commits").iterdir())
+    assert len(manifests) >= 5
+    # Ended after the manifest, before Spark's own commit: the batch comes again and is not doubled.
+    for f in (commits[-1], check / "commits" / f".{commits[-1].name}.crc"):
+        f.unlink(missing_ok=True)
+    assert run() == want
+    # Ended between the parts and their manifest: parts of no manifest don't count and are replaced.
+    for f in [*sorted((check / "commits").glob("[0-9]*"))[-1:], manifests[-1]]:
+        f.unlink()
+    for f in (check / "commits").glob(".*.crc"):
+        f.unlink()
+    assert len(parts.read_parts(spark, out, REQUEST).collect()) < 400
+    assert run() == want
+
+
+def test_batches_of_parts(spark, tmp_path):
+    out = str(tmp_path / "out")
+    rows = spark.range(10).selectExpr("cast(id as string) AS unique_key")
+    assert parts.read_parts(spark, out, rows.schema).count() == 0
+    parts.write_parts(rows, out, key="a")
+    parts.write_parts(rows, out, key="a")
+    assert parts.read_parts(spark, out, rows.schema).count() == 10
+    parts.write_parts(rows.limit(0), out)
+    parts.write_parts(rows.limit(3), out)
+    assert parts.read_parts(spark, out, rows.schema).count() == 13
+    parts.write_parts(rows.limit(4), out, replace=True)
+    assert parts.read_parts(spark, out, rows.schema).count() == 4
+    failing = rows.selectExpr("raise_error('no') AS unique_key")
+    with pytest.raises(Exception, match="no"):
+        parts.write_parts(failing, out)
+    assert parts.read_parts(spark, out, rows.schema).count() == 4 and parts.committed(spark, out).count() == 1
