@@ -6,11 +6,11 @@ import operator
 from datetime import date, timedelta
 from functools import partial
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrays import among, halvings, let
 from ..schemas import SERIES
 from .detectors import ALERT_COLUMNS
 from .settled import settled
@@ -20,20 +20,56 @@ STRONGEST = ["observed", "expected", "effect", "anomaly_score", "calibrated_scor
 EPISODE_COLUMNS = [*ALERT_COLUMNS, "episode_start", "episode_end", "persistence"]
 
 
-def merge_episodes(alerts: DataFrame, cooldown_days: int = 7) -> DataFrame:
-    """Alerts of a series with gaps of at most cooldown_days as one episode; of equal scores the first counts."""
-    w = W.partitionBy(*SERIES).orderBy("date")
-    begins = F.coalesce(F.datediff("date", F.lag("date").over(w)) > cooldown_days, F.lit(True))
-    numbered = alerts.withColumn("begins", begins.cast("int")).withColumn("episode", F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    first = [c for c in ALERT_COLUMNS if c not in STRONGEST and c not in SERIES]
-    merged = numbered.groupBy(*SERIES, "episode").agg(
-        F.min_by(F.struct(*first), "date").alias("f"),
-        F.max_by(F.struct(*STRONGEST), F.struct("anomaly_score", -F.unix_date("date"))).alias("s"),
+_FIRST = [c for c in ALERT_COLUMNS if c not in STRONGEST and c not in SERIES]
+
+
+def _strength() -> F.Column:
+    """Order of alerts by score, of equal ones the first highest."""
+    return F.struct("anomaly_score", -F.unix_date("date"))
+
+
+def episode_aggregates() -> list[F.Column]:
+    """What is kept of an episode's alerts: the first (f), the strongest (s), first and last day, number."""
+    return [
+        F.min_by(F.struct(*_FIRST), "date").alias("f"),
+        F.max_by(F.struct(*STRONGEST), _strength()).alias("s"),
         F.min("date").alias("episode_start"),
         F.max("date").alias("episode_end"),
         F.count("*").alias("persistence"),
+    ]
+
+
+def session_columns(grouped: DataFrame) -> DataFrame:
+    """The columns of an episode, of groups with episode_aggregates."""
+    return grouped.select(*SERIES, "f.*", "s.*", "episode_start", "episode_end", "persistence").select(*EPISODE_COLUMNS)
+
+
+def _numbered(alerts: DataFrame, cooldown_days: int) -> DataFrame:
+    """alerts with the number of their episode in the series."""
+    w = W.partitionBy(*SERIES).orderBy("date")
+    begins = F.coalesce(F.datediff("date", F.lag("date").over(w)) > cooldown_days, F.lit(True))
+    return alerts.withColumn("begins", begins.cast("int")).withColumn("episode", F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("begins")
+
+
+def merge_episodes(alerts: DataFrame, cooldown_days: int = 7) -> DataFrame:
+    """Alerts of a series with gaps of at most cooldown_days as one episode; of equal scores the first counts."""
+    return session_columns(_numbered(alerts, cooldown_days).groupBy(*SERIES, "episode").agg(*episode_aggregates()))
+
+
+def episode_states(alerts: DataFrame, cooldown_days: int = 7) -> DataFrame:
+    """The episode of each alert as it was after that alert, and `replaced`, the day of the episode's next one."""
+    w = W.partitionBy(*SERIES, "episode").orderBy("date")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    seen = _numbered(alerts, cooldown_days).select(
+        *SERIES,
+        F.first(F.struct(*_FIRST)).over(so_far).alias("f"),
+        F.max(F.struct("anomaly_score", (-F.unix_date("date")).alias("early"), F.struct(*STRONGEST).alias("x"))).over(so_far)["x"].alias("s"),
+        F.first("date").over(so_far).alias("episode_start"),
+        F.col("date").alias("episode_end"),
+        F.row_number().over(w).cast("long").alias("persistence"),
+        F.lead("date").over(w).alias("replaced"),
     )
-    return merged.select(*SERIES, "f.*", "s.*", "episode_start", "episode_end", "persistence").select(*EPISODE_COLUMNS)
+    return seen.select(*SERIES, "f.*", "s.*", "episode_start", "episode_end", "persistence", "replaced").select(*EPISODE_COLUMNS, "replaced")
 
 
 #: Ranges of values that percent ranks are computed in, and the error of their bounds.
@@ -93,29 +129,53 @@ def recent_candidates(episodes: DataFrame, end: date, days: int = 20, least: int
     return episodes.orderBy(F.desc("date"), "district", "problem").limit(fallback)
 
 
+#: Days of a bucket in which events and starts of episodes meet, and events of a run that are walked at once.
+MATCH_DAYS, MATCH_BLOCK = 16, 512
+
+
+def _bucket(day: str) -> F.Column:
+    return F.floor(F.unix_date(day) / MATCH_DAYS)
+
+
 def match_events(episodes: DataFrame, events: DataFrame, grace_days: int = 2) -> DataFrame:
     """events with the episode that each matches: event columns, matched (start of the episode) and delay_days.
 
     Events in the order of event_id take, each, the first episode of their series that no other has
-    taken and that starts from the event's start to its end and the grace. Series are matched apart.
+    taken and that starts from the event's start to its end and the grace. Events and episodes meet by
+    series and bucket of days. Only events that want a common episode, directly or by others between
+    them, are gathered: such a run is walked by one fold, in blocks, all others have their first episode.
     """
-    # Only what can match leaves Spark: pairs of a range join on the series.
-    e = events.select("event_id", *SERIES, "start", "end")
-    near = e.join(episodes.select(*SERIES, "episode_start").distinct(), SERIES)
-    near = near.where((F.col("episode_start") >= F.col("start")) & (F.col("episode_start") <= F.date_add("end", grace_days)))
-    rivals = near.groupBy(*SERIES, "episode_start").agg(F.count("*").alias("k")).where("k > 1").select(*SERIES).distinct()
-    # Where no episode suits two events, each event has its first one.
-    free = near.join(rivals, SERIES, "left_anti").groupBy("event_id").agg(F.min("episode_start").alias("matched"))
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for event_id, own in rows.sort_values(["event_id", "episode_start"]).groupby("event_id", sort=True):
-            found = next((x for x in own["episode_start"] if x not in taken), None)
-            if found is not None:
-                taken.add(found)
-                out.append((event_id, found))
-        return pd.DataFrame(out, columns=["event_id", "matched"])
-
-    contested = near.join(rivals, SERIES, "left_semi").groupBy(*SERIES).applyInPandas(greedy, "event_id string, matched date")
-    found = free.union(contested)
+    reach = events.select("event_id", *SERIES, F.col("start").alias("from"), F.date_add("end", grace_days).alias("until")).where("from <= until")
+    spread = reach.withColumn("bucket", F.explode(F.sequence(_bucket("from"), _bucket("until"))))
+    starts = episodes.select(*SERIES, "episode_start").distinct().withColumn("bucket", _bucket("episode_start"))
+    near = spread.join(starts, [*SERIES, "bucket"]).where(F.col("episode_start").between(F.col("from"), F.col("until")))
+    wanted = near.groupBy(*SERIES, "event_id").agg(F.sort_array(F.collect_list("episode_start")).alias("wanted"))
+    # In the order of first wishes a run ends where the next first wish is after all wishes so far.
+    w = W.partitionBy(*SERIES).orderBy(F.get("wanted", 0), "event_id")
+    furthest = F.max(F.array_max("wanted")).over(w.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.coalesce(F.get("wanted", 0) > furthest, F.lit(True))
+    runs = wanted.withColumn("begins", begins.cast("int")).withColumn("run", F.sum("begins").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    gathered = runs.groupBy(*SERIES, "run").agg(F.sort_array(F.collect_list(F.struct("event_id", "wanted"))).alias("x"))
+    kind = f"array<struct<event_id:{events.schema['event_id'].dataType.simpleString()},matched:date>>"
+
+    def start(taken: str) -> F.Column:
+        return F.struct(F.array().cast("array<date>").alias(taken), F.array().cast(kind).alias("given"))
+
+    def block(acc: F.Column, x: F.Column) -> F.Column:
+        """One block of events in order: days taken before are looked up in their sorted array, new ones are few."""
+
+        def walk(steps: F.Column) -> F.Column:
+            def event(own: F.Column, e: F.Column) -> F.Column:
+                free = F.filter(e["wanted"], lambda day: ~F.array_contains(own["new"], day) & ~among(acc["taken"], steps, day))
+                taken = F.struct(F.array_append(own["new"], F.get(free, 0)).alias("new"), F.array_append(own["given"], F.struct(e["event_id"].alias("event_id"), F.get(free, 0).alias("matched"))).alias("given"))
+                return F.when(F.size(free) == 0, own).otherwise(taken)
+
+            return F.aggregate(x, start("new"), event)
+
+        return let(let(halvings(acc["taken"]), walk), lambda own: F.struct(F.sort_array(F.concat(acc["taken"], own["new"])).alias("taken"), F.concat(acc["given"], own["given"]).alias("given")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / MATCH_BLOCK).cast("int")), lambda k: F.slice("x", k * MATCH_BLOCK + 1, F.lit(MATCH_BLOCK)))
+    first = F.transform("x", lambda e: F.struct(e["event_id"].alias("event_id"), F.get(e["wanted"], 0).alias("matched")))
+    given = F.when(F.size("x") == 1, first).otherwise(F.aggregate(blocks, start("taken"), block)["given"])
+    found = gathered.select(F.explode(given).alias("g")).select("g.event_id", "g.matched")
     return events.join(found, "event_id", "left").withColumn("delay_days", F.when(F.col("matched").isNotNull(), F.greatest(F.datediff("matched", "start"), F.lit(0))))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import minutes_between
+from . import ranges
 
 DIMENSIONS = ["community_district", "borough", "agency", "problem"]
 
@@ -66,12 +67,12 @@ def facts(staged: DataFrame) -> DataFrame:
 
 
 def daily_metrics(fct: DataFrame) -> DataFrame:
-    keys = [F.col("created_date").alias("metric_date"), *DIMENSIONS, "channel"]
-    return fct.groupBy(*keys).agg(
-        F.count("*").alias("request_count"),
-        F.count_if("is_closed").alias("closed_count"),
-        F.median(F.when(F.col("is_closed"), F.col("resolution_days"))).alias("median_resolution_days"),
-    )
+    """Counts and the median days to resolution by day, dimensions and channel; a hot group is split by days to resolution."""
+    keys = ["metric_date", *DIMENSIONS, "channel"]
+    rows = fct.select(F.col("created_date").alias("metric_date"), *keys[1:], "is_closed", F.when(F.col("is_closed"), F.col("resolution_days")).alias("value"))
+    found, median = ranges.percentile_columns({"median_resolution_days": 0.5})
+    placed = ranges.with_places(ranges.histograms(rows, keys, "value", 1.0, {"closed": F.count_if("is_closed")}), keys).select("*", *found)
+    return placed.groupBy(*keys).agg(F.sum("n").alias("request_count"), F.sum("closed").alias("closed_count"), *median)
 
 
 def closure_cohorts(fct: DataFrame, within_days: int = 7) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,11 +14,15 @@ from ..functions.text import parse_district
 from ..schemas import PANEL_COLUMNS, SERIES
 
 
+def missing(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the columns that df lacks, in order."""
+    return sorted(set(columns) - set(df.columns))
+
+
 def require(df: DataFrame, columns: list[str]) -> None:
     """Fails at planning if columns are missing."""
-    missing = sorted(set(columns) - set(df.columns))
-    if missing:
-        raise ValueError(f"Missing columns: {', '.join(missing)}")
+    if lacking := missing(df, columns):
+        raise ValueError(f"Missing columns: {', '.join(lacking)}")
 
 
 def daily_sparse(requests: DataFrame) -> DataFrame:
@@ -90,6 +95,64 @@ def rollup(panel: DataFrame, *keys: str) -> DataFrame:
     return panel.groupBy("date", *keys).agg(F.sum("requests").cast("long").alias("observed"))
 
 
+def rollups(panel: DataFrame, report_start: date, end: date, days: int = 28) -> DataFrame:
+    """kind, date, district, problem and observed: all rollups of a report by one Expand and one aggregate.
+
+    Kinds are `city` (by date), `district` and `problem` (by date, from report_start) and `map` (by
+    district, of the last days). Columns that a kind doesn't group by are null.
+    """
+    recent = (F.col("date") > F.date_sub(F.lit(end), days)) & (F.col("date") <= F.lit(end))
+    rows = panel.select("date", *SERIES, recent.alias("recent"), "requests")
+    sets = [["date"], ["date", "district"], ["date", "problem"], ["recent", "district"]]
+    sums = rows.groupingSets(sets, "date", "district", "problem", "recent").agg(F.sum("requests").cast("long").alias("observed"), *[F.grouping(c).alias(f"all_{c}") for c in ("date", "district", "problem", "recent")])
+    # The first that is true counts, so a null there leaves the row out.
+    kind = F.when(F.col("all_recent") == 0, F.when(F.col("recent"), "map"))
+    kind = kind.when((F.col("all_district") == 1) & (F.col("all_problem") == 1), "city")
+    kind = kind.when(F.col("date") < F.lit(report_start), None)
+    kind = kind.when(F.col("all_district") == 0, "district").otherwise("problem")
+    return sums.withColumn("kind", kind).where(F.col("kind").isNotNull()).select("kind", "date", "district", "problem", "observed")
+
+
+def write_counts(requests: DataFrame, path: str, start: date | None = None, end: date | None = None, filled: tuple[str, ...] = ("closed_date", "community_board")) -> DataFrame:
+    """Writes the day counts of requests to path/rows and returns the one row of what was seen meanwhile.
+
+    source and grouped (requests read, and their sum by day, board and problem), reconciled, first_day, last_day,
+    complete, and a filled share of each column: all observed in the job that writes, without another scan.
+    If the sums disagree, or the first or last day is not the one expected (if it is given), it fails, and path/checked, which read_counts asks for, is
+    not written. Metrics of a stage that is run again after a loss may count twice: then the gate fails, it
+    never passes for it.
+    """
+    spark = requests.sparkSession
+    kinds = "source long, grouped long, first_day date, last_day date, reconciled boolean, complete boolean" + "".join(f", {c}_coverage double" for c in filled)
+    spark.createDataFrame([], kinds).write.mode("overwrite").parquet(f"{path}/checked")  # what was checked before no longer counts
+    read, made = Observation(), Observation()
+    seen = requests.observe(read, F.count("*").alias("source"), *[F.count(c).alias(f"{c}_filled") for c in filled])
+    sparse = daily_sparse(seen).observe(made, F.coalesce(F.sum("requests"), F.lit(0)).cast("long").alias("grouped"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    sparse.write.mode("overwrite").parquet(f"{path}/rows")
+    got = read.get | made.get
+    reconciled, complete = got["source"] == got["grouped"], got["first_day"] == (start or got["first_day"]) and got["last_day"] == (end or got["last_day"])
+    if not reconciled:
+        raise GateError(f"the day counts do not add up to the requests (reconciliation): {got}")
+    if not complete:
+        raise GateError(f"the day counts are incomplete: {got}")
+    values = {k: got[k] for k in ("source", "grouped", "first_day", "last_day")} | {"reconciled": reconciled, "complete": complete}
+    values |= {f"{c}_coverage": round(100 * got[f"{c}_filled"] / max(got["source"], 1), 1) for c in filled}
+    row = spark.createDataFrame([tuple(values.values())], kinds)
+    row.write.mode("overwrite").parquet(f"{path}/checked")
+    return spark.read.schema(row.schema).parquet(f"{path}/checked")
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The day counts that write_counts has written and checked; fails if there are none."""
+    try:
+        checked = not spark.read.parquet(f"{path}/checked").isEmpty()
+    except AnalysisException:
+        checked = False
+    if not checked:
+        raise GateError(f"there are no checked day counts at {path}")
+    return spark.read.parquet(f"{path}/rows")
+
+
 def district_totals(panel: DataFrame, end: date, days: int = 28) -> DataFrame:
     """Counts of each district over the last days."""
     recent = panel.where((F.col("date") > F.date_sub(F.lit(end), days)) & (F.col("date") <= F.lit(end)))

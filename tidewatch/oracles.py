@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 _PARTS = {
+    "service": """SELECT lpad(o_orderkey::VARCHAR, 12, '0') AS unique_key, o_orderdate AS created_date, o_orderpriority AS complaint_type, o_orderstatus AS status,
+        CASE WHEN o_orderkey % 5 > 0 THEN 'd' || chr(39) || o_orderkey % 3 END AS descriptor, lpad((o_custkey % 12 + 1)::VARCHAR, 2, '0') || ' BRONX' AS community_board FROM orders""",
     "ship": "SELECT l_orderkey, min(l_shipdate) AS shipped FROM lineitem GROUP BY l_orderkey",
     "req": """SELECT o_orderkey::VARCHAR AS unique_key, o_orderdate AS created_date, CASE WHEN o_orderstatus <> 'O' THEN shipped END AS closed_date,
         c_mktsegment AS agency, CASE WHEN o_orderkey % 7 <> 0 THEN c_mktsegment || ' agency ' END AS agency_name, o_orderpriority AS complaint_type,
@@ -95,7 +97,6 @@ _NEEDS |= {
 
 _CODES = "SELECT (100 * b + n)::INT AS code, name || ' ' || lpad(n::VARCHAR, 2, '0') AS district FROM (VALUES (1, 'Manhattan', 12), (2, 'Bronx', 12), (3, 'Brooklyn', 18), (4, 'Queens', 14), (5, 'Staten Island', 3)) AS t(b, name, most), unnest(range(1, most + 1)) AS u(n)"
 
-_REPLAYED = ["1997-06-30", "1999-06-30"]
 
 _ALERT = ["id", "type", "date", "district", "problem", "observed", "expected", "effect", "anomaly_score", "calibrated_score", "upper_bound", "excess_count", "detector", "affected_count"]
 _REALS = {"observed", "expected", "effect", "anomaly_score", "calibrated_score", "upper_bound", "excess_count", "strength_pct", "impact_pct", "persistence_pct", "priority_score"}
@@ -149,19 +150,27 @@ def oracle_sql() -> dict[str, str]:
         "dense_panel": (["pan"], "SELECT * FROM pan"),
         "injected_effects": (["pan", "ev", "weekday_level"], ", e AS (SELECT *, CASE scenario WHEN 'spike' THEN 3.5::DOUBLE WHEN 'level_shift' THEN 2.0::DOUBLE ELSE 2.25::DOUBLE END AS strength FROM ev), x AS (SELECT p.date, p.district, p.problem, p.requests, m, CASE WHEN start IS NULL THEN 1.0::DOUBLE WHEN scenario = 'gradual_ramp' THEN 1.25::DOUBLE + (strength - 1.25::DOUBLE) * (p.date - start) / greatest(\"end\" - start, 1) ELSE strength END AS factor, start FROM pan p JOIN weekday_level w ON w.district = p.district AND w.problem = p.problem AND k = isodow(p.date) - 1 LEFT JOIN e ON e.district = p.district AND e.problem = p.problem AND p.date BETWEEN start AND \"end\") SELECT date, district, problem, round(CASE WHEN start IS NULL THEN requests::DOUBLE ELSE ceil(greatest(requests * factor, m * factor)) END, 6) AS requests, round(factor, 6) AS factor FROM x"),
         "candidate_choice": ([], "SELECT place, n_name, passes FROM (SELECT *, f1 >= 0.8 AND rate <= 5 AND delay <= 2 AND weakest >= 0.7 AS passes FROM (SELECT n_nationkey::BIGINT AS place, n_name, 0.7::DOUBLE + (n_nationkey * 7 % 25) / 80.0::DOUBLE AS f1, (n_nationkey * 3 % 8)::DOUBLE AS rate, (n_nationkey % 4)::DOUBLE AS delay, 0.5::DOUBLE + (n_nationkey % 10) / 20.0::DOUBLE AS weakest, n_nationkey % 3 AS complexity FROM nation)) ORDER BY passes DESC, f1 DESC, rate, weakest DESC, complexity, place LIMIT 1"),
-        "district_codes": ([], f"SELECT code, district FROM ({_CODES})"),
+        "district_codes": ([], f"SELECT k AS code, district, count(*) AS customers FROM (SELECT ((c_custkey % 6 + 1) * 100 + c_custkey % 23)::INT AS k FROM customer) LEFT JOIN ({_CODES}) ON code = k GROUP BY ALL"),
         "boundary_map": ([], f"SELECT c.code, c.district, 'g' || c.code AS geometry, coalesce(requests, 0)::BIGINT AS requests, CASE WHEN requests IS NULL THEN 'normal' WHEN requests % 2 = 0 THEN 'watch' ELSE 'high' END AS severity FROM ({_CODES}) c LEFT JOIN (SELECT (c_custkey % 5 + 1) * 100 + c_custkey % 20 AS code, count(*) AS requests FROM customer GROUP BY 1) n ON n.code = c.code"),
         "canonical_hashes": ([], """SELECT n_nationkey, sha256('{"area":{"region":' || n_regionkey || '},"comment":null,"key":' || n_nationkey || ',"name":"' || n_name || '"}') AS sha256 FROM nation"""),
         "stream_daily_counts": ([], "SELECT o_orderdate::DATE AS day, o_orderstatus AS community_board, o_orderpriority AS complaint_type, count(*) AS requests FROM orders WHERE o_orderdate::DATE + INTERVAL 1 DAY <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 2 DAY GROUP BY ALL"),
         "stream_deduplicated": ([], "SELECT DISTINCT l_orderkey AS unique_key FROM lineitem"),
-        "stream_sessions": (["epi"], "SELECT district, problem, episode_start, episode_end, persistence FROM epi WHERE episode_end + 7 <= (SELECT max(date) FROM robust)"),
+        "stream_sessions": (["epi"], f"SELECT {_columns(_EPISODE)} FROM epi WHERE episode_end + 7 <= (SELECT max(date) FROM robust)"),
         "stream_ingest": (["req"], "SELECT CASE WHEN o = '' THEN 'kept' ELSE o END AS outcome, count(*) AS requests FROM (SELECT concat_ws(',', CASE WHEN trim(borough) = '' THEN 'borough_blank' END, CASE WHEN closed_date < created_date THEN 'closed_before_created' END) AS o FROM req) GROUP BY ALL"),
-        "replayed_episodes": (["robust"], ", " + ", ".join(f"n{k} AS ({_PARTS['numbered'].replace('FROM robust', f'FROM robust WHERE date <= DATE {day!r}')}), e{k} AS ({_PARTS['epi'].replace('numbered', f'n{k}')})" for k, day in enumerate(_REPLAYED)) + " " + " UNION ALL ".join(f"SELECT {_columns(_EPISODE)}, DATE {day!r} AS known_on FROM e{k}" for k, day in enumerate(_REPLAYED))),
+        "replayed_episodes": (["robust"], ", known AS (SELECT * FROM robust JOIN (SELECT unnest(generate_series(DATE '1998-07-01', DATE '1999-06-30', INTERVAL 1 DAY))::DATE AS known_on) ON date <= known_on), num AS (SELECT *, sum(begins) OVER (PARTITION BY known_on, district, problem ORDER BY date) AS episode FROM (SELECT *, CASE WHEN date - lag(date) OVER (PARTITION BY known_on, district, problem ORDER BY date) <= 7 THEN 0 ELSE 1 END AS begins FROM known)), " + f"epk AS ({_PARTS['epi'].replace('numbered', 'num').replace('SELECT f.id', 'SELECT known_on, f.id').replace('FROM (SELECT district', 'FROM (SELECT known_on, district').replace('GROUP BY district', 'GROUP BY known_on, district')}) SELECT known_on, {_columns(_EPISODE)} FROM epk"),
         "dense_districts": (["req", "district_parts"], ", c AS (SELECT created_date::DATE AS date, p.district, complaint_type AS problem, count(*) AS n FROM req JOIN district_parts p USING (community_board) WHERE created_date::DATE BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY ALL) SELECT d.date, s.district, s.problem, coalesce(n, 0)::BIGINT AS requests FROM (SELECT DISTINCT district, problem FROM c) s CROSS JOIN (SELECT unnest(generate_series(DATE '1997-01-01', DATE '1998-12-31', INTERVAL 1 DAY))::DATE AS date) d LEFT JOIN c USING (date, district, problem)"),
         "dup_row_gate": ([], "SELECT l_orderkey, l_suppkey, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"),
         "dup_key_gate": ([], "SELECT l_orderkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"),
         "coverage_gate": (["req"], "SELECT min(created_date)::DATE AS first_day, max(created_date)::DATE AS last_day, min(created_date)::DATE = DATE '1997-01-01' AND max(created_date)::DATE = DATE '1998-12-31' AS complete FROM req"),
         "reconcile": (["daily"], "SELECT (SELECT sum(requests) FROM daily)::BIGINT AS grouped, (SELECT count(*) FROM lineitem) AS source, (SELECT sum(requests) FROM daily) = (SELECT count(*) FROM lineitem) AS reconciled"),
+        "observed_counts": (["req"], "SELECT count(*) AS source, count(*) AS grouped, min(created_date)::DATE AS first_day, max(created_date)::DATE AS last_day, true AS reconciled, true AS complete, round(100 * count(closed_date) / count(*), 1) AS closed_date_coverage, round(100 * count(community_board) / count(*), 1) AS community_board_coverage FROM req"),
+        "trend_rollups": (["pan"], "SELECT 'city' AS kind, date, NULL::VARCHAR AS district, NULL::VARCHAR AS problem, sum(requests)::BIGINT AS observed FROM pan GROUP BY date UNION ALL SELECT 'district', date, district, NULL, sum(requests)::BIGINT FROM pan WHERE date >= DATE '2001-08-01' GROUP BY date, district UNION ALL SELECT 'problem', date, NULL, problem, sum(requests)::BIGINT FROM pan WHERE date >= DATE '2001-08-01' GROUP BY date, problem UNION ALL SELECT 'map', NULL, district, NULL, sum(requests)::BIGINT FROM pan WHERE date > DATE '2001-11-04' - 28 GROUP BY district"),
+        "service_filtered": (["service"], "SELECT unique_key, created_date, complaint_type, descriptor FROM service WHERE created_date >= TIMESTAMP '1997-01-01' AND complaint_type IN ('1-URGENT', '5-LOW') AND length(descriptor) > 2"),
+        "service_parts": (["service"], "SELECT complaint_type, status, count(*) AS requests, count(*) AS keys FROM service GROUP BY ALL"),
+        "service_cached": (["service"], "SELECT created_date::DATE AS day, community_board, count(*) AS requests FROM service GROUP BY ALL"),
+        "schema_drift": ([], "SELECT field, kind, count(*) AS records, CASE WHEN field = 'sla_days' THEN 'new' WHEN kind = 'BIGINT' THEN 'changed' ELSE 'known' END AS verdict FROM (SELECT unnest(list_filter([{'field': 'unique_key', 'kind': 'STRING'}, {'field': 'created_date', 'kind': 'STRING'}, {'field': CASE WHEN k % 3 > 0 THEN 'complaint_type' END, 'kind': 'STRING'}, {'field': CASE WHEN k % 10 = 0 THEN 'sla_days' END, 'kind': 'BIGINT'}, {'field': 'status', 'kind': CASE WHEN k % 25 = 0 THEN 'BIGINT' ELSE 'STRING' END}], lambda x: x.field IS NOT NULL), recursive := true) FROM (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 50 <> 1)) GROUP BY ALL UNION ALL SELECT NULL, NULL, count(*), 'corrupt' FROM orders WHERE o_orderkey % 50 = 1"),
+        "status_drift": (["req"], "SELECT upper(trim(status)) AS status, count(*) AS requests FROM req WHERE upper(trim(status)) NOT IN ('O', 'F') GROUP BY ALL"),
+        "column_difference": ([], "SELECT t AS table_name, c AS missing FROM (VALUES ('orders'), ('lineitem'), ('events')) x(t), (VALUES ('l_orderkey'), ('o_orderkey'), ('event_id')) y(c) WHERE NOT EXISTS (SELECT 1 FROM (SELECT 'orders' AS t, column_name FROM (DESCRIBE orders) UNION ALL SELECT 'lineitem', column_name FROM (DESCRIBE lineitem) UNION ALL SELECT 'events', column_name FROM (DESCRIBE events)) d WHERE d.t = x.t AND d.column_name = y.c)"),
         "trend_city": (["pan"], "SELECT date, sum(requests)::BIGINT AS observed FROM pan GROUP BY 1"),
         "trend_district": (["pan"], "SELECT date, district, sum(requests)::BIGINT AS observed FROM pan WHERE date >= DATE '2001-08-01' GROUP BY ALL"),
         "trend_problem": (["pan"], "SELECT date, problem, sum(requests)::BIGINT AS observed FROM pan WHERE date >= DATE '2001-08-01' GROUP BY ALL"),
@@ -200,6 +209,7 @@ def oracle_sql() -> dict[str, str]:
         "control_fp_rate": (["epi", "pan"], "SELECT e AS episodes, series, round(e / (greatest(series, 1) * greatest(days / 7.0, 1.0)) * 708, 6) AS false_alerts_per_week FROM (SELECT count(*) AS e FROM epi), (SELECT count(DISTINCT (district, problem)) AS series, (max(date) - min(date))::DOUBLE AS days FROM pan)"),
         "gate_eval": (["met", "matched"], "SELECT *, f1_ok AND false_ok AND delay_ok AND scenario_ok AS passed FROM (SELECT 2 * precision * recall / greatest(precision + recall, 1e-12) >= 0.8 AS f1_ok, false_alerts_per_week <= 5 AS false_ok, median_detection_delay_days <= 2 AS delay_ok, (SELECT min(r) FROM (SELECT count(matched) / count(*) AS r FROM matched GROUP BY scenario)) >= 0.7 AS scenario_ok FROM met)"),
         "km_closure": (["fct"], ", o AS (SELECT agency, CASE WHEN is_closed THEN resolution_days ELSE (DATE '2003-01-01' - created_date)::DOUBLE END AS t, is_closed AS e FROM fct WHERE NOT is_closed OR resolution_days >= 0), c AS (SELECT agency, t, count(*) AS n, count(*) FILTER (WHERE e) AS d FROM o GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY agency ORDER BY t DESC) AS risk FROM c) SELECT agency, round(1 - product(CASE WHEN t <= 400 THEN 1 - d / risk ELSE 1 END), 6) AS closure_probability FROM r GROUP BY 1"),
+        "km_closure_all": (["fct"], ", o AS (SELECT CASE WHEN is_closed THEN resolution_days ELSE (DATE '2003-01-01' - created_date)::DOUBLE END AS t, is_closed AS e FROM fct WHERE NOT is_closed OR resolution_days >= 0), c AS (SELECT t, count(*) AS n, count(*) FILTER (WHERE e) AS d FROM o GROUP BY ALL), r AS (SELECT *, sum(n) OVER (ORDER BY t DESC) AS risk FROM c) SELECT round(1 - product(CASE WHEN t <= 400 THEN 1 - d / risk ELSE 1 END), 6) AS closure_probability FROM r"),
         "series_template": (["template", "weekday_level"], "SELECT district, problem, round(level, 6) AS level, round(alpha, 6) AS alpha, " + ", ".join(f"(SELECT m FROM weekday_level w WHERE w.district = t.district AND w.problem = t.problem AND k = {k}) AS day_{k}" for k in range(7)) + " FROM template t"),
         "winsorize": (["pan"], "SELECT date, district, problem, round(low, 6) AS low, round(high, 6) AS high, round(least(greatest(requests::DOUBLE, low), high), 6) AS clipped FROM pan JOIN (SELECT district, problem, quantile_cont(requests::DOUBLE, 0.05) AS low, quantile_cont(requests::DOUBLE, 0.95) AS high FROM pan GROUP BY ALL) USING (district, problem)"),
         "quiet_offsets": (["template", "weekday_level"], "SELECT date, district, problem FROM (SELECT date, district, problem, count(*) FILTER (WHERE requests < 1.5 * m AND requests < m + 3.0 * sqrt(m + alpha * m * m)) OVER (PARTITION BY district, problem ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS n FROM pan JOIN template USING (district, problem) JOIN weekday_level w USING (district, problem) WHERE w.k = isodow(date) - 1) WHERE n = 7"),

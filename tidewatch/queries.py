@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
-from functools import reduce
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.text import borough_of, canonical_hash, district_of_code, is_official, parse_district, signal_id, strip
-from .operators import contracts, detectors, episodes, features, marts, metrics, panel, ranked_views, review, survival
-from .operators.settled import settled, shared_folder
+from .operators import contracts, detectors, drift, episodes, features, marts, metrics, panel, ranked_views, review, survival
+from .operators.settled import shared_folder
 from .plans import backtest, synthetic
-from .schemas import DISTRICTS, SAFE_FIELDS, SERIES, Gates, Thresholds
-from .sources import files
+from .schemas import DISTRICTS, REQUEST, SAFE_FIELDS, SERIES, Gates, Thresholds
+from .sources import files, parts, rest
 from .sources.bindings import PANEL_END, PANEL_START, labelled_events, requests, shipments, table
 from .sources.bindings import panel as dense
+from .sources.service import TableService
 from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +183,18 @@ def reconcile(s: SparkSession, d: str) -> DataFrame:
     return panel.reconcile(shipments(s, d), table(s, d, "lineitem"))
 
 
+@_query
+def observed_counts(s: SparkSession, d: str) -> DataFrame:
+    """Gates of the day counts, observed in the job that writes them."""
+    return panel.write_counts(requests(s, d), shared_folder(s, "counts"))
+
+
+@_query
+def trend_rollups(s: SparkSession, d: str) -> DataFrame:
+    """All rollups of a report by one aggregate over grouping sets."""
+    return panel.rollups(dense(s, d), REPORT_START, PANEL_END)
+
+
 @_query
 def trend_city(s: SparkSession, d: str) -> DataFrame:
     return panel.rollup(dense(s, d))
@@ -429,12 +441,21 @@ def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame([(k, *v) for k, v in bounds.items()], "metric string, low double, high double")
 
 
-@_query
-def km_closure(s: SparkSession, d: str) -> DataFrame:
+def _closures(s: SparkSession, d: str) -> DataFrame:
     rows = _fct(s, d).where(~(F.col("resolution_days") < 0) | ~F.col("is_closed"))
     age = F.datediff(F.lit(date(2003, 1, 1)), F.col("created_date")).cast("double")
-    seen = rows.select("agency", F.when(F.col("is_closed"), F.col("resolution_days")).otherwise(age).alias("duration"), F.col("is_closed").alias("event"))
-    return survival.closure_probability(seen, 400.0, ["agency"])
+    return rows.select("agency", F.when(F.col("is_closed"), F.col("resolution_days")).otherwise(age).alias("duration"), F.col("is_closed").alias("event"))
+
+
+@_query
+def km_closure(s: SparkSession, d: str) -> DataFrame:
+    return survival.closure_probability(_closures(s, d), 400.0, ["agency"])
+
+
+@_query
+def km_closure_all(s: SparkSession, d: str) -> DataFrame:
+    """The same over all agencies at once."""
+    return survival.closure_probability(_closures(s, d), 400.0)
 
 
 @_query
@@ -487,12 +508,80 @@ def candidate_choice(s: SparkSession, d: str) -> DataFrame:
     return backtest.choose_row(rows, Gates()).select("place", "n_name", "passes")
 
 
+# -- the service, drift
+
+
+@_query
+def service_filtered(s: SparkSession, d: str) -> DataFrame:
+    """Requests of a service (answered from the orders): what it can filter it does, the rest is Spark's."""
+    rows = rest.read_api(s, TableService(f"{d}/orders.parquet"), ["unique_key", "created_date", "complaint_type", "descriptor"], page_size=20_000)
+    when = F.col("created_date") >= F.lit(START).cast("timestamp_ntz")
+    kept = rows.where(when & F.col("complaint_type").isin("1-URGENT", "5-LOW") & F.col("descriptor").isNotNull() & (F.length("descriptor") > 2))
+    return kept.select("unique_key", "created_date", "complaint_type", "descriptor")
+
+
+@_query
+def service_parts(s: SparkSession, d: str) -> DataFrame:
+    """The same service read as a stream of pages and committed part by part: committed requests by kind."""
+    out = shared_folder(s, "parts")
+    s.dataSource.register(rest.source(TableService(f"{d}/orders.parquet"), "requests_pages"))
+    query = parts.stream_parts(s.readStream.format("requests_pages").option("page_size", 40_000).load(), out, f"{out}-checkpoint").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return parts.read_parts(s, out, REQUEST).groupBy("complaint_type", "status").agg(F.count("*").alias("requests"), F.countDistinct("unique_key").alias("keys"))
+
+
+@_query
+def service_cached(s: SparkSession, d: str) -> DataFrame:
+    """Day counts that the service groups, asked for once and kept; read twice from what was kept."""
+    params = {"$select": "created_date::DATE as day,community_board,count(*) as requests", "$group": "day,community_board", "$order": "day,community_board"}
+    folder, service = shared_folder(s, "answers"), TableService(f"{d}/orders.parquet")
+    for _ in range(2):
+        rows = rest.cached_query(s, service, params, folder, "day date, community_board string, requests string", d)
+    return rows.withColumn("requests", F.col("requests").cast("long"))
+
+
+def _lines(s: SparkSession, d: str) -> DataFrame:
+    """Orders as raw JSON lines, some with a new field, a status that is a number, or cut off."""
+    key = F.col("o_orderkey")
+    record = F.struct(
+        key.cast("string").alias("unique_key"), F.col("o_orderdate").cast("string").alias("created_date"),
+        F.when(key % 3 > 0, F.col("o_orderpriority")).alias("complaint_type"), F.when(key % 10 == 0, key).alias("sla_days"),
+    )
+    status = F.when(key % 25 == 0, F.concat(F.lit(',"status":'), (key % 4).cast("string"))).otherwise(F.concat(F.lit(',"status":"'), F.col("o_orderstatus"), F.lit('"')))
+    text = F.to_json(record)
+    whole = F.concat(F.substr(text, F.lit(1), F.length(text) - 1), status, F.lit("}"))
+    return table(s, d, "orders").select(F.when(key % 50 == 1, F.substr(whole, F.lit(1), F.lit(30))).otherwise(whole).alias("value"))
+
+
+@_query
+def schema_drift(s: SparkSession, d: str) -> DataFrame:
+    return drift.field_kinds(_lines(s, d))
+
+
+@_query
+def status_drift(s: SparkSession, d: str) -> DataFrame:
+    return drift.unseen_values(requests(s, d), "status", ["o", "F"])
+
+
+@_query
+def column_difference(s: SparkSession, d: str) -> DataFrame:
+    """Columns that tables lack of a panel's, by the guard's own rule."""
+    found = [(name, c) for name in ("orders", "lineitem", "events") for c in panel.missing(table(s, d, name), ["l_orderkey", "o_orderkey", "event_id"])]
+    return s.createDataFrame(found, "table_name string, missing string")
+
+
 # -- boundaries, hashes
 
 
 @_query
 def district_codes(s: SparkSession, d: str) -> DataFrame:
-    return files.official_codes(s)
+    """Customers by the district that their keys give as a boundary code; codes that are not official have none."""
+    code = (F.col("c_custkey") % 6 + 1) * 100 + F.col("c_custkey") % 23
+    known = table(s, d, "customer").select(code.cast("int").alias("code")).join(F.broadcast(files.official_codes(s)), "code", "left")  # 59 rows
+    return known.groupBy("code", "district").agg(F.count("*").alias("customers"))
 
 
 @_query
@@ -539,8 +628,8 @@ def stream_deduplicated(s: SparkSession, d: str) -> DataFrame:
 def stream_sessions(s: SparkSession, d: str) -> DataFrame:
     """Episodes of a stream of alerts that the watermark has closed."""
     source = shared_folder(s, "alerts")
-    detectors.detect(dense(s, d), ROBUST).select("date", *SERIES).write.parquet(source)
-    return _streamed(s, source, ingest.episode_sessions)
+    detectors.detect(dense(s, d), ROBUST).write.parquet(source)
+    return _rounded(_streamed(s, source, ingest.episode_sessions))
 
 
 @_query
@@ -556,9 +645,8 @@ def stream_ingest(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def replayed_episodes(s: SparkSession, d: str) -> DataFrame:
-    """What was known at the end of two days."""
-    known = ingest.replay(dense(s, d), ROBUST, [date(1997, 6, 30), AS_OF])
-    return settled(_rounded(reduce(DataFrame.unionByName, [rows.withColumn("known_on", F.lit(day)) for day, rows in known.items()])))
+    """What was known at the end of each day of a year."""
+    return _rounded(ingest.replay(dense(s, d), ROBUST, [AS_OF - timedelta(days=k) for k in range(365)]))
 
 
 # -- review

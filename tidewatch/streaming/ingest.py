@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.contracts import quarantine, valid
 from ..operators.detectors import detect
-from ..operators.episodes import merge_episodes
+from ..operators.episodes import EPISODE_COLUMNS, episode_aggregates, episode_states, session_columns
 from ..schemas import SERIES, Thresholds
 
 
@@ -44,12 +44,26 @@ def daily_counts(requests: DataFrame, delay: str = "2 days") -> DataFrame:
 
 
 def episode_sessions(alerts: DataFrame, cooldown_days: int = 7, delay: str = "0 days") -> DataFrame:
-    """Episodes of a stream (or table) of alerts as sessions: the batch rule for alerts that are not late."""
+    """Episodes of a stream (or table) of alerts as sessions, with all columns of the batch rule.
+
+    For alerts within the delay they are those of merge_episodes: the session's state is the first and
+    the strongest alert so far, so it doesn't grow with the session. A session is put out when the
+    watermark has passed its last alert and the cooldown; alerts later than the delay are left out.
+    """
     timed = alerts.withColumn("at", F.col("date").cast("timestamp")).withWatermark("at", delay)
-    found = timed.groupBy(F.session_window("at", f"{cooldown_days} days"), *SERIES).agg(F.min("date").alias("episode_start"), F.max("date").alias("episode_end"), F.count("*").alias("persistence"))
-    return found.select(*SERIES, "episode_start", "episode_end", "persistence")
+    return session_columns(timed.groupBy(F.session_window("at", f"{cooldown_days} days"), *SERIES).agg(*episode_aggregates()))
 
 
-def replay(panel: DataFrame, t: Thresholds, days: list[date]) -> dict[date, DataFrame]:
-    """The episodes that would have been known at the end of each day."""
-    return {d: merge_episodes(detect(panel, t, d), t.cooldown_days) for d in days}
+def replay(panel: DataFrame, t: Thresholds, days: list[date]) -> DataFrame:
+    """known_on and the episodes that were known at the end of each of the days, in one pass.
+
+    A day's alert needs no later day, so the alerts known on a day are those up to it, and an episode
+    known on a day is its state after its latest alert till then. Alerts are made once; each is a state
+    that holds until the day before the series' next alert of that episode (of a closed one, for ever), and
+    is given out for every listed day in between.
+    """
+    last = max(days)
+    states = episode_states(detect(panel, t, last), t.cooldown_days)
+    until = F.coalesce(F.date_sub("replaced", 1), F.lit(last))
+    held = F.filter(F.lit(sorted(set(days))), lambda d: (d >= F.col("episode_end")) & (d <= until))
+    return states.select(F.explode(held).alias("known_on"), *EPISODE_COLUMNS)
