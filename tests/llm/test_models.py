@@ -352,6 +352,17 @@ def test_kernel_by_definition(monkeypatch, block):
     assert np.allclose(k @ weights, want, atol=1e-2)
 
 
+def test_languages_of_repeated_rows(spark):
+    rows = [(k, f"{'abc'[k % 3] * 3} {'abc'[k % 3]}{k % 50} words", "abc"[k % 3] * 2) for k in range(600)]
+    ids = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5][:6]
+    rows += [(i, f"{'defghi'[k] * 4} only text", "defghi"[k] * 2) for k, i in enumerate(ids) for _ in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, train_texts=90)
+    assert list(model.languages) == [c * 2 for c in "abcdefghi"]
+    got = language_id.predict_language(docs, model).collect()
+    assert len(got) == len(rows) and all(r["lang_pred"] == {d: lang for d, _, lang in rows}[r["doc_id"]] for r in got[-100:])
+
+
 def test_many_languages_and_odd_texts(spark):
     rng = random.Random(2)
     names = [f"l{k:03d}" for k in range(450)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import hash_share, held_out, map_chunks
+from .common import discard, held_out, map_chunks, stored
 
 #: Bounds of the sample that the classifier is fitted on: training texts in all, landmarks of a
 #: language and in all. Where there are more languages than landmarks, those with most texts are learned.
@@ -141,28 +141,32 @@ def solve(found: list[np.ndarray], target: np.ndarray, n_languages: int, each: i
 def fit(docs: DataFrame, train_texts: int = TRAIN_TEXTS, landmarks: int = LANDMARKS, most_landmarks: int = MOST_LANDMARKS) -> Model | None:
     """A model from docs(doc_id, text, lang) whose id is not held out, or None without any to learn from.
 
-    The sample takes about train_texts texts at most, those of each language with the lowest hashes of
-    doc_id and text, and at most most_landmarks landmarks. Each language that is learned has two texts
-    (if there are) and a landmark; languages beyond most_landmarks, fewest texts last, are not learned.
+    The sample takes about train_texts different rows at most, those of each language with the lowest
+    hashes of doc_id and text (repeated rows count once), and at most most_landmarks landmarks. Each
+    language that is learned has two texts (if there are) and a landmark; languages beyond
+    most_landmarks, fewest texts last, are not learned.
     """
-    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_landmarks).collect()
+    mark = F.xxhash64("doc_id", "text")
+    usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text", mark.alias("mark"))
+    # Repeated rows have one mark, so a language made of them is learned like any other.
+    marks = stored(usable.select("lang", "mark").distinct(), "marks")
+    counts = marks.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_landmarks).collect()
     if not counts:
+        discard(marks)
         return None
     each = max(2, train_texts // len(counts))
-    # Of each language somewhat more than `each` texts by hash, then the first of these: at most about 2 * train_texts.
-    shares = docs.sparkSession.createDataFrame([(r["lang"], 1.0 if r["n"] <= 2 * each else 1.2 * each / r["n"]) for r in counts], "lang string, share double")
-    mark = F.xxhash64("doc_id", "text")
-    near = usable.join(F.broadcast(shares), "lang").withColumn("mark", mark).where(hash_share(F.col("mark"), F.col("share")))
+    learned = docs.sparkSession.createDataFrame([(r["lang"],) for r in counts], "lang string")
+    place = F.row_number().over(W.partitionBy("lang").orderBy("mark"))
+    lowest = marks.join(F.broadcast(learned), "lang").withColumn("k", place).where(F.col("k") <= each).select("lang", "mark")
+    # At most about train_texts marks (two a language at least).
+    chosen = usable.join(F.broadcast(lowest), ["lang", "mark"]).select("mark", "lang", "text").dropDuplicates(["lang", "mark"])
 
     def codes(columns: dict[str, list]) -> dict[str, list]:
         return {"mark": columns["mark"], "lang": columns["lang"], "codes": [grams(t).astype("<i4").tobytes() for t in columns["text"]]}
 
-    sample = map_chunks(near.select("mark", "lang", "text"), codes, "mark long, lang string, codes binary")
-    first = sample.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("mark", "codes"))).where(F.col("k") <= each)
+    first = map_chunks(chosen, codes, "mark long, lang string, codes binary")
     got = sorted(first.select("mark", "lang", "codes").collect())
-    if not got:
-        return None
+    discard(marks)
     languages = sorted({r["lang"] for r in got})
     place = {lang: k for k, lang in enumerate(languages)}
     target = np.array([place[r["lang"]] for r in got])
