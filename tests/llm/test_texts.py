@@ -293,6 +293,15 @@ def test_decontamination_of_long_and_repeated_texts(spark):
     assert len(got) == len(rows) and shown == {(1, 13, 6000), (2, 0, 0), (3, 13, 6000), (None, 12, 6000)}
 
 
+@pytest.mark.parametrize("pass_bytes", [10**6, 12])
+def test_null_and_named_items(spark, pass_bytes):
+    """An item without id and one called `None` are one item, in one pass or several."""
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "alpha beta"), ("None", "gamma delta"), ("x", "天天天 天天")], "item_id string, text string")
+    got = decontamination.find_contamination(docs, items, pass_bytes=pass_bytes).first()
+    assert (got["n_items"], got["n_hit"], got["items_sha256"]) == (1, 4, hashlib.sha256(b"None").hexdigest())
+
+
 def test_decontamination_empty(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")

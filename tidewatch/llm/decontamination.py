@@ -75,7 +75,7 @@ class WuManber:
 
 
 class BenchmarkSearch:
-    """All patterns of a block of benchmark items."""
+    """All patterns of a block of benchmark items; items are known by their ids as text."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW_WORDS) -> None:
         by_length: dict[int, dict[tuple[bytes, ...], list]] = defaultdict(lambda: defaultdict(dict))
@@ -83,7 +83,7 @@ class BenchmarkSearch:
             words = tuple(words_of(text))
             size = min(window, len(words))
             for at in range(len(words) - size + 1 if size else 0):
-                by_length[size][words[at : at + size]][item_id] = True
+                by_length[size][words[at : at + size]][str(item_id)] = True
         self.searches = [WuManber(dict(p)) for _, p in sorted(by_length.items())]
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
@@ -148,7 +148,7 @@ def pattern_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, pass_by
     """The blocks of one pass after the other: items of at most block_bytes of text (or one longer item) and pass_bytes."""
     blocks, block, held, taken = [], [], 0, 0
     for item_id, text in benchmark.select("item_id", "text").toLocalIterator():
-        size = len(text or "")
+        size = len((text or "").encode("utf-8", "replace"))
         if block and held + size > block_bytes:
             blocks.append(block)
             block, held = [], 0
