@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from tidewatch.functions import arrays
 from tidewatch.llm import common, queries, quality_rules, url_filter
 from tidewatch.llm.common import table
 
@@ -151,6 +154,28 @@ def test_many_frequent_lines_of_hot_hosts(spark, monkeypatch):
     assert sum(r[-1] for r in want) == 12 * 1040
 
 
+def test_texts_of_many_frequent_lines(spark):
+    """The time of texts of one host that share n lines grows about as n."""
+    def seconds(n):
+        shared = "\n".join(f"shared line number {k} of the host" for k in range(n))
+        docs = documents(spark, [(k, f"own words of document {k}\n{shared}", "h") for k in range(12)])
+        began = time.perf_counter()
+        found = quality_rules.judge_quality(docs, keep=False).collect()
+        assert {r["removed"] for r in found} == {7 * n} and not any(r["kept"] for r in found)
+        return time.perf_counter() - began
+
+    seconds(100)
+    few, many = seconds(3_000), seconds(12_000)
+    assert many < 5 * few + 2
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 9, 100])
+def test_places_by_halving(spark, n):
+    values = [3 * k - 50 for k in range(n)]
+    rows = spark.createDataFrame([(values, x) for x in range(-60, 3 * n)], "v array<long>, x long")
+    assert all(r["hit"] == (r["x"] in values) for r in rows.select("v", "x", arrays.among(F.col("v"), arrays.halvings(F.col("v")), F.col("x")).alias("hit")).collect())
+
+
 def test_rules_empty_and_long(spark):
     assert quality_rules.judge_quality(documents(spark, [(1, "a", "s")]).limit(0)).isEmpty()
     long = prose(random.Random(1), 60_000)

@@ -10,12 +10,11 @@ returned with texts that lack those lines.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, free_name, stored
+from ..functions.arrays import among, halvings, let
+from .common import BROADCAST_KEYS, discard, free_name, stored
 
 #: Words that a kept document has at least, also after its frequent lines are gone.
 MIN_WORDS = 20
@@ -35,11 +34,6 @@ _SPACES = "\t\n\u000b\f\r"
 _SYMBOLS = r"[#*$%&|<>]"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once, however often body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(text, _SPACES, " " * len(_SPACES)), " "), "")
 
@@ -115,7 +109,9 @@ def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: floa
     lines = stored(rows.where(F.size("lines") > 0).select("host", "doc", F.explode("lines").alias("line")), "lines")
     counts = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > line_docs)
     hosts = lines.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    return counts.join(hosts, "host").where(F.col("n") > line_share * F.col("docs")).select("host", "line")
+    found = stored(counts.join(hosts, "host").where(F.col("n") > line_share * F.col("docs")).select("host", "line"), "frequent")
+    discard(lines)
+    return found
 
 
 def _with_frequent(docs: DataFrame, frequent: DataFrame, name: str) -> DataFrame:
@@ -136,12 +132,20 @@ def _with_frequent(docs: DataFrame, frequent: DataFrame, name: str) -> DataFrame
     return few.union(rest).drop(host, mark)
 
 
+def _hits(lines: Column, frequent: Column) -> Column:
+    """The frequent ones of the lines' hashes, sorted."""
+    return F.sort_array(F.array_intersect(F.transform(lines, lambda x: x["hash"]), frequent))
+
+
 def removed_words(text: Column, frequent: Column) -> Column:
     """Words of the text's lines that are frequent."""
 
     def count(lines: Column) -> Column:
-        found = F.array_intersect(F.transform(lines, lambda x: x["hash"]), frequent)
-        return let(found, lambda hit: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.when(F.array_contains(hit, x["hash"]), x["words"]).otherwise(0)))
+        def of(hit: Column) -> Column:
+            total = let(halvings(hit), lambda steps: F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.when(among(hit, steps, x["hash"]), x["words"]).otherwise(0)))
+            return F.when(F.size(hit) > 0, total).otherwise(F.lit(0).cast("long"))
+
+        return let(_hits(lines, frequent), of)
 
     return F.when(frequent.isNull(), F.lit(0).cast("long")).otherwise(F.coalesce(let(_line_hashes(text), count), F.lit(0).cast("long")))
 
@@ -150,9 +154,11 @@ def without_lines(text: Column, frequent: Column) -> Column:
     """The text without its frequent lines; other lines stay as they are."""
 
     def drop(pairs: Column) -> Column:
-        found = F.array_intersect(F.transform(pairs, lambda x: x["hash"]), frequent)
-        rest = let(found, lambda hit: F.array_join(F.transform(F.filter(pairs, lambda x: ~F.array_contains(hit, x["hash"])), lambda x: x["line"]), "\n"))
-        return F.when(F.size(found) > 0, rest).otherwise(text)
+        def rest(hit: Column) -> Column:
+            kept = let(halvings(hit), lambda steps: F.array_join(F.transform(F.filter(pairs, lambda x: ~among(hit, steps, x["hash"])), lambda x: x["line"]), "\n"))
+            return F.when(F.size(hit) > 0, kept).otherwise(text)
+
+        return let(_hits(pairs, frequent), rest)
 
     pairs = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.xxhash64(normal(x)).alias("hash")))
     return F.when(frequent.isNull() | text.isNull(), text).otherwise(let(pairs, drop))
@@ -167,7 +173,7 @@ def judge_quality(docs: DataFrame, keep: bool = False, min_words: int = MIN_WORD
     read whole. An empty table gives no rows. With keep, the kept rows are returned with all columns
     of docs, their texts without the frequent lines, and n_chars (if there is such a column) set anew.
     """
-    frequent = stored(frequent_lines(docs, line_docs, line_share), "frequent")
+    frequent = frequent_lines(docs, line_docs, line_share)
     name = free_name(docs, "_frequent")
     rows = _with_frequent(docs, frequent, name)
     counts = F.struct(base_counts(F.col("text")).alias("c"), removed_words(F.col("text"), F.col(name)).alias("removed"))
