@@ -232,9 +232,10 @@ def _star_pairs(postings: DataFrame, turn: int, n: int) -> DataFrame:
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels(sid, gid, comp) with components that new links join made one."""
     a, b = (labels.select(F.col("sid").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
-    joined = links.join(a, "a").join(b, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    n = links.count()
+    joined = spread_join(spread_join(links, a, ["a"], n), b, ["b"], n).where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     found = connected_components(joined).withColumnsRenamed({"node": "comp", "component": "found"})
-    return labels.join(found, "comp", "left").select("sid", "gid", F.coalesce("found", "comp").alias("comp"))
+    return spread_join(labels, found, ["comp"], labels.count(), "left").select("sid", "gid", F.coalesce("found", "comp").alias("comp"))
 
 
 def _group_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -259,7 +260,7 @@ def set_components(sets: DataFrame) -> DataFrame:
     """
     members = stored(_prefixes(sets), "prefixes")
     labels = members.select("sid", "gid", F.col("rep").alias("comp"))
-    slow, tried, turn, before = False, None, 0, []
+    slow, last, tried, turn, before, finished = False, False, None, 0, [], []
     every = members.select("sid", "gid", "n", "own", F.explode("prefix").alias("p")).select("sid", "gid", "n", "own", "p.s", "p.i")
     while True:
         # Buckets of a prefix shingle where more than one component is left.
@@ -288,13 +289,19 @@ def set_components(sets: DataFrame) -> DataFrame:
                 pairs = pairs.union(labels.join(firsts, "gid").where("sid <> b").select(F.col("sid").alias("a"), "b")).distinct()
         pairs = stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
+        finished.append(pairs)
         links = stored(_verified(pairs, sets), "links")
-        labels = stored(_merged(labels, links), "labels")
+        old, labels = labels, stored(_merged(labels, links), "labels")
+        finished += [old] * (turn > 0)
         before += [links]
         if last:
             break
         slow = 1000 * links.count() < n
         turn += 1
+    if turn or last:
+        finished.append(members)
+    for done in before + finished:
+        discard(done)
     return labels.select("sid", "comp")
 
 
@@ -330,7 +337,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
     if not several.isEmpty():
         more = labelled.join(several, "doc_id").where("comp <> b").select(F.col("comp").alias("a"), "b")
         found = connected_components(more).withColumnsRenamed({"node": "comp", "component": "found"})
-        labelled = labelled.join(found, "comp", "left").withColumn("comp", F.coalesce("found", "comp"))
+        labelled = spread_join(labelled, found, ["comp"], members.count(), "left").withColumn("comp", F.coalesce("found", "comp"))
     by_doc = labelled.groupBy("doc_id").agg(F.min("comp").alias("component_id"))
     without = counted.where("doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return counted.where("doc_id IS NOT NULL").join(by_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).union(without)
