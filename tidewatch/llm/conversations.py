@@ -349,7 +349,9 @@ def repair_conversations(rows: DataFrame, copies: str | None = None, piece_rows:
     else:
         few = broadcast_if_few(large)
         found = _short(held.join(few, "key", "left_anti")).unionByName(_long(held.join(few, "key", "left_semi"), segment_rows))
-    return found.withColumn("conv_id", F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).cast(rows.schema["conv_id"].dataType))
+    out = found.withColumn("conv_id", F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).cast(rows.schema["conv_id"].dataType))
+    out.whole = large.isEmpty()  # saves the report a look for conversations of several pieces
+    return out
 
 
 def _gaps(first: str, last: str, distinct: str) -> F.Column:
@@ -369,9 +371,9 @@ def report(pieces: DataFrame) -> DataFrame:
     sums = ["blank", "duplicate", "truncated", "illegal", "cost"]
     digest = F.sha2(F.array_join(_turns(), "\n"), 256)
     whole = pieces.where("pieces = 1").select("conv_id", _gaps("first_turn", "last_turn", "distinct_turns"), *sums, "audit", digest.alias("repaired_sha256"))
-    parts = stored(pieces.where("pieces > 1"), "pieces")
-    if parts.isEmpty():
+    if getattr(pieces, "whole", False):
         return whole
+    parts = stored(pieces.where("pieces > 1"), "pieces")
     w = W.partitionBy("key").orderBy("place")
     before = parts.select("key", "place", "conv_id", *sums, "audit", "distinct_turns", "first_turn", "last_turn", "first_initial", F.lag("last_initial").over(w).alias("initial"), F.max("last_turn").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("turn"))
     legal = F.concat("initial", "first_initial").isin(*sorted(LEGAL))
