@@ -68,7 +68,7 @@ def labelled(spark, positives, n=60):
 def test_review_score(spark):
     assert review.score(*labelled(spark, 13), "top").first()[:] == ("passed", 60, 13, 0.65, 0.5)
     assert review.score(*labelled(spark, 12), "top").first()["status"] == "failed"
-    for cases, labels, text in ((*labelled(spark, 13, 59), "exactly once"), (labelled(spark, 1)[0], labelled(spark, 1)[1].withColumn("label", F.lit("maybe")), "one of")):
+    for cases, labels, text in ((*labelled(spark, 13, 59), "every one of"), (labelled(spark, 1)[0], labelled(spark, 1)[1].withColumn("label", F.lit("maybe")), "other than")):
         with pytest.raises(Exception, match=text):
             review.score(cases, labels, "top").collect()
 

@@ -8,6 +8,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Elements of an array that is looked through as a whole.
+SHORT = 24
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -19,6 +23,6 @@ def halvings(ordered: Column) -> Column:
 
 
 def among(ordered: Column, steps: Column, value: Column) -> Column:
-    """Whether a sorted array, with its halvings, has the value: by a look at few of its elements."""
+    """Whether a sorted array, with its halvings, has the value: by a look at few of its elements (at all of a short one)."""
     place = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(ordered, at + step) <= value, at + step).otherwise(at))
-    return F.coalesce(F.get(ordered, place) == value, F.lit(False))
+    return F.when(F.size(ordered) <= SHORT, F.array_contains(ordered, value)).otherwise(F.coalesce(F.get(ordered, place) == value, F.lit(False)))

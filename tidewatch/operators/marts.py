@@ -121,5 +121,5 @@ def top_counts(df: DataFrame, column: str, n: int | None = None) -> DataFrame:
 
 
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: rows, and for each column the filled percentage to one decimal."""
-    return df.agg(F.count("*").alias("rows_checked"), *[F.round(100 * F.count(c) / F.count("*"), 1).alias(f"{c}_coverage") for c in columns])
+    """One row: rows, and for each column the filled percentage to one decimal, null without rows."""
+    return df.agg(F.count("*").alias("rows_checked"), *[F.round(100 * F.count(c) / F.nullif(F.count("*"), F.lit(0)), 1).alias(f"{c}_coverage") for c in columns])

@@ -90,7 +90,7 @@ def score(cases: DataFrame, labels: DataFrame, top_token: str, gates: Gates | No
         F.count_if((F.col("group_token") == top_token) & F.col("label").isin(POSITIVE)).alias("top20_positive"),
         F.count_if(F.size(F.coalesce("external_evidence", F.array().cast("array<string>"))) > 0).alias("with_evidence"),
     )
-    checked = row.select("*", F.when((F.col("n") != n) | (F.col("apart") > 0), F.raise_error(F.lit(f"Labels must contain each of the {n} review case IDs exactly once"))).when(F.col("unknown") > 0, F.raise_error(F.lit(f"Labels must be one of: {', '.join(sorted(LABELS))}"))).otherwise(F.lit(True)).cast("boolean").alias("ok"))
+    checked = row.select("*", F.when((F.col("n") != n) | (F.col("apart") > 0), F.raise_error(F.lit(f"a label is needed for every one of the {n} cases, once, and for no other"))).when(F.col("unknown") > 0, F.raise_error(F.lit(f"a case has a label other than {', '.join(sorted(LABELS))}"))).otherwise(F.lit(True)).cast("boolean").alias("ok"))
     precision = F.col("top20_positive") / float(GROUP_CASES)
     return checked.where("ok").select(F.when(precision >= want, "passed").otherwise("failed").alias("status"), F.col("n").alias("sample_size"), "top20_positive", F.round(precision, 3).alias("precision_at_20"), F.round(F.col("with_evidence") / float(n), 3).alias("externally_correlated_rate"))
 

@@ -165,6 +165,19 @@ def oracle_sql() -> dict[str, str]:
         "reconcile": (["daily"], "SELECT (SELECT sum(requests) FROM daily)::BIGINT AS grouped, (SELECT count(*) FROM lineitem) AS source, (SELECT sum(requests) FROM daily) = (SELECT count(*) FROM lineitem) AS reconciled"),
         "observed_counts": (["req"], "SELECT count(*) AS source, count(*) AS grouped, min(created_date)::DATE AS first_day, max(created_date)::DATE AS last_day, true AS reconciled, true AS complete, round(100 * count(closed_date) / count(*), 1) AS closed_date_coverage, round(100 * count(community_board) / count(*), 1) AS community_board_coverage FROM req"),
         "trend_rollups": (["pan"], "SELECT 'city' AS kind, date, NULL::VARCHAR AS district, NULL::VARCHAR AS problem, sum(requests)::BIGINT AS observed FROM pan GROUP BY date UNION ALL SELECT 'district', date, district, NULL, sum(requests)::BIGINT FROM pan WHERE date >= DATE '2001-08-01' GROUP BY date, district UNION ALL SELECT 'problem', date, NULL, problem, sum(requests)::BIGINT FROM pan WHERE date >= DATE '2001-08-01' GROUP BY date, problem UNION ALL SELECT 'map', NULL, district, NULL, sum(requests)::BIGINT FROM pan WHERE date > DATE '2001-11-04' - 28 GROUP BY district"),
+        "served_signals": (["ranked"], "SELECT id, place::INT AS place, district, problem, district AS borough, date AS as_of, severity, 'More ' || problem || ' than usual for the weekday' AS title FROM ranked WHERE place <= 24 AND district = 'R' AND severity = 'watch' ORDER BY place LIMIT 20 OFFSET 1"),
+        "served_signal": (["ranked"], "SELECT id, type, district, problem, date AS as_of, persistence, episode_start, episode_end, 4 AS evidence FROM ranked WHERE place = 1"),
+        "served_trends": (["pan"], "SELECT date, sum(requests)::BIGINT AS observed FROM pan WHERE district = 'A' AND date BETWEEN DATE '2001-09-01' AND DATE '2001-10-15' GROUP BY date"),
+        "served_signal_trend": (["ranked", "base8"], "SELECT date, observed, baseline FROM (" + _TREND.format("SELECT id, district, problem FROM ranked WHERE place = 1") + ")"),
+        "served_map": (["ranked", "pan"], "SELECT t.district, t.district AS borough, coalesce(s.severity, 'normal') AS value FROM (SELECT DISTINCT district FROM pan) t LEFT JOIN (SELECT district, arg_min(severity, place) AS severity FROM ranked WHERE place <= 24 GROUP BY 1) s USING (district)"),
+        "served_dimensions": (["pan", "req"], "SELECT DISTINCT 'districts' AS kind, district AS value, NULL::BIGINT AS requests FROM pan UNION ALL SELECT DISTINCT 'boroughs', district, NULL FROM pan UNION ALL SELECT 'problems', trim(complaint_type), count(*) FROM req GROUP BY 2 UNION ALL (SELECT 'agencies', trim(agency), count(*) FROM req GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 50) UNION ALL SELECT 'channels', trim(open_data_channel_type), count(*) FROM req GROUP BY 2"),
+        "served_facts": (["ranked", "pan", "req"], ", inv AS (SELECT count(*) AS requests, count(*) FILTER (WHERE w) AS unresolved_as_of, count(*) FILTER (WHERE w AND created_date < TIMESTAMP '2001-10-06') AS aged_open FROM (SELECT created_date, closed_date IS NULL OR closed_date >= TIMESTAMP '2001-11-05' AS w FROM req WHERE created_date >= TIMESTAMP '1997-01-01' AND created_date < TIMESTAMP '2001-11-05')), m AS (SELECT count(*) AS n, CASE WHEN count(*) > 0 THEN round(100 * count(closed_date) / count(*), 1) END AS c, CASE WHEN count(*) > 0 THEN round(100 * count(community_board) / count(*), 1) END AS b FROM req WHERE created_date >= TIMESTAMP '2001-11-01' AND created_date < TIMESTAMP '2001-12-01') SELECT 'meta' AS section, * FROM (VALUES ('artifact_version', '2001.11-v1'), ('method_version', '2.0.0'), ('window_start', '1997-01-01'), ('window_end', '2001-11-04'), ('readiness', 'revalidation_required')) v(name, value) UNION ALL SELECT 'gates', * FROM (VALUES ('min_f1', '0.8'), ('max_false_per_week', '5.0'), ('max_delay_days', '2.0'), ('min_scenario_recall', '0.7'), ('min_review_precision', '0.65')) UNION ALL SELECT 'summary', 'requests', requests::VARCHAR FROM inv UNION ALL SELECT 'summary', 'unresolved_as_of', unresolved_as_of::VARCHAR FROM inv UNION ALL SELECT 'summary', 'aged_open', aged_open::VARCHAR FROM inv UNION ALL SELECT 'quality', 'rows_checked', n::VARCHAR FROM m UNION ALL SELECT 'quality', 'closed_date_coverage', c::VARCHAR FROM m UNION ALL SELECT 'quality', 'district_field_coverage', b::VARCHAR FROM m UNION ALL SELECT 'quality', 'panel_rows', count(*)::VARCHAR FROM pan UNION ALL SELECT 'quality', 'panel_requests', sum(requests)::BIGINT::VARCHAR FROM pan UNION ALL SELECT 'quality', 'districts', count(DISTINCT district)::VARCHAR FROM pan UNION ALL SELECT 'summary', 'signals', count(*)::VARCHAR FROM ranked WHERE place <= 24 UNION ALL SELECT 'summary', 'high_signals', count(*)::VARCHAR FROM ranked WHERE place <= 24 AND severity = 'high'"),
+        "served_health": ([], "SELECT 'ok' AS status, '2001.11-v1' AS artifact"),
+        "published_manifest": (["ranked", "pan", "req", "base8"], "SELECT 'signals' AS section, count(*) AS rows FROM ranked WHERE place <= 24 UNION ALL SELECT 'trends', (SELECT count(DISTINCT date) FROM pan) + (SELECT count(*) FROM (SELECT DISTINCT date, district FROM pan WHERE date >= DATE '2001-08-01')) + (SELECT count(*) FROM (SELECT DISTINCT date, problem FROM pan WHERE date >= DATE '2001-08-01')) + (SELECT count(*) FROM (" + _TREND.format("SELECT id, district, problem FROM ranked WHERE place <= 24") + ")) UNION ALL SELECT 'map', count(DISTINCT district) FROM pan UNION ALL SELECT 'dimensions', (SELECT 2 * count(DISTINCT district) FROM pan) + (SELECT count(DISTINCT complaint_type) + least(50, count(DISTINCT agency)) + count(DISTINCT open_data_channel_type) FROM req) UNION ALL SELECT 'facts', 21"),
+        "csv_export": ([], """SELECT s_suppkey, 'say "' || s_name || '", again' AS name, CASE WHEN s_suppkey % 3 > 0 THEN s_nationkey::VARCHAR END AS nation FROM supplier"""),
+        "boundary_files": ([], f"SELECT c.code, c.district, coalesce(n, 0)::BIGINT AS customers FROM ({_CODES}) c LEFT JOIN (SELECT (c_custkey % 5 + 1) * 100 + c_custkey % 20 AS code, count(*) AS n FROM customer GROUP BY 1) x ON x.code = c.code"),
+        "label_files": ([], "SELECT ['clear_anomaly', 'plausible_anomaly', 'unsupported', 'uncertain'][(o_orderkey % 4 + 1)::INT] AS label, count(*) AS cases, sum(CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END)::BIGINT AS evidence FROM orders GROUP BY 1"),
+        "configured_alerts": (["robust", "counts", "hybrid"], "SELECT 'robust_seasonal-h8-z2-d2' AS configuration, 0 AS complexity, count(*) AS alerts FROM robust HAVING count(*) > 0 UNION ALL SELECT 'nb_conformal-h13-z2-d2', 1, count(*) FROM counts HAVING count(*) > 0 UNION ALL SELECT 'hybrid_nb_ewma-h13-z2-d1', 2, count(*) FROM hybrid HAVING count(*) > 0"),
         "service_filtered": (["service"], "SELECT unique_key, created_date, complaint_type, descriptor FROM service WHERE created_date >= TIMESTAMP '1997-01-01' AND complaint_type IN ('1-URGENT', '5-LOW') AND length(descriptor) > 2"),
         "service_parts": (["service"], "SELECT complaint_type, status, count(*) AS requests, count(*) AS keys FROM service GROUP BY ALL"),
         "service_cached": (["service"], "SELECT created_date::DATE AS day, community_board, count(*) AS requests FROM service GROUP BY ALL"),

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from .functions.text import borough_of, canonical_hash, district_of_code, is_official, parse_district, signal_id, strip
 from .operators import contracts, detectors, drift, episodes, features, marts, metrics, panel, ranked_views, review, survival
-from .operators.settled import shared_folder
-from .plans import backtest, synthetic
-from .schemas import DISTRICTS, REQUEST, SAFE_FIELDS, SERIES, Gates, Thresholds
+from .operators.settled import settled, shared_folder
+from .plans import backtest, sections, synthetic
+from .schemas import DISTRICTS, REQUEST, SAFE_FIELDS, SERIES, Gates, Thresholds, Windows
 from .sources import files, parts, rest
 from .sources.bindings import PANEL_END, PANEL_START, labelled_events, requests, shipments, table
 from .sources.bindings import panel as dense
@@ -508,6 +508,118 @@ def candidate_choice(s: SparkSession, d: str) -> DataFrame:
     return backtest.choose_row(rows, Gates()).select("place", "n_name", "passes")
 
 
+# -- published sections
+
+
+def _published(s: SparkSession, d: str) -> sections.Sections:
+    """All sections of the test tables, published as tables."""
+    rows, path = dense(s, d), shared_folder(s, "sections")
+    best = settled(episodes.top_ranked(_ranked(s, d), 24))
+    windows = Windows(start=START, end=PANEL_END, report_start=REPORT_START)
+    sections.publish_sections(sections.build_sections(requests(s, d), rows, best, ROBUST, windows), path)
+    return sections.Sections(s, path)
+
+
+@_query
+def served_signals(s: SparkSession, d: str) -> DataFrame:
+    found = _published(s, d).signals(20, 1, district="r", severity="WATCH", agency="None", problem="")
+    return found.select("id", "place", *SERIES, "borough", "as_of", "severity", "title")
+
+
+@_query
+def served_signal(s: SparkSession, d: str) -> DataFrame:
+    """The best signal, looked up by its id."""
+    version = _published(s, d)
+    best = version.signals(1).first()
+    return version.signal(best["id"] if best else "").select("id", "type", *SERIES, "as_of", "persistence", "episode_start", "episode_end", F.size("evidence").alias("evidence"))
+
+
+@_query
+def served_trends(s: SparkSession, d: str) -> DataFrame:
+    return _published(s, d).trends(district="A", start=date(2001, 9, 1), end=date(2001, 10, 15))
+
+
+@_query
+def served_signal_trend(s: SparkSession, d: str) -> DataFrame:
+    """The trend of the best signal of the best signal's series."""
+    version = _published(s, d)
+    best = version.signals(1).first()
+    return version.trends(district=best["district"], problem=best["problem"])
+
+
+@_query
+def served_map(s: SparkSession, d: str) -> DataFrame:
+    return _published(s, d).map_values("severity")
+
+
+@_query
+def served_dimensions(s: SparkSession, d: str) -> DataFrame:
+    return _published(s, d).dimensions()
+
+
+@_query
+def served_facts(s: SparkSession, d: str) -> DataFrame:
+    return _published(s, d).facts()
+
+
+@_query
+def served_health(s: SparkSession, d: str) -> DataFrame:
+    return _published(s, d).health()
+
+
+@_query
+def published_manifest(s: SparkSession, d: str) -> DataFrame:
+    return _published(s, d).manifest.select("section", "rows")
+
+
+# -- files
+
+
+@_query
+def csv_export(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers exported with every value quoted, and read back."""
+    out = shared_folder(s, "csv")
+    name = F.concat(F.lit('say "'), "s_name", F.lit('", again'))
+    rows = table(s, d, "supplier").select("s_suppkey", name.alias("name"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_nationkey")).alias("nation"))
+    files.export_csv(rows, out, order=["s_suppkey"])
+    return s.read.option("header", True).option("escape", '"').schema("s_suppkey long, name string, nation string").csv(out)
+
+
+@_query
+def boundary_files(s: SparkSession, d: str) -> DataFrame:
+    """A feature collection, made with the customers of each code, read behind the gate of 59 boundaries."""
+    out = shared_folder(s, "boundaries")
+    code = ((F.col("c_custkey") % 5 + 1) * 100 + F.col("c_custkey") % 20).cast("int")
+    counts = table(s, d, "customer").groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+    shapes = counts.join(F.broadcast(files.official_codes(s)), "code", "full")  # 59 rows
+    properties = F.struct(F.col("code").cast("string").alias("boro_cd"))
+    feature = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.coalesce("n", F.lit(0)).alias("customers")).alias("geometry"))
+    document = shapes.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))).alias("value"))
+    document.write.text(out)
+    return files.read_boundaries(s, out).select("code", "district", F.get_json_object("geometry", "$.customers").cast("long").alias("customers"))
+
+
+@_query
+def label_files(s: SparkSession, d: str) -> DataFrame:
+    """Labels of all orders written as one JSON list and read back: cases and evidence by label."""
+    out = shared_folder(s, "labels")
+    label = F.element_at(F.array(*[F.lit(x) for x in review.LABELS]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    evidence = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array().cast("array<string>"))
+    row = F.struct(F.col("o_orderkey").cast("string").alias("case_id"), label.alias("label"), evidence.alias("external_evidence"))
+    table(s, d, "orders").groupBy((F.col("o_orderkey") % 16).alias("part")).agg(F.to_json(F.collect_list(row)).alias("value")).write.partitionBy("part").text(out)
+    return files.read_labels(s, out).groupBy("label").agg(F.countDistinct("case_id").alias("cases"), F.sum(F.size("external_evidence")).alias("evidence"))
+
+
+@_query
+def configured_alerts(s: SparkSession, d: str) -> DataFrame:
+    """Alerts of three registered settings with the name and plainness that each one's setting has."""
+    settings = [ROBUST, COUNTS, SHIFTS]
+    known = s.createDataFrame([(t.detector, backtest.configuration_name(t), backtest.COMPLEXITY[t.detector]) for t in settings], "detector string, configuration string, complexity int")
+    every = [detectors.detect(dense(s, d), t).select("detector", *SERIES) for t in settings]
+    alerts = every[0].unionByName(every[1]).unionByName(every[2])
+    return alerts.join(F.broadcast(known), "detector").groupBy("configuration", "complexity").agg(F.count("*").alias("alerts"))  # three rows
+
+
 # -- the service, drift
 
 

@@ -25,7 +25,7 @@ def load_snapshot(spark: SparkSession, path: str) -> dict:
     try:
         return json.loads(spark.read.text(path, wholetext=True).first()[0])
     except (AnalysisException, TypeError, json.JSONDecodeError) as e:
-        raise ArtifactUnavailable(f"Snapshot artifact not found: {path.rsplit('/', 1)[-1]}") from e
+        raise ArtifactUnavailable(f"no document can be read at {path.rsplit('/', 1)[-1]}") from e
 
 
 def latest_snapshot(spark: SparkSession, versions: list[str]) -> dict:
@@ -96,7 +96,7 @@ class Facade:
     def signal(self, signal_id: str) -> dict:
         row = self._signals.where(F.col("id") == signal_id).first()
         if row is None:
-            raise NotFound(f"Unknown signal: {signal_id}")
+            raise NotFound(f"no signal has the id {signal_id}")
         return json.loads(row["document"])
 
     def trends(self, signal_id: str | None = None, district: str | None = None, problem: str | None = None, start_date: str | date | None = None, end_date: str | date | None = None) -> dict:
