@@ -127,3 +127,31 @@ def test_matches_of_nothing(spark):
     assert episodes.match_events(f, e).first()["matched"] is None
     assert episodes.match_events(f, e.limit(0)).count() == 0
     assert set(SERIES) <= set(episodes.match_events(f, e).columns)
+
+
+def test_ranks_by_ranges(spark, monkeypatch):
+    """Percent ranks don't depend on the number of ranges, which grows with the rows."""
+    rng = random.Random(8)
+    values = [rng.choice([None, rng.random(), 0.5, 3.0]) for _ in range(3000)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id long, v double")
+    monkeypatch.setattr(episodes, "RANGE_ROWS", 20)
+    got = {r["id"]: r["p"] for r in episodes.rank_by_counts(df, {"v": "p"}).collect()}
+    filled = sorted(v for v in values if v is not None)
+    for k, v in enumerate(values):
+        if v is None:
+            assert got[k] is None
+        else:
+            first, last = filled.index(v), len(filled) - 1 - filled[::-1].index(v)
+            assert got[k] == pytest.approx(((first + last) / 2 + 1) / len(filled))
+
+
+def test_bootstrap_in_spark(spark):
+    from tidewatch.operators import metrics
+
+    rows = spark.createDataFrame([("A", f"P{k}", k % 4, (k + 1) % 3, k % 2) for k in range(40)], "district string, problem string, tp long, fp long, fn long")
+    got = {r["metric"]: (r["low"], r["high"]) for r in metrics.bootstrap_by_hash(rows, draws=400).collect()}
+    plain = metrics.bootstrap_intervals(rows)
+    assert set(got) == set(plain)
+    for name, (low, high) in got.items():
+        assert low < high and abs(low - plain[name][0]) < 0.04 and abs(high - plain[name][1]) < 0.04
+    assert {(r["low"], r["high"]) for r in metrics.bootstrap_by_hash(rows.limit(0)).collect()} == {(0.0, 0.0)}

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import operator
 from datetime import date, timedelta
-from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -72,28 +70,33 @@ def episode_states(alerts: DataFrame, cooldown_days: int = 7) -> DataFrame:
     return seen.select(*SERIES, "f.*", "s.*", "episode_start", "episode_end", "persistence", "replaced").select(*EPISODE_COLUMNS, "replaced")
 
 
-#: Ranges of values that percent ranks are computed in, and the error of their bounds.
-RANK_RANGES, RANK_ERROR = 256, 0.001
+#: Rows of a range of values that percent ranks are computed in, and how many ranges there are at least and at most.
+RANGE_ROWS, RANK_RANGES = 100_000, (16, 10_000)
+
+
+def _range(bounds: F.Column, value: F.Column) -> F.Column:
+    """How many of the sorted bounds are not above the value, found by halving."""
+    return F.aggregate(halvings(bounds), F.lit(-1), lambda at, step: F.when(F.get(bounds, at + step) <= value, at + step).otherwise(at)) + 1
 
 
 def rank_by_counts(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Adds percent ranks (ties at their mean place) without a window over all rows.
 
-    Rows are counted by value, and values are dealt to ranges between approximate quantiles. A value's
-    rank is the total of the ranges before its own, plus its place in it; a range is ordered in one
-    task and holds about a 256th of the values. Values that are null have no rank.
+    Rows are counted by value, and values are dealt to ranges between approximate quantiles, so many that
+    a range has about RANGE_ROWS rows whatever their number. A value's rank is the total of the ranges
+    before its own, plus its place in it; a range is ordered in one task. Values that are null have no rank.
     """
     out = df
-    every = df.agg(*[F.count(c).alias(c) for c in columns], *[F.percentile_approx(c, [k / RANK_RANGES for k in range(1, RANK_RANGES)], int(1 / RANK_ERROR)).alias(f"{c} bounds") for c in columns]).first()
+    n = min(max(RANK_RANGES[0], -(-df.count() // RANGE_ROWS)), RANK_RANGES[1])
+    every = df.agg(*[F.count(c).alias(c) for c in columns], *[F.percentile_approx(c, [k / n for k in range(1, n)], 4 * n).alias(f"{c} bounds") for c in columns]).first()
     for source, target in columns.items():
         bounds = sorted(set(every[f"{source} bounds"] or []))
         kind = df.schema[source].dataType
-        value = F.col(source)
-        at = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), partial(operator.gt, value))) if bounds else F.lit(0)
-        counts = df.where(F.col(source).isNotNull()).groupBy(source).agg(F.count("*").alias("ties")).withColumn("range", at)
+        counts = df.where(F.col(source).isNotNull()).groupBy(source).agg(F.count("*").alias("ties"))
+        counts = counts.withColumn("range", _range(F.lit(bounds).cast(f"array<{kind.simpleString()}>"), F.col(source)) if bounds else F.lit(0))
         w = W.partitionBy("range").orderBy(source).rowsBetween(W.unboundedPreceding, -1)
         totals = counts.groupBy("range").agg(F.sum("ties").alias("n"))
-        # At most 256 rows, so one task orders them and they can be broadcast.
+        # At most 10,000 rows, so one task orders them and they can be broadcast.
         before = totals.select("range", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
         placed = counts.withColumn("below", F.coalesce(F.sum("ties").over(w), F.lit(0))).join(F.broadcast(before), "range")
         ranks = placed.select(source, ((F.col("before") + F.col("below") + (F.col("ties") + 1) / 2.0) / F.lit(every[source])).alias(target))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import NORMAL_SERIES, SERIES, Gates
+from .panel import numbered_series
 
 
 def _precision_recall(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -69,6 +70,26 @@ def bootstrap_intervals(by_series: DataFrame, seed: int = 311, draws: int = 500)
     return {name: [round(float(q), 3) for q in np.quantile(v, [0.025, 0.975])] for name, v in (("precision", precision), ("recall", recall), ("f1", f1))}
 
 
+def bootstrap_by_hash(by_series: DataFrame, seed: int = 311, draws: int = 500) -> DataFrame:
+    """metric, low and high: 2.5 and 97.5 percent bounds over draws of series, made in Spark.
+
+    Each draw takes as many series as there are, the k-th one by a hash of seed, draw and k; draws are
+    joined to series by place and summed, so only the sums of the draws meet. Without series all is 0.
+    """
+    spark = by_series.sparkSession
+    placed = numbered_series(by_series)
+    n = placed.count()
+    name = F.concat_ws("|", F.lit(seed), "draw", "k")
+    picked = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("k"))
+    picked = picked.select("draw", (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("long") % max(n, 1)).cast("int").alias("place"))
+    sums = picked.join(placed, "place").groupBy("draw").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    shares = sums.select(*_precision_recall(F.col("tp"), F.col("fp"), F.col("fn"))).unpivot([], ["precision", "recall", "f1"], "metric", "value")
+    # So many values a metric as there are draws.
+    bounds = shares.groupBy("metric").agg(*[F.round(F.percentile("value", F.lit(p)), 3).alias(c) for c, p in (("low", 0.025), ("high", 0.975))])
+    every = spark.createDataFrame([(m,) for m in ("precision", "recall", "f1")], "metric string")
+    return every.join(bounds, "metric", "left").select("metric", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("low", "high")])
+
+
 def gates(metrics: DataFrame, weakest_recall: DataFrame, bounds: Gates | None = None) -> DataFrame:
     """One row: whether each gate holds, and all of them. weakest_recall has one row with `weakest`."""
     g = bounds or Gates()

@@ -437,8 +437,7 @@ def gate_eval(s: SparkSession, d: str) -> DataFrame:
 
 @_query
 def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
-    bounds = metrics.bootstrap_intervals(metrics.counts_by_series(*_matched(s, d)))
-    return s.createDataFrame([(k, *v) for k, v in bounds.items()], "metric string, low double, high double")
+    return metrics.bootstrap_by_hash(metrics.counts_by_series(*_matched(s, d)))
 
 
 def _closures(s: SparkSession, d: str) -> DataFrame:
