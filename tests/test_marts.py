@@ -87,3 +87,34 @@ def test_materialise(spark, requests):
     # Tables are replaced.
     assert daily(marts.materialise(requests, date(2026, 8, 21))["mart_daily_metrics"]) == first == daily(marts.daily_metrics(marts.facts(marts.staging(requests))))
     assert {t.name for t in spark.catalog.listTables() if not t.isTemporary} >= {"fct_requests", "mart_daily_metrics", "mart_closure_cohorts", "mart_open_age", "mart_quality"}
+
+
+def test_refreshed_tables(spark, tmp_path):
+    """Partitions that rows belong to are replaced; a writer that ends before its manifest changes nothing."""
+    from pyspark.sql import functions as F
+
+    from tidewatch.errors import GateError
+    from tidewatch.operators import refresh
+
+    path = str(tmp_path / "t")
+    with pytest.raises(GateError):
+        refresh.read_refreshed(spark, path)
+
+    def rows(*values):
+        return spark.createDataFrame(values, "k int, m string")
+
+    def seen():
+        return sorted(((r["k"], r["m"]) for r in refresh.read_refreshed(spark, path).collect()), key=repr)
+
+    assert refresh.refresh(rows((1, "a"), (2, "b"), (3, None)), path, F.col("m")) == 1
+    before = refresh.read_refreshed(spark, path)
+    assert refresh.refresh(rows((4, "b"), (5, "c")), path, F.col("m")) == 2
+    assert seen() == [(1, "a"), (3, None), (4, "b"), (5, "c")]
+    assert sorted(r["k"] for r in before.collect()) == [1, 2, 3]  # a reader that began before keeps its state
+    rows((9, "a")).withColumn("part", F.col("m")).write.partitionBy("part").parquet(f"{path}/data/cutoff")
+    (tmp_path / "t/manifests/000000003").mkdir()
+    assert seen() == [(1, "a"), (3, None), (4, "b"), (5, "c")]
+    (tmp_path / "t/manifests/000000003").rmdir()
+    refresh.refresh(rows((7, None)), path, F.col("m"))
+    refresh.refresh(rows((7, None)).limit(0), path, F.col("m"))
+    assert seen() == [(1, "a"), (4, "b"), (5, "c"), (7, None)]

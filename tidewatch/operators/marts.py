@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import minutes_between
-from . import ranges
+from . import ranges, refresh
 
 DIMENSIONS = ["community_district", "borough", "agency", "problem"]
 
@@ -54,6 +54,19 @@ def materialise(requests: DataFrame, as_of: date, database: str = "default") ->
     return out
 
 
+def refresh_marts(requests: DataFrame, path: str) -> None:
+    """Replaces the months of these requests in the tables path/fct_requests and path/mart_daily_metrics, by month of creation.
+
+    Requests must be all of their months. The mart is made from the stored facts of those months alone.
+    """
+    spark = requests.sparkSession
+    refresh.refresh(facts(staging(requests)), f"{path}/fct_requests", refresh.month_of("created_date"))
+    months = requests.select(F.coalesce(refresh.month_of("created_date"), F.lit(refresh.NO_PART))).distinct()
+    changed = [r[0] for r in months.collect()]
+    stored = refresh.read_refreshed(spark, f"{path}/fct_requests").where(F.col("part").isin(changed))
+    refresh.refresh(daily_metrics(stored), f"{path}/mart_daily_metrics", refresh.month_of("metric_date"))
+
+
 def facts(staged: DataFrame) -> DataFrame:
     """Staging with dates, whether closed, and days to resolution (counted in minutes)."""
     minutes = minutes_between("created_at_local", "closed_at_local")

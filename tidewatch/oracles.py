@@ -180,6 +180,7 @@ def oracle_sql() -> dict[str, str]:
         "label_files": ([], "SELECT ['clear_anomaly', 'plausible_anomaly', 'unsupported', 'uncertain'][(o_orderkey % 4 + 1)::INT] AS label, count(*) AS cases, sum(CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END)::BIGINT AS evidence FROM orders GROUP BY 1"),
         "configured_alerts": (["robust", "counts", "hybrid"], "SELECT 'robust_seasonal-h8-z2-d2' AS configuration, 0 AS complexity, count(*) AS alerts FROM robust HAVING count(*) > 0 UNION ALL SELECT 'nb_conformal-h13-z2-d2', 1, count(*) FROM counts HAVING count(*) > 0 UNION ALL SELECT 'hybrid_nb_ewma-h13-z2-d1', 2, count(*) FROM hybrid HAVING count(*) > 0"),
         "bootstrap_ci": (["by_series"], ", p AS (SELECT *, row_number() OVER (ORDER BY district, problem) - 1 AS place, count(*) OVER () AS n FROM by_series), k AS (SELECT draw, ('0x' || substr(md5('311|' || draw || '|' || k), 1, 12))::BIGINT % n AS place FROM range(500) d(draw), (SELECT place AS k, n FROM p)), s AS (SELECT draw, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM k JOIN p USING (place) GROUP BY draw), r AS (SELECT tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM s), m AS (SELECT 'precision' AS metric, p AS v FROM r UNION ALL SELECT 'recall', r FROM r UNION ALL SELECT 'f1', 2 * p * r / greatest(p + r, 1e-12::DOUBLE) FROM r) SELECT metric, round(quantile_cont(v, 0.025), 3) AS low, round(quantile_cont(v, 0.975), 3) AS high FROM m GROUP BY metric"),
+        "marts_refreshed": (["fct"], f"SELECT part, sum(n)::BIGINT AS requests, sum(c)::BIGINT AS closed, count(*) AS groups FROM (SELECT strftime(created_date, '%Y-%m') AS part, created_date, {_DIMS}, channel, count(*) AS n, count(*) FILTER (WHERE is_closed) AS c FROM fct WHERE request_id::BIGINT % 2 = 0 OR year(created_date) = 1997 GROUP BY ALL) GROUP BY part"),
         "service_filtered": (["service"], "SELECT unique_key, created_date, complaint_type, descriptor FROM service WHERE created_date >= TIMESTAMP '1997-01-01' AND complaint_type IN ('1-URGENT', '5-LOW') AND length(descriptor) > 2"),
         "service_parts": (["service"], "SELECT complaint_type, status, count(*) AS requests, count(*) AS keys FROM service GROUP BY ALL"),
         "service_cached": (["service"], "SELECT created_date::DATE AS day, community_board, count(*) AS requests FROM service GROUP BY ALL"),

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions.text import borough_of, canonical_hash, district_of_code, is_official, parse_district, signal_id, strip
-from .operators import contracts, detectors, drift, episodes, features, marts, metrics, panel, ranked_views, review, survival
+from .operators import contracts, detectors, drift, episodes, features, marts, metrics, panel, ranked_views, refresh, review, survival
 from .operators.settled import settled, shared_folder
 from .plans import backtest, sections, synthetic
 from .schemas import DISTRICTS, REQUEST, SAFE_FIELDS, SERIES, Gates, Thresholds, Windows
@@ -91,6 +91,15 @@ def mart_quality(s: SparkSession, d: str) -> DataFrame:
     return marts.quality(_fct(s, d))
 
 
+@_query
+def marts_refreshed(s: SparkSession, d: str) -> DataFrame:
+    """Tables written with half of the requests, then refreshed with all of 1997: requests and closures by month."""
+    out, rows = shared_folder(s, "marts"), requests(s, d)
+    marts.refresh_marts(rows.where(F.col("unique_key").cast("long") % 2 == 0), out)
+    marts.refresh_marts(rows.where((F.col("created_date") >= F.lit(date(1997, 1, 1)).cast("timestamp_ntz")) & (F.col("created_date") < F.lit(date(1998, 1, 1)).cast("timestamp_ntz"))), out)
+    return refresh.read_refreshed(s, f"{out}/mart_daily_metrics").groupBy("part").agg(F.sum("request_count").alias("requests"), F.sum("closed_count").alias("closed"), F.count("*").alias("groups"))
+
+
 @_query
 def constraint_violations(s: SparkSession, d: str) -> DataFrame:
     return contracts.violations(_fct(s, d), ["request_id", "created_at_local", "problem_detail", "agency_name"], ["request_id", "problem"])
