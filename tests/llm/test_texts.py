@@ -256,8 +256,8 @@ def hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize(("block_bytes", "pass_bytes"), [(10**6, 10**6), (60, 10**6), (60, 150)])
-def test_decontamination_by_definition(spark, block_bytes, pass_bytes):
+@pytest.mark.parametrize("pass_bytes", [10**6, 150])
+def test_decontamination_by_definition(spark, pass_bytes):
     rng = random.Random(8)
 
     def words(n):
@@ -267,18 +267,27 @@ def test_decontamination_by_definition(spark, block_bytes, pass_bytes):
     texts = [None, "", "?", "The CAT sat"] + [", ".join(words(rng.randint(1, 60))) for _ in range(60)] + [f"{' '.join(words(5))} {t or ''} {' '.join(words(4))}" for _, t in items]
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, n_hit int")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r["doc_id"]: tuple(r)[1:] for r in decontamination.find_contamination(docs, bench, block_bytes=block_bytes, pass_bytes=pass_bytes).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in decontamination.find_contamination(docs, bench, pass_bytes=pass_bytes).collect()}
     assert got == {k: hits(t, items) for k, t in enumerate(texts)}
-    clean = decontamination.find_contamination(docs, bench, block_bytes=block_bytes, pass_bytes=pass_bytes, keep=True)
+    clean = decontamination.find_contamination(docs, bench, pass_bytes=pass_bytes, keep=True)
     assert clean.columns == docs.columns
     assert {r["doc_id"] for r in clean.collect()} == {k for k, v in got.items() if not v[4]}
 
 
-def test_blocks_of_passes(spark):
-    items = spark.createDataFrame([(k, "x" * n) for k, n in enumerate([30, 30, 50, 10, 200, 5, 5])], "item_id long, text string").coalesce(1)
-    passes = [[[i for i, _ in b] for b in p] for p in decontamination.pattern_blocks(items, 60, 120)]
-    assert passes == [[[0, 1], [2, 3]], [[4]], [[5, 6]]]
-    assert list(decontamination.pattern_blocks(items.limit(0))) == [[[]]]
+def test_passes(spark):
+    items = spark.createDataFrame([(k, "x" * n) for k, n in enumerate([30, 30, 50, 10, 200, 5, 5])] + [(7, "天" * 40)], "item_id long, text string").coalesce(1)
+    assert [[i for i, _ in p] for p in decontamination.passes_of(items, 120)] == [[0, 1, 2, 3], [4], [5, 6], [7]]
+    assert list(decontamination.passes_of(items.limit(0))) == [[]]
+
+
+def test_tables_of_a_benchmark_are_small():
+    rng = random.Random(1)
+    items = [(k, " ".join(f"w{rng.randrange(30_000)}" for _ in range(150))) for k in range(1200)]
+    size = sum(len(t) for _, t in items)
+    search = decontamination.BenchmarkSearch(items)
+    held = len(search.text) + sum(a.nbytes for s in search.searches for a in (s.block, s.shift, s.key, s.start, s.end, s.owner))
+    assert held < 10 * size
+    assert all(search.hits(decontamination.words_of(t))[1] >= {str(k)} for k, t in items[::100])
 
 
 def test_decontamination_of_long_and_repeated_texts(spark):

@@ -2,10 +2,10 @@
 
 Patterns are the windows of all benchmark items. Those of full length share one search, with the
 shift table over blocks of two words; shorter items (whole sequences) get a search of their own for
-each length, as their shifts are smaller. A visited block with shift 0 selects by suffix hash, then by
-prefix hash, the few patterns to compare word by word. A larger benchmark is cut to blocks of patterns,
-which are searched one after the other in each lot of documents, in one pass over the documents; what
-a pass broadcasts is bounded, and only a benchmark beyond that bound takes more passes.
+each length, as their shifts are smaller. Tables are sorted arrays of 64-bit hashes, built once for a
+pass and broadcast. The shifts of a document's blocks are looked up together; the walk moves by them, and
+where a block has shift 0, the hash of suffix and prefix selects the few patterns that are compared as
+text. What a pass broadcasts is bounded; a benchmark beyond that bound takes more passes.
 """
 
 from __future__ import annotations
@@ -13,21 +13,21 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, chunks, map_arrow, map_chunks, spread_join, stored
+from .common import WordHashes, broadcast_if_few, chunks, map_arrow, map_chunks, spread_join, stored, word_hashes
 
 #: Words of a window.
 WINDOW_WORDS = 10
-#: Bytes of benchmark text that one block of patterns may hold, and all blocks of a pass.
-BLOCK_BYTES, PASS_BYTES = 8_000_000, 64_000_000
-#: Bytes of documents that are gathered where there are several blocks, each of which is built for a lot.
-LOT_BYTES = 32_000_000
+#: Bytes of benchmark text of a pass; its tables take about ten times as much in each Python worker.
+PASS_BYTES = 16_000_000
 
 #: Bytes of ASCII letters lower-cased, digits and all of non-ASCII characters kept, the rest blank.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -39,61 +39,112 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(WORD_BYTES).split()
 
 
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of 64-bit hashes."""
+    out = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return out ^ (out >> np.uint64(31))
+
+
+def _hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def _blocks(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the blocks of two words (of one, in patterns of one word)."""
+    return hashes if size == 1 else _mix(hashes[:-1], hashes[1:])
+
+
+@dataclass
 class WuManber:
-    """Finds all occurrences of word sequences of one length in a word list."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], dict]) -> None:
-        self.length = m = len(next(iter(patterns)))
-        self.block = b = min(2, m)
-        self.default = m - b + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        #: By suffix and prefix of b words.
-        self.bucket: dict[tuple[bytes, ...], dict[tuple[bytes, ...], dict]] = defaultdict(lambda: defaultdict(dict))
-        for pattern, owners in patterns.items():
-            for j in range(b, m + 1):
-                key = pattern[j - b : j]
-                self.shift[key] = min(self.shift.get(key, self.default), m - j)
-            self.bucket[pattern[m - b :]][pattern[:b]][pattern] = owners
-
-    def search(self, words: list[bytes]) -> list[tuple[int, dict]]:
-        """(start, owners) of each occurrence."""
-        found, m, b, default = [], self.length, self.block, self.default
-        shift, bucket = self.shift, self.bucket
-        end, n = m, len(words)
-        while end <= n:
-            key = (words[end - 2], words[end - 1]) if b == 2 else (words[end - 1],)
-            skip = shift.get(key, default)
-            if skip:
-                end += skip
-                continue
-            at = end - m
-            near = bucket[key].get(tuple(words[at : at + b]))
-            if near is not None and (owners := near.get(tuple(words[at:end]))) is not None:
-                found.append((at, owners))
-            end += 1
+    """All patterns of one length in words, as sorted arrays: some 60 bytes a pattern, whatever their number."""
+
+    length: int
+    #: Hashes of blocks, and how far a window that ends with one may move.
+    block: np.ndarray
+    shift: np.ndarray
+    #: Of each pattern the hash of its suffix and prefix blocks, its place in the text of its items, and its item.
+    key: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, length: int, items: list[tuple[int, int, list[bytes], np.ndarray]]) -> WuManber:
+        """The search of the windows of items (number, place in the text, words, their hashes)."""
+        width = min(2, length)
+        found: list[list[np.ndarray]] = [[] for _ in range(6)]
+        for number, base, words, hashes in items:
+            blocks = _blocks(hashes, width)
+            windows = len(words) - length + 1
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            ends = base + np.cumsum(lengths + 1) - 1
+            # A block's least shift is that of the earliest window it lies in.
+            shift = np.maximum(0, length - width - np.arange(len(blocks)))
+            key = _mix(blocks[length - width :], blocks[:windows])
+            for k, v in enumerate((blocks, shift, key, (ends - lengths)[:windows], ends[length - 1 :], np.full(windows, number))):
+                found[k].append(v)
+        blocks, shift, key, start, end, owner = (np.concatenate(x) for x in found)
+        order = np.lexsort((shift, blocks))
+        first = order[np.flatnonzero(np.r_[True, np.diff(blocks[order]) != 0])]
+        by_key = np.argsort(key, kind="stable")
+        return cls(length, blocks[first], shift[first].astype(np.uint8), key[by_key], start[by_key].astype(np.int32), end[by_key].astype(np.int32), owner[by_key].astype(np.int32))
+
+    def search(self, words: list[bytes], hashes: np.ndarray, text: bytes) -> list[tuple[int, list[int]]]:
+        """(start, items) of each occurrence; text: that of the items."""
+        m, width = self.length, min(2, self.length)
+        if len(words) < m:
+            return []
+        blocks = _blocks(hashes, width)
+        place = np.minimum(np.searchsorted(self.block, blocks), len(self.block) - 1)
+        shift = np.where(self.block[place] == blocks, self.shift[place], m - width + 1)
+        if not (shift == 0).any():
+            return []
+        steps, ends, at, last = shift.tolist(), [], m - width, len(blocks)
+        while at < last:  # at: the block that the window ends with
+            if steps[at]:
+                at += steps[at]
+            else:
+                ends.append(at)
+                at += 1
+        near = np.array(ends, np.int64)
+        key = _mix(blocks[near], blocks[near - (m - width)])
+        low, high = np.searchsorted(self.key, key), np.searchsorted(self.key, key, "right")
+        found = []
+        for k in np.flatnonzero(high > low).tolist():
+            begin = ends[k] - (m - width)
+            own = b" ".join(words[begin : begin + m])
+            same = [int(self.owner[j]) for j in range(low[k], high[k]) if text[self.start[j] : self.end[j]] == own]
+            if same:
+                found.append((begin, same))
         return found
 
 
 class BenchmarkSearch:
-    """All patterns of a block of benchmark items; items are known by their ids as text."""
+    """All patterns of some benchmark items, built once; items are known by their ids as text."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW_WORDS) -> None:
-        by_length: dict[int, dict[tuple[bytes, ...], list]] = defaultdict(lambda: defaultdict(dict))
+        self.items: list[str] = []
+        by_length: dict[int, list] = defaultdict(list)
+        texts, base, known = [], 0, WordHashes(1 << 22)
         for item_id, text in items:
-            words = tuple(words_of(text))
-            size = min(window, len(words))
-            for at in range(len(words) - size + 1 if size else 0):
-                by_length[size][words[at : at + size]][str(item_id)] = True
-        self.searches = [WuManber(dict(p)) for _, p in sorted(by_length.items())]
-
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+            words = words_of(text)
+            if words:
+                by_length[min(window, len(words))].append((len(self.items), base, words, _hashes(words, known)))
+                self.items.append(str(item_id))
+                texts.append(b" ".join(words))
+                base += len(texts[-1]) + 1
+        self.text = b" ".join(texts)
+        self.searches = [WuManber.of(length, found) for length, found in sorted(by_length.items())]
+
+    def hits(self, words: list[bytes], known: dict[bytes, int] | None = None) -> tuple[list[tuple[int, int]], set[str]]:
         """Word spans of all occurrences, and the items that have them."""
         spans, items = [], set()
+        hashes = _hashes(words, word_hashes() if known is None else known)
         for search in self.searches:
-            for at, owners in search.search(words):
+            for at, owners in search.search(words, hashes, self.text):
                 spans.append((at, at + search.length))
                 items.update(owners)
-        return spans, items
+        return spans, {self.items[i] for i in items}
 
 
 def covered(spans: list[tuple[int, int]]) -> int:
@@ -105,59 +156,17 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-class Blocks:
-    """All blocks of a pass; the search of one is built at a time."""
-
-    def __init__(self, blocks: list[list[tuple[object, str | None]]], window: int) -> None:
-        self.blocks, self.window, self.order = blocks, window, list(range(len(blocks)))
-        self.built: tuple[int, BenchmarkSearch] | None = None
-
-    def hits(self, texts: list[str | None]) -> list[tuple[list[tuple[int, int]], set, int]]:
-        """Spans of hits, items and number of words of each text."""
-        words = [words_of(t) for t in texts]
-        found: list[tuple[list, set]] = [([], set()) for _ in texts]
-        for k in self.order:
-            if self.built is None or self.built[0] != k:
-                self.built = None  # the old one goes first
-                self.built = (k, BenchmarkSearch(self.blocks[k], self.window))
-            for w, (spans, items) in zip(words, found, strict=True):
-                new, owners = self.built[1].hits(w)
-                spans += new
-                items |= owners
-        self.order.reverse()  # the next lot begins with the search that is there
-        return [(spans, items, len(w)) for w, (spans, items) in zip(words, found, strict=True)]
-
-    def lots(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The batches in lots: chunks, or as many rows as LOT_BYTES hold where there are several blocks."""
-        if len(self.blocks) < 2:
-            yield from chunks(batches)
-            return
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for chunk in chunks(batches):
-            held.append(chunk)
-            size += chunk.nbytes
-            if size >= LOT_BYTES:
-                yield pa.concat_batches(held)
-                held, size = [], 0
-        if held:
-            yield pa.concat_batches(held)
-
-
-def pattern_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> Iterator[list[list[tuple[object, str | None]]]]:
-    """The blocks of one pass after the other: items of at most block_bytes of text (or one longer item) and pass_bytes."""
-    blocks, block, held, taken = [], [], 0, 0
+def passes_of(benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -> Iterator[list[tuple[object, str | None]]]:
+    """The items of one pass after the other: of at most pass_bytes of text (or one longer item)."""
+    held, taken = [], 0
     for item_id, text in benchmark.select("item_id", "text").toLocalIterator():
         size = len((text or "").encode("utf-8", "replace"))
-        if block and held + size > block_bytes:
-            blocks.append(block)
-            block, held = [], 0
-        if (blocks or block) and taken + size > pass_bytes:
-            yield blocks + [block] * bool(block)
-            blocks, block, held, taken = [], [], 0, 0
-        block.append((item_id, text))
-        held, taken = held + size, taken + size
-    yield [*blocks, block]
+        if held and taken + size > pass_bytes:
+            yield held
+            held, taken = [], 0
+        held.append((item_id, text))
+        taken += size
+    yield held
 
 
 def _digest(items: set | list) -> str:
@@ -167,35 +176,36 @@ def _digest(items: set | list) -> str:
 _REPORT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 
 
-def _one_pass(docs: DataFrame, blocks: list, window: int, keep: bool) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)
+def _one_pass(docs: DataFrame, items: list, window: int, keep: bool) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(BenchmarkSearch(items, window))
     rows = docs if keep else docs.select("doc_id", "text")
     place = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Blocks(shared.value, window)
-        for lot in search.lots(batches):
-            found = search.hits(lot.column(place).to_pylist())
+        search = shared.value
+        for chunk in chunks(batches):
+            words = [words_of(t) for t in chunk.column(place).to_pylist()]
+            found = [search.hits(w) for w in words]
             if keep:
-                yield lot.filter(pa.array([not spans for spans, _, _ in found], pa.bool_()))
+                yield chunk.filter(pa.array([not spans for spans, _ in found], pa.bool_()))
                 continue
-            n_hit = [covered(spans) for spans, _, _ in found]
-            columns = [lot.column(0), [n for _, _, n in found], n_hit, [len(i) for _, i, _ in found], [_digest(i) for _, i, _ in found], [h > 0 for h in n_hit]]
+            n_hit = [covered(spans) for spans, _ in found]
+            columns = [chunk.column(0), [len(w) for w in words], n_hit, [len(i) for _, i in found], [_digest(i) for _, i in found], [h > 0 for h in n_hit]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(columns, _REPORT, strict=True)], schema=_REPORT)
 
     return map_arrow(rows, run, docs.schema if keep else SCHEMA)
 
 
-def _hits_of_pass(texts: DataFrame, blocks: list, window: int) -> DataFrame:
-    """key, spans (starts and ends) and items of the texts(key, text) that have a window of the blocks; written."""
-    shared = texts.sparkSession.sparkContext.broadcast(blocks)
+def _hits_of_pass(texts: DataFrame, items: list, window: int) -> DataFrame:
+    """key, spans (starts and ends) and items of the texts(key, text) that have a window of the items; written."""
+    shared = texts.sparkSession.sparkContext.broadcast(BenchmarkSearch(items, window))
     kinds = pa.schema([("key", pa.binary()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Blocks(shared.value, window)
-        for lot in search.lots(batches):
-            found = zip(lot.column(0).to_pylist(), search.hits(lot.column(1).to_pylist()), strict=True)
-            rows = [(k, [x for span in spans for x in span], sorted(map(str, items))) for k, (spans, items, _) in found if spans]
+        search = shared.value
+        for chunk in chunks(batches):
+            found = [(k, *search.hits(words_of(t))) for k, t in zip(chunk.column(0).to_pylist(), chunk.column(1).to_pylist(), strict=True)]
+            rows = [(k, [x for span in spans for x in span], sorted(items)) for k, spans, items in found if spans]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
 
     out = stored(map_arrow(texts, run, "key binary, spans array<bigint>, items array<string>"), "hits")
@@ -203,7 +213,7 @@ def _hits_of_pass(texts: DataFrame, blocks: list, window: int) -> DataFrame:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES, keep: bool = False) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WORDS, pass_bytes: int = PASS_BYTES, keep: bool = False) -> DataFrame:
     """Which words of docs(doc_id, text, ...) lie in a window of benchmark(item_id, text, ...).
 
     A null or empty text has no words and no hits; an item without words has no window. Repeated
@@ -213,7 +223,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     pass_bytes is broadcast and searched in one pass; a larger one takes a pass for each such part, and
     only the hits of each are gathered.
     """
-    passes = pattern_blocks(benchmark, block_bytes, pass_bytes)
+    passes = passes_of(benchmark, pass_bytes)
     first = next(passes)
     second = next(passes, None)
     if second is None:
