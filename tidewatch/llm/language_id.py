@@ -30,6 +30,8 @@ BLOCK_GRAMS = 1 << 14
 SCORED_ROWS = 256
 RIDGE = 1e-2
 
+#: Parts that a language's rows are ordered in.
+SALTS = 64
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -156,8 +158,11 @@ def fit(docs: DataFrame, train_texts: int = TRAIN_TEXTS, landmarks: int = LANDMA
         return None
     each = max(2, train_texts // len(counts))
     learned = docs.sparkSession.createDataFrame([(r["lang"],) for r in counts], "lang string")
-    place = F.row_number().over(W.partitionBy("lang").orderBy("mark"))
-    lowest = marks.join(F.broadcast(learned), "lang").withColumn("k", place).where(F.col("k") <= each).select("lang", "mark")
+    lowest = marks.join(F.broadcast(learned), "lang").withColumn("salt", F.pmod("mark", F.lit(SALTS)))
+    # First the lowest of each part of a language, then those of these.
+    for keys in (["lang", "salt"], ["lang"]):
+        lowest = lowest.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy("mark"))).where(F.col("k") <= each)
+    lowest = lowest.select("lang", "mark")
     # At most about train_texts marks (two a language at least).
     chosen = usable.join(F.broadcast(lowest), ["lang", "mark"]).select("mark", "lang", "text").dropDuplicates(["lang", "mark"])
 
