@@ -53,6 +53,17 @@ def test_embedded_elements(piece, text):
     assert [b.text for b in html_extract.read_blocks(page)] == [text, "Next."]
 
 
+def test_references_end_with_their_text():
+    page = "<article><h2>On markup</h2><p>Write &<b>lt</b>; for a sign, and R&amp;D, 5 &lt; 6 &copy; or &amp;lt; in this sentence.</p></article>"
+    assert html_extract.extract(page)[0] == "On markup\nWrite &lt; for a sign, and R&D, 5 < 6 \u00a9 or &lt; in this sentence."
+
+
+@pytest.mark.parametrize("name", ["kommentar-bereich", "kommentar-liste", "espace-commentaire", "comments-area"])
+def test_comments_by_identifier(name):
+    page = f'<article><h2>The headline of it</h2><p>A first paragraph of the article, which has some words.</p><p>Another one follows it, with more of them.</p></article><section class="{name}"><p>I agree with this.</p><p>Me too, thanks a lot!</p></section>'
+    assert html_extract.extract(page)[0] == "The headline of it\nA first paragraph of the article, which has some words.\nAnother one follows it, with more of them."
+
+
 def test_pages_table(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, "x"), (2, "v", "<p>Some long text without much around it, really.</p>" * 4000, "x")], "page_id long, url string, html string, text string")
     got = html_extract.extract_pages(rows).collect()

@@ -52,14 +52,14 @@ NAME_EVIDENCE = {
 WORD_EVIDENCE = {
     **dict.fromkeys("nav navbar navigation navigational menu menubar menus footer foot breadcrumb breadcrumbs sidebar sidebars aside widget widgets complementary contentinfo pagination pager toolbar topbar masthead".split(), 5.0),
     **dict.fromkeys("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promoted banner".split(), 6.0),
-    **dict.fromkeys("comment comments commentlist comentarios kommentare commentaires reply replies respond disqus discussion reviews".split(), 6.0),
+    **dict.fromkeys("comment comments commentlist comentario comentarios kommentar kommentare commentaire commentaires reply replies respond disqus discussion reviews".split(), 6.0),
     **dict.fromkeys("cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login signin search form".split(), 5.0),
     **dict.fromkeys("share sharing social related recommended recommendations recirc trending popular outbrain taboola tags legal copyright disclaimer skip hidden".split(), 4.0),
     **dict.fromkeys("header".split(), 2.5),
     **dict.fromkeys("article content post entry story body main text maincontent articlebody".split(), -2.0),
 }
 #: Words that name a part's shape rather than its kind; they count only where an identifier has no other.
-SHAPE_WORDS = frozenset("container wrapper wrap inner outer box block area section list item items panel group row col column slot unit zone holder placeholder module component card teaser button buttons left right top bottom content body text main page site widget title link links bar".split())
+SHAPE_WORDS = frozenset("container wrapper wrap inner outer box block area section list item items panel group row col column slot unit zone holder placeholder module component card teaser button buttons left right top bottom content body text main page site widget title link links bar bereich abschnitt liste rubrique espace lista zona seccion".split())
 #: How much the last word of an identifier, which names the thing, counts against each before it.
 HEAD_WEIGHT = 2.0
 #: What further identifiers of an element add to the strongest.
@@ -246,7 +246,8 @@ def read_blocks(html: str) -> list[Block]:
         top = Element(name, top, top.link or name == "a", hidden, max(top.bad, value), min(0.95 * top.good, value, 0.0))
         opened[name] += 1
     for b in blocks:
-        b.text = " ".join(unescape("".join(b.parts)).split())
+        # Each text node for itself: a reference doesn't go on behind a tag.
+        b.text = " ".join("".join(map(unescape, b.parts)).split())
     return [b for b in blocks if b.text]
 
 
