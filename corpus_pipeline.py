@@ -34,7 +34,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences, with their token ids."""
-    return packing.pack_documents(docs, with_ids=True)
+    # A small cache of words costs time alone: after the stages before, the executors' JVMs have grown to their full size.
+    return packing.pack_documents(docs, with_ids=True, cache_words=100_000)
 
 
 STAGES = [
