@@ -12,6 +12,7 @@ from pyspark import cloudpickle
 from tidewatch.errors import GateError
 from tidewatch.functions.text import district_of_code, is_official, parse_district, strip
 from tidewatch.operators.contracts import valid
+from tidewatch.operators.detectors import ALERT_COLUMNS
 from tidewatch.schemas import BOROUGH_CODES, DISTRICTS, REQUEST
 from tidewatch.sources import files, parts, rest
 from tidewatch.sources.service import TableService
@@ -167,7 +168,8 @@ def test_stream_sessions_and_counts(spark, tmp_path):
     days = [date(2026, 7, 1), date(2026, 7, 8), date(2026, 7, 16), date(2026, 9, 1)]
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.json").write_text("".join(json.dumps({"date": str(d), "district": "A", "problem": "P"}) + "\n" for d in days))
-    stream = spark.readStream.schema("date date, district string, problem string").json(str(tmp_path / "a"))
+    kinds = {"date": "date", "affected_count": "long"} | dict.fromkeys(("id", "type", "district", "problem", "detector"), "string")
+    stream = spark.readStream.schema(", ".join(f"{c} {kinds.get(c, 'double')}" for c in ALERT_COLUMNS)).json(str(tmp_path / "a"))
     q = ingest.episode_sessions(stream).writeStream.format("memory").queryName("sessions").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     got = {(r["episode_start"], r["episode_end"], r["persistence"]) for r in spark.table("sessions").collect()}
