@@ -122,6 +122,11 @@ def test_single_ids_of_token_files(spark, odd_docs, monkeypatch):
     got = token_files.read_ids(spark, path, spark.createDataFrame(places, "doc_id long, place long")).collect()
     want = [(d, p, int(texts[d][p])) for d, p in places if d in texts and d is not None and p is not None and 0 <= p < len(texts[d])]
     assert sorted(map(tuple, got)) == sorted(want)
+    # Only the part files of the wanted documents are read.
+    some = token_files.read_ids(spark, path, spark.createDataFrame([want[0][:2]], "doc_id long, place long"))
+    assert [tuple(r) for r in some.collect()] == [want[0]]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(part," in plan or "In(part," in plan
 
 
 def test_frequent_ids_are_dealt(spark, monkeypatch):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, broadcast_if_few, chunks, map_arrow, shared_path
+from .common import arrow_schema, broadcast_if_few, chunks, map_arrow, shared_path, stored
 from .tokens import ENCODED_ROWS, LARGE_CACHE_WORDS, default_tokenizer, encoder
 
 #: Fixed values of the format.
@@ -178,16 +178,24 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return map_arrow(blocks.select("part", "start_in_part", "payload"), run, SCHEMA)
 
 
+#: Part files that a read of single ids names one by one.
+MOST_PARTS = 10_000
+
+
 def read_ids(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     """doc_id, place and id (int) of places(doc_id, place) in the files at path, by one rank a level.
 
-    Blocks without a wanted document are not read, as the index lies beside them. A place beyond its
-    document, or an unknown or null doc_id, gives no row; of rows with one doc_id each gives one.
+    The index beside the payloads says where the wanted documents are; if they lie in few part files
+    (MOST_PARTS), only these are read, by a filter on the files' statistics. A place beyond its document,
+    or an unknown or null doc_id, gives no row; of rows with one doc_id each gives one.
     """
     blocks = spark.read.parquet(path)
     table = blocks.select("part", "block", F.posexplode(F.arrays_zip("doc_ids", "ends")).alias("k", "d")).select("part", "block", "k", F.col("d.doc_ids").alias("doc_id"))
     wanted = table.join(broadcast_if_few(places.select("doc_id", "place").dropna()), "doc_id")
-    by_block = wanted.groupBy("part", "block").agg(F.collect_list("k").alias("ks"), F.collect_list("place").alias("places"))
+    by_block = stored(wanted.groupBy("part", "block").agg(F.collect_list("k").alias("ks"), F.collect_list("place").alias("places")), "places")
+    parts = [r["part"] for r in by_block.select("part").distinct().limit(MOST_PARTS + 1).collect()]
+    if len(parts) <= MOST_PARTS:
+        blocks = blocks.where(F.col("part").isin(parts))
     kinds = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
