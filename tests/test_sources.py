@@ -323,3 +323,63 @@ def test_batches_of_parts(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         parts.write_parts(failing, out)
     assert parts.read_parts(spark, out, rows.schema).count() == 4 and parts.committed(spark, out).count() == 1
+
+
+def asked_pages(log):
+    return [a for a in map(json.loads, log.read_text().splitlines()) if "$offset" in a]
+
+
+def test_many_rows_are_asked_for_between_keys(spark, tmp_path):
+    """No page has the service order much more than itself, in batches and streams, and tasks fetch a stream's pages."""
+    by_value()
+    path, want = service_table(tmp_path), [f"{k:012d}" for k in range(400)]
+    rows = rest.read_api(spark, Recorded(path, tmp_path / "batch"), ["unique_key", "descriptor"], "api_deep", page_size=50, deepest=100)
+    assert sorted(r[0] for r in rows.select("unique_key").collect()) == want
+    assert rows.where("descriptor = 'd''1'").count() == sum(k % 5 > 0 and k % 3 == 1 for k in range(400))
+    spark.dataSource.register(rest.source(Recorded(path, tmp_path / "stream"), "api_deep_pages"))
+    stream = spark.readStream.format("api_deep_pages").options(page_size="30", deepest="100", batch_pages="5").load()
+    q = parts.stream_parts(stream, str(tmp_path / "out"), str(tmp_path / "check")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(r[0] for r in parts.read_parts(spark, str(tmp_path / "out"), REQUEST).select("unique_key").collect()) == want
+    assert [r["last"] for r in parts.committed(spark, str(tmp_path / "out")).orderBy("batch").collect()] == [150, 300, 400]
+    for log, n in (("batch", 50), ("stream", 30)):
+        pages = asked_pages(tmp_path / log)
+        assert pages and all("unique_key" in a["$where"] and int(a["$offset"]) < n for a in pages)
+    assert len(asked_pages(tmp_path / "stream")) == 14  # each page once
+
+
+KEYS = [None, "", "'", "''", "it's", "a", "a", "aa", "ab", "ab", "abc", "Z", "Ä", "é", "0", "00", "000", "0001", "0002", "0010", "1", "10", "2", None, "日本", "日", "~"]
+
+
+@pytest.mark.parametrize("nulls", ["FIRST", "LAST"])
+@pytest.mark.parametrize("keys", [KEYS, [k for k in KEYS if k is not None], [None] * 9, ["same"] * 9])
+def test_pages_between_keys_are_whole(keys, nulls):
+    from pyspark.sql import types as T
+
+    values = ",".join("(" + ("NULL" if k is None else "'" + k.replace("'", "''") + "'") + ")" for k in keys)
+    service = TableService("", f"SELECT k::VARCHAR AS unique_key FROM (VALUES {values}) v(k)")
+
+    def ordered(params):
+        return service(params | ({"$order": f"{params['$order']} NULLS {nulls}"} if "$order" in params else {}))
+
+    whole = sorted(keys, key=lambda k: ((k is None) == (nulls == "LAST"), k or ""))
+    for size in (1, 2, 3, 5, 40):
+        paged = rest._Paged(ordered, {"page_size": size, "deepest": 4}, T.StructType([REQUEST["unique_key"]]))
+        for start in (0, 1, 4):
+            found = [[r[0] for r in paged.page(p)] for p in paged.pages(start, len(keys), len(keys))]
+            assert [k for page in found for k in page] == whole[start:]
+            assert all(len(page) == size for page in found[:-1])
+
+
+def test_pages_of_a_service_that_has_changed():
+    from pyspark.sql import types as T
+
+    paged = rest._Paged(lambda params: [{"prefix": "a", "count": "9"}] if "$group" in params else [{"unique_key": "a"}], {"page_size": 9, "deepest": 4}, T.StructType([REQUEST["unique_key"]]))
+    with pytest.raises(GateError):
+        paged.pages(0, 8, 8)
+    (page,) = paged.pages(0, 9, 9)
+    with pytest.raises(GateError):
+        paged.page(page)
