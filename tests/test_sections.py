@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
+import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tidewatch import oracles
 from tidewatch.errors import ArtifactUnavailable, InvalidRequest, NotFound
 from tidewatch.plans import sections
-from tidewatch.queries import _published
+from tidewatch.queries import _published, queries
 from tidewatch.sources.bindings import PANEL_END
 
+TABLES = "region nation customer supplier part orders lineitem events".split()
+
 
 @pytest.fixture(scope="module")
 def version(spark, sf_dir):
@@ -74,3 +79,16 @@ def test_versions(spark, tmp_path):
     assert newest.health().first()[:] == ("ok", "v") and newest.facts("meta").count() == 3
     with pytest.raises(ArtifactUnavailable):
         sections.Sections.newest(spark, [broken, str(tmp_path / "none")])
+
+
+@pytest.mark.parametrize("name", ["served_signal", "served_signals", "served_map", "published_manifest"])
+def test_tables_without_signals(spark, sf_dir, tmp_path, name):
+    """Where no day is unusual there is no best signal to look up: no row, as in SQL."""
+    con = duckdb.connect()
+    for t in TABLES:
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").withColumns({"l_shipdate": F.lit(PANEL_END).cast("timestamp_ntz")} if t == "lineitem" else {}).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found, want = queries()[name](spark, str(tmp_path)), con.sql(oracles.oracle_sql()[name])
+    assert sorted(found.columns) == sorted(want.columns)
+    assert sorted(map(str, found.select(*want.columns).collect())) == sorted(str(Row(**dict(zip(want.columns, r, strict=True)))) for r in want.fetchall())
+    assert (found.count() == 0) == name.startswith("served_signal")
