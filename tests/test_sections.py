@@ -81,7 +81,7 @@ def test_versions(spark, tmp_path):
         sections.Sections.newest(spark, [broken, str(tmp_path / "none")])
 
 
-@pytest.mark.parametrize("name", ["served_signal", "served_signals", "served_map", "published_manifest"])
+@pytest.mark.parametrize("name", ["served_signal", "served_signal_trend", "served_signals", "served_map", "published_manifest"])
 def test_tables_without_signals(spark, sf_dir, tmp_path, name):
     """Where no day is unusual there is no best signal to look up: no row, as in SQL."""
     con = duckdb.connect()
