@@ -383,3 +383,15 @@ def test_pages_of_a_service_that_has_changed():
     (page,) = paged.pages(0, 9, 9)
     with pytest.raises(GateError):
         paged.page(page)
+
+
+def test_filtered_pages_are_asked_for_between_keys(spark, tmp_path):
+    """Filters and keys bound a page together; pages count what the filters leave."""
+    from pyspark.sql import functions as F
+
+    by_value()
+    path, log = service_table(tmp_path), tmp_path / "asked"
+    rows = rest.read_api(spark, Recorded(path, log), ["unique_key", "complaint_type"], "api_filtered", page_size=40, deepest=90).where(F.col("complaint_type").isin("it's", "Ä"))
+    assert sorted(r[0] for r in rows.collect()) == [f"{k:012d}" for k in range(400) if k % 2]
+    pages = asked_pages(log)
+    assert len(pages) == 5 and all("complaint_type in(" in a["$where"] and "unique_key" in a["$where"] and int(a["$offset"]) < 40 for a in pages)
