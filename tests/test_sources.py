@@ -395,3 +395,33 @@ def test_filtered_pages_are_asked_for_between_keys(spark, tmp_path):
     assert sorted(r[0] for r in rows.collect()) == [f"{k:012d}" for k in range(400) if k % 2]
     pages = asked_pages(log)
     assert len(pages) == 5 and all("complaint_type in(" in a["$where"] and "unique_key" in a["$where"] and int(a["$offset"]) < 40 for a in pages)
+
+
+MOST_MB = """
+import resource, sys
+from tidewatch.sources.service import TableService
+
+params = {"$select": "unique_key,created_date,complaint_type,descriptor", "$where": "unique_key < '000000000100'", "$order": "unique_key", "$limit": "100"}
+assert len(TableService(sys.argv[1])(params)) == 100
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+"""
+
+
+def test_a_service_in_a_task_takes_no_more_memory_for_more_row_groups(tmp_path):
+    """It answers inside the asking process: one thread and nothing read ahead, however many cores and row groups there are."""
+    import os
+    import subprocess
+    from pathlib import Path
+
+    import duckdb
+
+    assert TableService("", "SELECT current_setting('threads') AS threads, current_setting('async_threads') AS ahead")({}) == [{"threads": "1", "ahead": "0"}]
+    most = []
+    for groups in (1, 8):
+        rows = f"SELECT range AS o_orderkey, hash(range) % 100000 AS o_custkey, TIMESTAMP '1997-01-01' + to_seconds((hash(range) % 100000000)::BIGINT) AS o_orderdate, 'F' AS o_orderstatus, hash(range)::VARCHAR AS o_orderpriority FROM range({groups * 491_520})"
+        path = str(tmp_path / f"{groups}.parquet")
+        with duckdb.connect() as con:
+            con.execute(f"COPY ({rows}) TO '{path}' (FORMAT parquet, ROW_GROUP_SIZE 491520)")
+        root = str(Path(rest.__file__).parents[2])
+        most.append(float(subprocess.run([sys.executable, "-c", MOST_MB, path], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True).stdout))
+    assert most[1] < most[0] + 40, most
